@@ -31,7 +31,8 @@ FUNDAMENTALS = Contract("fundamentals", {"symbol": "string", "period": "date", "
 
 def strict_date(x: F.Column) -> F.Column:
     """Dates written YYYY-MM-DD or YYYYMMDD; anything else is NULL."""
-    return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(x, F.lit("yyyy-MM-dd"))).when(x.rlike(r"^\d{8}$"), F.try_to_date(x, F.lit("yyyyMMdd")))
+    parts = F.concat_ws("-", F.substring(x, 1, 4), F.substring(x, 5, 2), F.substring(x, 7, 2))
+    return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}$"), x.try_cast("date")).when(x.rlike(r"^\d{8}$"), parts.try_cast("date"))
 
 
 def normal_symbol(x: F.Column) -> F.Column:
