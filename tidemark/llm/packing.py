@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_batches, small_batches, table
-from tidemark.llm.tokens import PieceTokenizer
+from tidemark.llm.tokens import tokenizer_at
 
 WINDOW, END_ID = 4096, 2
-SHARD_TOKENS = 6_000_000
+SHARD_TOKENS = 4_000_000
 QUERY_TERMS, K1, B = 12, 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -34,7 +34,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, ids, n): each text's ids and ``end_id``, as little-endian 32-bit integers; null is as empty."""
 
     def run(batches):
-        tokenizer = PieceTokenizer(path)
+        tokenizer = tokenizer_at(path)
         for batch in batches:
             found, sizes = [], []
             for text in batch.column(1).to_pylist():

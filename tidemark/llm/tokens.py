@@ -36,6 +36,16 @@ def _byte_signs() -> dict[int, str]:
 _SIGNS = _byte_signs()
 
 
+_LOADED: dict[str, PieceTokenizer] = {}
+
+
+def tokenizer_at(path: str) -> PieceTokenizer:
+    """The worker process's own tokenizer for a file: kept from task to task, with what it has learned."""
+    if path not in _LOADED:
+        _LOADED[path] = PieceTokenizer(path)
+    return _LOADED[path]
+
+
 class PieceTokenizer:
     """``encode`` gives the ids of a text as the tokenizer file at ``path`` does, without special tokens.
 
