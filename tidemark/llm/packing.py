@@ -37,8 +37,8 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         tokenizer = tokenizer_at(path)
         for batch in batches:
             found, sizes = [], []
-            for text in batch.column(1).to_pylist():
-                ids = np.append(tokenizer.encode(text or ""), np.uint32(end_id)).astype("<u2" if tokenizer.narrow else "<u4")
+            for own in tokenizer.encode_batch(batch.column(1)):
+                ids = np.append(own, np.uint32(end_id)).astype("<u2" if tokenizer.narrow else "<u4")
                 found.append(ids.tobytes())
                 sizes.append(len(ids))
             yield pa.record_batch([batch.column(0), pa.array(found, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "ids", "n"])

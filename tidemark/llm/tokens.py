@@ -15,8 +15,11 @@ import os
 import re
 import unicodedata
 from array import array
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _LATIN = [chr(i) for i in [*range(0xA1, 0x180), *range(0x2010, 0x2028)] if i not in (0xAD, 0x130)]
 _PLAIN = re.compile("[\\x00-\\x1b\\x20-\\x7f" + re.escape("".join(_LATIN)) + "]*")
@@ -47,12 +50,12 @@ def tokenizer_at(path: str) -> PieceTokenizer:
 
 
 class PieceTokenizer:
-    """``encode`` gives the ids of a text as the tokenizer file at ``path`` does, without special tokens.
+    """``encode_batch`` gives the ids of texts as the tokenizer file at ``path`` does, without special tokens.
 
     Beyond ``max_pieces`` pieces, or as many words, a cache starts anew, which bounds memory.
     """
 
-    def __init__(self, path: str, max_pieces: int = 600_000, max_words: int = 600_000):
+    def __init__(self, path: str, max_pieces: int = 1_000_000, max_words: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -91,22 +94,34 @@ class PieceTokenizer:
         self.known.update(zip(words, range(n, n + len(words))))
         self.n_ids += len(flat)
 
-    def encode(self, text: str) -> np.ndarray:
-        if not _PLAIN.fullmatch(text) or any(x in text for x in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        words = text.lower().split()
-        if not words:
-            return np.zeros(0, np.uint32)
-        at = list(map(self.known.get, words))
-        if None in at:
-            new = list({w for w, i in zip(words, at) if i is None})
+    def _known(self, words: list[str]) -> np.ndarray:
+        """The numbers of distinct words; new ones are learned."""
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
             if len(self.known) + len(new) > self.max_words:
                 self._clear()
-                new = list(set(words))
+                new, missing = words, np.arange(len(words))
+            n = len(self.known)
             self._learn(new)
-            at = list(map(self.known.__getitem__, words))
-        at = np.array(at, dtype=np.int64)
-        first = self.starts[at]
-        sizes = self.starts[at + 1] - first
-        ends = np.cumsum(sizes)
-        return self.ids[np.arange(ends[-1]) + np.repeat(first - (ends - sizes), sizes)]
+            at[missing] = np.arange(n, n + len(new))
+        return at
+
+    def encode_batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null is as empty. Words are told apart for the whole batch at once."""
+        values = texts.to_pylist()
+        odd = {i for i, x in enumerate(values) if x and (not _PLAIN.fullmatch(x) or any(y in x for y in self.special))}
+        if odd:
+            texts = pa.array([None if i in odd else x for i, x in enumerate(values)], pa.string())
+        split = pc.ascii_split_whitespace(pc.utf8_lower(texts.fill_null("")))
+        coded = split.values.dictionary_encode()
+        at = self._known(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+        sizes = self.starts[at + 1] - self.starts[at]
+        stops = np.concatenate([[0], np.cumsum(sizes)])
+        flat = self.ids[np.arange(stops[-1]) + np.repeat(self.starts[at] - stops[:-1], sizes)]
+        edges = stops[split.offsets.to_numpy()]
+        out = [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        for i in odd:
+            out[i] = np.array(self.tokenizer.encode(values[i], add_special_tokens=False).ids, dtype=np.uint32)
+        return out
