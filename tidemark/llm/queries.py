@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import golay_simhash, hash_forest, language_id, line_dedup, mixing, outliers, packing, quality_gam, suffix_dedup, url_filter
+from tidemark.llm import golay_simhash, hash_forest, language_id, line_dedup, mixing, outliers, packing, quality_gam, suffix_dedup, text_stats, url_filter
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -51,7 +51,7 @@ def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and robust outliers of all documents."""
     found = outliers.reject_outliers(_read(spark, sf_dir, "documents"))
-    return found.select("doc_id", *outliers.RULE_COLUMNS, "base_failed", "kept")
+    return found.select("doc_id", *text_stats.RULE_COLUMNS, "base_failed", "kept")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
