@@ -38,8 +38,8 @@ def op3_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that another document holds too."""
-    return suffix_dedup.repeated_passages(_read(spark, sf_dir, "documents"))
+    """The documents that hold a passage of 50 words or more that another one holds too, and where."""
+    return suffix_dedup.repeated_passages(_read(spark, sf_dir, "documents")).filter("repeated_words > 0")
 
 
 def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
