@@ -104,6 +104,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, tag: str = "suffixes
     read = table(map_batches(docs, anchors, f"doc_id {kind}, tid long, n_words long, grams array<long>, at array<int>"), tag)
     each = read.select("tid", F.explode(F.arrays_zip("grams", "at")).alias("x")).select("tid", F.col("x.grams").alias("gram"), F.col("x.at").alias("at"))
     shared = each.groupBy("gram").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).filter("a <> b").select("gram")
+    shared = table(shared, tag)  # a table by itself, so that a join on a very common hash can be split
     kept = each.join(shared, "gram", "left_semi").groupBy("tid").agg(F.collect_set("at").alias("at"))
     keys = read.groupBy("tid").agg(F.min_by("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("doc_id"))
     wanted = kept.join(keys, "tid").select("tid", "at", "doc_id")
