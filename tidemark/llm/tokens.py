@@ -110,13 +110,13 @@ class PieceTokenizer:
 
     def encode_batch(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; null is as empty. Words are told apart for the whole batch at once."""
-        values = texts.to_pylist()
+        values = texts.to_numpy(zero_copy_only=False).tolist()
         odd = {i for i, x in enumerate(values) if x and (not _PLAIN.fullmatch(x) or any(y in x for y in self.special))}
         if odd:
             texts = pa.array([None if i in odd else x for i, x in enumerate(values)], pa.string())
         split = pc.ascii_split_whitespace(pc.utf8_lower(texts.fill_null("")))
         coded = split.values.dictionary_encode()
-        at = self._known(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+        at = self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
         sizes = self.starts[at + 1] - self.starts[at]
         stops = np.concatenate([[0], np.cumsum(sizes)])
         flat = self.ids[np.arange(stops[-1]) + np.repeat(self.starts[at] - stops[:-1], sizes)]
