@@ -26,7 +26,7 @@ from tidemark.llm.common import table
 TREES, BITS = 48, 32
 SHARD_ROWS, QUERY_BLOCK = 16_384, 4_096
 #: Ascend until the trees together offer this many points for each of the shard (a point counts once for each tree).
-OFFER = 0.6
+OFFER = 1.0
 
 
 class Forest:
