@@ -279,6 +279,46 @@ def test_golay_keys_meet_for_up_to_four_errors():
         assert all(met[0][i] & met[1][i] for i in range(300))
 
 
+def test_rough_pairs_take_the_nearest_of_another_group():
+    rng = np.random.default_rng(5)
+    for size in (2, 7, 64, 65, 300):
+        keys = np.sort(np.concatenate([np.full(size, 3), rng.integers(4, 9, 20)])).astype(np.int32)
+        base = rng.integers(0, 2**63, dtype=np.uint64)
+        flips = [np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, 6, replace=False).astype(np.uint64)) for _ in keys]
+        fps, roots = np.array([base ^ f for f in flips], np.uint64), rng.integers(0, 4, len(keys))
+        want = set()
+        for i in range(len(keys)):
+            apart = [(int(fps[i] ^ fps[j]).bit_count(), j) for j in range(len(keys)) if keys[j] == keys[i] and roots[j] != roots[i]]
+            if apart:
+                want.add((i, min(apart)[0]))
+        got = {tuple(p) for p in golay_simhash._rough_pairs(keys, fps, roots).view(np.uint64).tolist()}
+        assert len(got) <= len(keys)
+        for i, distance in want:
+            assert any(int(a ^ b).bit_count() == distance for a, b in got if int(fps[i]) in (a, b))
+
+
+def test_near_copies_of_a_dense_group(spark):
+    """Copies of one text with some words changed: the groups of all pairs at 0.8, of which at most 2 % of the documents may stay too many."""
+    rng = np.random.default_rng(11)
+    base, rows = [f"w{i}" for i in rng.integers(0, 5000, 150)], []
+    for i in range(400):
+        words = list(base)
+        for at in rng.choice(150, rng.integers(0, 9), replace=False):
+            words[at] = f"x{rng.integers(0, 5000)}"
+        rows.append((i, " ".join(words), "en", "a", 1))
+    sets = [golay_simhash.shingle_set(r[1].encode(), 5) for r in rows]
+    fps = np.array([golay_simhash.fingerprint(r[1].encode(), 5) for r in rows], np.uint64)
+    linked = []
+    for i in range(len(rows)):
+        for j in range(i):
+            same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if same >= 0.8 * (len(sets[i]) + len(sets[j]) - same) or int(fps[i] ^ fps[j]).bit_count() <= 4:
+                linked.append((j, i))
+    must = set(groups_of(len(rows), linked))
+    kept = {r.doc_id for r in golay_simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert must <= kept and len(kept - must) <= 8
+
+
 def plain_lines(rows, min_docs):
     keys = lambda t: [re.sub(r"[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\r\x0b\x0c")) for x in (t or "").split("\n")]
     held = Counter(k for _, t in rows for k in set(keys(t)) if k)

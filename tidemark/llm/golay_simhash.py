@@ -275,21 +275,30 @@ def _wide_keys(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(keys).astype(np.int32), np.concatenate(owners)
 
 
-def _rough_pairs(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
-    """Pairs of one key within the rough distance; a group of over 64 gives a spanning forest of them."""
+def _rough_pairs(keys: np.ndarray, fps: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """Each member's nearest one of another root among those of its key, if within the rough distance: never more pairs than members.
+
+    Keys are sorted, and within them fingerprints; ties go to the smaller distance in that order.
+    """
     edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    size, out = np.diff(np.concatenate([edge, [len(keys)]])), []
+    size = np.diff(np.concatenate([edge, [len(keys)]]))
     inside = np.repeat(size, size)
+    best, mate = np.full(len(keys), ROUGH_ERRORS + 1), np.arange(len(keys))
     for step in range(1, min(64, int(size.max()))):
-        i = np.flatnonzero((keys[:-step] == keys[step:]) & (inside[:-step] <= 64))
-        i = i[np.bitwise_count(fps[i] ^ fps[i + step]) <= ROUGH_ERRORS]
-        out.append(np.stack([fps[i], fps[i + step]], axis=1))
+        i = np.flatnonzero((keys[:-step] == keys[step:]) & (inside[:-step] <= 64) & (roots[:-step] != roots[step:]))
+        apart = np.bitwise_count(fps[i] ^ fps[i + step])
+        for one, other in ((i, i + step), (i + step, i)):
+            nearer = apart < best[one]
+            best[one[nearer]], mate[one[nearer]] = apart[nearer], other[nearer]
     for at, n in zip(edge[size > 64].tolist(), size[size > 64].tolist()):
-        own = np.unique(fps[at : at + n])
-        if found := forest(own, ROUGH_ERRORS):
-            out.append(own[np.array(found)])
-    both = np.concatenate(out) if out else np.zeros((0, 2), np.uint64)
-    return np.unique(np.sort(both[both[:, 0] != both[:, 1]], axis=1), axis=0).view(np.int64)
+        f, r = fps[at : at + n], roots[at : at + n]
+        for first in range(0, n, 64):
+            block = slice(first, min(n, first + 64))
+            apart = np.where(r[block, None] == r[None, :], ROUGH_ERRORS + 1, np.bitwise_count(f[block, None] ^ f[None, :]))
+            mate[at + first : at + block.stop] = at + apart.argmin(axis=1)
+            best[at + first : at + block.stop] = apart.min(axis=1)
+    met = best <= ROUGH_ERRORS
+    return np.unique(np.sort(np.stack([fps[met], fps[mate[met]]], axis=1), axis=1), axis=0).view(np.int64)
 
 
 def drop_near_duplicates(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, tag: str = "simhash") -> DataFrame:
@@ -299,12 +308,13 @@ def drop_near_duplicates(docs: DataFrame, words_per_shingle: int = 5, similarity
     most (equal texts among them), or if the sets of their shingles of
     ``words_per_shingle`` words have a Jaccard similarity of ``similarity`` or
     more; groups are the components of these links. Candidates for the second
-    kind come from one document of each group of the first: fingerprints of 115
-    bits over pairs of words, cut into five Golay segments, meet under the near
-    codewords of any two segments, and every candidate is verified on whole
-    shingle sets. That finds about 92 % of the pairs at 0.8 and over 99 % at
-    0.9. Texts without words are all copies of each other. Rows with equal
-    doc_ids are one document; null doc_ids are one too.
+    kind come from one document of each fingerprint: fingerprints of 115 bits
+    over pairs of words, cut into five Golay segments, meet under the near
+    codewords of any two segments. Under each key a document meets the nearest
+    one that the first kind doesn't link it with, so candidates grow with the
+    documents and not with the squares of groups, and every candidate is
+    verified on whole shingle sets. Texts without words are all copies of each
+    other. Rows with equal doc_ids are one document; null doc_ids are one too.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -320,34 +330,36 @@ def drop_near_duplicates(docs: DataFrame, words_per_shingle: int = 5, similarity
     classes = own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("low", "high"), F.struct("doc_id", "low", "high")).alias("wide"))
     classes = table(classes, tag)
     tight = table(connected_components(links(classes), tag), tag)
-    named = classes.join(tight.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    heads = table(named.groupBy("root").agg(F.min("least").alias("head"), F.min_by(F.struct("fp", "wide"), F.struct(F.col("least").isNull(), "least", "fp")).alias("x")).select("root", "head", "x.fp", "x.wide.low", "x.wide.high"), tag)
+    named = classes.join(tight.withColumnRenamed("node", "fp"), "fp", "left")
+    named = table(named.select("fp", "least", "wide.low", "wide.high", F.coalesce("root", "fp").alias("root")), tag)
 
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps, low, high = (batch.column(i).to_numpy() for i in range(3))
+        fps, low, high, roots = (batch.column(i).to_numpy() for i in range(4))
         keys, who = _wide_keys(low.view(np.uint64), high.view(np.uint64))
-        return pa.record_batch([pa.array(keys), pa.array(fps[who])], ["key", "fp"])
+        return pa.record_batch([pa.array(keys), pa.array(fps[who]), pa.array(roots[who])], ["key", "fp", "root"])
 
     def meet(batches):
-        keys, fps = np.zeros(0, np.int32), np.zeros(0, np.uint64)
+        held = [np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
         for batch in batches:
-            keys, fps = np.concatenate([keys, batch.column(0).to_numpy()]), np.concatenate([fps, batch.column(1).to_numpy().view(np.uint64)])
-            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy())
+            held = [np.concatenate(both) for both in zip(held, new)]
+            whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if whole > 50_000:
-                yield _record(_rough_pairs(keys[:whole], fps[:whole]))
-                keys, fps = keys[whole:], fps[whole:]
-        if len(keys):
-            yield _record(_rough_pairs(keys, fps))
-
-    keyed = map_batches(heads.filter("head IS NOT NULL").select("fp", "low", "high"), spread, "key int, fp long")
-    rough = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
-    names = heads.filter("head IS NOT NULL").select("fp", "head")
-    rough = rough.join(names.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(names.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+                yield _record(_rough_pairs(*(c[:whole] for c in held)))
+                held = [c[whole:] for c in held]
+        if len(held[0]):
+            yield _record(_rough_pairs(*held))
+
+    keyed = map_batches(named.filter("least IS NOT NULL").select("fp", "low", "high", "root"), spread, "key int, fp long, root long")
+    rough = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(meet, "a long, b long").distinct()
+    names = named.filter("least IS NOT NULL").select("fp", "least")
+    rough = rough.join(names.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(names.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select("x", "y")
     rough = table(rough, tag)
     verified = _verified(docs, rough, words_per_shingle, similarity, tag)
-    groups = connected_components(verified.select(F.col("x").alias("a"), F.col("y").alias("b")), tag)
-    later = groups.filter("node <> root").select(F.col("node").alias("head"), F.lit(True).alias("later"))
-    kept_heads = heads.join(later, "head", "left").filter("later IS NULL").select("head")
+    roots = named.filter("least IS NOT NULL").select("least", "root")
+    merged = verified.join(roots.select(F.col("least").alias("x"), F.col("root").alias("a")), "x").join(roots.select(F.col("least").alias("y"), F.col("root").alias("b")), "y")
+    groups = connected_components(merged.select("a", "b"), tag).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    kept_heads = named.join(groups, "root", "left").groupBy(F.coalesce("top", "root").alias("top")).agg(F.min("least").alias("head")).select("head")
     dropped = table(own.select("doc_id").distinct().join(kept_heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_anti"), tag)
     gone = F.broadcast(dropped) if bounded(dropped, MAX_BROADCAST_IDS) else dropped
     kept = docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
