@@ -358,3 +358,32 @@ def test_repeat_words_against_plain_ones():
     for n in (0, 1, 2, 3, 5, 40, 400):
         text = " ".join(str(x) for x in rng.integers(0, 6, n))
         assert text_stats.rule_stats(text.encode())[4] == plain_rules(text)[4]
+
+
+def exact_heads(rows, similarity=0.8):
+    """The least doc_id of each group that all links of shingle sets at ``similarity`` form."""
+    sets, linked = [golay_simhash.shingle_set(r[1].encode(), 5) for r in rows], []
+    for i in range(len(rows)):
+        for j in range(i):
+            same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if same >= similarity * (len(sets[i]) + len(sets[j]) - same):
+                linked.append((j, i))
+    return {rows[i][0] for i in set(groups_of(len(rows), linked))}
+
+
+def test_every_link_of_a_family_counts(spark, monkeypatch):
+    """Families of edited copies around 0.8, where decoys just below it are as near as true copies; with blocks of few rows too."""
+    rng, rows = np.random.default_rng(23), []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in rng.integers(0, 5000, 200)]
+        for _ in range(150):
+            words = list(base)
+            for at in rng.choice(200, rng.integers(3, 8), replace=False):
+                words[at] = f"x{rng.integers(0, 5000)}"
+            rows.append((len(rows), " ".join(words), "en", "a", 1))
+    want = exact_heads(rows)
+    assert 20 < len(want) < len(rows) - 20
+    assert {r.doc_id for r in golay_simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()} == want
+    monkeypatch.setattr(golay_simhash, "KEY_ROWS", 40)
+    monkeypatch.setattr(golay_simhash, "GROUP_ROWS", 30)
+    assert {r.doc_id for r in golay_simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()} == want

@@ -23,6 +23,7 @@ never all pairs. Components of the links follow by grouped minima and joins.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -233,52 +234,14 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, max_errors: int
     return own.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-WIDE_SEGMENTS, ROUGH_ERRORS, MAX_BROADCAST_IDS = 5, 20, 500_000
-
-
-def wide_fingerprint(text: bytes) -> tuple[int, int]:
-    """SimHash of 2 x 64 bits over a text's distinct pairs of neighbouring words by XXH3-128; 0, 0 without words."""
-    words = text.lower().split()
-    if not words:
-        return 0, 0
-    pairs = {a + b" " + b for a, b in zip(words, words[1:])} or {words[0]}
-    raw, ones = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pairs)), np.uint8).reshape(-1, 16), np.zeros(128, np.int64)
-    for at in range(0, len(raw), 8192):
-        ones += np.unpackbits(raw[at : at + 8192], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    low, high = np.packbits(2 * ones > len(pairs), bitorder="little").view("<u8").tolist()
-    return low, high
-
-
-def shingle_set(text: bytes, words_per_shingle: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles."""
-    words = text.lower().split()
-    n = len(words) - words_per_shingle + 1
-    shingles = [b" ".join(words[i : i + words_per_shingle]) for i in range(n)] if n > 0 else [b" ".join(words)] * bool(words)
-    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64, len(shingles)))
-
-
-def _wide_keys(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of two near codewords each, for all pairs of the five 23-bit segments, and whose they are."""
-    code, near, count, keys, owners, slot = golay(), [], [], [], [], np.arange(6)
-    for k in range(WIDE_SEGMENTS):
-        at = 23 * k
-        word = low >> np.uint64(at) if at < 64 else high >> np.uint64(at - 64)
-        if at < 64 < at + 23:
-            word = word | high << np.uint64(64 - at)
-        x, n = code.near((word & np.uint64((1 << 23) - 1)).astype(np.int64))
-        near.append(x)
-        count.append(n)
-    for number, (i, j) in enumerate(combinations(range(WIDE_SEGMENTS), 2)):
-        who, k, m = np.nonzero((slot[None, :, None] < count[i][:, None, None]) & (slot[None, None, :] < count[j][:, None, None]))
-        keys.append((number << 24) | (near[i][who, k] << 12) | near[j][who, m])
-        owners.append(who)
-    return np.concatenate(keys).astype(np.int32), np.concatenate(owners)
+ROUGH_ERRORS = 20
 
 
 def _rough_pairs(keys: np.ndarray, fps: np.ndarray, roots: np.ndarray) -> np.ndarray:
     """Each member's nearest one of another root among those of its key, if within the rough distance: never more pairs than members.
 
     Keys are sorted, and within them fingerprints; ties go to the smaller distance in that order.
+    ``drop_near_duplicates`` doesn't use it: what it passes over may be similar enough.
     """
     edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     size = np.diff(np.concatenate([edge, [len(keys)]]))
@@ -301,95 +264,234 @@ def _rough_pairs(keys: np.ndarray, fps: np.ndarray, roots: np.ndarray) -> np.nda
     return np.unique(np.sort(np.stack([fps[met], fps[mate[met]]], axis=1), axis=1), axis=0).view(np.int64)
 
 
+MAX_BROADCAST_IDS = 500_000
+#: Counters of the shingle sketch and of one of its rows, words of a parity bitmap, and the most rows that meet in one piece of a key or of a candidate group.
+SKETCH, SKETCH_ROW, BITMAP_WORDS, KEY_ROWS, GROUP_ROWS = 1 << 20, 1 << 14, 8, 4096, 256
+
+
+def shingle_set(text: bytes, words_per_shingle: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles."""
+    words = text.lower().split()
+    n = len(words) - words_per_shingle + 1
+    shingles = [b" ".join(words[i : i + words_per_shingle]) for i in range(n)] if n > 0 else [b" ".join(words)] * bool(words)
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64, len(shingles)))
+
+
+def _set_id(shingles: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes())
+
+
+def _parities(shingles: np.ndarray) -> np.ndarray:
+    """Bitmap whose bits are the parities of the set's members in each slot: two bitmaps differ in no more bits than their sets in members."""
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % (64 * BITMAP_WORDS), minlength=64 * BITMAP_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def _prefix(shingles: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The set's first members, rarest first by the sketch: two sets similar enough always share one of them."""
+    n = len(shingles)
+    order = np.lexsort((shingles, counts[(shingles & np.uint64(SKETCH - 1)).astype(np.int64)]))
+    return shingles[order[: n - math.ceil(similarity * n - 1e-9) + 1]] if n else shingles
+
+
+def _may_be_similar(n, bits, m, others, similarity: float):
+    """False only for sets that can't be similar enough, by their sizes and the bits in which their bitmaps differ."""
+    apart = np.bitwise_count(bits ^ others).sum(axis=-1, dtype=np.int64)
+    most = (1 - similarity) / (1 + similarity)
+    return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (apart <= most * (n + m) + 1e-9)
+
+
+def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= similarity * (len(a) + len(b) - common)
+
+
+def _candidate_links(keys: np.ndarray, sids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity: float) -> np.ndarray:
+    """(a, b) links that connect, within each run of equal keys, all members whose sets may be similar enough."""
+    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    size = np.diff(np.concatenate([edge, [len(keys)]]))
+    inside, found = np.repeat(size, size), []
+    for step in range(1, min(8, int(size.max()))):
+        i = np.flatnonzero((keys[:-step] == keys[step:]) & (inside[:-step] <= 8))
+        i = i[_may_be_similar(sizes[i], bits[i], sizes[i + step], bits[i + step], similarity)]
+        found.append(np.stack([sids[i], sids[i + step]], axis=1))
+    for at, n in zip(edge[size > 8].tolist(), size[size > 8].tolist()):
+        rest = np.arange(at, at + n)
+        while len(rest):
+            queue, rest = [rest[0]], rest[1:]
+            while queue and len(rest):
+                x = queue.pop()
+                near = _may_be_similar(sizes[x], bits[x], sizes[rest], bits[rest], similarity)
+                if near.any():
+                    found.append(np.stack([np.full(int(near.sum()), sids[x]), sids[rest[near]]], axis=1))
+                    queue += rest[near].tolist()
+                    rest = rest[~near]
+    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+
+
+def _verified_links(sids: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links of all pairs whose shingle sets are similar enough."""
+    n, links_ = len(sids), []
+    root, sizes = list(range(n)), np.array([len(s) for s in sets])
+    bits = np.stack([_parities(s) for s in sets])
+
+    def top(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i in range(1, n):
+        for j in np.flatnonzero(_may_be_similar(sizes[i], bits[i], sizes[:i], bits[:i], similarity)).tolist():
+            a, b = top(i), top(j)
+            if a != b and _similar(sets[i], sets[j], similarity):
+                root[max(a, b)] = min(a, b)
+                links_.append((sids[j], sids[i]))
+    return links_
+
+
+def _pieces(rows: DataFrame, key: str, size: str, most: int) -> DataFrame:
+    """``rows`` with a column ``piece``: a key of more than ``most`` rows is dealt into blocks, and each two blocks (and each one) meet in a piece."""
+    blocks = F.ceil(F.col(size) / F.lit(most)).cast("int")
+    dealt = rows.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("_blocks")).cast("int"))
+    other = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    piece = F.xxhash64(key, F.least("_own", "_other"), F.greatest("_own", "_other"))
+    return other.withColumn("piece", piece).drop("_blocks", "_own", "_other")
+
+
+def _runs(batches, most: int, work):
+    """``work`` of every so many rows of batches sorted by the first column, whole runs of it at a time."""
+    held, rows = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows > most and batch.column(0)[batch.num_rows - 1].as_py() != held[0].column(0)[0].as_py():
+            whole = pa.Table.from_batches(held).combine_chunks()
+            first = whole.column(0).to_numpy()
+            cut = int(np.flatnonzero(first != first[-1])[-1]) + 1
+            yield work(whole.slice(0, cut).combine_chunks())
+            held = whole.slice(cut).combine_chunks().to_batches()
+            rows = whole.num_rows - cut
+    if held:
+        yield work(pa.Table.from_batches(held).combine_chunks())
+
+
+def _binary(values) -> pa.Array:
+    return pa.array([v.tobytes() for v in values], pa.binary())
+
+
 def drop_near_duplicates(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, tag: str = "simhash") -> DataFrame:
     """One row of ``docs`` for each group of near duplicates: that of the smallest doc_id.
 
-    Two documents are near duplicates if their fingerprints differ in 4 bits at
-    most (equal texts among them), or if the sets of their shingles of
+    Two documents are near duplicates if the sets of their shingles of
     ``words_per_shingle`` words have a Jaccard similarity of ``similarity`` or
-    more; groups are the components of these links. Candidates for the second
-    kind come from one document of each fingerprint: fingerprints of 115 bits
-    over pairs of words, cut into five Golay segments, meet under the near
-    codewords of any two segments. Under each key a document meets the nearest
-    one that the first kind doesn't link it with, so candidates grow with the
-    documents and not with the squares of groups, and every candidate is
-    verified on whole shingle sets. Texts without words are all copies of each
-    other. Rows with equal doc_ids are one document; null doc_ids are one too.
+    more; groups are the components of these links, and all of them are found:
+
+    1. texts of equal sets are one class; a sketch counts shingles over all;
+    2. a class meets others under the shingles of its prefix, the rarest ones
+       by the sketch, of which two similar sets share one whatever its order
+       is; what sizes and parity bitmaps don't rule out is a candidate, and
+       each key gives a spanning forest of its candidates, never all pairs;
+    3. within each component of candidates all pairs are held against whole
+       sets, unless they are connected already.
+
+    Keys and components of very many classes are dealt into blocks that meet
+    two by two. Texts without words are all copies of each other. Rows with
+    equal doc_ids are one document; null doc_ids are one too.
     """
     spark = docs.sparkSession
     small_batches(spark)
     at = docs.columns.index("text")
     ids = docs.columns.index("doc_id")
 
-    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [(fingerprint(t, words_per_shingle), *wide_fingerprint(t)) for t in texts(batch.column(at))]
-        columns = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in zip(*found)]
-        return pa.record_batch([batch.column(ids), *columns], ["doc_id", "fp", "low", "high"])
-
-    own = table(map_batches(docs, read, "doc_id long, fp long, low long, high long"), tag)
-    classes = own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("low", "high"), F.struct("doc_id", "low", "high")).alias("wide"))
-    classes = table(classes, tag)
-    tight = table(connected_components(links(classes), tag), tag)
-    named = classes.join(tight.withColumnRenamed("node", "fp"), "fp", "left")
-    named = table(named.select("fp", "least", "wide.low", "wide.high", F.coalesce("root", "fp").alias("root")), tag)
-
-    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps, low, high, roots = (batch.column(i).to_numpy() for i in range(4))
-        keys, who = _wide_keys(low.view(np.uint64), high.view(np.uint64))
-        return pa.record_batch([pa.array(keys), pa.array(fps[who]), pa.array(roots[who])], ["key", "fp", "root"])
-
-    def meet(batches):
-        held = [np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+    def read(batches):
+        counts = np.zeros(SKETCH, np.int32)
         for batch in batches:
-            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy())
-            held = [np.concatenate(both) for both in zip(held, new)]
-            whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            if whole > 50_000:
-                yield _record(_rough_pairs(*(c[:whole] for c in held)))
-                held = [c[whole:] for c in held]
-        if len(held[0]):
-            yield _record(_rough_pairs(*held))
-
-    keyed = map_batches(named.filter("least IS NOT NULL").select("fp", "low", "high", "root"), spread, "key int, fp long, root long")
-    rough = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(meet, "a long, b long").distinct()
-    names = named.filter("least IS NOT NULL").select("fp", "least")
-    rough = rough.join(names.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(names.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select("x", "y")
-    rough = table(rough, tag)
-    verified = _verified(docs, rough, words_per_shingle, similarity, tag)
-    roots = named.filter("least IS NOT NULL").select("least", "root")
-    merged = verified.join(roots.select(F.col("least").alias("x"), F.col("root").alias("a")), "x").join(roots.select(F.col("least").alias("y"), F.col("root").alias("b")), "y")
-    groups = connected_components(merged.select("a", "b"), tag).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    kept_heads = named.join(groups, "root", "left").groupBy(F.coalesce("top", "root").alias("top")).agg(F.min("least").alias("head")).select("head")
-    dropped = table(own.select("doc_id").distinct().join(kept_heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_anti"), tag)
+            found = [shingle_set(t, words_per_shingle) for t in texts(batch.column(at))]
+            if found:
+                counts += np.bincount((np.concatenate(found) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.int32)
+            own = np.array([_set_id(s) for s in found], np.uint64).view(np.int64)
+            n = len(found)
+            yield pa.record_batch([batch.column(ids).cast(pa.int64()), pa.array(own), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "sid", "part", "counts"])
+        parts = [k for k in range(SKETCH // SKETCH_ROW) if counts[k * SKETCH_ROW : (k + 1) * SKETCH_ROW].any()]
+        m = len(parts)
+        yield pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(parts, pa.int32()), _binary(counts[k * SKETCH_ROW : (k + 1) * SKETCH_ROW] for k in parts)], ["doc_id", "sid", "part", "counts"])
+
+    def summed(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        total = np.zeros(SKETCH_ROW, np.int64)
+        for v in rows.column("counts"):
+            total += np.frombuffer(v.as_buffer(), np.int32)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": _binary([np.minimum(total, 2**31 - 1).astype(np.int32)])})
+
+    both = table(docs.mapInArrow(read, "doc_id long, sid long, part int, counts binary"), tag)
+    own = both.filter("part IS NULL").select("doc_id", "sid")
+    counts = np.zeros(SKETCH, np.int32)
+    for row in both.filter("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(summed, "part int, counts binary").collect():
+        counts[row.part * SKETCH_ROW : (row.part + 1) * SKETCH_ROW] = np.frombuffer(row.counts, np.int32)
+    shared = spark.sparkContext.broadcast(counts)
+    classes = table(own.groupBy("sid").agg(F.min("doc_id").alias("least")), tag)
+
+    def of_classes(some: DataFrame) -> DataFrame:
+        """The text and sid of one document of each of ``some`` classes (sid, doc_id), and what else they hold."""
+        some = F.broadcast(some) if bounded(some, MAX_BROADCAST_IDS) else some
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, "doc_id").drop("doc_id")
+
+    def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(sid, s) for sid, t in zip(batch.column(1).to_pylist(), texts(batch.column(0))) if _set_id(s := shingle_set(t, words_per_shingle)) == sid % 2**64 and len(s)]
+        keys = [_prefix(s, shared.value, similarity) for _, s in rows]
+        stops = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
+        flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
+        return pa.record_batch([pa.array([sid for sid, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int32()), _binary(_parities(s) for _, s in rows), pa.ListArray.from_arrays(stops, pa.array(flat))], ["sid", "n", "bits", "keys"])
+
+    named = classes.filter("least IS NOT NULL").select("sid", F.col("least").alias("doc_id"))
+    marked = table(map_batches(of_classes(named), mark, "sid long, n int, bits binary, keys array<long>"), tag)
+
+    def repeated_keys(rows: pa.Table) -> pa.RecordBatch:
+        keys, sids = (rows.column(i).to_numpy() for i in range(2))
+        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        size = np.diff(np.concatenate([edge, [len(keys)]]))
+        size = np.repeat(size, size)
+        more = size > 1
+        return pa.record_batch([pa.array(keys[more]), pa.array(sids[more]), pa.array(size[more])], ["key", "sid", "size"])
+
+    keyed = marked.select(F.explode("keys").alias("key"), "sid").repartition("key").sortWithinPartitions("key")
+    keyed = table(keyed.mapInArrow(lambda batches: _runs(batches, 50_000, repeated_keys), "key long, sid long, size long"), tag)
+
+    def meet(rows: pa.Table) -> pa.RecordBatch:
+        piece, sids, n = (rows.column(i).to_numpy() for i in range(3))
+        bits = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS)
+        found = _candidate_links(piece, sids, n.astype(np.int64), bits, similarity)
+        return pa.record_batch([pa.array(found[:, 0].copy(), pa.int64()), pa.array(found[:, 1].copy(), pa.int64())], ["a", "b"])
+
+    met = _pieces(keyed.join(marked.select("sid", "n", "bits"), "sid"), "key", "size", KEY_ROWS).select("piece", "sid", "n", "bits")
+    met = met.repartition("piece").sortWithinPartitions("piece")
+    candidates = met.mapInArrow(lambda batches: _runs(batches, 20_000, meet), "a long, b long").filter("a <> b").distinct()
+    groups = table(connected_components(candidates, tag), tag).select(F.col("node").alias("sid"), F.col("root").alias("near"))
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(i, s) for i, (sid, t) in enumerate(zip(batch.column(1).to_pylist(), texts(batch.column(0)))) if _set_id(s := shingle_set(t, words_per_shingle)) == sid % 2**64]
+        kept = batch.take(pa.array([i for i, _ in rows], pa.int64()))
+        return pa.record_batch([kept.column(1), kept.column(2), kept.column(3), _binary(s for _, s in rows)], ["sid", "near", "size", "shingles"])
+
+    def verify(rows: pa.Table) -> pa.RecordBatch:
+        piece, sids = rows.column(0).to_numpy(), rows.column(1).to_pylist()
+        values = [np.frombuffer(v.as_buffer(), np.uint64) for v in rows.column(2)]
+        edge = [*np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]])).tolist(), len(piece)]
+        found = [x for a, b in zip(edge, edge[1:]) for x in _verified_links(sids[a:b], values[a:b], similarity)]
+        return pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    sizes = groups.groupBy("near").agg(F.count("*").alias("size"))
+    members = table(groups.join(sizes, "near").join(named, "sid").select("doc_id", "sid", "near", "size"), tag)
+    members = map_batches(of_classes(members), sets, "sid long, near long, size long, shingles binary")
+    members = _pieces(members, "near", "size", GROUP_ROWS).select("piece", "sid", "shingles")
+    members = members.repartition("piece").sortWithinPartitions("piece")
+    linked = members.mapInArrow(lambda batches: _runs(batches, 1_000, verify), "a long, b long")
+    tops = connected_components(linked, tag).select(F.col("node").alias("sid"), F.col("root").alias("top"))
+    heads = classes.join(tops, "sid", "left").groupBy(F.coalesce("top", "sid").alias("top")).agg(F.min("least").alias("head")).select("head")
+    dropped = table(own.select("doc_id").distinct().join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_anti"), tag)
     gone = F.broadcast(dropped) if bounded(dropped, MAX_BROADCAST_IDS) else dropped
     kept = docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
     repeated = own.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id"]) if repeated else kept
-
-
-def _record(pairs: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, words_per_shingle: int, similarity: float, tag: str) -> DataFrame:
-    """The pairs (x, y) of doc_ids whose shingle sets are similar enough."""
-    ids = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
-    ids = F.broadcast(ids) if bounded(ids, MAX_BROADCAST_IDS) else ids
-
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([batch.column(0), pa.array([shingle_set(t, words_per_shingle).tobytes() for t in texts(batch.column(1))], pa.binary())], ["doc_id", "shingles"])
-
-    own = map_batches(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), sets, "doc_id long, shingles binary")
-    own = table(own.dropDuplicates(["doc_id"]), tag)
-    both = pairs.join(own.select(F.col("doc_id").alias("x"), F.col("shingles").alias("s")), "x").join(own.select(F.col("doc_id").alias("y"), F.col("shingles").alias("t")), "y")
-
-    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        good = []
-        for a, b in zip(batch.column(2), batch.column(3)):
-            a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            good.append(common >= similarity * (len(a) + len(b) - common))
-        keep = pa.array(good)
-        return pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["x", "y"])
-
-    return map_batches(both.select("x", "y", "s", "t"), compare, "x long, y long")
