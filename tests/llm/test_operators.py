@@ -387,3 +387,12 @@ def test_every_link_of_a_family_counts(spark, monkeypatch):
     monkeypatch.setattr(golay_simhash, "KEY_ROWS", 40)
     monkeypatch.setattr(golay_simhash, "GROUP_ROWS", 30)
     assert {r.doc_id for r in golay_simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()} == want
+
+
+def test_repeated_lines_do_not_make_texts_alike(spark):
+    """One line a hundred times fixes fingerprints of texts that share nothing else; they all stay."""
+    rng, line = np.random.default_rng(3), " ".join(f"l{i}" for i in range(20))
+    rows = [(i, " ".join([line] * 100 + [f"x{w}" for w in rng.integers(0, 10**9, 400)]), "en", "a", 1) for i in range(40)]
+    fps = [golay_simhash.fingerprint(r[1].encode(), 5) for r in rows]
+    assert any((fps[i] ^ fps[j]).bit_count() <= 4 for i in range(40) for j in range(i))
+    assert {r.doc_id for r in golay_simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()} == set(range(40))
