@@ -396,3 +396,14 @@ def test_repeated_lines_do_not_make_texts_alike(spark):
     fps = [golay_simhash.fingerprint(r[1].encode(), 5) for r in rows]
     assert any((fps[i] ^ fps[j]).bit_count() <= 4 for i in range(40) for j in range(i))
     assert {r.doc_id for r in golay_simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()} == set(range(40))
+
+
+def test_repetition_does_not_keep_copies_apart(spark):
+    """A line once or forty times before the same tail: shingle sets are alike, repeat-weighted fingerprints aren't."""
+    rng, rows = np.random.default_rng(4), []
+    for i in range(20):
+        line, tail = ([f"{kind}{w}" for w in rng.integers(0, 10**9, n)] for kind, n in (("l", 20), ("t", 300)))
+        rows += [(2 * i + k, " ".join(line * times + tail), "en", "a", 1) for k, times in enumerate((1, 40))]
+    fps = [golay_simhash.fingerprint(r[1].encode(), 5) for r in rows]
+    assert any((fps[2 * i] ^ fps[2 * i + 1]).bit_count() > 20 for i in range(20))
+    assert {r.doc_id for r in golay_simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()} == {2 * i for i in range(20)}
