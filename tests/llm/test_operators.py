@@ -407,3 +407,20 @@ def test_repetition_does_not_keep_copies_apart(spark):
     fps = [golay_simhash.fingerprint(r[1].encode(), 5) for r in rows]
     assert any((fps[2 * i] ^ fps[2 * i + 1]).bit_count() > 20 for i in range(20))
     assert {r.doc_id for r in golay_simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()} == {2 * i for i in range(20)}
+
+
+def test_each_statistic_alone_rejects_moderate_outliers(spark):
+    """Texts at their group's centre but for one statistic; of clean texts hardly one is lost."""
+    rng = np.random.default_rng(8)
+    word = lambda least, most: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(least, most)))
+    words = lambda n, least=3, most=9: [word(least, most) for _ in range(n)]
+    lines = lambda own: "\n".join(" ".join(own[i : i + 10]) for i in range(0, len(own), 10))
+    clean = [lines(words(rng.integers(150, 251))) for _ in range(400)]
+    odd = {"long": [lines(words(1500)) for _ in range(3)], "wide": [lines(words(200, 7, 13)) for _ in range(3)], "symbols": [lines([w + "#" if k % 5 == 0 else w for k, w in enumerate(words(200))]) for _ in range(3)]}
+    odd["repeats"] = [lines((own := words(100)) + words(1) + own[:45] + words(54)) for _ in range(3)]
+    odd["lines"] = [lines(words(180)) + "\n" + "\n".join(["a b"] * 10) for _ in range(3)]
+    texts = [("clean", t) for t in clean] + [(kind, t) for kind, own in odd.items() for t in own]
+    rows = [(i, t, "en", "s") for i, (_, t) in enumerate(texts)]
+    got = outliers.reject_outliers(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    kept = Counter(texts[r.doc_id][0] for r in got if r.kept)
+    assert not any(r.base_failed for r in got) and set(kept) == {"clean"} and kept["clean"] >= 392

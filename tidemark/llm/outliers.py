@@ -26,12 +26,13 @@ from tidemark.llm.text_stats import with_rule_stats
 SCALE = 256
 COVERAGE = 0.75
 STEPS = 5
-#: A rejected vector lies beyond this quantile of chi-squared; texts are not quite normal, so it is far out.
-QUANTILE = 1 - 1e-7
+#: A rejected vector lies beyond this quantile of chi-squared, stretched where a group's median distance is over that of normal vectors.
+QUANTILE = 0.999
 #: Groups with fewer rows are pooled with the other small ones of their language; a pool below it rejects nothing.
 MIN_ROWS = 50
-#: Least standard deviation of each component: what differs by less than this is no outlier.
-FLOORS = (0.35, 0.12, 0.10, 0.12, 0.12)
+#: Least standard deviation of each component, for groups that hardly vary: the last three are such that one symbol, one
+#: repeated line or one repeated window alone is within the cut in the shortest texts that pass the base rule.
+FLOORS = (0.05, 0.02, 0.032, 0.063, 0.077)
 D = len(FLOORS)
 
 
@@ -81,7 +82,7 @@ def reject_outliers(docs: DataFrame, tag: str = "outliers") -> DataFrame:
     ``base_failed``: fewer than 50 words, or repeated windows cover over half of
     them; such rows are not kept and take no part in the estimates. Others are
     kept unless their squared Mahalanobis ``distance`` from their group's
-    estimate passes the cut. Null languages and sources are groups of their
+    estimate passes the group's cut. Null languages and sources are groups of their
     own; null and empty texts have no words and fail the base rule; repeated
     rows count repeatedly. ``distance`` is null where no estimate applies.
     """
@@ -97,11 +98,20 @@ def reject_outliers(docs: DataFrame, tag: str = "outliers") -> DataFrame:
     keyed = table(keyed, tag)
     fitted = estimate(keyed.filter("NOT base_failed").select("g", *(f"x{i}" for i in range(D))), tag)
     out = keyed.join(fitted, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
-    cut = chi2_quantile(QUANTILE, D)
-    kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= cut))
+    out = out.join(_cuts(out.filter("distance IS NOT NULL")), "g", "left")
+    kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= F.col("cut")))
     return out.withColumn("kept", kept).select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
 
 
+def _cuts(rows: DataFrame) -> DataFrame:
+    """(g, cut): the cut of each group of ``rows`` (g, distance), from its median distance in bins of a 16th of a doubling."""
+    bins = rows.groupBy("g", F.floor(16 * F.log2(F.col("distance") + 0.01)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("g")
+    bins = bins.withColumn("_upto", F.sum("n").over(whole.orderBy("bin"))).withColumn("_all", F.sum("n").over(whole))
+    median = bins.filter(2 * F.col("_upto") >= F.col("_all")).groupBy("g").agg(F.pow(F.lit(2.0), (F.min("bin") + 1) / 16).alias("median"))
+    return median.select("g", (F.greatest(F.col("median") / chi2_quantile(0.5, D), F.lit(1.0)) * chi2_quantile(QUANTILE, D)).alias("cut"))
+
+
 def estimate(rows: DataFrame, tag: str) -> DataFrame:
     """(g, center, inverse): location and inverse scatter of each group of ``rows`` (g, x0, x1, ...)."""
     now = table(_start(rows), tag)
