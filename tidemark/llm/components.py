@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import new_tag, table
 
 
-def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:
+def connected_components(edges: DataFrame, tag: str | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b of type long); root is the component's smallest node.
 
     Every step is a grouped minimum and an equi-join, so a node with very many
     neighbours is pre-aggregated or split, never gathered. Loops and repeated
     edges are allowed, nulls are ignored; an empty table gives an empty table.
     """
+    tag = tag or new_tag("components")
     now = table(_tidy(edges.select("a", "b")), tag)
     before = None
     while True:

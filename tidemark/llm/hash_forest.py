@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import new_tag, table
 
 TREES, BITS = 48, 32
 SHARD_ROWS, QUERY_BLOCK = 16_384, 4_096
@@ -83,7 +83,7 @@ def best(points: np.ndarray, ids: np.ndarray, found: np.ndarray, query: np.ndarr
     return ids[found][order], exact[order]
 
 
-def nearest(rows: DataFrame, is_query, k: int = 20, id_: str = "vec_id", vector: str = "embedding", tag: str = "forest") -> DataFrame:
+def nearest(rows: DataFrame, is_query, k: int = 20, id_: str = "vec_id", vector: str = "embedding", tag: str | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``is_query`` holds, the ``k`` nearest other rows found.
 
     Nearness is the largest inner product in double precision; ties go to the
@@ -93,6 +93,7 @@ def nearest(rows: DataFrame, is_query, k: int = 20, id_: str = "vec_id", vector:
     Fewer than ``k`` rows are returned only if there are fewer. All copies of a
     vector share every hash string and so are found together.
     """
+    tag = tag or new_tag("forest")
     v = F.col(f"`{vector}`").cast("array<double>")
     clean = rows.select(F.col(f"`{id_}`").cast("long").alias("id"), v.alias("v"), is_query.alias("q")).filter("id IS NOT NULL AND size(v) > 0")
     clean = clean.filter(F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists("v", lambda x: x != 0.0))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches, table
+from tidemark.llm.common import new_tag, table
 from tidemark.llm.text_stats import with_rule_stats
 
 SCALE = 256
@@ -76,7 +76,7 @@ def vector() -> list[Column]:
     return [F.round(x * SCALE).cast("long").alias(f"x{i}") for i, x in enumerate(parts)]
 
 
-def reject_outliers(docs: DataFrame, tag: str = "outliers") -> DataFrame:
+def reject_outliers(docs: DataFrame, tag: str | None = None) -> DataFrame:
     """(doc_id, lang, source, statistics, base_failed, distance, kept) for every row of ``docs``.
 
     ``base_failed``: fewer than 50 words, or repeated windows cover over half of
@@ -86,7 +86,7 @@ def reject_outliers(docs: DataFrame, tag: str = "outliers") -> DataFrame:
     own; null and empty texts have no words and fail the base rule; repeated
     rows count repeatedly. ``distance`` is null where no estimate applies.
     """
-    small_batches(docs.sparkSession)
+    tag = tag or new_tag("outliers")
     stats = table(with_rule_stats(docs.select("doc_id", "lang", "source", "text")), tag)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed)
