@@ -12,7 +12,9 @@ probe these arrays; their lines are never joined.
    arrays with ranks) with a 64-bit fingerprint and a count per slot.
 3. The shards are broadcast if they have at most ``max_broadcast_keys`` keys in
    all (about 14 bytes each, so the size is proven before). Otherwise the
-   probes are shuffled to the frequent hashes instead, by an ordinary join.
+   probes, one for each distinct line of a text, are shuffled to the shard that
+   holds their range and probe its arrays there; a shard that very many texts
+   ask is copied, and each copy answers a share of them.
 
 Two 64-bit halves of XXH3-128 identify a line: one picks the slot, the other is
 the fingerprint.
@@ -29,10 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, map_batches, small_batches, table, texts
+from tidemark.llm.common import bounded, free_name, hand_back, map_batches, new_tag, slices, table, texts
 
 SHARD_KEYS = 1 << 16
 LEVELS = 24
+#: Probes that one copy of a shard answers.
+PROBES = 1 << 20
+MAX_BROADCAST_SHARDS = 200_000
 
 
 def line_keys(text: bytes) -> tuple[list[bytes], list[bytes]]:
@@ -136,7 +141,7 @@ def line_index(frequent: DataFrame, shard_bits: int) -> DataFrame:
     return frequent.withColumn("shard", shard).groupBy("shard").applyInPandas(build, "shard long, arrays binary")
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, max_broadcast_keys: int = 2_000_000) -> DataFrame:
+def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, max_broadcast_keys: int = 2_000_000, tag: str | None = None) -> DataFrame:
     """``docs`` with the lines of frequent keys removed from ``text``, plus ``n_lines`` and ``n_dropped``.
 
     A key is the line stripped of ASCII white space at both ends with A-Z
@@ -147,15 +152,20 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, m
     ``n_lines`` or ``n_dropped`` are replaced; all others are kept as they are.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    tag = tag or new_tag("line_dedup")
     docs = docs.drop("n_lines", "n_dropped")
-    frequent = table(frequent_lines(docs, min_docs, min_chars), "line_dedup")
-    if not bounded(frequent, max_broadcast_keys):
-        return _drop_by_join(docs, frequent)
+    frequent = table(frequent_lines(docs, min_docs, min_chars), tag)
     n = frequent.count()
     shard_bits = max(0, int(np.ceil(np.log2(max(1, n) / SHARD_KEYS))))
-    shards = spark.sparkContext.broadcast({r.shard: r.arrays for r in line_index(frequent, shard_bits).collect()})
-    return _rewrite(docs, shards, shard_bits)
+    index = line_index(frequent, shard_bits)
+    if n > max_broadcast_keys:
+        return _drop_by_probes(docs, table(index, tag), shard_bits, tag)
+    return _rewrite(docs, spark.sparkContext.broadcast({r.shard: r.arrays for r in index.collect()}), shard_bits)
+
+
+def _shard_of(halves: np.ndarray, shard_bits: int) -> np.ndarray:
+    """The number of the shard that holds each line's range: the top bits of the first half."""
+    return (halves[:, 0] >> np.uint64(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(halves), np.int64)
 
 
 def _rewrite(docs: DataFrame, shards, shard_bits: int) -> DataFrame:
@@ -164,7 +174,7 @@ def _rewrite(docs: DataFrame, shards, shard_bits: int) -> DataFrame:
 
     def run(batches):
         index = {k: pickle.loads(v) for k, v in shards.value.items()}
-        for batch in batches:
+        for batch in (piece for x in batches for piece in slices(x)):
             kept, total, dropped, lines, keys = [], [], [], [], []
             for text in texts(batch.column(at)):
                 own, own_keys = line_keys(text)
@@ -172,7 +182,7 @@ def _rewrite(docs: DataFrame, shards, shard_bits: int) -> DataFrame:
                 keys += own_keys
             halves = digests(keys)
             drop = np.zeros(len(keys), dtype=bool)
-            shard = (halves[:, 0] >> np.uint64(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(keys), np.int64)
+            shard = _shard_of(halves, shard_bits)
             for s, arrays in index.items():
                 own = np.flatnonzero(shard == s)
                 drop[own] = arrays.counts_of(halves[own, 0], halves[own, 1]) > 0
@@ -187,13 +197,20 @@ def _rewrite(docs: DataFrame, shards, shard_bits: int) -> DataFrame:
             columns = list(batch.columns)
             columns[at] = pa.array(kept, pa.string())
             yield pa.record_batch([*columns, pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], [*batch.schema.names, "n_lines", "n_dropped"])
+        hand_back()
 
     return docs.mapInArrow(run, schema)
 
 
-def _drop_by_join(docs: DataFrame, frequent: DataFrame) -> DataFrame:
-    """For an index too large to broadcast: each text's line hashes meet the frequent ones in a shuffled join."""
+def _drop_by_probes(docs: DataFrame, index: DataFrame, shard_bits: int, tag: str, most_probes: int = PROBES) -> DataFrame:
+    """For an index too large to broadcast: the line hashes of each distinct text go to the shards that may hold them.
+
+    Only 16-byte hashes are shuffled; a text gets back those found, both halves
+    of each. A shard is copied so often that a copy answers about
+    ``most_probes`` probes, so a line that a third of all texts hold is dealt out.
+    """
     at = docs.columns.index("text")
+    key, hits = free_name("text_key", docs.columns), free_name("hits", docs.columns)
 
     def probe(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, found = [], []
@@ -202,19 +219,25 @@ def _drop_by_join(docs: DataFrame, frequent: DataFrame) -> DataFrame:
             found += keys
             ids += [xxhash.xxh3_128_digest(text)] * len(keys)
         halves = digests(found)
-        return pa.record_batch([pa.array(ids, pa.binary()), pa.array(halves[:, 0].view(np.int64)), pa.array(halves[:, 1].view(np.int64))], ["text_key", "h", "f"])
+        return pa.record_batch([pa.array(ids, pa.binary()), pa.array(halves[:, 0].view(np.int64)), pa.array(halves[:, 1].view(np.int64)), pa.array(_shard_of(halves, shard_bits))], ["text_key", "h", "f", "shard"])
+
+    def answer(shards: pa.Table, probes: pa.Table) -> pa.Table:
+        if shards.num_rows and probes.num_rows:
+            own = pickle.loads(shards.column("arrays")[0].as_py())
+            h, f = (probes.column(c).to_numpy().view(np.uint64) for c in ("h", "f"))
+            probes = probes.take(pa.array(np.flatnonzero(own.counts_of(h, f))))
+        return (probes if shards.num_rows else probes.slice(0, 0)).select(["text_key", "h", "f"])
 
     def identify(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys = [xxhash.xxh3_128_digest(t) for t in texts(batch.column(at))]
-        return pa.record_batch([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, "text_key"])
+        return pa.record_batch([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, key])
 
     def rewrite(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, total, dropped = [], [], []
-        for text, hits in zip(texts(batch.column(at)), batch.column(batch.num_columns - 1).to_pylist()):
+        for text, found in zip(texts(batch.column(at)), batch.column(batch.num_columns - 1).to_pylist()):
             lines, keys = line_keys(text)
-            gone = {x["h"] for x in hits or ()}
-            mine = digests(keys)[:, 0].view(np.int64).tolist()
-            own = [x for x, h, k in zip(lines, mine, keys) if not k or h not in gone]
+            gone = {(x["h"], x["f"]) for x in found or ()}
+            own = [x for x, pair in zip(lines, map(tuple, digests(keys).view(np.int64).tolist())) if pair not in gone]
             kept.append(b"\n".join(own).decode())
             total.append(len(lines))
             dropped.append(len(lines) - len(own))
@@ -222,10 +245,16 @@ def _drop_by_join(docs: DataFrame, frequent: DataFrame) -> DataFrame:
         columns[at] = pa.array(kept, pa.string())
         return pa.record_batch([*columns, pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], [*batch.schema.names[:-1], "n_lines", "n_dropped"])
 
-    probes = map_batches(docs.select("text"), probe, "text_key binary, h long, f long").distinct()
-    hits = probes.join(frequent.select("h", "f"), ["h", "f"]).groupBy("text_key").agg(F.collect_set(F.struct("h", "f")).alias("hits"))
-    marked = map_batches(docs, identify, f"{_ddl(docs)}, text_key binary").join(hits, "text_key", "left")
-    marked = marked.select(*[F.col(f"`{c}`") for c in docs.columns], "hits")
+    probes = table(map_batches(docs.select("text"), probe, "text_key binary, h long, f long, shard long").distinct(), tag)
+    # a row for each shard of the index, that is one for SHARD_KEYS of its keys
+    copies = table(probes.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(most_probes)).cast("int").alias("copies")), tag)
+    copies = F.broadcast(copies) if bounded(copies, MAX_BROADCAST_SHARDS) else copies
+    dealt = probes.join(copies, "shard").withColumn("copy", F.pmod(F.xxhash64("text_key"), F.col("copies")).cast("int")).drop("copies")
+    shards = index.join(copies, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "arrays")
+    found = shards.groupBy("shard", "copy").cogroup(dealt.groupBy("shard", "copy")).applyInArrow(answer, "text_key binary, h long, f long")
+    found = found.groupBy(F.col("text_key").alias(key)).agg(F.collect_set(F.struct("h", "f")).alias(hits))
+    marked = map_batches(docs, identify, f"{_ddl(docs)}, `{key}` binary").join(found, key, "left")
+    marked = marked.select(*[F.col(f"`{c}`") for c in docs.columns], hits)
     return map_batches(marked, rewrite, f"{_ddl(docs)}, n_lines long, n_dropped long")
 
 
