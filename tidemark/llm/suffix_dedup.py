@@ -7,28 +7,41 @@ text. So
 
 1. minimiser hashes are counted, and those that two different texts share
    keep their suffixes (the others can't start a match);
-2. the suffixes, with what stands on their left, are sorted over the cluster by
-   range, ties by text, so that equal suffixes of very many texts split;
-3. neighbours in that order are compared and matches extended to the left and
-   right; matches of enough words become spans, and overlapping spans of a text
-   are merged, which extends them as far as the passage goes.
+2. the suffixes, with what stands on their left, are dealt out by their
+   minimiser and sorted: each minimiser's suffixes are one run of the array;
+3. neighbours are compared and matches extended to the left and right. A
+   partner may share fewer words on the right than the nearest neighbour, but
+   more on the left; so for every length that the right side can have, those
+   that share it are also put in order of their left sides, where the nearest
+   one of another text has the longest match. No passage is missed thereby;
+4. matches of enough words become spans, and overlapping spans of a text are
+   merged, which extends them as far as the passage goes.
+
+A minimiser with more than ``HOT`` suffixes doesn't go to one task: its windows
+of ``min_words`` words are shuffled as hashes instead, and those that two texts
+share are spans as well.
 
 Equal texts are one from the start; a text that two documents have is a
-repeated passage as a whole. Words are compared by 16-bit hashes beyond the
+repeated passage as a whole. Words are compared by 32-bit hashes beyond the
 64-bit hash of the minimiser itself.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, small_batches, table, texts
+from tidemark.llm.common import map_batches, new_tag, table, texts
+from tidemark.llm.golay_simhash import _runs
 
-GRAM, WINDOW, LEFT, RIGHT = 10, 32, 32, 54
+GRAM, WINDOW = 10, 32
+#: Most suffixes of a minimiser that are sorted in one task, and rows of the array that are compared at once.
+HOT, ROWS = 4096, 20_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,25 +78,38 @@ def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, grams[at]
 
 
-def _spaced(values: np.ndarray, at: np.ndarray, width: int, step: int) -> np.ndarray:
-    """16-bit hashes of the ``width`` words from each position on, forward or backward; 0 beyond the text."""
-    padded = np.concatenate([np.zeros(width, np.uint16), (values % np.uint32(65535) + 1).astype(np.uint16), np.zeros(width, np.uint16)])
+def _spaced(words: np.ndarray, at: np.ndarray, width: int, step: int) -> np.ndarray:
+    """The hashes of the ``width`` words from each position on, forward or backward; 0 beyond the text."""
+    padded = np.concatenate([np.zeros(width, np.uint32), np.maximum(words, 1), np.zeros(width, np.uint32)])
     return padded[(at + width)[:, None] + step * np.arange(width)[None, :]]
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 50, tag: str = "suffixes") -> DataFrame:
+def _windows(words: np.ndarray, anchors: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows of ``width`` words that begin up to ``WINDOW - 1`` words before an anchor."""
+    mark = np.zeros(len(words) + WINDOW, np.int64)
+    np.add.at(mark, np.maximum(anchors - WINDOW + 1, 0), 1)
+    np.add.at(mark, anchors + 1, -1)
+    starts = np.flatnonzero(np.cumsum(mark)[: max(0, len(words) - width + 1)] > 0)
+    hashes, wide = np.zeros(len(starts), np.uint64), words.astype(np.uint64)
+    for k in range(width):
+        hashes = (hashes + wide[starts + k] + np.uint64(1)) * _BASE
+        hashes ^= hashes >> np.uint64(31)
+    return starts, hashes
+
+
+def repeated_passages(docs: DataFrame, min_words: int = 50, tag: str | None = None) -> DataFrame:
     """(doc_id, n_words, repeated_words, spans) for every row of ``docs``.
 
-    ``spans`` are the merged word ranges [start, stop) of passages of at least
-    ``min_words`` (50 or more) words that another text holds too, in order;
-    words are runs of characters other than ASCII white space. A text that
-    several doc_ids have is one span if it has ``min_words`` words. Rows with
-    equal doc_id and text are one document, null doc_ids count as one id; null
-    and empty texts have no words. Other columns are ignored.
+    ``spans`` are the merged word ranges [start, stop) of all passages of at
+    least ``min_words`` words (41 or more) that another text holds too, in
+    order; words are runs of characters other than ASCII white space. A text
+    that several doc_ids have is one span if it has ``min_words`` words. Rows
+    with equal doc_id and text are one document, null doc_ids count as one id;
+    null and empty texts have no words. Other columns are ignored.
     """
     if min_words < GRAM + WINDOW - 1:
         raise ValueError(f"passages need {GRAM + WINDOW - 1} words or more")
-    small_batches(docs.sparkSession)
+    tag = tag or new_tag("suffixes")
     docs = docs.select("doc_id", "text")
 
     def anchors(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -103,63 +129,43 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, tag: str = "suffixes
     kind = dict(docs.dtypes)["doc_id"]
     read = table(map_batches(docs, anchors, f"doc_id {kind}, tid long, n_words long, grams array<long>, at array<int>"), tag)
     each = read.select("tid", F.explode(F.arrays_zip("grams", "at")).alias("x")).select("tid", F.col("x.grams").alias("gram"), F.col("x.at").alias("at"))
-    shared = each.groupBy("gram").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).filter("a <> b").select("gram")
+    shared = each.groupBy("gram").agg(F.min("tid").alias("a"), F.max("tid").alias("b"), F.count("*").alias("n")).filter("a <> b").select("gram", (F.col("n") > HOT).alias("hot"))
     shared = table(shared, tag)  # a table by itself, so that a join on a very common hash can be split
-    kept = each.join(shared, "gram", "left_semi").groupBy("tid").agg(F.collect_set("at").alias("at"))
+    kept = each.join(shared, "gram").groupBy("tid").agg(F.collect_set(F.struct("at", "gram", "hot")).alias("kept"))
     keys = read.groupBy("tid").agg(F.min_by("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("doc_id"))
-    wanted = kept.join(keys, "tid").select("tid", "at", "doc_id")
+    wanted = kept.join(keys, "tid").select("tid", "kept", "doc_id")
 
     def named(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = np.array([xxhash.xxh3_64_intdigest(t) for t in texts(batch.column(1))], np.uint64)
         return pa.record_batch([*batch.columns, pa.array(own.view(np.int64))], ["doc_id", "text", "tid"])
 
     def suffixes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[], [], [], []]
-        for tid, text, positions in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist()):
-            words, at = word_hashes(text), np.array(sorted(positions), np.int64)
-            right, left = _spaced(words, at, RIGHT, 1), _spaced(words, at - 1, LEFT, -1)
-            out[0] += [tid] * len(at)
-            out[1] += at.tolist()
-            out[2] += [x.tobytes() for x in right.astype(">u2")]
-            out[3] += [x.tobytes() for x in left]
-        return pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["tid", "at", "suffix", "before"])
+        """A row for each suffix, and one without contexts for each window of a hot minimiser."""
+        parts: list[tuple] = []
+        for tid, text, own in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist()):
+            words, own = word_hashes(text), sorted(own, key=lambda x: x["at"])
+            at = np.array([x["at"] for x in own if not x["hot"]], np.int64)
+            starts, hashes = _windows(words, np.array([x["at"] for x in own if x["hot"]], np.int64), min_words)
+            grams = [x["gram"] for x in own if not x["hot"]]
+            right, left = (x.astype(">u4") for x in (_spaced(words, at, min_words, 1), _spaced(words, at - 1, WINDOW, -1)))
+            parts.append((np.full(len(at) + len(starts), tid), np.concatenate([at, starts]), np.concatenate([np.array(grams, np.int64), hashes.view(np.int64)]), [*(x.tobytes() for x in right), *[None] * len(starts)], [*(x.tobytes() for x in left), *[None] * len(starts)]))
+        tid, at, gram, right, left = zip(*parts)
+        flat = lambda x: pa.array([v for one in x for v in one], pa.binary())
+        return pa.record_batch([pa.array(np.concatenate(tid).astype(np.int64)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(gram)), flat(right), flat(left)], ["tid", "at", "gram", "suffix", "before"])
 
     texts_ = map_batches(docs, named, f"doc_id {kind}, text string, tid long")
-    joined = texts_.alias("d").join(wanted.alias("w"), (F.col("d.tid") == F.col("w.tid")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.tid", "d.text", "w.at")
-    rows = table(map_batches(joined, suffixes, "tid long, at int, suffix binary, before binary"), tag)
-
-    names = ["tid", "start", "stop", "part", "side", "at", "suffix", "before"]
-    schema = "tid long, start long, stop long, part int, side int, at int, suffix binary, before binary"
-
-    def neighbours(batches):
-        from pyspark import TaskContext
-
-        part, carry, first = TaskContext.get().partitionId(), None, True
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            whole = pa.Table.from_batches([batch] if carry is None else [carry, batch]).combine_chunks()
-            yield from _found(whole, min_words, names)
-            if first:
-                yield _edge(whole.slice(0, 3), part, 0, names)
-                first = False
-            carry = whole.slice(max(0, whole.num_rows - 3)).combine_chunks().to_batches()[0]
-        if carry is not None:
-            yield _edge(pa.Table.from_batches([carry]), part, 1, names)
-
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(n, "suffix", "tid", "at").sortWithinPartitions("suffix", "tid", "at")
-    found = table(ordered.mapInArrow(neighbours, schema), tag)
-
-    def meet(key, edge):
-        edge = edge.sort_by([("suffix", "ascending"), ("tid", "ascending"), ("at", "ascending")]).select(["tid", "at", "suffix", "before"]).combine_chunks()
-        return pa.Table.from_batches(list(_found(edge, min_words, names)) or [_empty(names)]).select(["tid", "start", "stop"])
-
-    # the last rows of a range and the first of the next one: both go to the border between them
-    border = found.filter("start IS NULL").withColumn("border", F.col("part") + F.col("side"))
-    crossing = border.select("border", "tid", "at", "suffix", "before").groupBy("border").applyInArrow(meet, "tid long, start long, stop long")
-    spans = found.filter("start IS NOT NULL").select("tid", "start", "stop").union(crossing)
-    merged = spans.groupBy("tid").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    joined = texts_.alias("d").join(wanted.alias("w"), (F.col("d.tid") == F.col("w.tid")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.tid", "d.text", "w.kept")
+    # written where minimisers are hot only: their windows are read twice
+    rows = map_batches(joined, suffixes, "tid long, at int, gram long, suffix binary, before binary")
+    hot = not shared.filter("hot").isEmpty()
+    rows = table(rows, tag) if hot else rows
+    array_ = rows.filter("suffix IS NOT NULL").repartition("gram").sortWithinPartitions("gram", "suffix", "tid", "at").select("gram", "tid", "at", "suffix", "before")
+    spans = array_.mapInArrow(lambda batches: _runs(batches, ROWS, partial(_found, min_words=min_words)), "tid long, start long, stop long")
+    if hot:
+        windows = rows.filter("suffix IS NULL").select("gram", "tid", "at")
+        common = table(windows.groupBy("gram").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).filter("a <> b").select("gram"), tag)
+        spans = spans.union(windows.join(common, "gram", "left_semi").select("tid", F.col("at").cast("long"), (F.col("at") + min_words).cast("long")))
+    merged = table(spans, tag).groupBy("tid").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
     def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -183,36 +189,45 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, tag: str = "suffixes
     return out.select("doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"]).alias("repeated_words"), "spans")
 
 
-def _empty(names: list[str]) -> pa.RecordBatch:
-    return pa.record_batch([pa.nulls(0, pa.int64())] * 3 + [pa.nulls(0, pa.int32())] * 3 + [pa.nulls(0, pa.binary())] * 2, names)
-
+def _other_text(tid: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions: each row with the nearest one of another text before and after it in its group."""
+    n = len(tid)
+    edge = np.flatnonzero(np.concatenate([[True], (tid[1:] != tid[:-1]) | (group[1:] != group[:-1]), [True]]))
+    run = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    every, before, after = np.arange(n), edge[run] - 1, edge[run + 1]
+    up = every[(before >= 0) & (group[before] == group)]
+    down = every[(after < n) & (group[np.minimum(after, n - 1)] == group)]
+    return np.concatenate([before[up], down]), np.concatenate([up, after[down]])
 
-def _edge(rows: pa.Table, part: int, side: int, names: list[str]) -> pa.RecordBatch:
-    rows, n = rows.combine_chunks(), rows.num_rows
-    col = lambda c: rows.column(c).combine_chunks() if isinstance(rows.column(c), pa.ChunkedArray) else rows.column(c)
-    return pa.record_batch([col("tid"), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([part] * n, pa.int32()), pa.array([side] * n, pa.int32()), col("at"), col("suffix"), col("before")], names)
 
+def _found(rows: pa.Table, min_words: int) -> pa.RecordBatch:
+    """Spans of the matches of a sorted piece of the array, whole runs of a minimiser.
 
-def _found(rows: pa.Table, min_words: int, names: list[str]):
-    """Spans of the matches of sorted suffixes with the next three and with the nearest of another text, on both sides of each match."""
-    n = rows.num_rows
-    if n < 2:
-        return
-    tid, at = rows.column("tid").to_numpy(), rows.column("at").to_numpy().astype(np.int64)
-    flat = lambda c, kind, width: np.frombuffer(b"".join(rows.column(c).to_pylist()), kind).reshape(n, width)
-    right, left = flat("suffix", ">u2", RIGHT), flat("before", "<u2", LEFT)
-    edge = np.flatnonzero(np.concatenate([[True], tid[1:] != tid[:-1], [True]]))
-    run = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
-    every, before, after = np.arange(n), edge[run] - 1, edge[run + 1]
-    pairs = [(every[:-step], every[step:]) for step in range(1, min(4, n))]
-    pairs += [(before[before >= 0], every[before >= 0]), (every[after < n], after[after < n])]  # the nearest other texts
-    i, j = (np.concatenate(x) for x in zip(*pairs))
-    i, j = i[tid[i] != tid[j]], j[tid[i] != tid[j]]
-    reach = lambda x: np.cumprod((x[i] == x[j]) & (x[i] != 0), axis=1, dtype=np.int8).sum(axis=1, dtype=np.int64)
-    r, l = reach(right), reach(left)  # noqa: E741
-    good = (r >= GRAM) & (r + l >= min_words)
-    out = [np.stack([tid[k[good]], at[k[good]] - l[good], at[k[good]] + r[good]], axis=1) for k in (i, j)]
+    Rows that share at least k words on the right stand together. For each k
+    that a match can have there, they are ordered by their left sides, and
+    each is held against the nearest one of another text.
+    """
+    gram, tid, at = (rows.column(c).to_numpy() for c in ("gram", "tid", "at"))
+    at, n = at.astype(np.int64), len(gram)
+    flat = lambda c, width: np.frombuffer(b"".join(rows.column(c).to_pylist()), ">u4").reshape(n, width).astype(np.uint32)
+    right, left = flat("suffix", min_words), flat("before", WINDOW)
+    reach = lambda x, i, j: ((x[i] != x[j]) | (x[i] == 0)).argmax(axis=1) + x.shape[1] * ((x[i] == x[j]) & (x[i] != 0)).all(axis=1)
+    common = np.zeros(n, np.int64)  # words shared on the right with the row before
+    if n > 1:
+        common[1:] = np.where(gram[1:] == gram[:-1], reach(right, np.arange(1, n), np.arange(n - 1)), -1)
+    common[:1] = -1
+    text = np.ascontiguousarray(left.astype(">u4")).view(f"V{4 * WINDOW}").reshape(-1)
+    rank = np.unique(text, return_inverse=True)[1].reshape(-1)
+    out = [np.zeros((0, 3), np.int64)]
+    for k in range(min_words - WINDOW, min_words + 1):
+        if k > min_words - WINDOW and not (common == k - 1).any():
+            continue  # the same rows stand together as before
+        part = np.cumsum(common < k)
+        order = np.lexsort((tid, rank, part))
+        i, j = _other_text(tid[order], part[order])
+        i, j = order[i], order[j]
+        r, l = reach(right, i, j), reach(left, i, j)  # noqa: E741
+        good = (r >= GRAM) & (r + l >= min_words)
+        out += [np.stack([tid[x[good]], at[x[good]] - l[good], at[x[good]] + r[good]], axis=1) for x in (i, j)]
     both = np.unique(np.concatenate(out), axis=0)
-    if len(both):
-        m = len(both)
-        yield pa.record_batch([pa.array(both[:, k].copy()) for k in range(3)] + [pa.nulls(m, pa.int32())] * 3 + [pa.nulls(m, pa.binary())] * 2, names)
+    return pa.record_batch([pa.array(both[:, k].copy()) for k in range(3)], ["tid", "start", "stop"])
