@@ -3,8 +3,11 @@
 1. Every text is tokenized once; ids go to a scratch table as 16- or 32-bit
    integers. Document frequencies and the mean length are counted over all
    documents (one row for each id of the vocabulary and task, then summed).
-2. Documents are dealt by a hash into shards of about ``SHARD_TOKENS`` ids.
-   Each shard builds its inverted index of BM25 weights. A seed document asks
+2. Each document is keyed by its heaviest BM25 term that another document has
+   too, and dealt to shards by that key, so documents of one rare subject meet
+   in one shard whatever the size of the corpus. A key of more ids than a shard
+   should have is split into several shards.
+3. Each shard builds its inverted index of BM25 weights. A seed document asks
    for its unused neighbours by its heaviest terms; they fill the seed's window
    best first, and a document that doesn't fit is cut there and starts the
    next window as its seed. So windows are full but for a shard's last one,
@@ -21,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, small_batches, table
+from tidemark.llm.common import bounded, hand_back, map_batches, new_tag, slices, table
 from tidemark.llm.tokens import tokenizer_at
 
 WINDOW, END_ID = 4096, 2
 SHARD_TOKENS = 4_000_000
 QUERY_TERMS, K1, B = 12, 1.2, 0.75
+#: Neighbours that one request returns; a window that uses them up asks again for the rest.
+NEIGHBOURS = 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -35,13 +40,14 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
     def run(batches):
         tokenizer = tokenizer_at(path)
-        for batch in batches:
+        for batch in (piece for x in batches for piece in slices(x)):
             found, sizes = [], []
             for own in tokenizer.encode_batch(batch.column(1)):
                 ids = np.append(own, np.uint32(end_id)).astype("<u2" if tokenizer.narrow else "<u4")
                 found.append(ids.tobytes())
                 sizes.append(len(ids))
             yield pa.record_batch([batch.column(0), pa.array(found, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "ids", "n"])
+        hand_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, n long")
 
@@ -74,6 +80,18 @@ def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[edge[:-1]], np.diff(edge)
 
 
+def bm25(tf: np.ndarray, idf: np.ndarray, n: int, mean_length: float) -> np.ndarray:
+    """Weights of a document's terms of frequencies ``tf``; ``n`` is its length."""
+    return (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean_length))).astype(np.float32)
+
+
+def heaviest_shared(ids: np.ndarray, idf: np.ndarray, shared: np.ndarray, mean_length: float) -> int:
+    """The heaviest term of a document that others have too, ties to the smaller id; -1 if there is none."""
+    term, tf = terms_of(ids)
+    weight = np.where(shared[term], bm25(tf, idf[term], len(ids), mean_length), -1.0)
+    return int(term[weight.argmax()]) if weight.max() > 0 else -1
+
+
 class ShardIndex:
     """Inverted index of BM25 weights over one shard's documents."""
 
@@ -81,7 +99,7 @@ class ShardIndex:
         terms, owners, weights, self.queries = [], [], [], []
         for i, ids in enumerate(docs):
             term, tf = terms_of(ids)
-            weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean_length))).astype(np.float32)
+            weight = bm25(tf, idf[term], len(ids), mean_length)
             top = term if len(term) <= QUERY_TERMS else term[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]]
             self.queries.append(top.astype(np.int64))
             terms.append(term)
@@ -94,30 +112,32 @@ class ShardIndex:
         self.unused, self.scores = np.ones(len(docs), dtype=bool), np.zeros(len(docs), np.float32)
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents that share a heavy term with the seed, best first; ties by position."""
+        """The ``NEIGHBOURS`` best unused documents that share a heavy term with the seed, best first; ties by position."""
         hit = [slice(self.first[t], self.first[t + 1]) for t in self.queries[seed]]
         owners, weights = np.concatenate([self.owners[x] for x in hit]), np.concatenate([self.weights[x] for x in hit])
         scores = np.bincount(owners, weights, len(self.unused))
         found = np.flatnonzero((scores > 0) & self.unused)
-        if len(found) > 256:
-            found = found[scores[found] >= np.partition(scores[found], len(found) - 256)[len(found) - 256]]
+        if len(found) > NEIGHBOURS:
+            found = found[scores[found] >= np.partition(scores[found], len(found) - NEIGHBOURS)[len(found) - NEIGHBOURS]]
         return found[np.argsort(-scores[found], kind="stable")]
 
 
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) that hold every id once."""
     index, pieces = ShardIndex(docs, idf, mean_length), []
-    sequence = at = next_seed = 0
+    sequence = at = next_seed = seed = 0
     queue: list[int] = []
     for _ in range(len(docs)):
         while queue and not index.unused[queue[-1]]:
             queue.pop()
+        if not queue and at:  # the seed's neighbours are used up: those beyond the first ones
+            queue = index.neighbours(seed)[::-1].tolist()
         if queue:
             doc = queue.pop()
         else:
             while not index.unused[next_seed]:
                 next_seed += 1
-            doc = next_seed
+            doc = seed = next_seed
         index.unused[doc] = False
         fresh, start, left = at == 0, 0, len(docs[doc])
         while left:
@@ -127,7 +147,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, wind
             if at == window:
                 sequence, at, fresh = sequence + 1, 0, True
         if at and fresh:
-            queue = index.neighbours(doc)[::-1].tolist()
+            seed, queue = doc, []
     return _powers(pieces, sequence, at)
 
 
@@ -146,24 +166,18 @@ def _powers(pieces: list[tuple[int, int, int, int, int]], last: int, rest: int)
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, tag: str = "packing") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, tag: str | None = None) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every row of ``docs`` is a document of its own, whatever its doc_id; its ids
     and the end id lie in exactly one piece each. Null and empty texts are the
     end id alone. A document longer than the window spans several sequences.
     ``window`` is a power of two. Other columns are ignored; an empty table
-    gives no pieces.
+    gives no pieces. Documents without a term that others share are dealt by row.
     """
-    small_batches(docs.sparkSession)
-    spark = docs.sparkSession
+    tag = tag or new_tag("packing")
     tokens = table(tokenize(docs, tokenizer_path), tag)
-    total = tokens.agg(F.sum("n").alias("n"), F.count("*").alias("docs")).first()
-    shards, mean_length = max(1, math.ceil((total["n"] or 0) / shard_tokens)), (total["n"] or 1) / max(1, total["docs"])
-    df = document_frequencies(tokens).toPandas()  # a row for each id of the vocabulary at most
-    counts = np.zeros(int(df["id"].max()) + 1 if len(df) else 1)
-    counts[df["id"].to_numpy(dtype=np.int64)] = df["df"]
-    shared = spark.sparkContext.broadcast(np.log1p((total["docs"] - counts + 0.5) / (counts + 0.5)).astype(np.float32))
+    dealt, shared, mean_length = deal(tokens, shard_tokens, tag)
 
     def run(rows: pa.Table) -> pa.Table:
         shard, ids, n = rows.column("shard")[0].as_py(), rows.column("ids"), rows.column("n").to_pylist()
@@ -177,5 +191,38 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
         size = np.array([len(x) for x in own], dtype=np.int64)[d]
         return pa.table({"doc_id": pa.array([names[i] for i in d], pa.int64()), "start": a, "length": k, "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": size, "sequence_id": s + (np.int64(shard) << 32), "offset": o})
 
-    shard = F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)).cast("long")
-    return tokens.withColumn("shard", shard).groupBy("shard").applyInArrow(run, PIECES)
+    return dealt.groupBy("shard").applyInArrow(run, PIECES)
+
+
+def deal(tokens: DataFrame, shard_tokens: int, tag: str):
+    """``tokens`` with ``shard``; the broadcast inverse document frequencies; the mean length.
+
+    Keys are hashed to as many shards as the ids need. Those of more ids than a
+    quarter of a shard get shards of their own, as many as they fill: at most
+    four for each shard's worth of ids, so their table is small.
+    """
+    total = tokens.agg(F.sum("n").alias("n"), F.count("*").alias("docs")).first()
+    shards, mean_length = max(1, math.ceil((total["n"] or 0) / shard_tokens)), (total["n"] or 1) / max(1, total["docs"])
+    df = document_frequencies(tokens).toPandas()  # a row for each id of the vocabulary at most
+    counts = np.zeros(int(df["id"].max()) + 1 if len(df) else 1)
+    counts[df["id"].to_numpy(dtype=np.int64)] = df["df"]
+    idf = tokens.sparkSession.sparkContext.broadcast(np.log1p((total["docs"] - counts + 0.5) / (counts + 0.5)).astype(np.float32))
+    if shards == 1:
+        return tokens.withColumn("shard", F.lit(0).cast("long")), idf, mean_length
+    common = tokens.sparkSession.sparkContext.broadcast(counts >= 2)
+
+    def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = zip(batch.column(1), batch.column(2).to_pylist())
+        key = [heaviest_shared(unpack(data.as_buffer(), n), idf.value, common.value, mean_length) for data, n in rows]
+        return pa.record_batch([*batch.columns, pa.array(key, pa.int64())], ["doc_id", "ids", "n", "key"])
+
+    keyed = map_batches(tokens, mark, "doc_id long, ids binary, n long, key long")
+    own = keyed.filter("key >= 0").groupBy("key").agg(F.ceil(F.sum("n") / F.lit(shard_tokens)).cast("int").alias("split"), F.sum("n").alias("size"))
+    large = table(own.filter(F.col("size") > shard_tokens // 4).select("key", "split"), tag)
+    large = F.broadcast(large) if bounded(large, 4 * shards) else large
+    # equal rows are told apart by their place in the table, so that a text that a third of all rows repeat is dealt out too
+    place = F.xxhash64("doc_id", "ids", F.monotonically_increasing_id())
+    keyed = keyed.withColumn("place", place).join(large, "key", "left")
+    alone = F.pmod(F.xxhash64("key", F.pmod("place", F.col("split"))), F.lit(2**30)) + shards
+    shard = F.when(F.col("key") < 0, F.pmod("place", F.lit(shards))).when(F.col("split").isNotNull(), alone).otherwise(F.pmod(F.xxhash64("key"), F.lit(shards)))
+    return keyed.select("doc_id", "ids", "n", shard.cast("long").alias("shard")), idf, mean_length

@@ -6,11 +6,13 @@ looks for pairs to merge, and the last id of a piece is one with the mark of a
 word's end. So a text's ids are those of its pieces one after the other, and
 pieces repeat; so do words, which are cut into pieces once. Texts with
 characters outside of the plain Latin range, where cutting is left to the
-tokenizer itself, are encoded whole.
+tokenizer itself, are encoded whole; so are all texts where the file describes
+another way of normalising or cutting than the one above.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -49,25 +51,46 @@ def tokenizer_at(path: str) -> PieceTokenizer:
     return _LOADED[path]
 
 
+#: Fixed pattern by which the tokenizer cuts; files with another one are encoded whole.
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_as_here(path: str) -> bool:
+    """True if the file lower-cases, drops white space and cuts words as this module does."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    normal = [x.get("type") for x in (told.get("normalizer") or {}).get("normalizers", [])]
+    cutters = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    model = told["model"]
+    return (
+        normal == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in cutters] == ["Split", "ByteLevel"] and cutters[0].get("pattern") == {"Regex": _CUT}
+        and bool(cutters[0].get("invert")) and not cutters[1].get("add_prefix_space") and model.get("type") == "BPE" and bool(model.get("end_of_word_suffix"))
+    )
+
+
 class PieceTokenizer:
     """``encode_batch`` gives the ids of texts as the tokenizer file at ``path`` does, without special tokens.
 
-    Beyond ``max_pieces`` pieces, or as many words, a cache starts anew, which bounds memory.
+    Beyond ``max_pieces`` pieces or ``max_words`` words, or ``max_chars``
+    characters of either, a cache starts anew, which bounds memory.
     """
 
-    def __init__(self, path: str, max_pieces: int = 1_000_000, max_words: int = 1_200_000):
+    def __init__(self, path: str, max_pieces: int = 200_000, max_words: int = 250_000, max_chars: int = 8_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.max_pieces, self.max_words = Tokenizer.from_file(path), max_pieces, max_words
+        self.tokenizer, self.max_pieces, self.max_words, self.max_chars = Tokenizer.from_file(path), max_pieces, max_words, max_chars
+        self.plain = _PLAIN if cuts_as_here(path) else re.compile("")
         self.model = self.tokenizer.model
         self.narrow = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes] = {}
+        self.piece_chars = 0
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.word_chars = 0
         self.ids, self.starts, self.n_ids = np.zeros(1 << 18, np.uint32), np.zeros(1 << 17, np.int64), 0
 
     def _piece(self, piece: str) -> bytes:
@@ -76,8 +99,10 @@ class PieceTokenizer:
             plain = piece.isascii() and piece.isprintable()
             signs = piece if plain else piece.encode().decode("latin-1").translate(_SIGNS)
             ids = array("I", [x.id for x in self.model.tokenize(signs)]).tobytes()
-            if len(self.pieces) >= self.max_pieces:
+            self.piece_chars += len(piece)
+            if len(self.pieces) >= self.max_pieces or self.piece_chars > self.max_chars:
                 self.pieces.clear()
+                self.piece_chars = len(piece)
             self.pieces[piece] = ids
         return ids
 
@@ -100,10 +125,13 @@ class PieceTokenizer:
         missing = np.flatnonzero(at < 0)
         if len(missing):
             new = [words[i] for i in missing.tolist()]
-            if len(self.known) + len(new) > self.max_words:
+            chars = sum(map(len, new))
+            if self.known and (len(self.known) + len(new) > self.max_words or self.word_chars + chars > self.max_chars):
                 self._clear()
                 new, missing = words, np.arange(len(words))
+                chars = sum(map(len, new))
             n = len(self.known)
+            self.word_chars += chars
             self._learn(new)
             at[missing] = np.arange(n, n + len(new))
         return at
@@ -111,7 +139,7 @@ class PieceTokenizer:
     def encode_batch(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; null is as empty. Words are told apart for the whole batch at once."""
         values = texts.to_numpy(zero_copy_only=False).tolist()
-        odd = {i for i, x in enumerate(values) if x and (not _PLAIN.fullmatch(x) or any(y in x for y in self.special))}
+        odd = {i for i, x in enumerate(values) if x and (not self.plain.fullmatch(x) or any(y in x for y in self.special))}
         if odd:
             texts = pa.array([None if i in odd else x for i, x in enumerate(values)], pa.string())
         split = pc.ascii_split_whitespace(pc.utf8_lower(texts.fill_null("")))
