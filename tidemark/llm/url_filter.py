@@ -4,11 +4,12 @@ Host labels are split into words by a unigram Viterbi search whose word counts
 come from the text of all pages; a multinomial naive Bayes model of the words
 of hosts and paths, learned from the URLs that a rule decides, judges the
 others. Only distinct host labels are segmented, each with the counts of its
-own substrings, so no dictionary is broadcast.
+own substrings that are words, so no dictionary is broadcast.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import math
 import re
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, map_batches, small_batches, table
+from tidemark.llm.common import bounded, map_batches, new_tag, slices, table
 
 #: Fixed values of the rules: verdict, host, path.
 RULES = (
@@ -29,7 +30,8 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-MAX_WORD = 20
+#: Longest word of a host label: a label of the domain name system has no more characters than that.
+MAX_WORD = 63
 MAX_BROADCAST = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -83,21 +85,43 @@ def page_words(pages: DataFrame) -> DataFrame:
 
 
 def segment_labels(labels: DataFrame, words: DataFrame) -> DataFrame:
-    """(label, words): each distinct ``label`` split by the counts of those of its substrings that ``words`` has."""
+    """(label, words): each distinct ``label`` split by the counts of those of its substrings that ``words`` has.
+
+    Substrings are cut one after the other, so a very long label costs
+    ``MAX_WORD`` for each of its characters and is never held as one array of them.
+    """
     total = words.agg(F.sum("n")).first()[0] or 1
     labels = labels.distinct()
-    spans = "flatten(transform(sequence(1, greatest(length(label), 1)), i -> transform(sequence(1, %d), k -> substring(label, i, k))))" % MAX_WORD
-    parts = labels.select("label", F.explode(F.expr(f"array_distinct({spans})")).alias("word"))
-    own = parts.join(words, "word").groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts"))
+
+    def substrings(batches):
+        for batch in (piece for x in batches for piece in slices(x)):
+            own, parts = [], []
+            for label in batch.column(0).to_pylist():
+                for end in range(1, len(label) + 1):
+                    new = [label[start:end] for start in range(max(0, end - MAX_WORD), end)]
+                    own += [label] * len(new) if len(label) <= 4 * MAX_WORD else [_stand_in(label)] * len(new)
+                    parts += new
+                    if len(parts) > 20_000:
+                        yield pa.record_batch([pa.array(own, pa.string()), pa.array(parts, pa.string())], ["key", "word"])
+                        own, parts = [], []
+            yield pa.record_batch([pa.array(own, pa.string()), pa.array(parts, pa.string())], ["key", "word"])
 
     def split(frames):
         for frame in frames:
             yield pd.DataFrame({"label": frame.label, "words": [segment(x, dict(c) if c is not None else {}, total) for x, c in zip(frame.label, frame.counts)]})
 
-    return labels.join(own, "label", "left").mapInPandas(split, "label string, words array<string>")
+    parts = labels.mapInArrow(substrings, "key string, word string").join(words, "word").distinct()
+    own = parts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts"))
+    key = F.when(F.length("label") <= 4 * MAX_WORD, F.col("label")).otherwise(F.concat(F.lit("\n"), F.md5("label")))
+    return labels.withColumn("key", key).join(own, "key", "left").select("label", "counts").mapInPandas(split, "label string, words array<string>")
+
+
+def _stand_in(label: str) -> str:
+    """What names a very long label beside each of its substrings; no label holds a line feed before its digest."""
+    return "\n" + hashlib.md5(label.encode()).hexdigest()
 
 
-def filter_urls(pages: DataFrame, rules=RULES, smoothing: float = 1.0, tag: str = "url_filter") -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, smoothing: float = 1.0, tag: str | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of ``pages`` (page_id, url, html).
 
     A rule fits its host and all subdomains where the path starts with the
@@ -108,7 +132,7 @@ def filter_urls(pages: DataFrame, rules=RULES, smoothing: float = 1.0, tag: str
     and repeated rows stay; a null html adds no words. Weights are summed as
     whole millionths, so reruns agree.
     """
-    small_batches(pages.sparkSession)
+    tag = tag or new_tag("url_filter")
     host, path = host_and_path("url")
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
@@ -131,8 +155,11 @@ def filter_urls(pages: DataFrame, rules=RULES, smoothing: float = 1.0, tag: str
     weight = F.log((F.col("block") + smoothing) / (b + v)) - F.log((F.col("allow") + smoothing) / (a + v))
     weights = counts.select("token", F.round(weight * 1e6).cast("long").alias("w"))
     weights = F.broadcast(weights) if bounded(counts, MAX_BROADCAST) else weights
-    host_w = by_host.join(weights, "token").groupBy("host").agg(F.sum("w").alias("host_w"))
+    # a row for each host and each path: broadcast while they are few, so that the pages of one host needn't meet in one task
+    small = lambda df: F.broadcast(df) if bounded(df, MAX_BROADCAST) else df
+    host_w = small(table(by_host.join(weights, "token").groupBy("host").agg(F.sum("w").alias("host_w")), tag))
     path_w = urls.select("path").distinct().select("path", F.explode(pieces).alias("token")).join(weights, "token").groupBy("path").agg(F.sum("w").alias("path_w"))
+    path_w = small(table(path_w, tag))
     start = round(1e6 * (math.log((prior["b"] + smoothing)) - math.log(prior["a"] + smoothing))) if prior["a"] + prior["b"] else 0
     out = urls.join(host_w, "host", "left").join(path_w, "path", "left")
     score = F.coalesce("host_w", F.lit(0)) + F.coalesce("path_w", F.lit(0)) + start
