@@ -2,8 +2,8 @@
 
 The posterior of a page's language adds up logarithms of
 
-* the likelihood of its visible text under a model of character trigrams and
-  whole words for each language, learned from labelled documents,
+* the likelihood of its visible text under a model of character trigrams for
+  each language, learned from labelled documents,
 * how often each language goes with the declared ``lang`` of the markup and
   with the address suffix, and
 * the prior of its host, smoothed towards its registered domain, that towards
@@ -22,14 +22,16 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, small_batches, table
+from tidemark.llm.common import map_batches, new_tag, table
 from tidemark.llm.url_filter import host_and_path
 
-#: Fitted on this many labelled documents at most, those of the smallest hashes of their doc_id.
-MAX_TRAINING_ROWS = 4_000
+#: Fitted on this many documents of each language at most, those of the smallest hashes of their doc_id.
+MAX_TRAINING_ROWS = 1_000
+#: Languages that labels name, those of most documents first; the model has a row of ``SLOTS`` numbers for each.
+MAX_LANGUAGES = 1_000
 SLOTS, MIN_SCALE = 1 << 15, 1e6
 #: Pseudo-pages with which each level of the host prior leans on the next.
 HOST_LEAN, DECLARED_LEAN = 4.0, 2.0
@@ -55,7 +57,11 @@ def slots(text: str) -> np.ndarray:
 
 def fit_text_model(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages, and the logarithm of each slot's probability by language (add-half smoothing)."""
-    picked = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang")
+    named = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    # Spark limits the rows of each language before it shuffles them, up to a limit of 1,000
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    picked = known.filter(F.col("lang").isin(named)).withColumn("nth", nth).filter(F.col("nth") <= max_rows).select("doc_id", "lang")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         sums: dict[str, np.ndarray] = {}
@@ -66,7 +72,7 @@ def fit_text_model(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> tuple[
         lang, at, n = zip(*rows) if rows else ((), (), ())
         return pa.record_batch([pa.array(lang, pa.string()), pa.array(at, pa.int64()), pa.array(n, pa.int64())], ["lang", "slot", "n"])
 
-    rows = docs.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi").filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
+    rows = docs.filter("text IS NOT NULL").join(F.broadcast(picked.distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text")
     counts = map_batches(rows, count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique())
     weights = np.full((len(languages), SLOTS), 0.5)
@@ -76,16 +82,18 @@ def fit_text_model(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> tuple[
     return languages, np.log(weights / weights.sum(axis=1, keepdims=True)) if languages else weights
 
 
-def identify(pages: DataFrame, docs: DataFrame, tag: str = "language_id") -> DataFrame:
+def identify(pages: DataFrame, docs: DataFrame, most_evidence: int = MOST_EVIDENCE, tag: str | None = None) -> DataFrame:
     """(page_id, lang, confidence, declared, suffix, host) for every row of ``pages`` (page_id, url, html).
 
     ``declared`` is the first part of the markup's ``lang`` in lower case, null
     if there is none; ``suffix`` the last label of the host, '' without one. A
     null or empty page, or one without letters, has no text evidence and is
     judged by the rest. Ties go to the language first by code point. Without
-    labelled documents ``lang`` and ``confidence`` are null.
+    labelled documents ``lang`` and ``confidence`` are null. Neighbouring
+    trigrams aren't independent, so a text counts as ``most_evidence`` of them
+    at most, each with the mean of all.
     """
-    small_batches(pages.sparkSession, 200)
+    tag = tag or new_tag("language_id")
     languages, logs = fit_text_model(docs)
     declared = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([a-z]+)", 1))
     url = pages.select("page_id", host_and_path("url")[0].alias("host"), F.nullif(declared, F.lit("")).alias("declared"), "html")
@@ -101,7 +109,7 @@ def identify(pages: DataFrame, docs: DataFrame, tag: str = "language_id") -> Dat
         out = []
         for page in batch.column(at).to_pylist():
             own = slots(visible(page))
-            out.append((shared.value[:, own].mean(axis=1) * min(len(own), MOST_EVIDENCE)).tolist() if len(own) else [0.0] * k)
+            out.append((shared.value[:, own].mean(axis=1) * min(len(own), most_evidence)).tolist() if len(own) else [0.0] * k)
         return pa.record_batch([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(out, pa.list_(pa.float64()))], [*(n for n in batch.schema.names if n != "html"), "text_log"])
 
     schema = ", ".join([*(f"{c} {t}" for c, t in url.dtypes if c != "html"), "text_log array<double>"])
