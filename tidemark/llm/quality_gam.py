@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, small_batches, texts
+from tidemark.llm.common import map_batches, texts
 from tidemark.llm.text_stats import QUALITY_FEATURES, quality_stats, with_quality_stats
 
 #: The model is fitted on this many labelled rows at most, those of the smallest hashes of their doc_id.
@@ -136,14 +136,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     """Fit on the rows of ``docs`` that ``labels`` marks and that aren't held out.
 
     ``max_rows`` label rows at most are used, those of the smallest hashes of
-    their doc_id: that bounds the broadcast (16 bytes each) and the features
+    their doc_id, and of the documents that they mark as many at most in the
+    same order: that bounds the broadcast (16 bytes each) and the features
     sent to the driver (150 bytes each). Null labels and ids don't count; a
     doc_id labelled twice counts twice.
     """
     marked = labels.select("doc_id", F.col(f"`{label}`").cast("int").alias("_label")).filter("_label IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out())
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(max_rows)
-    frame = with_quality_stats(docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")).toPandas()
-    frame = frame.sort_values(["doc_id", *QUALITY_FEATURES, "_label"]).head(2 * max_rows)
+    rows = with_quality_stats(docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id"))
+    frame = rows.orderBy(F.xxhash64("doc_id"), "doc_id", *QUALITY_FEATURES, "_label").limit(max_rows).toPandas()
+    frame = frame.sort_values(["doc_id", *QUALITY_FEATURES, "_label"])
     return fit(frame[list(QUALITY_FEATURES)].to_numpy(dtype=float).reshape(-1, len(QUALITY_FEATURES)), (frame["_label"].to_numpy() > 0).astype(float))
 
 
@@ -154,7 +156,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows get scores like any other; without labelled rows all scores are 0.5.
     Columns named like the results are replaced.
     """
-    small_batches(docs.sparkSession)
     return _scored(docs.drop("held_out", "score", "predicted"), train(docs, labels))
 
 
