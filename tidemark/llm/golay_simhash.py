@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, map_batches, small_batches, table, texts
+from tidemark.llm.common import bounded, free_name, hand_back, map_batches, new_tag, slices, table, texts
 from tidemark.llm.components import connected_components
 
 WIDTHS = (22, 21, 21)
@@ -211,7 +211,7 @@ def links(classes: DataFrame, max_errors: int = MAX_ERRORS) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, max_errors: int = MAX_ERRORS, tag: str = "simhash") -> DataFrame:
+def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, max_errors: int = MAX_ERRORS, tag: str | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 
     Texts are lower-cased (A-Z); shingles are ``words_per_shingle`` words joined
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, max_errors: int
     """
     if max_errors > MAX_ERRORS:
         raise ValueError("the keys find links of up to 4 bits")
-    small_batches(docs.sparkSession)
+    tag = tag or new_tag("simhash")
     own = table(fingerprints(docs.select("doc_id", "text"), words_per_shingle), tag)
     classes = table(own.groupBy("fp").agg(F.min("doc_id").alias("least")), tag)
     roots = table(connected_components(links(classes, max_errors), tag), tag)
@@ -234,36 +234,6 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, max_errors: int
     return own.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-ROUGH_ERRORS = 20
-
-
-def _rough_pairs(keys: np.ndarray, fps: np.ndarray, roots: np.ndarray) -> np.ndarray:
-    """Each member's nearest one of another root among those of its key, if within the rough distance: never more pairs than members.
-
-    Keys are sorted, and within them fingerprints; ties go to the smaller distance in that order.
-    ``drop_near_duplicates`` doesn't use it: what it passes over may be similar enough.
-    """
-    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    size = np.diff(np.concatenate([edge, [len(keys)]]))
-    inside = np.repeat(size, size)
-    best, mate = np.full(len(keys), ROUGH_ERRORS + 1), np.arange(len(keys))
-    for step in range(1, min(64, int(size.max()))):
-        i = np.flatnonzero((keys[:-step] == keys[step:]) & (inside[:-step] <= 64) & (roots[:-step] != roots[step:]))
-        apart = np.bitwise_count(fps[i] ^ fps[i + step])
-        for one, other in ((i, i + step), (i + step, i)):
-            nearer = apart < best[one]
-            best[one[nearer]], mate[one[nearer]] = apart[nearer], other[nearer]
-    for at, n in zip(edge[size > 64].tolist(), size[size > 64].tolist()):
-        f, r = fps[at : at + n], roots[at : at + n]
-        for first in range(0, n, 64):
-            block = slice(first, min(n, first + 64))
-            apart = np.where(r[block, None] == r[None, :], ROUGH_ERRORS + 1, np.bitwise_count(f[block, None] ^ f[None, :]))
-            mate[at + first : at + block.stop] = at + apart.argmin(axis=1)
-            best[at + first : at + block.stop] = apart.min(axis=1)
-    met = best <= ROUGH_ERRORS
-    return np.unique(np.sort(np.stack([fps[met], fps[mate[met]]], axis=1), axis=1), axis=0).view(np.int64)
-
-
 MAX_BROADCAST_IDS = 500_000
 #: Counters of the shingle sketch and of one of its rows, words of a parity bitmap, and the most rows that meet in one piece of a key or of a candidate group.
 SKETCH, SKETCH_ROW, BITMAP_WORDS, KEY_ROWS, GROUP_ROWS = 1 << 20, 1 << 14, 8, 4096, 256
@@ -382,7 +352,7 @@ def _binary(values) -> pa.Array:
     return pa.array([v.tobytes() for v in values], pa.binary())
 
 
-def drop_near_duplicates(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, tag: str = "simhash") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, tag: str | None = None) -> DataFrame:
     """One row of ``docs`` for each group of near duplicates: that of the smallest doc_id.
 
     Two documents are near duplicates if the sets of their shingles of
@@ -390,34 +360,44 @@ def drop_near_duplicates(docs: DataFrame, words_per_shingle: int = 5, similarity
     more; groups are the components of these links, and all of them are found:
 
     1. texts of equal sets are one class; a sketch counts shingles over all;
-    2. a class meets others under the shingles of its prefix, the rarest ones
-       by the sketch, of which two similar sets share one whatever its order
-       is; what sizes and parity bitmaps don't rule out is a candidate, and
-       each key gives a spanning forest of its candidates, never all pairs;
-    3. within each component of candidates all pairs are held against whole
-       sets, unless they are connected already.
+    2. fingerprints within four bits, found by their Golay keys, are
+       candidates: most copies with small edits;
+    3. 64 bits can't tell 0.8 from less (such texts differ in about ten bits),
+       so the rest is found exactly: a class meets others under the shingles
+       of its prefix, the rarest ones by the sketch, of which two similar sets
+       share one whatever its order is; each key gives a spanning forest of
+       its candidates, never all pairs;
+    4. candidates that sizes and parity bitmaps rule out go; within each
+       component of the others all pairs are held against whole sets, unless
+       they are connected already.
 
     Keys and components of very many classes are dealt into blocks that meet
     two by two. Texts without words are all copies of each other. Rows with
-    equal doc_ids are one document; null doc_ids are one too.
+    equal doc_ids are one document; null doc_ids are one too. Other columns
+    are kept, whatever their names.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    at = docs.columns.index("text")
-    ids = docs.columns.index("doc_id")
+    tag = tag or new_tag("simhash")
+    # from here on every list of columns starts with these two, so others can't clash
+    every, docs = docs, docs.select("doc_id", "text")
+    at, ids = 1, 0
+
+    names = ["doc_id", "sid", "fp", "part", "counts"]
 
     def read(batches):
         counts = np.zeros(SKETCH, np.int32)
-        for batch in batches:
+        for batch in (piece for x in batches for piece in slices(x)):
             found = [shingle_set(t, words_per_shingle) for t in texts(batch.column(at))]
             if found:
                 counts += np.bincount((np.concatenate(found) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.int32)
             own = np.array([_set_id(s) for s in found], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t, words_per_shingle) for t in texts(batch.column(at))], np.uint64).view(np.int64)
             n = len(found)
-            yield pa.record_batch([batch.column(ids).cast(pa.int64()), pa.array(own), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "sid", "part", "counts"])
+            yield pa.record_batch([batch.column(ids).cast(pa.int64()), pa.array(own), pa.array(fps), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         parts = [k for k in range(SKETCH // SKETCH_ROW) if counts[k * SKETCH_ROW : (k + 1) * SKETCH_ROW].any()]
         m = len(parts)
-        yield pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(parts, pa.int32()), _binary(counts[k * SKETCH_ROW : (k + 1) * SKETCH_ROW] for k in parts)], ["doc_id", "sid", "part", "counts"])
+        yield pa.record_batch([*[pa.nulls(m, pa.int64())] * 3, pa.array(parts, pa.int32()), _binary(counts[k * SKETCH_ROW : (k + 1) * SKETCH_ROW] for k in parts)], names)
+        hand_back()
 
     def summed(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         total = np.zeros(SKETCH_ROW, np.int64)
@@ -425,13 +405,13 @@ def drop_near_duplicates(docs: DataFrame, words_per_shingle: int = 5, similarity
             total += np.frombuffer(v.as_buffer(), np.int32)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": _binary([np.minimum(total, 2**31 - 1).astype(np.int32)])})
 
-    both = table(docs.mapInArrow(read, "doc_id long, sid long, part int, counts binary"), tag)
-    own = both.filter("part IS NULL").select("doc_id", "sid")
+    both = table(docs.mapInArrow(read, "doc_id long, sid long, fp long, part int, counts binary"), tag)
+    own = both.filter("part IS NULL").select("doc_id", "sid", "fp")
     counts = np.zeros(SKETCH, np.int32)
     for row in both.filter("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(summed, "part int, counts binary").collect():
         counts[row.part * SKETCH_ROW : (row.part + 1) * SKETCH_ROW] = np.frombuffer(row.counts, np.int32)
     shared = spark.sparkContext.broadcast(counts)
-    classes = table(own.groupBy("sid").agg(F.min("doc_id").alias("least")), tag)
+    classes = table(own.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")), tag)
 
     def of_classes(some: DataFrame) -> DataFrame:
         """The text and sid of one document of each of ``some`` classes (sid, doc_id), and what else they hold."""
@@ -467,7 +447,8 @@ def drop_near_duplicates(docs: DataFrame, words_per_shingle: int = 5, similarity
 
     met = _pieces(keyed.join(marked.select("sid", "n", "bits"), "sid"), "key", "size", KEY_ROWS).select("piece", "sid", "n", "bits")
     met = met.repartition("piece").sortWithinPartitions("piece")
-    candidates = met.mapInArrow(lambda batches: _runs(batches, 20_000, meet), "a long, b long").filter("a <> b").distinct()
+    candidates = met.mapInArrow(lambda batches: _runs(batches, 20_000, meet), "a long, b long").filter("a <> b")
+    candidates = candidates.union(_fingerprint_candidates(classes, marked, similarity, tag)).distinct()
     groups = table(connected_components(candidates, tag), tag).select(F.col("node").alias("sid"), F.col("root").alias("near"))
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -490,8 +471,29 @@ def drop_near_duplicates(docs: DataFrame, words_per_shingle: int = 5, similarity
     linked = members.mapInArrow(lambda batches: _runs(batches, 1_000, verify), "a long, b long")
     tops = connected_components(linked, tag).select(F.col("node").alias("sid"), F.col("root").alias("top"))
     heads = classes.join(tops, "sid", "left").groupBy(F.coalesce("top", "sid").alias("top")).agg(F.min("least").alias("head")).select("head")
-    dropped = table(own.select("doc_id").distinct().join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_anti"), tag)
+    dropped = table(own.select(F.col("doc_id").alias("gone")).distinct().join(heads, F.col("gone").eqNullSafe(F.col("head")), "left_anti"), tag)
     gone = F.broadcast(dropped) if bounded(dropped, MAX_BROADCAST_IDS) else dropped
-    kept = docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    name = free_name("gone", every.columns)
+    kept = every.join(gone.withColumnRenamed("gone", name), F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
     repeated = own.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id"]) if repeated else kept
+
+
+def _fingerprint_candidates(classes: DataFrame, marked: DataFrame, similarity: float, tag: str) -> DataFrame:
+    """(a, b): classes whose fingerprints are within four bits, without those that sizes and bitmaps rule out.
+
+    ``classes`` has (sid, fp); of several classes with one fingerprint the
+    smallest stands for it, and the others are held against that one.
+    """
+    prints = table(classes.groupBy("fp").agg(F.min("sid").alias("b")), tag)
+    near = links(prints).join(prints.select(F.col("fp").alias("a"), F.col("b").alias("sa")), "a").join(prints.select(F.col("fp").alias("b"), F.col("b").alias("sb")), "b").select(F.col("sa").alias("a"), F.col("sb").alias("b"))
+    same = classes.join(prints, "fp").select(F.col("sid").alias("a"), "b").filter("a <> b")
+    side = lambda x, n, bits: marked.select(F.col("sid").alias(x), F.col("n").alias(n), F.col("bits").alias(bits))
+    pairs = near.union(same).join(side("a", "n", "bits"), "a").join(side("b", "m", "others"), "b").select("a", "b", "n", "m", "bits", "others")
+
+    def possible(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, m = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+        bits, others = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS) for i in (4, 5))
+        return pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array(_may_be_similar(n, bits, m, others, similarity)))
+
+    return map_batches(pairs, possible, "a long, b long")
