@@ -11,7 +11,7 @@ ROWS = [
     (1, "Some words\nand a line", "en", "a", 20), (1, "Some words\nand a line", "en", "a", 20), (2, None, None, None, None), (3, "", "de", "b", 0),
     (None, "no id", "en", None, 5), (None, None, None, None, None), (4, " \t\n\x0b ", "fr", "a", 5), (5, LONG, "en", "b", len(LONG)), (6, LONG, "en", "b", len(LONG)), (7, "é ü 漢字 \U0001f600 one two three four five", "zz", "c", 9),
 ]
-CLASH = ("taken", "target", "source_size", "copies", "held_out", "score", "predicted", "n_words", "kept", "fp", "component_id", "n_lines", "n_dropped", "ids", "n", "tid", "g", "bin", "_hash", "_range")
+CLASH = ("whole", "extra", "cut", "before", "words", "doc", "range", "hits", "text_key", "_gone", "gone", "key", "shard", "sid", "hash", "taken", "target", "source_size", "copies", "held_out", "score", "predicted", "n_words", "kept", "fp", "component_id", "n_lines", "n_dropped", "ids", "n", "tid", "g", "bin", "_hash", "_range")
 LABELS = "doc_id long, quality int, toxic int"
 
 
@@ -20,18 +20,19 @@ def extra(df):
 
 
 def operators(labels):
-    sized = lambda d: mixing.sized(d)
+    sized = lambda d: d.withColumn("size", mixing.word_count("text"))
     return {
-        "mix": lambda d: mixing.mix(sized(d), mixing.cyclic_weights(sized(d)), share=1.5),
+        "mix": lambda d: mixing.mix(sized(d), mixing.cyclic_weights(d), share=1.5),
         "suffixes": suffix_dedup.repeated_passages,
         "quality": lambda d: quality_gam.classify(d, labels),
         "outliers": outliers.reject_outliers,
         "simhash": golay_simhash.near_duplicates,
         "lines": line_dedup.drop_common_lines,
+        "probes": lambda d: line_dedup.drop_common_lines(d, min_docs=2, max_broadcast_keys=0),
     }
 
 
-@pytest.mark.parametrize("name", ["mix", "suffixes", "quality", "outliers", "simhash", "lines"])
+@pytest.mark.parametrize("name", ["mix", "suffixes", "quality", "outliers", "simhash", "lines", "probes"])
 def test_every_row_has_a_result(spark, name):
     docs, labels = spark.createDataFrame(ROWS, DOCS), spark.createDataFrame([(1, 1, 0), (2, 0, None), (None, 1, 1), (4, None, 0)], LABELS)
     for df in (docs, extra(docs)):
@@ -48,7 +49,9 @@ def test_packing_of_odd_rows(spark):
 
 
 def test_dropped_near_duplicates_of_odd_rows(spark):
+    wide = golay_simhash.drop_near_duplicates(extra(spark.createDataFrame(ROWS, DOCS)))
     got = golay_simhash.drop_near_duplicates(spark.createDataFrame(ROWS, DOCS).select("doc_id", "text"))
+    assert sorted(str(r.doc_id) for r in wide.collect()) == sorted(str(r.doc_id) for r in got.collect()) and set(CLASH) <= set(wide.columns)
     assert {r.doc_id for r in got.collect()} >= {1, 2, 5, 7} and got.filter("doc_id in (3, 4, 6)").count() == 0
     assert golay_simhash.drop_near_duplicates(spark.createDataFrame([], DOCS).select("doc_id", "text")).count() == 0
 
@@ -63,10 +66,10 @@ def test_vectors(spark):
 
 
 def test_pages(spark):
-    pages = spark.createDataFrame([(1, None, None), (1, None, None), (None, "http://a.com/x", "<p>x"), (2, "", ""), (3, "http://a.com/x", "<p>" + LONG)], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(1, None, None), (1, None, None), (None, "http://a.com/x", "<p>x"), (2, "", ""), (3, "http://a.com/x", "<p>" + LONG), (4, "http://" + "word" * 20_000 + "/x", "<p>word")], "page_id long, url string, html string")
     docs = spark.createDataFrame(ROWS, DOCS)
     wide = pages.withColumns({c: F.lit("x") for c in ("host", "path", "rule", "verdict", "lang", "declared", "share", "token")})
     for df in (pages, wide):
-        assert url_filter.filter_urls(df).count() == 5 and language_id.identify(df, docs).count() == 5
+        assert url_filter.filter_urls(df).count() == 6 and language_id.identify(df, docs).count() == 6
     assert url_filter.filter_urls(pages.limit(0)).count() == 0 and language_id.identify(pages.limit(0), docs).count() == 0
     assert {r.lang for r in language_id.identify(pages, docs.limit(0)).collect()} == {None}

@@ -279,26 +279,8 @@ def test_golay_keys_meet_for_up_to_four_errors():
         assert all(met[0][i] & met[1][i] for i in range(300))
 
 
-def test_rough_pairs_take_the_nearest_of_another_group():
-    rng = np.random.default_rng(5)
-    for size in (2, 7, 64, 65, 300):
-        keys = np.sort(np.concatenate([np.full(size, 3), rng.integers(4, 9, 20)])).astype(np.int32)
-        base = rng.integers(0, 2**63, dtype=np.uint64)
-        flips = [np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, 6, replace=False).astype(np.uint64)) for _ in keys]
-        fps, roots = np.array([base ^ f for f in flips], np.uint64), rng.integers(0, 4, len(keys))
-        want = set()
-        for i in range(len(keys)):
-            apart = [(int(fps[i] ^ fps[j]).bit_count(), j) for j in range(len(keys)) if keys[j] == keys[i] and roots[j] != roots[i]]
-            if apart:
-                want.add((i, min(apart)[0]))
-        got = {tuple(p) for p in golay_simhash._rough_pairs(keys, fps, roots).view(np.uint64).tolist()}
-        assert len(got) <= len(keys)
-        for i, distance in want:
-            assert any(int(a ^ b).bit_count() == distance for a, b in got if int(fps[i]) in (a, b))
-
-
 def test_near_copies_of_a_dense_group(spark):
-    """Copies of one text with some words changed: the groups of all pairs at 0.8, of which at most 2 % of the documents may stay too many."""
+    """Copies of one text with some words changed: exactly the groups of all pairs at 0.8."""
     rng = np.random.default_rng(11)
     base, rows = [f"w{i}" for i in rng.integers(0, 5000, 150)], []
     for i in range(400):
@@ -306,17 +288,8 @@ def test_near_copies_of_a_dense_group(spark):
         for at in rng.choice(150, rng.integers(0, 9), replace=False):
             words[at] = f"x{rng.integers(0, 5000)}"
         rows.append((i, " ".join(words), "en", "a", 1))
-    sets = [golay_simhash.shingle_set(r[1].encode(), 5) for r in rows]
-    fps = np.array([golay_simhash.fingerprint(r[1].encode(), 5) for r in rows], np.uint64)
-    linked = []
-    for i in range(len(rows)):
-        for j in range(i):
-            same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if same >= 0.8 * (len(sets[i]) + len(sets[j]) - same) or int(fps[i] ^ fps[j]).bit_count() <= 4:
-                linked.append((j, i))
-    must = set(groups_of(len(rows), linked))
-    kept = {r.doc_id for r in golay_simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
-    assert must <= kept and len(kept - must) <= 8
+    got = {r.doc_id for r in golay_simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == exact_heads(rows)
 
 
 def plain_lines(rows, min_docs):
@@ -330,11 +303,12 @@ def plain_lines(rows, min_docs):
     return sorted(out)
 
 
-def test_line_dedup_both_ways(spark):
+def test_line_dedup_both_ways(spark, monkeypatch):
     rows = [(r.doc_id, r.text) for r in read(spark, "documents").select("doc_id", "text").collect()]
     rows += [(100_000 + i, f"\x0b Common LINE\x0c\n\nown {i}\n{chr(0x85)}common line") for i in range(9)] + [(200_000, "common line\r\ncommon line"), (200_001, None), (200_002, "")]
     docs, want = spark.createDataFrame(rows, "doc_id long, text string"), plain_lines(rows, 10)
     for bound in (2_000_000, 0):
+        monkeypatch.setattr(line_dedup, "SHARD_KEYS", 1 << 16 if bound else 8)
         got = line_dedup.drop_common_lines(docs, 10, 1, max_broadcast_keys=bound).select("doc_id", "n_lines", "n_dropped", "text").collect()
         assert sorted(map(tuple, got)) == want
     assert any(n for _, _, n, _ in want)
@@ -424,3 +398,44 @@ def test_each_statistic_alone_rejects_moderate_outliers(spark):
     got = outliers.reject_outliers(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
     kept = Counter(texts[r.doc_id][0] for r in got if r.kept)
     assert not any(r.base_failed for r in got) and set(kept) == {"clean"} and kept["clean"] >= 392
+
+
+def shared_words(texts, width=50):
+    """For each text the word positions in windows of ``width`` words that another, different text holds too."""
+    held = defaultdict(set)
+    for i, t in enumerate(texts):
+        for k in range(len(t) - width + 1):
+            held[tuple(t[k : k + width])].add(tuple(t))
+    return [{p for k in range(len(t) - width + 1) if len(held[tuple(t[k : k + width])]) > 1 for p in range(k, k + width)} for t in texts]
+
+
+@pytest.mark.parametrize("hot", [4096, 40])
+def test_no_passage_is_missed_among_common_heads_and_tails(spark, monkeypatch, hot):
+    """Pairs whose passage ends (or begins, or both) in words that hundreds of other texts hold; with hot minimisers too."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = np.random.default_rng(12)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**7, n)]
+    texts = []
+    for own, head, tail in ((16, 0, 36), (16, 36, 0), (12, 20, 20)):
+        first, last = words(head), words(tail)
+        for _ in range(60):
+            passage = first + words(own) + last
+            texts += [words(rng.integers(0, 60)) + passage + words(rng.integers(0, 60)) for _ in range(2)]
+        texts += [words(40) + first + words(rng.integers(0, 30)) + last + words(40) for _ in range(300)]
+    # partners with one side in common at every length: the longest right side never has the longest left one
+    middle = words(60)
+    texts += [words(30) + middle[30 - k : 30 + k + d] + words(30) for k in range(5, 30) for d in (0, 3, 11, 20)]
+    want = shared_words(texts)
+    assert sum(map(bool, want)) > 370
+    rows = suffix_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    for r in rows:
+        assert {x for s in r.spans for x in range(s.start, s.stop)} == want[r.doc_id], r.doc_id
+
+
+def test_long_runs_of_one_line(spark):
+    """A line two thousand times in a text and in another one: spans don't depend on where batches end."""
+    line, rng = [f"l{i}" for i in range(12)], np.random.default_rng(2)
+    texts = [line * 2000, [f"x{i}" for i in rng.integers(0, 10**7, 30)] + line * 300, [f"y{i}" for i in range(99)]]
+    want = shared_words(texts)
+    for r in suffix_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect():
+        assert {x for s in r.spans for x in range(s.start, s.stop)} == want[r.doc_id]
