@@ -409,10 +409,11 @@ def shared_words(texts, width=50):
     return [{p for k in range(len(t) - width + 1) if len(held[tuple(t[k : k + width])]) > 1 for p in range(k, k + width)} for t in texts]
 
 
-@pytest.mark.parametrize("hot", [4096, 40])
-def test_no_passage_is_missed_among_common_heads_and_tails(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, most", [(4096, 10**6), (40, 10**6), (40, 10)])
+def test_no_passage_is_missed_among_common_heads_and_tails(spark, monkeypatch, hot, most):
     """Pairs whose passage ends (or begins, or both) in words that hundreds of other texts hold; with hot minimisers too."""
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "MAX_BROADCAST", most)
     rng = np.random.default_rng(12)
     words = lambda n: [f"w{x}" for x in rng.integers(0, 10**7, n)]
     texts = []

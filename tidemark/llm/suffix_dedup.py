@@ -17,9 +17,10 @@ text. So
 4. matches of enough words become spans, and overlapping spans of a text are
    merged, which extends them as far as the passage goes.
 
-A minimiser with more than ``HOT`` suffixes doesn't go to one task: its windows
-of ``min_words`` words are shuffled as hashes instead, and those that two texts
-share are spans as well.
+A minimiser with more than ``HOT`` suffixes doesn't go to one task: the hashes
+of its windows of ``min_words`` words are counted instead, and those that two
+texts share are spans as well. They are broadcast up to ``MAX_BROADCAST`` of
+them; beyond that the windows meet them in a join.
 
 Equal texts are one from the start; a text that two documents have is a
 repeated passage as a whole. Words are compared by 32-bit hashes beyond the
@@ -36,12 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, new_tag, table, texts
+from tidemark.llm.common import bounded, map_batches, new_tag, table, texts
 from tidemark.llm.golay_simhash import _runs
 
 GRAM, WINDOW = 10, 32
 #: Most suffixes of a minimiser that are sorted in one task, and rows of the array that are compared at once.
 HOT, ROWS = 4096, 20_000
+#: Shared windows of hot minimisers that are broadcast, 8 bytes each.
+MAX_BROADCAST = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -140,31 +143,25 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, tag: str | None = No
         return pa.record_batch([*batch.columns, pa.array(own.view(np.int64))], ["doc_id", "text", "tid"])
 
     def suffixes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """A row for each suffix, and one without contexts for each window of a hot minimiser."""
         parts: list[tuple] = []
         for tid, text, own in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist()):
-            words, own = word_hashes(text), sorted(own, key=lambda x: x["at"])
-            at = np.array([x["at"] for x in own if not x["hot"]], np.int64)
-            starts, hashes = _windows(words, np.array([x["at"] for x in own if x["hot"]], np.int64), min_words)
-            grams = [x["gram"] for x in own if not x["hot"]]
+            own = sorted((x["at"], x["gram"]) for x in own if not x["hot"])
+            at = np.array([x for x, _ in own], np.int64)
+            words = word_hashes(text) if own else np.zeros(0, np.uint32)
             right, left = (x.astype(">u4") for x in (_spaced(words, at, min_words, 1), _spaced(words, at - 1, WINDOW, -1)))
-            parts.append((np.full(len(at) + len(starts), tid), np.concatenate([at, starts]), np.concatenate([np.array(grams, np.int64), hashes.view(np.int64)]), [*(x.tobytes() for x in right), *[None] * len(starts)], [*(x.tobytes() for x in left), *[None] * len(starts)]))
+            parts.append((np.full(len(at), tid), at, np.array([x for _, x in own], np.int64), [x.tobytes() for x in right], [x.tobytes() for x in left]))
         tid, at, gram, right, left = zip(*parts)
         flat = lambda x: pa.array([v for one in x for v in one], pa.binary())
-        return pa.record_batch([pa.array(np.concatenate(tid).astype(np.int64)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(gram)), flat(right), flat(left)], ["tid", "at", "gram", "suffix", "before"])
+        return pa.record_batch([pa.array(np.concatenate(gram)), pa.array(np.concatenate(tid).astype(np.int64)), pa.array(np.concatenate(at).astype(np.int32)), flat(right), flat(left)], ["gram", "tid", "at", "suffix", "before"])
 
     texts_ = map_batches(docs, named, f"doc_id {kind}, text string, tid long")
     joined = texts_.alias("d").join(wanted.alias("w"), (F.col("d.tid") == F.col("w.tid")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.tid", "d.text", "w.kept")
-    # written where minimisers are hot only: their windows are read twice
-    rows = map_batches(joined, suffixes, "tid long, at int, gram long, suffix binary, before binary")
-    hot = not shared.filter("hot").isEmpty()
-    rows = table(rows, tag) if hot else rows
-    array_ = rows.filter("suffix IS NOT NULL").repartition("gram").sortWithinPartitions("gram", "suffix", "tid", "at").select("gram", "tid", "at", "suffix", "before")
+    rows = map_batches(joined, suffixes, "gram long, tid long, at int, suffix binary, before binary")
+    array_ = rows.repartition("gram").sortWithinPartitions("gram", "suffix", "tid", "at")
     spans = array_.mapInArrow(lambda batches: _runs(batches, ROWS, partial(_found, min_words=min_words)), "tid long, start long, stop long")
-    if hot:
-        windows = rows.filter("suffix IS NULL").select("gram", "tid", "at")
-        common = table(windows.groupBy("gram").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).filter("a <> b").select("gram"), tag)
-        spans = spans.union(windows.join(common, "gram", "left_semi").select("tid", F.col("at").cast("long"), (F.col("at") + min_words).cast("long")))
+    if not shared.filter("hot").isEmpty():
+        hot = joined.filter(F.exists("kept", lambda x: x["hot"])).withColumn("kept", F.array_sort(F.transform(F.filter("kept", lambda x: x["hot"]), lambda x: x["at"])))
+        spans = spans.union(_hot_spans(hot, min_words, tag))
     merged = table(spans, tag).groupBy("tid").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
     def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -189,6 +186,36 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, tag: str | None = No
     return out.select("doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"]).alias("repeated_words"), "spans")
 
 
+def _hot_spans(joined: DataFrame, min_words: int, tag: str) -> DataFrame:
+    """(tid, start, stop) of the shared windows around the hot minimisers (positions ``kept``) of texts."""
+
+    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [_windows(word_hashes(text), np.array(at, np.int64), min_words) for text, at in zip(texts(batch.column(1)), batch.column(2).to_pylist())]
+        stops = pa.array(np.concatenate([[0], np.cumsum([len(x) for x, _ in own])]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(stops, pa.array(np.concatenate(x))) for x in ([x for x, _ in own], [h.view(np.int64) for _, h in own])]
+        return pa.record_batch([batch.column(0), *lists], ["tid", "starts", "hashes"])
+
+    rows = table(map_batches(joined, windows, "tid long, starts array<long>, hashes array<long>"), tag)
+    each = rows.select("tid", F.explode("hashes").alias("hash"))
+    common = table(each.groupBy("hash").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).filter("a <> b").select("hash"), tag)
+    if not bounded(common, MAX_BROADCAST):
+        pairs = rows.select("tid", F.explode(F.arrays_zip("starts", "hashes")).alias("x")).select("tid", F.col("x.starts").alias("start"), F.col("x.hashes").alias("hash"))
+        return pairs.join(common, "hash", "left_semi").select("tid", "start", F.col("start") + min_words)
+    known = rows.sparkSession.sparkContext.broadcast(np.sort(common.toPandas()["hash"].to_numpy(dtype=np.int64)))
+
+    def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
+        starts, hashes = (batch.column(i).flatten().to_numpy() for i in (1, 2))
+        tid = np.repeat(batch.column(0).to_numpy(), np.diff(batch.column(1).offsets.to_numpy()))
+        hit = known.value[np.minimum(np.searchsorted(known.value, hashes), max(0, len(known.value) - 1))] == hashes if len(known.value) else np.zeros(len(hashes), bool)
+        tid, starts = tid[hit], starts[hit]
+        # one span for each run of windows that overlap or touch
+        edge = np.flatnonzero(np.concatenate([[True], (tid[1:] != tid[:-1]) | (starts[1:] > starts[:-1] + min_words)])) if len(tid) else np.zeros(0, np.int64)
+        last = np.concatenate([edge[1:], [len(tid)]])[: len(edge)] - 1
+        return pa.record_batch([pa.array(tid[edge]), pa.array(starts[edge]), pa.array(starts[last] + min_words)], ["tid", "start", "stop"])
+
+    return map_batches(rows, mark, "tid long, start long, stop long")
+
+
 def _other_text(tid: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of positions: each row with the nearest one of another text before and after it in its group."""
     n = len(tid)
@@ -218,16 +245,25 @@ def _found(rows: pa.Table, min_words: int) -> pa.RecordBatch:
     common[:1] = -1
     text = np.ascontiguousarray(left.astype(">u4")).view(f"V{4 * WINDOW}").reshape(-1)
     rank = np.unique(text, return_inverse=True)[1].reshape(-1)
-    out = [np.zeros((0, 3), np.int64)]
+    # all spans of a suffix hold its position, so together they are one
+    start, stop, before = at.copy(), at.copy(), np.zeros(n, np.int64)
     for k in range(min_words - WINDOW, min_words + 1):
-        if k > min_words - WINDOW and not (common == k - 1).any():
-            continue  # the same rows stand together as before
         part = np.cumsum(common < k)
-        order = np.lexsort((tid, rank, part))
+        own = np.arange(n)
+        if k > min_words - WINDOW:
+            split = np.zeros(n + 1, bool)
+            split[before[common == k - 1]] = True
+            own = np.flatnonzero(split[before])  # only rows that stood together with others than now
+        before = part
+        if not len(own):
+            continue
+        order = own[np.lexsort((tid[own], rank[own], part[own]))]
         i, j = _other_text(tid[order], part[order])
         i, j = order[i], order[j]
         r, l = reach(right, i, j), reach(left, i, j)  # noqa: E741
         good = (r >= GRAM) & (r + l >= min_words)
-        out += [np.stack([tid[x[good]], at[x[good]] - l[good], at[x[good]] + r[good]], axis=1) for x in (i, j)]
-    both = np.unique(np.concatenate(out), axis=0)
-    return pa.record_batch([pa.array(both[:, k].copy()) for k in range(3)], ["tid", "start", "stop"])
+        for x in (i, j):
+            np.minimum.at(start, x[good], at[x[good]] - l[good])
+            np.maximum.at(stop, x[good], at[x[good]] + r[good])
+    met = np.flatnonzero(stop > start)
+    return pa.record_batch([pa.array(x[met]) for x in (tid, start, stop)], ["tid", "start", "stop"])
