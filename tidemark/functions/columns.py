@@ -21,6 +21,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
+def clip(x: Column, low: float, high: float) -> Column:
+    """Clip to low..high; NULL stays NULL."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
+
+
 def clip01(x: Column) -> Column:
     """Clip to 0..1; NULL stays NULL."""
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
@@ -46,12 +51,13 @@ def row_mean(*xs: Column) -> Column:
 def pct_rank(x: Column, *by: str, descending: bool = False) -> Column:
     """Percentile rank with average ties among the non-NULL values of a group; NULL for NULL.
 
-    Each group's ties are counted by a second window over (group, value).
+    Missing values stand last, and a range frame of the same value counts its
+    ties, so that all ranks of a group share one shuffle and each needs one sort.
     """
-    known = [*map(F.col, by), x.isNull()]
-    order = Window.partitionBy(*known).orderBy(x.desc() if descending else x)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*known, x))
-    return F.when(x.isNotNull(), (F.rank().over(order) + (ties - 1) / 2) / F.count(x).over(Window.partitionBy(*known)))
+    group = Window.partitionBy(*by)
+    order = group.orderBy(x.desc_nulls_last() if descending else x.asc_nulls_last())
+    ties = F.count(x).over(order.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(x.isNotNull(), (F.rank().over(order) + (ties - 1) / 2) / F.count(x).over(group))
 
 
 def series(symbol: str = "symbol", date: str = "date") -> WindowSpec:

@@ -39,20 +39,25 @@ def within_lifecycle(quotes: DataFrame, master: DataFrame, closed: bool = False)
     return quotes.join(master.select("symbol", "list_date", "delist_date"), "symbol").filter((F.col("list_date") <= F.col("date")) & (F.col("delist_date").isNull() | end))
 
 
-def latest_known(quotes: DataFrame, facts: DataFrame, order: list[Column], available: str, strict: bool = False, stale_months: int | None = None, period: str = "period") -> DataFrame:
-    """Bitemporal latest: of the facts available by each quote's date, the first by ``order`` (all facts' columns).
+def latest_known(quotes: DataFrame, facts: DataFrame, order: list[str], available: str, strict: bool = False, stale_months: int | None = None) -> DataFrame:
+    """Bitemporal latest: of the facts available by each quote's date, the greatest by the columns ``order``.
 
-    Equi-join on the symbol, whose facts are few; the choice is a grouped
-    maximum, not a sort. ``stale_months`` drops periods that ended earlier.
+    Quotes and facts are united, and the greatest fact so far is carried along
+    each symbol's dates, so a symbol with very many facts costs a sort and not
+    all pairs. ``stale_months`` drops facts whose first order column, a date,
+    is earlier than that: the greatest one is then the last to go.
     """
-    known = F.col(available) < F.col("date") if strict else F.col(available) <= F.col("date")
-    if stale_months is not None:
-        known = known & (F.col(period) >= F.add_months("date", -stale_months))
-    facts_ = facts.filter(F.col(available).isNotNull())
     names = [c for c in facts.columns if c != "symbol"]
-    picked = quotes.select("symbol", "date").distinct().join(facts_, "symbol").filter(known)
-    best = picked.groupBy("symbol", "date").agg(F.max_by(F.struct(*names), F.struct(*order)).alias("_fact"))
-    return quotes.join(best, ["symbol", "date"], "left").select(*quotes.columns, *(F.col("_fact")[c].alias(c) for c in names))
+    fact = F.struct(*order, *(c for c in names if c not in order))
+    known = facts.filter(F.col(available).isNotNull()).select("symbol", F.col(available).cast("date").alias("date"), fact.alias("_fact"))
+    rows = quotes.select("symbol", "date", F.struct(*quotes.columns).alias("_quote"), F.lit(None).cast(dict(known.dtypes)["_fact"]).alias("_fact"))
+    both = rows.unionByName(known.withColumn("_quote", F.lit(None).cast(dict(rows.dtypes)["_quote"])))
+    turn = F.col("_quote").isNull() if strict else F.col("_quote").isNotNull()
+    so_far = Window.partitionBy("symbol").orderBy("date", turn).rowsBetween(Window.unboundedPreceding, 0)
+    best = both.withColumn("_best", F.max("_fact").over(so_far)).filter("_quote IS NOT NULL")
+    if stale_months is not None:
+        best = best.withColumn("_best", F.when(F.col("_best")[order[0]] >= F.add_months("date", -stale_months), F.col("_best")))
+    return best.select("_quote.*", *(F.col("_best")[c].alias(c) for c in names))
 
 
 def at_session_offset(panel: DataFrame, value: str, offset: int, name: str) -> DataFrame:

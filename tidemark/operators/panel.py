@@ -21,20 +21,31 @@ def check_contract(df: DataFrame, required: dict[str, str], key: list[str]) -> d
     return {k: int(v or 0) for k, v in row.asDict().items()}
 
 
-def densify(panel: DataFrame) -> DataFrame:
-    """Every symbol on every date from its first one on.
-
-    Gaps carry the last close forward, open at it, trade nothing and count as
-    suspended; ``raw`` tells real rows. Symbols and dates are few against the
-    rows, and the cross product is the size of the result.
+def densify(panel: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
+    """Every symbol on every date of the calendar (default: the panel's own) from its first one on.
+
+    Gaps carry the last close forward, trade nothing and count as suspended;
+    ``raw`` tells real rows. Where the panel has them, highs, lows and limits
+    of gaps are carried too, a missing open is the close before (the own close
+    on the first date), flags of special treatment are carried and limit flags
+    are off. The calendar is gathered in one row, a few thousand dates, and
+    each symbol explodes its part of it.
     """
-    dates = panel.select("date").distinct()
+    dates = (panel if calendar is None else calendar).agg(F.array_sort(F.collect_set("date")).alias("_dates"))
     first = panel.groupBy("symbol").agg(F.min("date").alias("_first"))
-    grid = first.join(dates, F.col("date") >= F.col("_first")).drop("_first")
+    grid = first.crossJoin(F.broadcast(dates)).select("symbol", F.explode(F.filter("_dates", lambda x: x >= F.col("_first"))).alias("date"))
     full = grid.join(panel.withColumn("raw", F.lit(True)), ["symbol", "date"], "left")
     held = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     close = F.last("close", ignorenulls=True).over(held)
-    return full.withColumns({"close": close, "raw": F.coalesce("raw", F.lit(False))}).withColumns({"amount": F.coalesce("amount", F.lit(0.0)), "volume": F.coalesce("volume", F.lit(0.0)), "is_suspended": ~F.col("raw")})
+    before = F.last("close", ignorenulls=True).over(Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, -1))
+    gap, more = F.col("raw").isNull(), {}
+    for c in ("high", "low", "limit_up", "limit_down", "is_st"):
+        if c in panel.columns:
+            more[c] = F.when(gap, F.last(c, ignorenulls=True).over(held)).otherwise(F.col(c))
+    more |= {c: F.when(gap, F.lit(False)).otherwise(F.col(c)) for c in ("is_limit_up", "is_limit_down") if c in panel.columns}
+    if "open" in panel.columns:
+        more["open"] = F.coalesce("open", before, close)
+    return full.withColumns(more | {"close": close, "raw": F.coalesce("raw", F.lit(False))}).withColumns({"amount": F.coalesce("amount", F.lit(0.0)), "volume": F.coalesce("volume", F.lit(0.0)), "is_suspended": ~F.col("raw")})
 
 
 def technical_features(panel: DataFrame) -> DataFrame:

@@ -38,6 +38,16 @@ def ic_summary(ics: DataFrame, keys: list[str]) -> DataFrame:
     return ics.groupBy(*keys).agg(n.alias("periods"), mean.alias("mean_ic"), F.median("ic").alias("median_ic"), sd.alias("sd_ic"), t.alias("t_stat"), F.avg(F.when(F.col("ic").isNotNull(), (F.col("ic") > 0).cast("double"))).alias("positive_share"), F.avg("spread").alias("mean_spread"))
 
 
+def summary_status(periods: Column, mean: Column, t: Column) -> Column:
+    return F.when(periods < 3, "low_period_count").when(mean < -0.02, "adverse").when(F.abs(mean) < 0.02, "weak").when(t >= 1.5, "supportive").otherwise("positive_but_noisy")
+
+
+def best_and_adverse(summary: DataFrame) -> DataFrame:
+    """One row: the cell of the highest mean IC (ties by t), and how many are supportive and adverse."""
+    best = F.struct("mean_ic", "t")
+    return summary.agg(F.count("*").alias("summary_rows"), F.max_by("factor", best).alias("best_factor"), F.max_by("horizon", best).alias("best_horizon"), F.max("mean_ic").alias("best_mean_ic"), F.count_if(F.col("status") == "supportive").alias("supportive"), F.count_if(F.col("status") == "adverse").alias("adverse"))
+
+
 def newey_west(values: DataFrame, keys: list[str], value: str, order: str, lags: int = 3, effective: bool = True) -> DataFrame:
     """Mean, HAC t statistic and count per key: Bartlett weights, autocovariances over n.
 

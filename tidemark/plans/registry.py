@@ -73,8 +73,21 @@ def _r(names, digits: int = 6) -> str:
     return ", ".join(f"round({n}, {digits}) AS {n}" for n in names)
 
 
+def even(df: DataFrame) -> DataFrame:
+    """Doubles to millionths in floating operations that every engine does alike."""
+    return df.select(*(adapter.micro(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def _even(x: str) -> str:
+    return f"floor(({x}) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE"
+
+
+def even_sql(names) -> str:
+    return ", ".join(f"{_even(n)} AS {n}" for n in names)
+
+
 def _tech(spark: SparkSession, d: str) -> DataFrame:
-    return P.technical_features(P.densify(adapter.daily_panel(spark, d).select("date", "symbol", "amount", "volume", "close")))
+    return P.technical_features(P.densify(adapter.daily_panel(spark, d).select("date", "symbol", "amount", "volume", "close"), adapter.calendar(spark, d)))
 
 
 def _rank_sql(x: str, by: str = "date", desc: bool = False) -> str:
@@ -95,7 +108,7 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rebalances(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).join(P.first_sessions(adapter.daily_panel(spark, d)), "date", "left_semi")
+    return _scored(spark, d).join(P.first_sessions(adapter.calendar(spark, d)), "date", "left_semi")
 
 
 @query(SCORED + " SELECT * FROM (SELECT date, symbol, score, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) AS position FROM scored WHERE date IN (SELECT date FROM months)) WHERE position <= 10")
@@ -189,7 +202,7 @@ def lifecycle_closed(spark: SparkSession, d: str) -> DataFrame:
 def bitemporal_latest(spark: SparkSession, d: str) -> DataFrame:
     """Latest period published before the date and at most 18 months old."""
     quotes = adapter.daily_panel(spark, d).select("date", "symbol")
-    return joins.latest_known(quotes, adapter.fundamentals(spark, d), [F.col("period"), F.col("published")], "published", strict=True, stale_months=18)
+    return joins.latest_known(quotes, adapter.fundamentals(spark, d), ["period", "published"], "published", strict=True, stale_months=18)
 
 
 @query(PANEL + ", cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS session FROM (SELECT DISTINCT date FROM panel)), p AS (SELECT panel.*, session FROM panel JOIN cal USING (date)) SELECT a.symbol, a.date, a.session, b.close AS close_ahead, round(b.close / a.close - 1, 8) AS forward_return FROM p a LEFT JOIN p b ON a.symbol = b.symbol AND b.session = a.session + 4")
@@ -280,7 +293,7 @@ ics AS (SELECT date, factor, horizon, count(*) AS n, CASE WHEN count(DISTINCT x)
 def _ics(spark: SparkSession, d: str) -> DataFrame:
     ahead = lambda h: F.round(ratio(F.lead("close", h).over(P.series()), F.col("close")) - 1, 9)
     rows = _tech(spark, d).select("date", "symbol", F.round("momentum_12", 9).alias("m"), F.round("volatility_12", 9).alias("v"), ahead(4).alias("f4"), ahead(12).alias("f12"))
-    rows = rows.join(P.first_sessions(adapter.daily_panel(spark, d)), "date", "left_semi")
+    rows = rows.join(P.first_sessions(adapter.calendar(spark, d)), "date", "left_semi")
     cells = rows.selectExpr("date", "symbol", "stack(4, 'momentum', 4, m, f4, 'momentum', 12, m, f12, 'low_vol', 4, -v, f4, 'low_vol', 12, -v, f12) AS (factor, horizon, score, outcome)")
     return study.rank_ic(cells, ["date", "factor", "horizon"])
 

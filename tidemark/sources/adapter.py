@@ -31,6 +31,11 @@ def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date): the sessions of the panel, from one column of its table."""
+    return read(spark, sf_dir, "lineitem").select(week("l_shipdate").alias("date")).distinct()
+
+
 def index_series(panel: DataFrame) -> DataFrame:
     """(date, close): total amount over total volume, one row per date."""
     total = lambda c: F.sum(F.col(c).cast("decimal(28,4)")).cast("double")

@@ -8,9 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import finite
-
-#: Fixed symbol format: six digits and an exchange.
-SYMBOL = r"^\d{6}\.(SH|SZ|BJ)$"
+from tidemark.operators.normalise import normal_symbol
 
 
 @dataclass(frozen=True)
@@ -35,13 +33,6 @@ def strict_date(x: F.Column) -> F.Column:
     return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}$"), x.try_cast("date")).when(x.rlike(r"^\d{8}$"), parts.try_cast("date"))
 
 
-def normal_symbol(x: F.Column) -> F.Column:
-    """Six digits with the exchange that the first one implies, if it isn't given."""
-    digits, given = F.lpad(F.regexp_extract(x, r"^(\d{1,6})", 1), 6, "0"), F.upper(F.regexp_extract(x, r"\.([A-Za-z]{2})$", 1))
-    implied = F.when(digits.rlike("^[69]"), "SH").when(digits.rlike("^[48]"), "BJ").otherwise("SZ")
-    return F.concat_ws(".", digits, F.when(given != "", given).otherwise(implied))
-
-
 def parse(raw: DataFrame, contract: Contract) -> DataFrame:
     """All-string columns to the contract's types; what doesn't parse is NULL, NaN and infinities too."""
     raw = raw.withColumnsRenamed({a: c for a, c in contract.aliases.items() if a in raw.columns})
@@ -51,6 +42,7 @@ def parse(raw: DataFrame, contract: Contract) -> DataFrame:
     out = []
     for c, kind in contract.columns.items():
         x = F.col(c) if c in raw.columns else F.lit(None).cast("string")
+        x = F.nullif(normal_symbol(x), F.lit("")) if c == "symbol" else x
         x = strict_date(x) if kind == "date" else finite(x.try_cast("double")) if kind == "double" else x if kind == "string" else x.try_cast(kind)
         out.append(x.alias(c))
     return raw.select(*out)
