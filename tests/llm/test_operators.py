@@ -440,3 +440,23 @@ def test_long_runs_of_one_line(spark):
     want = shared_words(texts)
     for r in suffix_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect():
         assert {x for s in r.spans for x in range(s.start, s.stop)} == want[r.doc_id]
+
+
+def test_bitmaps_rule_out_only_what_cannot_be_similar():
+    """Sets of very different sizes around 0.8: no similar pair is ruled out, and few that are far from it stay."""
+    rng = np.random.default_rng(31)
+    sets, far = [], 0
+    for n in (3, 40, 600, 1100, 5000, 30000):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for share in (0.0, 0.05, 0.1, 0.2, 0.5):
+            keep = base[rng.random(n) >= share]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**63, n - len(keep), dtype=np.uint64)])))
+    bits, sizes = golay_simhash.Bitmaps([golay_simhash._parities(s) for s in sets]), np.array([len(s) for s in sets])
+    i, j = map(np.array, zip(*[(a, b) for a in range(len(sets)) for b in range(a)]))
+    may = bits.may_be_similar(sizes, i, j, 0.8)
+    for a, b, ok in zip(i, j, may):
+        same = len(np.intersect1d(sets[a], sets[b]))
+        like = same / (len(sets[a]) + len(sets[b]) - same)
+        assert ok or like < 0.8
+        far += ok and like < 0.5 and min(sizes[a], sizes[b]) > 100
+    assert far == 0

@@ -235,8 +235,10 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, max_errors: int
 
 
 MAX_BROADCAST_IDS = 500_000
-#: Counters of the shingle sketch and of one of its rows, words of a parity bitmap, and the most rows that meet in one piece of a key or of a candidate group.
-SKETCH, SKETCH_ROW, BITMAP_WORDS, KEY_ROWS, GROUP_ROWS = 1 << 20, 1 << 14, 8, 4096, 256
+#: Counters of the shingle sketch and of one of its rows, and the most rows that meet in one piece of a key or of a candidate group.
+SKETCH, SKETCH_ROW, KEY_ROWS, GROUP_ROWS = 1 << 20, 1 << 14, 4096, 256
+#: Least and most bits of a parity bitmap; between them it has as many as its set has members, or up to twice that.
+BITMAP_BITS = (512, 16384)
 
 
 def shingle_set(text: bytes, words_per_shingle: int) -> np.ndarray:
@@ -253,10 +255,42 @@ def _set_id(shingles: np.ndarray) -> int:
 
 def _parities(shingles: np.ndarray) -> np.ndarray:
     """Bitmap whose bits are the parities of the set's members in each slot: two bitmaps differ in no more bits than their sets in members."""
-    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % (64 * BITMAP_WORDS), minlength=64 * BITMAP_WORDS) & 1
+    n = min(max(BITMAP_BITS[0], 1 << max(0, len(shingles) - 1).bit_length()), BITMAP_BITS[1])
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (n - 1), minlength=n) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+class Bitmaps:
+    """Parity bitmaps of several sets. Of two lengths, the longer one is folded: its slots modulo the shorter one's."""
+
+    def __init__(self, bitmaps: list):
+        self.flat = np.frombuffer(b"".join(bitmaps), np.uint64)
+        self.width = np.array([memoryview(x).nbytes // 8 for x in bitmaps], np.int64)
+        self.at = np.cumsum(self.width) - self.width
+
+    def _folded(self, rows: np.ndarray, width: int) -> np.ndarray:
+        out = np.zeros((len(rows), width), np.uint64)
+        for times in np.unique(self.width[rows] // width).tolist():
+            own = np.flatnonzero(self.width[rows] == times * width)
+            cells = self.flat[self.at[rows[own]][:, None] + np.arange(times * width)]
+            out[own] = np.bitwise_xor.reduce(cells.reshape(-1, times, width), axis=1)
+        return out
+
+    def may_be_similar(self, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+        """False only for pairs that can't be similar enough, by their sizes and the bits in which their bitmaps differ."""
+        n, m = sizes[i], sizes[j]
+        good = np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9
+        most = (1 - similarity) / (1 + similarity) * (n + m) + 1e-9
+        least = np.minimum(self.width[i], self.width[j])
+        for width in np.unique(least[good]).tolist():
+            own = np.flatnonzero(good & (least == width))
+            for at in range(0, len(own), 4096):
+                some = own[at : at + 4096]
+                apart = np.bitwise_count(self._folded(i[some], width) ^ self._folded(j[some], width)).sum(axis=1, dtype=np.int64)
+                good[some] = apart <= most[some]
+        return good
+
+
 def _prefix(shingles: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
     """The set's first members, rarest first by the sketch: two sets similar enough always share one of them."""
     n = len(shingles)
@@ -264,26 +298,19 @@ def _prefix(shingles: np.ndarray, counts: np.ndarray, similarity: float) -> np.n
     return shingles[order[: n - math.ceil(similarity * n - 1e-9) + 1]] if n else shingles
 
 
-def _may_be_similar(n, bits, m, others, similarity: float):
-    """False only for sets that can't be similar enough, by their sizes and the bits in which their bitmaps differ."""
-    apart = np.bitwise_count(bits ^ others).sum(axis=-1, dtype=np.int64)
-    most = (1 - similarity) / (1 + similarity)
-    return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (apart <= most * (n + m) + 1e-9)
-
-
 def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return common >= similarity * (len(a) + len(b) - common)
 
 
-def _candidate_links(keys: np.ndarray, sids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity: float) -> np.ndarray:
+def _candidate_links(keys: np.ndarray, sids: np.ndarray, sizes: np.ndarray, bits: Bitmaps, similarity: float) -> np.ndarray:
     """(a, b) links that connect, within each run of equal keys, all members whose sets may be similar enough."""
     edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     size = np.diff(np.concatenate([edge, [len(keys)]]))
     inside, found = np.repeat(size, size), []
     for step in range(1, min(8, int(size.max()))):
         i = np.flatnonzero((keys[:-step] == keys[step:]) & (inside[:-step] <= 8))
-        i = i[_may_be_similar(sizes[i], bits[i], sizes[i + step], bits[i + step], similarity)]
+        i = i[bits.may_be_similar(sizes, i, i + step, similarity)]
         found.append(np.stack([sids[i], sids[i + step]], axis=1))
     for at, n in zip(edge[size > 8].tolist(), size[size > 8].tolist()):
         rest = np.arange(at, at + n)
@@ -291,7 +318,7 @@ def _candidate_links(keys: np.ndarray, sids: np.ndarray, sizes: np.ndarray, bits
             queue, rest = [rest[0]], rest[1:]
             while queue and len(rest):
                 x = queue.pop()
-                near = _may_be_similar(sizes[x], bits[x], sizes[rest], bits[rest], similarity)
+                near = bits.may_be_similar(sizes, np.full(len(rest), x), rest, similarity)
                 if near.any():
                     found.append(np.stack([np.full(int(near.sum()), sids[x]), sids[rest[near]]], axis=1))
                     queue += rest[near].tolist()
@@ -303,7 +330,7 @@ def _verified_links(sids: list[int], sets: list[np.ndarray], similarity: float)
     """A spanning forest of the links of all pairs whose shingle sets are similar enough."""
     n, links_ = len(sids), []
     root, sizes = list(range(n)), np.array([len(s) for s in sets])
-    bits = np.stack([_parities(s) for s in sets])
+    bits = Bitmaps([_parities(s) for s in sets])
 
     def top(x):
         while root[x] != x:
@@ -312,7 +339,7 @@ def _verified_links(sids: list[int], sets: list[np.ndarray], similarity: float)
         return x
 
     for i in range(1, n):
-        for j in np.flatnonzero(_may_be_similar(sizes[i], bits[i], sizes[:i], bits[:i], similarity)).tolist():
+        for j in np.flatnonzero(bits.may_be_similar(sizes, np.full(i, i), np.arange(i), similarity)).tolist():
             a, b = top(i), top(j)
             if a != b and _similar(sets[i], sets[j], similarity):
                 root[max(a, b)] = min(a, b)
@@ -441,7 +468,7 @@ def drop_near_duplicates(docs: DataFrame, words_per_shingle: int = 5, similarity
 
     def meet(rows: pa.Table) -> pa.RecordBatch:
         piece, sids, n = (rows.column(i).to_numpy() for i in range(3))
-        bits = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS)
+        bits = Bitmaps(rows.column(3).to_pylist())
         found = _candidate_links(piece, sids, n.astype(np.int64), bits, similarity)
         return pa.record_batch([pa.array(found[:, 0].copy(), pa.int64()), pa.array(found[:, 1].copy(), pa.int64())], ["a", "b"])
 
@@ -493,7 +520,7 @@ def _fingerprint_candidates(classes: DataFrame, marked: DataFrame, similarity: f
 
     def possible(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, m = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
-        bits, others = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS) for i in (4, 5))
-        return pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array(_may_be_similar(n, bits, m, others, similarity)))
+        bits, one = Bitmaps(batch.column(4).to_pylist() + batch.column(5).to_pylist()), np.arange(len(n))
+        return pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array(bits.may_be_similar(np.concatenate([n, m]), one, one + len(n), similarity)))
 
     return map_batches(pairs, possible, "a long, b long")
