@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import golay_simhash, hash_forest, language_id, line_dedup, mixing, outliers, packing, quality_gam, queries, suffix_dedup, text_stats, url_filter
+from tidemark.llm import common, golay_simhash, hash_forest, language_id, line_dedup, mixing, outliers, packing, quality_gam, queries, suffix_dedup, text_stats, url_filter
 
 TINY, SMALL = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -460,3 +460,26 @@ def test_bitmaps_rule_out_only_what_cannot_be_similar():
         assert ok or like < 0.8
         far += ok and like < 0.5 and min(sizes[a], sizes[b]) > 100
     assert far == 0
+
+
+def test_related_documents_meet_in_a_shard(spark):
+    """Of many shards: a document's best BM25 neighbour over all documents is far oftener in its own shard than by chance."""
+    docs = read(spark, "documents").filter("length(text) > 200").select("doc_id", "text")
+    tokens = packing.tokenize(docs, queries.tokenizer_path()).collect()
+    ids = [packing.unpack(r.ids, r.n) for r in tokens]
+    counts = np.zeros(50_000)
+    for own in ids:
+        counts[packing.terms_of(own)[0]] += 1
+    mean, idf = np.mean([len(x) for x in ids]), np.log1p((len(ids) - counts + 0.5) / (counts + 0.5)).astype(np.float32)
+    index, best = packing.ShardIndex(ids, idf, mean), {}
+    for i in range(len(ids)):
+        near = [j for j in index.neighbours(i) if j != i]
+        if near:
+            best[tokens[i].doc_id] = tokens[near[0]].doc_id
+    common.release(spark, "deal_test")
+    table = common.table(packing.tokenize(docs, queries.tokenizer_path()), "deal_test/tokens")
+    dealt, _, _ = packing.deal(table, sum(map(len, ids)) // 20, "deal_test")
+    shard = {r.doc_id: r.shard for r in dealt.select("doc_id", "shard").collect()}
+    met = np.mean([shard[a] == shard[b] for a, b in best.items()])
+    assert len(set(shard.values())) >= 10 and met > 0.3, met
+    print("best neighbours in the same shard:", round(float(met), 3), "of", len(best))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, hand_back, map_batches, new_tag, slices, table
+from tidemark.llm.common import bounded, hand_back, map_batches, new_tag, release, slices, table
 from tidemark.llm.tokens import tokenizer_at
 
 WINDOW, END_ID = 4096, 2
@@ -176,7 +176,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
     gives no pieces. Documents without a term that others share are dealt by row.
     """
     tag = tag or new_tag("packing")
-    tokens = table(tokenize(docs, tokenizer_path), tag)
+    tokens = table(tokenize(docs, tokenizer_path), f"{tag}/tokens")
     dealt, shared, mean_length = deal(tokens, shard_tokens, tag)
 
     def run(rows: pa.Table) -> pa.Table:
@@ -199,7 +199,8 @@ def deal(tokens: DataFrame, shard_tokens: int, tag: str):
 
     Keys are hashed to as many shards as the ids need. Those of more ids than a
     quarter of a shard get shards of their own, as many as they fill: at most
-    four for each shard's worth of ids, so their table is small.
+    four for each shard's worth of ids, so their table is small. ``tokens`` is
+    a scratch table (``tag``/tokens) that a keyed one takes the place of.
     """
     total = tokens.agg(F.sum("n").alias("n"), F.count("*").alias("docs")).first()
     shards, mean_length = max(1, math.ceil((total["n"] or 0) / shard_tokens)), (total["n"] or 1) / max(1, total["docs"])
@@ -216,7 +217,8 @@ def deal(tokens: DataFrame, shard_tokens: int, tag: str):
         key = [heaviest_shared(unpack(data.as_buffer(), n), idf.value, common.value, mean_length) for data, n in rows]
         return pa.record_batch([*batch.columns, pa.array(key, pa.int64())], ["doc_id", "ids", "n", "key"])
 
-    keyed = map_batches(tokens, mark, "doc_id long, ids binary, n long, key long")
+    keyed = table(map_batches(tokens, mark, "doc_id long, ids binary, n long, key long"), tag)
+    release(tokens.sparkSession, f"{tag}/tokens")
     own = keyed.filter("key >= 0").groupBy("key").agg(F.ceil(F.sum("n") / F.lit(shard_tokens)).cast("int").alias("split"), F.sum("n").alias("size"))
     large = table(own.filter(F.col("size") > shard_tokens // 4).select("key", "split"), tag)
     large = F.broadcast(large) if bounded(large, 4 * shards) else large

@@ -75,7 +75,7 @@ class PieceTokenizer:
     characters of either, a cache starts anew, which bounds memory.
     """
 
-    def __init__(self, path: str, max_pieces: int = 200_000, max_words: int = 250_000, max_chars: int = 8_000_000):
+    def __init__(self, path: str, max_pieces: int = 500_000, max_words: int = 700_000, max_chars: int = 16_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
