@@ -196,8 +196,19 @@ def _hot_spans(joined: DataFrame, min_words: int, tag: str) -> DataFrame:
         return pa.record_batch([batch.column(0), *lists], ["tid", "starts", "hashes"])
 
     rows = table(map_batches(joined, windows, "tid long, starts array<long>, hashes array<long>"), tag)
-    each = rows.select("tid", F.explode("hashes").alias("hash"))
-    common = table(each.groupBy("hash").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).filter("a <> b").select("hash"), tag)
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The distinct windows of a batch, with the least and greatest text that holds each."""
+        hashes = batch.column(2).flatten().to_numpy()
+        tid = np.repeat(batch.column(0).to_numpy(), np.diff(batch.column(2).offsets.to_numpy()))
+        order = np.lexsort((tid, hashes))
+        hashes, tid = hashes[order], tid[order]
+        edge = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+        last = np.concatenate([edge[1:], [len(hashes)]])[: len(edge)] - 1
+        return pa.record_batch([pa.array(hashes[edge]), pa.array(tid[edge]), pa.array(tid[last])], ["hash", "a", "b"])
+
+    each = map_batches(rows, count, "hash long, a long, b long").groupBy("hash").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    common = table(each.filter("a <> b").select("hash"), tag)
     if not bounded(common, MAX_BROADCAST):
         pairs = rows.select("tid", F.explode(F.arrays_zip("starts", "hashes")).alias("x")).select("tid", F.col("x.starts").alias("start"), F.col("x.hashes").alias("hash"))
         return pairs.join(common, "hash", "left_semi").select("tid", "start", F.col("start") + min_words)
