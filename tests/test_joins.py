@@ -38,7 +38,7 @@ def test_event_window_edges(spark):
 
 def test_bitemporal_latest_prefers_the_period(spark):
     facts = spark.createDataFrame([("a", day(1), day(2), 1.0), ("a", dt.date(2023, 12, 1), day(4), 2.0), ("a", day(2), None, 3.0)], "symbol string, period date, published date, v double")
-    got = {r.date: r.v for r in joins.latest_known(quotes(spark).filter("symbol = 'a'"), facts, [F.col("period")], "published", strict=True).collect()}
+    got = {r.date: r.v for r in joins.latest_known(quotes(spark).filter("symbol = 'a'"), facts, ["period"], "published", strict=True).collect()}
     assert got == {day(1): None, day(3): 1.0, day(5): 1.0}
 
 
