@@ -35,3 +35,14 @@ def test_group_cap_backfills(spark):
     rows = [(1, s, g, x) for s, g, x in (("a", "x", 9.0), ("b", "x", 8.0), ("c", "x", 7.0), ("d", "y", 1.0))]
     got = panel.select_capped(spark.createDataFrame(rows, "date int, symbol string, g string, score double"), 3, "g", 0.34).orderBy("position")
     assert [r.symbol for r in got.collect()] == ["a", "d", "b"]
+
+
+def test_two_sided_p_against_the_error_function(spark):
+    import math
+
+    from tidemark.operators.lattice import two_sided_p
+
+    ts = [0.0, 0.1, -1.0, 1.959963984540054, -3.5, 6.0]
+    got = [r.p for r in spark.createDataFrame([(t,) for t in ts], "t double").select("t", two_sided_p(F.col("t")).alias("p")).orderBy("t").collect()]
+    want = [math.erfc(abs(t) / math.sqrt(2)) for t in sorted(ts)]
+    assert all(abs(a - b) < 1e-12 for a, b in zip(got, want))
