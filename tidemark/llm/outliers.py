@@ -4,9 +4,11 @@ Each text gives a vector of transformed statistics. For every group (language
 and source) the location and scatter of the tightest ``COVERAGE`` of its
 vectors are found by concentration steps from a start of medians and quartiles:
 distances under the present estimate, then mean and covariance of the nearest
-``COVERAGE`` of the group. Each step lowers the determinant. All vectors of all
-groups take part in every step, as one aggregation by (group, distance bin) of
-counts, sums and products; only those sums are shuffled, so a hot group costs
+``COVERAGE`` of the group, in whole bins of distance and stretched by the share
+that these bins hold. A group takes steps as long as they lower the determinant
+of that scatter, and keeps the estimate of the lowest. All vectors of the groups
+that still move take part in a step, as one aggregation by (group, distance bin)
+of counts, sums and products; only those sums are shuffled, so a hot group costs
 no more than any other. Vectors are held in whole 1/256ths, which makes the
 sums exact and reruns identical.
 """
@@ -14,6 +16,7 @@ sums exact and reruns identical.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,7 +28,8 @@ from tidemark.llm.text_stats import with_rule_stats
 
 SCALE = 256
 COVERAGE = 0.75
-STEPS = 5
+#: Groups converge within about ten steps; one that hasn't after these keeps the best of them.
+MAX_STEPS = 30
 #: A rejected vector lies beyond this quantile of chi-squared, stretched where a group's median distance is over that of normal vectors.
 QUANTILE = 0.999
 #: Groups with fewer rows are pooled with the other small ones of their language; a pool below it rejects nothing.
@@ -115,15 +119,20 @@ def _cuts(rows: DataFrame) -> DataFrame:
 def estimate(rows: DataFrame, tag: str) -> DataFrame:
     """(g, center, inverse): location and inverse scatter of each group of ``rows`` (g, x0, x1, ...)."""
     now = table(_start(rows), tag)
-    for step in range(STEPS):
+    steps = [now]
+    for _ in range(MAX_STEPS):
         binned = rows.join(now, "g").withColumn("bin", F.floor(16 * F.log2(_distance() + 0.01)).cast("int"))
         products = [(i, j) for i in range(D) for j in range(i, D)]
-        sums = binned.groupBy("g", "bin").agg(F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(D)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in products))
+        sums = binned.groupBy("g", "bin").agg(F.count("*").alias("n"), F.max("logdet").alias("was"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(D)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in products))
         upto = F.sum("n").over(Window.partitionBy("g").orderBy("bin")) - F.col("n")
         near = sums.withColumn("_below", upto).withColumn("_all", F.sum("n").over(Window.partitionBy("g"))).filter(F.col("_below") < COVERAGE * F.col("_all"))
-        held = near.groupBy("g").agg(F.first("_all").alias("rows"), F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in sums.columns if c[0] in "sp"))
-        now = table(held.mapInPandas(_solve, "g string, center array<double>, inverse array<double>"), tag)
-    return now
+        held = near.groupBy("g").agg(F.first("_all").alias("rows"), F.max("was").alias("was"), F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in sums.columns if c[0] in "sp"))
+        now = table(held.mapInPandas(_solve, "g string, center array<double>, inverse array<double>, logdet double"), tag)
+        if now.isEmpty():
+            break
+        steps.append(now)
+    found = reduce(DataFrame.union, steps).groupBy("g").agg(F.min_by(F.struct("center", "inverse"), "logdet").alias("_best"))
+    return found.select("g", "_best.*")
 
 
 def _distance() -> Column:
@@ -148,12 +157,11 @@ def _start(rows: DataFrame) -> DataFrame:
     marks = marks.withColumn("sd", F.greatest((F.col("high") - F.col("low")) / 1.349, F.element_at(floors, F.col("i") + 1)))
     gathered = marks.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "mid", "sd"))).alias("m"))
     inverse = [F.when(F.lit(i == j), 1 / F.pow(F.col("m")[i]["sd"], 2)).otherwise(0.0) for i in range(D) for j in range(D)]
-    return gathered.select("g", F.col("m.mid").alias("center"), F.array(*inverse).alias("inverse"))
+    return gathered.select("g", F.col("m.mid").alias("center"), F.array(*inverse).alias("inverse"), F.lit(float("inf")).alias("logdet"))
 
 
 def _solve(frames):
-    """Mean and inverse covariance from each group's sums, with the floors added to the variances."""
-    factor = consistency(COVERAGE, D)
+    """Mean and inverse covariance from each group's sums, with the floors added to the variances, if its determinant falls."""
     for frame in frames:
         out = []
         for row in frame.to_dict("records"):
@@ -163,5 +171,8 @@ def _solve(frames):
             for i in range(D):
                 for j in range(i, D):
                     cov[i, j] = cov[j, i] = (int(row[f"p{i}_{j}"]) * int(n) - int(row[f"s{i}"]) * int(row[f"s{j}"])) / n / n / SCALE**2
-            out.append((row["g"], mean.tolist(), np.linalg.inv(cov * factor + np.diag(np.square(FLOORS))).ravel().tolist()))
-        yield pd.DataFrame(out, columns=["g", "center", "inverse"])
+            scatter = cov * consistency(n / row["rows"], D) + np.diag(np.square(FLOORS))
+            logdet = float(np.linalg.slogdet(scatter)[1])
+            if logdet < row["was"] - 1e-9:
+                out.append((row["g"], mean.tolist(), np.linalg.inv(scatter).ravel().tolist(), logdet))
+        yield pd.DataFrame(out, columns=["g", "center", "inverse", "logdet"])
