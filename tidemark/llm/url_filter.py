@@ -142,7 +142,7 @@ def filter_urls(pages: DataFrame, rules=RULES, smoothing: float = 1.0, tag: str
     hosts = urls.select("host").distinct().withColumn("labels", label)
     split = table(segment_labels(hosts.select(F.explode("labels").alias("label")), words), tag)
     by_host = hosts.select("host", F.explode("labels").alias("label")).join(split, "label").select("host", F.explode("words").alias("token"))
-    by_host = table(by_host.withColumn("token", F.concat(F.lit("h:"), "token")), tag)
+    by_host = table(by_host.select("host", F.concat(F.lit("h:"), "token").alias("token")).distinct(), tag)
     pieces = F.filter(F.split(F.lower("path"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     pieces = F.transform(F.array_distinct(F.transform(pieces, lambda x: F.regexp_replace(x, r"^\p{N}+$", "0"))), lambda x: F.concat(F.lit("p:"), x))
     paths = urls.groupBy("path").agg(F.count_if(F.col("_verdict") == "allow").alias("allow"), F.count_if(F.col("_verdict") == "block").alias("block")).select("path", "allow", "block", F.explode(pieces).alias("token"))
