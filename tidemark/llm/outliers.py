@@ -102,7 +102,8 @@ def reject_outliers(docs: DataFrame, tag: str | None = None) -> DataFrame:
     keyed = table(keyed, tag)
     fitted = estimate(keyed.filter("NOT base_failed").select("g", *(f"x{i}" for i in range(D))), tag)
     out = keyed.join(fitted, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
-    out = out.join(_cuts(out.filter("distance IS NOT NULL")), "g", "left")
+    # a row for each group: as tables their size is known, so Spark broadcasts them while they are small and a hot group stays dealt
+    out = out.join(table(_cuts(out.filter("distance IS NOT NULL")), tag), "g", "left")
     kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= F.col("cut")))
     return out.withColumn("kept", kept).select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
 
@@ -132,7 +133,7 @@ def estimate(rows: DataFrame, tag: str) -> DataFrame:
             break
         steps.append(now)
     found = reduce(DataFrame.union, steps).groupBy("g").agg(F.min_by(F.struct("center", "inverse"), "logdet").alias("_best"))
-    return found.select("g", "_best.*")
+    return table(found.select("g", "_best.*"), tag)
 
 
 def _distance() -> Column:
