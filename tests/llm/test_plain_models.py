@@ -208,3 +208,20 @@ def test_verdicts_of_the_model(spark):
             assert got[r.page_id].verdict == ("block" if score > 0 else "allow")
             judged += 1
     assert judged or all(got[r.page_id].rule for r in rows)
+
+
+def test_training_rows_of_a_language_with_few_doc_ids(spark):
+    """The model is that of the smallest hashes of each language, whether or not enough of them are below the cut."""
+    rows = [(i % 3, "aa", f"word{i % 3} abc") for i in range(300)] + [(1000 + i, "bb", f"text{i} xyz") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    for most in (5, 20, 250):
+        picked = docs.selectExpr("doc_id", "lang", "text", "row_number() over (partition by lang order by xxhash64(doc_id), doc_id) AS nth").filter(f"nth <= {most}")
+        texts = docs.join(picked.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi").collect()
+        languages, logs = language_id.fit_text_model(docs, most)
+        assert languages == ["aa", "bb"]
+        for k, lang in enumerate(languages):
+            want = np.full(language_id.SLOTS, 0.5)
+            for r in texts:
+                if r.lang == lang:
+                    want += np.bincount(language_id.slots(r.text), minlength=language_id.SLOTS)
+            assert np.allclose(logs[k], np.log(want / want.sum()))

@@ -58,10 +58,21 @@ def slots(text: str) -> np.ndarray:
 def fit_text_model(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages, and the logarithm of each slot's probability by language (add-half smoothing)."""
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang")
-    named = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    # Spark limits the rows of each language before it shuffles them, up to a limit of 1,000
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = known.filter(F.col("lang").isin(named)).withColumn("nth", nth).filter(F.col("nth") <= max_rows).select("doc_id", "lang")
+    named = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    if not named:
+        return [], np.zeros((0, SLOTS))
+    # only rows whose hash is below a cut, about four times as many as wanted, meet in the task of their language
+    cuts = [(r["lang"], r["count"], -(2**63) + min(2**64 - 1, 4 * max_rows * 2**64 // r["count"])) for r in named]
+    cuts = known.sparkSession.createDataFrame(cuts, "lang string, total long, cut long")
+    placed = known.join(F.broadcast(cuts), "lang").withColumn("place", F.xxhash64("doc_id"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    first = lambda rows: rows.withColumn("nth", nth).filter(F.col("nth") <= max_rows)
+    picked = first(placed.filter("place <= cut"))
+    # a language whose rows share few doc_ids can have too few below its cut: then all rows are ordered
+    got = {r["lang"]: r["count"] for r in picked.groupBy("lang").count().collect()}
+    if any(got.get(r["lang"], 0) < min(max_rows, r["count"]) for r in named):
+        picked = first(placed)
+    picked = picked.select("doc_id", "lang")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         sums: dict[str, np.ndarray] = {}
