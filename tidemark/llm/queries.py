@@ -1,13 +1,14 @@
-"""The ten queries of the training-data operators, and their SQL where SQL can express them."""
+"""The queries of the training-data operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import golay_simhash, hash_forest, language_id, line_dedup, mixing, outliers, packing, quality_gam, suffix_dedup, text_stats, url_filter
+from tidemark.llm import golay_simhash, hash_forest, language_id, line_dedup, mixing, outliers, packing, periodic_runs, quality_gam, spelling, suffix_dedup, text_stats, toxicity, url_filter
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -76,6 +77,49 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    scored = toxicity.score(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def drop_a_letter(doc_id: str, run: str) -> str:
+    """The run without the code point that the checksum of its document and itself points at, if 31 divides that."""
+    h = zlib.crc32(f"{doc_id}:{run}".encode())
+    at = h % len(run)
+    return run if h % 31 else run[:at] + run[at + 1 :]
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spelling.group_variants(spelling.count_words(_read(spark, sf_dir, "documents"), drop_a_letter))
+
+
+def repeating(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in one text of ten the words from a point on are those of the first p from there, over and over.
+
+    ``h`` is the checksum of the decimal doc_id; texts without an id or words stay as they are.
+    """
+    n, a, p = F.size("words"), F.col("a"), F.col("p")
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    chosen = (F.col("h") % 10 == 0) & F.col("text").isNotNull()
+    rows = rows.withColumn("g", F.floor(F.col("h") / 10)).withColumn("words", F.when(chosen, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))))
+    rows = rows.withColumn("a", F.when(n > 0, (F.col("g") % n).cast("int"))).withColumn("p", (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int"))
+    places = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p))
+    again = F.array_join(F.transform(places, lambda i: F.get("words", i)), " ")
+    return rows.select("doc_id", F.when(a.isNotNull(), again).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, one text of ten made to repeat itself."""
+    found = periodic_runs.find_runs(repeating(_read(spark, sf_dir, "documents")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("top"), F.sha2(F.array_join(listed, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    length, period = -F.col("top.less"), F.col("top.period")
+    return rows.select("doc_id", "n_runs", F.col("top.start").alias("start"), length.alias("length"), period.alias("period"), F.expr("(-top.less) * 1000 div top.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, one after the other, over ``documents``."""
     import corpus_pipeline
@@ -84,7 +128,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_source_mix, op2_language_id, op3_hash_forest, op4_repeated_passages, op5_quality_gam, op6_robust_outliers, op7_url_filter, op8_retrieval_packing, op9_golay_simhash, op10_line_dedup, pipeline)
+    own = (op1_source_mix, op2_language_id, op3_hash_forest, op4_repeated_passages, op5_quality_gam, op6_robust_outliers, op7_url_filter, op8_retrieval_packing, op9_golay_simhash, op10_line_dedup, op11_toxic_segments, op12_spelling_variants, op13_periodic_runs, pipeline)
     return {f.__name__: f for f in own}
 
 
