@@ -74,6 +74,6 @@ def change(x: Column, rows: int, over: WindowSpec | None = None) -> Column:
     return ratio(x, F.lag(x, rows).over(over or series())) - 1
 
 
-def ingest(df: DataFrame) -> DataFrame:
-    """Map NaN and infinities of all floating columns to NULL."""
-    return df.withColumns({c: finite(F.col(c)) for c, t in df.dtypes if t in ("double", "float")})
+def steady_mean(x: Column, scale: int = 12) -> Column:
+    """Mean over a decimal sum, the same in whatever order the rows come (values to ``scale`` places)."""
+    return F.sum(x.cast(f"decimal(28,{scale})")).cast("double") / F.count(x)

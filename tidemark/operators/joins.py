@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +62,43 @@ def latest_known(quotes: DataFrame, facts: DataFrame, order: list[str], availabl
     return best.select("_quote.*", *(F.col("_best")[c].alias(c) for c in names))
 
 
+@dataclass(frozen=True)
+class Knowledge:
+    """What is known of facts by a date: those available by then, of which the greatest by ``order`` counts."""
+
+    available: str
+    order: tuple[str, ...]
+    strict: bool = False
+    stale_months: int | None = None
+
+
+def known_views(quotes: DataFrame, facts: DataFrame, views: dict[str, Knowledge]) -> DataFrame:
+    """``latest_known`` of several kinds of knowledge at once, with one shuffle; the fact columns end in ``_<view>``.
+
+    A fact enters a symbol's line of dates once for each view, before the
+    quotes of its date or (strict) after them. ``stale_months`` is counted on
+    the column "period", so that has to come first in the order.
+    """
+    names = [c for c in facts.columns if c != "symbol"]
+    ordered = lambda k: F.struct(*k.order, *(c for c in names if c not in k.order))
+    entered = []
+    for view, k in views.items():
+        own = F.struct(*(F.when(F.lit(v == view), ordered(o)).alias(v) for v, o in views.items()))
+        entered.append(F.struct(F.col(k.available).cast("date").alias("date"), F.lit(2 if k.strict else 0).alias("turn"), own.alias("facts")))
+    known = facts.select("symbol", F.explode(F.array(*entered)).alias("e")).select("symbol", "e.*").filter("date IS NOT NULL")
+    rows = quotes.select("symbol", "date", F.lit(1).alias("turn"), F.struct(*quotes.columns).alias("_quote"))
+    both = rows.unionByName(known, allowMissingColumns=True)
+    so_far = Window.partitionBy("symbol").orderBy("date", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    best = both.select("_quote", "date", *(F.max(F.col("facts")[v]).over(so_far).alias(f"_{v}") for v in views)).filter("_quote IS NOT NULL")
+    out = []
+    for view, k in views.items():
+        fact = F.col(f"_{view}")
+        if k.stale_months is not None:
+            fact = F.when(fact[k.order[0]] >= F.add_months("date", -k.stale_months), fact)
+        out += [fact[c].alias(f"{c}_{view}") for c in names]
+    return best.select("_quote.*", *out)
+
+
 def at_session_offset(panel: DataFrame, value: str, offset: int, name: str) -> DataFrame:
     """``value`` of the same symbol exactly ``offset`` sessions of the calendar later, NULL if it has none then."""
     ahead = panel.select("symbol", (F.col("session") - offset).alias("session"), F.col(value).alias(name))

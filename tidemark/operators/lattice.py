@@ -11,7 +11,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import pct_rank, ratio
+from tidemark.functions.columns import pct_rank, ratio, steady_mean
 from tidemark.operators.study import correlation
 
 COMPONENTS = ("exclude_st", "exclude_suspended", "minimum_amount", "one_session_lag")
@@ -22,9 +22,10 @@ LEAST = 5
 def prepare(quotes: DataFrame, calendar: DataFrame, momentum: int = 60, width: int = 20, horizon: int = 20) -> DataFrame:
     """Features that hold only if the symbol was quoted on all sessions between, and returns between exact sessions.
 
-    ``quotes`` has (symbol, date, close, amount), ``calendar`` (date, session).
-    Forward returns come from equi-joins on the session's number; where an end
-    is missing a reason says which.
+    ``quotes`` has (symbol, date, close, amount), one row for each of both,
+    ``calendar`` (date, session) and whatever else it knows of a date. Forward
+    returns are between exact sessions; where an end is missing a reason says
+    which. One shuffle by symbol serves features and returns.
     """
     rows = quotes.join(F.broadcast(calendar), "date")
     w = Window.partitionBy("symbol").orderBy("session")
@@ -37,14 +38,17 @@ def prepare(quotes: DataFrame, calendar: DataFrame, momentum: int = 60, width: i
         "momentum": guarded(momentum, ratio(F.col("close"), back("close", momentum)) - 1), "low_vol": guarded(width, F.when(full("return_1"), -F.stddev_samp("return_1").over(last))),
         "mean_amount": guarded(width - 1, F.when(full("amount"), F.avg("amount").over(last))),
     })
-    for k in (1, horizon, horizon + 1):
-        rows = rows.join(rows.select("symbol", (F.col("session") - k).alias("session"), F.col("close").alias(f"_ahead_{k}")), ["symbol", "session"], "left")
-    near, far, late = (F.col(f"_ahead_{k}") for k in (1, horizon, horizon + 1))
+    # a range frame over session numbers holds the row of exactly that session or none: no shuffle beside the features' own
+    near, far, late = (F.first("close").over(w.rangeBetween(k, k)) for k in (1, horizon, horizon + 1))
+    rows = rows.withColumns({"_near": near, "_far": far, "_late": late})
+    near, far, late = F.col("_near"), F.col("_far"), F.col("_late")
     out = rows.withColumns({
-        "future_same": ratio(far, F.col("close")) - 1, "future_same_reason": F.when(far.isNull(), "MISSING_EXACT_FORWARD_EXIT"), "future_lagged": ratio(late, near) - 1,
+        "future_same": ratio(far, F.col("close")) - 1,
+        "future_same_reason": F.when(far.isNull(), "MISSING_EXACT_FORWARD_EXIT"),
+        "future_lagged": ratio(late, near) - 1,
         "future_lagged_reason": F.when(near.isNull(), "MISSING_EXACT_LAG_ENTRY").when(late.isNull(), "MISSING_EXACT_LAG_EXIT"),
     })
-    return out.drop(*(f"_ahead_{k}" for k in (1, horizon, horizon + 1)))
+    return out.drop("_near", "_far", "_late")
 
 
 def variants() -> list[dict]:
@@ -62,55 +66,85 @@ def stage2_cross_sections(rows: DataFrame, minimum: float) -> DataFrame:
     ``roe_publication``. Variants are told apart by conditions on the row, so
     the table is read once.
     """
-    chosen = []
+    tests = {"exclude_st": F.col("is_st") == F.lit(False), "exclude_suspended": F.col("is_suspended") == F.lit(False), "minimum_amount": F.col("mean_amount") >= minimum}
+    chosen = {}
     for v in variants():
         ok = F.col("in_final" if v["universe"] == "final" else "in_pit")
-        for c, test in (("exclude_st", F.col("is_st") == F.lit(False)), ("exclude_suspended", F.col("is_suspended") == F.lit(False)), ("minimum_amount", F.col("mean_amount") >= minimum)):
-            ok = ok & test if c in v["components"] else ok
-        late = "one_session_lag" in v["components"]
-        kind = "lagged" if late else "same"
-        chosen.append(F.when(ok, F.struct(F.lit(v["variant"]).alias("variant"), F.col(f"roe_{v['available']}").alias("roe"), F.col(f"future_{kind}").alias("outcome"), F.col(f"future_{kind}_reason").alias("reason"))))
-    return rows.select("date", "symbol", "momentum", "low_vol", F.explode(F.filter(F.array(*chosen), lambda x: x.isNotNull())).alias("v")).select("date", "symbol", "v.variant", "v.roe", "momentum", "low_vol", "v.outcome", "v.reason")
+        for c in v["components"]:
+            ok = ok & tests.get(c, F.lit(True))
+        chosen[v["variant"]] = (ok, v["available"], "one_session_lag" in v["components"])
+    return _sections(rows, chosen)
 
 
 def legacy_cross_sections(rows: DataFrame, minimum: float) -> DataFrame:
     """The same of the four early variants: final survivors, point in time, with publication dates, and audited with a lag."""
-    tests = {"M0_naive": (F.col("survives"), "report", "same"), "M1_pit_universe": (F.col("in_pit"), "report", "same"), "M2_pit_publication": (F.col("in_pit"), "publication", "same")}
     audited = F.col("in_pit") & ~F.col("is_st") & ~F.col("is_suspended") & (F.col("mean_amount") >= minimum)
-    tests["M3_audited_lag"] = (audited, "publication", "lagged")
-    chosen = [F.when(ok, F.struct(F.lit(name).alias("variant"), F.col(f"roe_{a}").alias("roe"), F.col(f"future_{k}").alias("outcome"), F.col(f"future_{k}_reason").alias("reason"))) for name, (ok, a, k) in tests.items()]
-    return rows.select("date", "symbol", "momentum", "low_vol", F.explode(F.filter(F.array(*chosen), lambda x: x.isNotNull())).alias("v")).select("date", "symbol", "v.variant", "v.roe", "momentum", "low_vol", "v.outcome", "v.reason")
+    chosen = {
+        "M0_naive": (F.col("survives"), "report", False),
+        "M1_pit_universe": (F.col("in_pit"), "report", False),
+        "M2_pit_publication": (F.col("in_pit"), "publication", False),
+        "M3_audited_lag": (audited, "publication", True),
+    }
+    return _sections(rows, chosen)
+
+
+def _sections(rows: DataFrame, chosen: dict[str, tuple[Column, str, bool]]) -> DataFrame:
+    """One row for each variant whose condition a row meets; each has a ROE by availability and a return, lagged or not."""
+    options = []
+    for name, (ok, available, late) in chosen.items():
+        kind = "lagged" if late else "same"
+        option = F.struct(
+            F.lit(name).alias("variant"), F.col(f"roe_{available}").alias("roe"), F.col(f"future_{kind}").alias("outcome"),
+            F.col(f"future_{kind}_reason").alias("reason"), F.lit(late).alias("late"),
+        )
+        options.append(F.when(ok, option))
+    met = F.explode(F.filter(F.array(*options), lambda x: x.isNotNull())).alias("v")
+    return rows.select("date", "symbol", "momentum", "low_vol", met).select("date", "symbol", "v.variant", "v.roe", "momentum", "low_vol", "v.outcome", "v.reason", "v.late")
 
 
-def cells(sections: DataFrame, strict: bool = True) -> DataFrame:
-    """(date, variant, factor, candidates, eligible, unresolved, n, ic, spread) of each cell.
+def factor_rows(sections: DataFrame) -> DataFrame:
+    """(date, variant, symbol, outcome, reason, late, factor, score) of all factors.
 
-    The composite is a weighted sum of ranks over the whole section, missing if
-    one is. Below five complete cases there is no figure; ``strict``: nor where
-    an eligible symbol's outcome is missing.
+    The composite is a weighted sum of ranks over the whole section, missing if one is.
     """
-    key = ["date", "variant"]
     total = F.lit(0.0)
     for f, weight in WEIGHTS.items():
-        total = total + weight * pct_rank(F.col(f), *key)
-    named = sections.withColumn("composite", F.round(total, 9))
-    long = named.select(*key, "symbol", "outcome", F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f).alias("score")) for f in FACTORS))).alias("x")).select(*key, "symbol", "outcome", "x.factor", "x.score")
+        total = total + weight * pct_rank(F.col(f), "date", "variant")
+    scores = F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f).alias("score")) for f in FACTORS))).alias("x")
+    kept = ["date", "variant", "symbol", "outcome", "reason", "late"]
+    return sections.withColumn("composite", F.round(total, 9)).select(*kept, scores).select(*kept, "x.*")
+
+
+def cells(sections: DataFrame, strict: bool = True) -> DataFrame:
+    """(date, variant, factor, candidates, eligible, unresolved, n, ic, spread) of each cell.
+
+    Below five complete cases there is no figure; ``strict``: nor where an
+    eligible symbol's outcome is missing.
+    """
+    long = factor_rows(sections)
     whole = F.col("score").isNotNull() & F.col("outcome").isNotNull()
     both = long.withColumns({"_s": F.when(whole, F.col("score")), "_o": F.when(whole, F.col("outcome"))})
-    by = [*key, "factor"]
+    by = ["date", "variant", "factor"]
     both = both.withColumns({"_x": pct_rank(F.col("_s"), *by), "_y": pct_rank(F.col("_o"), *by)})
     out = both.groupBy(*by).agg(
         F.count("*").alias("candidates"), F.count("score").alias("eligible"), F.count_if(F.col("score").isNotNull() & F.col("outcome").isNull()).alias("unresolved"), F.count("_s").alias("n"),
-        correlation("_x", "_y").alias("ic"), (F.avg(F.when(F.col("_x") > 0.8, F.col("_o"))) - F.avg("_o")).alias("spread"),
+        correlation("_x", "_y").alias("ic"), (steady_mean(F.when(F.col("_x") > 0.8, F.col("_o"))) - steady_mean(F.col("_o"))).alias("spread"),
     )
     ok = (F.col("n") >= LEAST) & (F.col("unresolved") == 0) if strict else F.col("n") >= LEAST
     return out.withColumns({"ic": F.when(ok, F.col("ic")), "spread": F.when(ok, F.col("spread"))})
 
 
 def endpoint_records(sections: DataFrame) -> DataFrame:
-    """(date, variant, resolution, n): how the outcomes of each section's candidates were resolved."""
-    code = F.when(F.col("outcome").isNotNull(), "RESOLVED").otherwise(F.coalesce("reason", F.lit("MISSING_EXACT_FORWARD_EXIT")))
-    return sections.groupBy("date", "variant", code.alias("resolution")).agg(F.count("*").alias("n"))
+    """(date, variant, factor, resolution, n): how the outcomes of the symbols that have a factor's signal were resolved.
+
+    A missing outcome without a reason counts as its return's first missing
+    end: the entry of a lagged return, the exit of another.
+    """
+    fallback = F.when(F.col("late"), "MISSING_EXACT_LAG_ENTRY").otherwise("MISSING_EXACT_FORWARD_EXIT")
+    stated = F.when(F.trim("reason") != "", F.col("reason"))
+    code = F.when(F.col("outcome").isNotNull(), "RESOLVED").otherwise(F.coalesce(stated, fallback))
+    rows = factor_rows(sections).filter(F.col("score").isNotNull())
+    return rows.groupBy("date", "variant", "factor", code.alias("resolution")).agg(F.count("*").alias("n"))
 
 
 def publication_exposure(rows: DataFrame) -> DataFrame:

@@ -52,8 +52,8 @@ def newey_west(values: DataFrame, keys: list[str], value: str, order: str, lags:
     """Mean, HAC t statistic and count per key: Bartlett weights, autocovariances over n.
 
     ``effective``: the lag is cut to n - 1 in the weights too, a negative
-    variance counts as 0 and fewer than 3 values give NULL; else the weights
-    keep the asked lag and a variance that isn't positive gives NULL.
+    variance counts as 0; else the weights keep the asked lag and a variance
+    that isn't positive gives NULL. Fewer than 3 values give NULL either way.
     """
     rows = values.filter(F.col(value).isNotNull())
     w = Window.partitionBy(*keys)
@@ -69,7 +69,7 @@ def newey_west(values: DataFrame, keys: list[str], value: str, order: str, lags:
     if effective:
         se = F.when(F.col("n") >= 3, F.sqrt(F.greatest(variance, F.lit(0.0)) / F.col("n")))
     else:
-        se = F.when(variance > 0, F.sqrt(variance / F.col("n")))
+        se = F.when((F.col("n") >= 3) & (variance > 0), F.sqrt(F.greatest(variance, F.lit(0.0)) / F.col("n")))
     return out.withColumn("t_stat", F.try_divide(F.col("mean"), se)).select(*keys, "n", "mean", "t_stat")
 
 

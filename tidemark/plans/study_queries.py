@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import coverage, joins, lattice, panel as P, study
+from tidemark.operators import coverage, joins, lattice, study
 from tidemark.plans.registry import FUNDAMENTALS, IC, NW, _even, _ics, _rank_sql, even, even_sql, query
 from tidemark.sources import adapter
 
@@ -27,7 +27,10 @@ _FEATURES = ("momentum", "low_vol", "mean_amount", "future_same", "future_lagged
 
 def _prepared(spark: SparkSession, d: str) -> DataFrame:
     rows = adapter.daily_panel(spark, d).select("date", "symbol", "close", "amount", "n_rows", "n_r")
-    out = lattice.prepare(rows, joins.sessions(adapter.calendar(spark, d)), MOMENTUM, WIDTH, HORIZON)
+    sessions = joins.sessions(adapter.calendar(spark, d))
+    month = F.trunc("date", "month")
+    sessions = sessions.withColumn("opens_month", ~month.eqNullSafe(F.lag(month).over(Window.orderBy("date"))))
+    out = lattice.prepare(rows, sessions, MOMENTUM, WIDTH, HORIZON)
     # to millionths before anything is ranked or compared, so that engines agree
     return out.withColumns({c: adapter.micro(F.col(c)) for c in _FEATURES})
 
@@ -37,31 +40,58 @@ def session_guarded_features(spark: SparkSession, d: str) -> DataFrame:
     return _prepared(spark, d).select("date", "symbol", "momentum", "low_vol", "mean_amount", "future_same", "future_same_reason", "future_lagged", "future_lagged_reason")
 
 
-LATEST = """SELECT {name}.period, {name}.published, {name}.value FROM facts {name} WHERE {name}.symbol = p.symbol AND {known} AND {name}.period >= p.date - INTERVAL 18 MONTH ORDER BY {name}.period DESC, {name}.published DESC LIMIT 1"""
-CANDIDATES = PREPARED + f""", months AS (SELECT min(date) AS date FROM cal GROUP BY date_trunc('month', date)),
-master AS (SELECT symbol, a + 28 AS list_date, CASE WHEN symbol % 7 = 0 THEN a + CAST(floor((b - a) * 2 / 3) AS INTEGER) END AS delist_date FROM (SELECT symbol, min(date) AS a, max(date) AS b FROM panel GROUP BY symbol)),
-cand AS (SELECT p.*, m.list_date <= p.date AND (m.delist_date IS NULL OR p.date <= m.delist_date) AS in_pit, m.list_date <= p.date AND (m.delist_date IS NULL OR m.delist_date > DATE '2001-06-01') AS in_final, m.delist_date IS NULL AS survives,
-  p.n_r > 3 AS is_st, p.n_rows = 1 AS is_suspended, r.period AS period_report, r.published AS published_report, {_even('r.value / 1e5')} AS roe_report, u.period AS period_publication, {_even('u.value / 1e5')} AS roe_publication
+# the stage's rule: of what is available (published before the date), the latest period of at most 18 months
+LATEST = """SELECT {name}.period, {name}.published, {name}.value FROM facts {name}
+  WHERE {name}.symbol = p.symbol AND {known} AND {name}.period >= p.date - INTERVAL 18 MONTH
+  ORDER BY {name}.period DESC, {name}.published DESC LIMIT 1"""
+# the early study's rule: the latest to become available by the date itself, whatever its period's age
+LATEST_AVAILABLE = """SELECT {name}.period, {name}.published, {name}.value FROM facts {name}
+  WHERE {name}.symbol = p.symbol AND {name}.{available} <= p.date
+  ORDER BY {name}.{available} DESC, {name}.period DESC LIMIT 1"""
+
+
+def _candidates_sql(report: str, publication: str) -> str:
+    return PREPARED + f""", months AS (SELECT min(date) AS date FROM cal GROUP BY date_trunc('month', date)),
+master AS (
+  SELECT symbol, a + 28 AS list_date, CASE WHEN symbol % 7 = 0 THEN a + CAST(floor((b - a) * 2 / 3) AS INTEGER) END AS delist_date
+  FROM (SELECT symbol, min(date) AS a, max(date) AS b FROM panel GROUP BY symbol)),
+cand AS (
+  SELECT p.*, m.list_date <= p.date AND (m.delist_date IS NULL OR p.date <= m.delist_date) AS in_pit,
+    m.list_date <= p.date AND (m.delist_date IS NULL OR m.delist_date > DATE '2001-06-01') AS in_final,
+    m.delist_date IS NULL AS survives, p.n_r > 3 AS is_st, p.n_rows = 1 AS is_suspended,
+    r.period AS period_report, r.published AS published_report, {_even('r.value / 1e5')} AS roe_report,
+    u.period AS period_publication, {_even('u.value / 1e5')} AS roe_publication
   FROM prepared p JOIN months USING (date) JOIN master m USING (symbol)
-  LEFT JOIN LATERAL ({LATEST.format(name='f1', known='f1.period <= p.date')}) r ON true LEFT JOIN LATERAL ({LATEST.format(name='f2', known='f2.published < p.date')}) u ON true)"""
+  LEFT JOIN LATERAL ({report}) r ON true LEFT JOIN LATERAL ({publication}) u ON true)"""
 
 
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    """The candidates of each month's first session, with lifecycle flags and the latest facts by period end and by publication."""
-    rows = _prepared(spark, d).join(P.first_sessions(adapter.calendar(spark, d)), "date", "left_semi")
+CANDIDATES = _candidates_sql(LATEST.format(name="f1", known="f1.period <= p.date"), LATEST.format(name="f2", known="f2.published < p.date"))
+LEGACY_CANDIDATES = _candidates_sql(LATEST_AVAILABLE.format(name="f1", available="period"), LATEST_AVAILABLE.format(name="f2", available="published"))
+STAGE2_KNOWLEDGE = {
+    "report": joins.Knowledge("period", ("period", "published"), stale_months=18),
+    "publication": joins.Knowledge("published", ("period", "published"), strict=True, stale_months=18),
+}
+LEGACY_KNOWLEDGE = {
+    "report": joins.Knowledge("period", ("period", "published")),
+    "publication": joins.Knowledge("published", ("published", "period")),
+}
+
+
+def _candidates(spark: SparkSession, d: str, knowledge: dict[str, joins.Knowledge] = STAGE2_KNOWLEDGE) -> DataFrame:
+    """The candidates of each month's first session, with lifecycle flags and the facts known by period end and by publication."""
+    rows = _prepared(spark, d).filter("opens_month").drop("opens_month")
     listed, gone, day = F.col("list_date"), F.col("delist_date"), F.col("date")
     rows = rows.join(F.broadcast(adapter.stock_master(spark, d)), "symbol").withColumns({
-        "in_pit": (listed <= day) & (gone.isNull() | (day <= gone)), "in_final": (listed <= day) & (gone.isNull() | (gone > F.lit("2001-06-01").cast("date"))), "survives": gone.isNull(), "is_st": F.col("n_r") > 3, "is_suspended": F.col("n_rows") == 1,
+        "in_pit": (listed <= day) & (gone.isNull() | (day <= gone)),
+        "in_final": (listed <= day) & (gone.isNull() | (gone > F.lit("2001-06-01").cast("date"))),
+        "survives": gone.isNull(), "is_st": F.col("n_r") > 3, "is_suspended": F.col("n_rows") == 1,
     })
     facts = adapter.fundamentals(spark, d).select("symbol", "period", "published", adapter.micro(F.col("value") / 1e5).alias("roe"))
-    for name, available, strict in (("report", "period", False), ("publication", "published", True)):
-        named = facts.select("symbol", *(F.col(c).alias(f"{c}_{name}") for c in ("period", "published", "roe")))
-        rows = joins.latest_known(rows, named, [f"period_{name}", f"published_{name}"], f"{available}_{name}", strict=strict, stale_months=18)
-    return rows
+    return joins.known_views(rows, facts, knowledge)
 
 
 def _sections_sql(variants: list[tuple[str, str, str, str]]) -> str:
-    parts = [f"SELECT date, symbol, '{name}' AS variant, roe_{available} AS roe, momentum, low_vol, future_{kind} AS outcome, future_{kind}_reason AS reason FROM cand WHERE {where}" for name, where, available, kind in variants]
+    parts = [f"SELECT date, symbol, '{name}' AS variant, roe_{available} AS roe, momentum, low_vol, future_{kind} AS outcome, future_{kind}_reason AS reason, {str(kind == 'lagged').lower()} AS late FROM cand WHERE {where}" for name, where, available, kind in variants]
     return ", sections AS (" + " UNION ALL ".join(parts) + ")"
 
 
@@ -74,24 +104,33 @@ _BY = "date, variant, factor"
 def _cells_sql(strict: bool) -> str:
     ok = "n >= 5 AND unresolved = 0" if strict else "n >= 5"
     return f""", ranked0 AS (SELECT *, round(0.5::DOUBLE * ({_rank_sql('roe', 'date, variant')}) + 0.3::DOUBLE * ({_rank_sql('momentum', 'date, variant')}) + 0.2::DOUBLE * ({_rank_sql('low_vol', 'date, variant')}), 9) AS composite FROM sections),
-long AS (SELECT date, variant, symbol, outcome, u.factor, u.score FROM ranked0, LATERAL (VALUES ('roe', roe), ('momentum', momentum), ('low_vol', low_vol), ('composite', composite)) u(factor, score)),
+long AS (SELECT date, variant, symbol, outcome, reason, late, u.factor, u.score FROM ranked0, LATERAL (VALUES ('roe', roe), ('momentum', momentum), ('low_vol', low_vol), ('composite', composite)) u(factor, score)),
 whole AS (SELECT *, CASE WHEN outcome IS NOT NULL THEN score END AS sc, CASE WHEN score IS NOT NULL THEN outcome END AS oc FROM long),
 ranked1 AS (SELECT *, {_rank_sql('sc', _BY)} AS x, {_rank_sql('oc', _BY)} AS y FROM whole),
-cells0 AS (SELECT {_BY}, count(*) AS candidates, count(score) AS eligible, count(*) FILTER (score IS NOT NULL AND outcome IS NULL) AS unresolved, count(sc) AS n, CASE WHEN count(DISTINCT x) > 1 AND count(DISTINCT y) > 1 THEN covar_samp(x, y) / (stddev_samp(x) * stddev_samp(y)) END AS ic, avg(oc) FILTER (x > 0.8) - avg(oc) AS spread FROM ranked1 GROUP BY {_BY}),
+cells0 AS (SELECT {_BY}, count(*) AS candidates, count(score) AS eligible, count(*) FILTER (score IS NOT NULL AND outcome IS NULL) AS unresolved, count(sc) AS n, CASE WHEN count(DISTINCT x) > 1 AND count(DISTINCT y) > 1 THEN covar_samp(x, y) / (stddev_samp(x) * stddev_samp(y)) END AS ic, sum(CAST(oc AS DECIMAL(28,12))) FILTER (x > 0.8)::DOUBLE / nullif(count(oc) FILTER (x > 0.8), 0) - sum(CAST(oc AS DECIMAL(28,12)))::DOUBLE / nullif(count(oc), 0) AS spread FROM ranked1 GROUP BY {_BY}),
 cells AS (SELECT {_BY}, candidates, eligible, unresolved, n, CASE WHEN {ok} THEN ic END AS ic, CASE WHEN {ok} THEN spread END AS spread FROM cells0)"""
 
 
-_CELLS = f" SELECT {_BY}, candidates, eligible, unresolved, n, round(ic, 6) AS ic, round(spread, 4) AS spread FROM cells"
+def _unsigned(x: Column, digits: int) -> Column:
+    """Rounded, and 0.0 where that is -0.0, as the sign of a rounded nothing isn't a result."""
+    return F.when(F.round(x, digits) == 0, F.lit(0.0)).otherwise(F.round(x, digits))
+
+
+def _unsigned_sql(x: str, digits: int) -> str:
+    return f"CASE WHEN round({x}, {digits}) = 0 THEN 0.0::DOUBLE ELSE round({x}, {digits}) END"
+
+
+_CELLS = f" SELECT {_BY}, candidates, eligible, unresolved, n, {_unsigned_sql('ic', 6)} AS ic, {_unsigned_sql('spread', 4)} AS spread FROM cells"
 
 
 def _cell_rows(df: DataFrame) -> DataFrame:
-    return df.withColumns({"ic": F.round("ic", 6), "spread": F.round("spread", 4)})
+    return df.withColumns({"ic": _unsigned(F.col("ic"), 6), "spread": _unsigned(F.col("spread"), 4)})
 
 
-@query(CANDIDATES + _sections_sql(LEGACY) + _cells_sql(False) + _CELLS)
+@query(LEGACY_CANDIDATES + _sections_sql(LEGACY) + _cells_sql(False) + _CELLS)
 def legacy_variant_cells(spark: SparkSession, d: str) -> DataFrame:
     """M0 to M3: final survivors, point in time, publication dates, audited with a lag."""
-    return _cell_rows(lattice.cells(lattice.legacy_cross_sections(_candidates(spark, d), MINIMUM), strict=False))
+    return _cell_rows(lattice.cells(lattice.legacy_cross_sections(_candidates(spark, d, LEGACY_KNOWLEDGE), MINIMUM), strict=False))
 
 
 @query(CANDIDATES + _sections_sql(STAGE2) + _cells_sql(True) + _CELLS)
@@ -106,18 +145,24 @@ m AS (SELECT variant, factor, count(ic) AS observations, avg(spread) AS mean_spr
 SELECT m.variant, m.factor, m.observations, round(t.mean_ic, 5) AS mean_ic, round(CASE WHEN t.n_ic >= 3 AND t.v > 0 THEN t.mean_ic / sqrt(t.v / t.n_ic) END, 4) AS t_stat, round(m.mean_spread, 5) AS mean_spread, round(m.mean_n, 5) AS mean_n FROM m LEFT JOIN t USING (variant, factor)"""
 
 
-@query(CANDIDATES + _sections_sql(LEGACY) + _cells_sql(False) + AGGREGATE)
+@query(LEGACY_CANDIDATES + _sections_sql(LEGACY) + _cells_sql(False) + AGGREGATE)
 def registered_cell_aggregate(spark: SparkSession, d: str) -> DataFrame:
     """Mean IC, its t statistic by the asked lag, mean spread and size of each variant and factor."""
-    cells = lattice.cells(lattice.legacy_cross_sections(_candidates(spark, d), MINIMUM), strict=False)
+    cells = lattice.cells(lattice.legacy_cross_sections(_candidates(spark, d, LEGACY_KNOWLEDGE), MINIMUM), strict=False)
     means = cells.groupBy("variant", "factor").agg(F.count("ic").alias("observations"), F.avg("spread").alias("mean_spread"), F.avg("n").alias("mean_n"))
     tested = study.newey_west(cells, ["variant", "factor"], "ic", "date", effective=False)
-    out = means.join(tested.select("variant", "factor", F.col("mean").alias("mean_ic"), F.when(F.col("n") >= 3, F.col("t_stat")).alias("t_stat")), ["variant", "factor"], "left")
+    out = means.join(tested.select("variant", "factor", F.col("mean").alias("mean_ic"), "t_stat"), ["variant", "factor"], "left")
     return out.select("variant", "factor", "observations", F.round("mean_ic", 5).alias("mean_ic"), F.round("t_stat", 4).alias("t_stat"), F.round("mean_spread", 5).alias("mean_spread"), F.round("mean_n", 5).alias("mean_n"))
 
 
-@query(CANDIDATES + _sections_sql(STAGE2) + " SELECT date, variant, CASE WHEN outcome IS NOT NULL THEN 'RESOLVED' ELSE reason END AS resolution, count(*) AS n FROM sections GROUP BY 1, 2, 3")
+ENDPOINTS = """ SELECT date, variant, factor,
+  CASE WHEN outcome IS NOT NULL THEN 'RESOLVED' WHEN trim(reason) <> '' THEN reason WHEN late THEN 'MISSING_EXACT_LAG_ENTRY' ELSE 'MISSING_EXACT_FORWARD_EXIT' END AS resolution,
+  count(*) AS n FROM long WHERE score IS NOT NULL GROUP BY 1, 2, 3, 4"""
+
+
+@query(CANDIDATES + _sections_sql(STAGE2) + _cells_sql(True) + ENDPOINTS)
 def endpoint_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """How the outcomes of each factor's signals were resolved, in each of the 18 variants."""
     return lattice.endpoint_records(lattice.stage2_cross_sections(_candidates(spark, d), MINIMUM))
 
 
@@ -135,12 +180,16 @@ _SIDES = {"r": ("CASE WHEN outcome IS NOT NULL THEN roe_report END", "r IS NOT N
 TIMING = ", t0 AS (SELECT date, symbol, roe_report, roe_publication, future_same AS outcome FROM cand WHERE in_pit AND (future_same IS NOT NULL OR date < DATE '1996-01-01')), t1 AS (SELECT *, " + ", ".join(f"{x} AS {k}" for k, (x, _) in _SIDES.items()) + " FROM t0), t2 AS (SELECT *, " + ", ".join(f"CASE WHEN {ok} THEN outcome END AS o_{k}" for k, (_, ok) in _SIDES.items()) + " FROM t1), t3 AS (SELECT *, " + ", ".join(f"{_rank_sql(k)} AS x_{k}, {_rank_sql(f'o_{k}')} AS y_{k}" for k in _SIDES) + " FROM t2), t4 AS (SELECT date, count(r) AS n_report, count(p) AS n_publication, count(rc) AS n_common, count(*) FILTER (outcome IS NULL AND (roe_report IS NOT NULL OR roe_publication IS NOT NULL)) AS unresolved, " + ", ".join(f"CASE WHEN count({k}) >= 5 AND count(DISTINCT x_{k}) > 1 AND count(DISTINCT y_{k}) > 1 THEN covar_samp(x_{k}, y_{k}) / (stddev_samp(x_{k}) * stddev_samp(y_{k})) END AS ic_{k}" for k in _SIDES) + " FROM t3 GROUP BY date), t5 AS (SELECT *, unresolved = 0 AND ic_r IS NOT NULL AND ic_p IS NOT NULL AND ic_rc IS NOT NULL AND ic_pc IS NOT NULL AS ok FROM t4)"
 
 
-@query(CANDIDATES + TIMING + " SELECT date, n_report, n_publication, n_common, unresolved, round(CASE WHEN ok THEN ic_rc - ic_r END, 6) AS report_support_restriction, round(CASE WHEN ok THEN ic_pc - ic_rc END, 6) AS record_replacement, round(CASE WHEN ok THEN ic_p - ic_pc END, 6) AS publication_extension, round(CASE WHEN ok THEN ic_p - ic_r END, 6) AS total FROM t5")
+_STEPS = {"report_support_restriction": "ic_rc - ic_r", "record_replacement": "ic_pc - ic_rc", "publication_extension": "ic_p - ic_pc", "total": "ic_p - ic_r"}
+_STEPS_SQL = ", ".join(f"{_unsigned_sql(f'CASE WHEN ok THEN {x} END', 6)} AS {name}" for name, x in _STEPS.items())
+
+
+@query(CANDIDATES + TIMING + f" SELECT date, n_report, n_publication, n_common, unresolved, {_STEPS_SQL} FROM t5")
 def timing_decomposition(spark: SparkSession, d: str) -> DataFrame:
     """Candidates with an exact forward return, and before 1996 those without too, whose months have no figures."""
     rows = _candidates(spark, d).filter("in_pit AND (future_same IS NOT NULL OR date < DATE '1996-01-01')").withColumnRenamed("future_same", "outcome")
     out = lattice.timing_decomposition(rows)
-    return out.select("date", "n_report", "n_publication", "n_common", "unresolved", *(F.round(c, 6).alias(c) for c in ("report_support_restriction", "record_replacement", "publication_extension", "total")))
+    return out.select("date", "n_report", "n_publication", "n_common", "unresolved", *(_unsigned(F.col(c), 6).alias(c) for c in _STEPS))
 
 
 _P = "1 - 2 / sqrt(pi()) * exp(-power(least(abs(t), 8.0) / sqrt(2), 2)) * list_sum([exp(n * ln(2) + (2 * n + 1) * ln(greatest(least(abs(t), 8.0) / sqrt(2), 1e-12)) - lgamma(2 * n + 2) + n * ln(2) + lgamma(n + 1)) for n in range(0, 161)])"
