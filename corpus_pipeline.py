@@ -9,7 +9,7 @@ and extra columns (which go), and empty tables:
 
 * quality: each row is scored by itself, a null text as an empty one;
 * lines: each row is a document; a null text comes back empty;
-* near duplicates: rows of one doc_id, and those without any, are one document;
+* near duplicates: a document is a doc_id (or none) with a text; one row of each group stays;
 * mix: rows that agree in doc_id, text and source share what they are taken;
 * pack: each row is a document, a null text the end id alone.
 
@@ -41,7 +41,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str, tag: str | None = N
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, tag: str | None = None) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest doc_id stays."""
+    """Of each group of near duplicates the document of the smallest doc_id stays (none last)."""
     return golay_simhash.drop_near_duplicates(docs.select(*COLUMNS), words_per_shingle=5, similarity=0.8, tag=tag).select(*COLUMNS)
 
 

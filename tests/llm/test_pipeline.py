@@ -103,9 +103,43 @@ def test_odd_rows_through_every_stage(spark, name):
             times[(r.doc_id, r.text)] = times.get((r.doc_id, r.text), 0) + 1
         assert all(n <= 2 * sum(r[:2] == k for r in ROWS) for k, n in times.items()) and times[(1, "Some words\nand a line")] <= 6
     if name == "near_duplicates":
-        ids = [r.doc_id for r in got.collect()]
-        assert len(ids) == len(set(ids)) and {1, 5, 7} <= set(ids)
+        kept = [(r.doc_id, r.text) for r in got.collect()]
+        assert len(kept) == len(set(kept)) and {1, 5, 7} <= {i for i, _ in kept} and {"other words of that id", "no id"} <= {t for _, t in kept}
     if name == "line_dedup":
         assert len(rows) == len(ROWS)
     if name == "pack":
         assert sum(r.start == 0 for r in got.collect()) == len(ROWS)
+
+
+def test_texts_without_or_with_shared_ids_stay(spark):
+    rows = [(None, "A text of its own"), (None, "B another one"), (None, "C and a third"), (1, "D with an id"), (1, "E said twice"), (2, "E said twice")]
+    docs = lambda rows: spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)
+    got = corpus_pipeline.near_duplicates(spark, docs(rows), SMALL)
+    assert sorted(map(str, got.select("doc_id", "text").collect())) == sorted(map(str, docs(rows[:5]).select("doc_id", "text").collect()))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates_of_odd_ids_against_all_pairs(spark, seed):
+    """Null and repeated ids, repeated rows and near copies: exactly one row of each group, whatever the partitions."""
+    rng, word = np.random.default_rng(seed), lambda k: f"w{k}"
+    base = [[word(k) for k in rng.integers(0, 500, 60)] for _ in range(25)]
+    rows = []
+    for _ in range(120):
+        words = list(base[rng.integers(0, 25)])
+        for _ in range(rng.integers(0, 3)):
+            words[rng.integers(0, 60)] = word(rng.integers(0, 500))
+        rows.append((None if rng.random() < 0.3 else int(rng.integers(0, 60)), " ".join(words), str(rng.integers(0, 2)), None, 0))
+    rows += rows[:15]
+    sets = [golay_simhash.shingle_set(r[1].encode(), 5) for r in rows]
+    same = lambda a, b: len(np.intersect1d(a, b, assume_unique=True))
+    pairs = [(j, i) for i in range(len(rows)) for j in range(i) if (k := same(sets[i], sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - k)]
+    groups = {}
+    for i, g in enumerate(_least(len(rows), pairs)):
+        groups.setdefault(g, []).append(rows[i])
+    got = [corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS).repartition(n), SMALL).collect() for n in (1, 7)]
+    assert sorted(map(str, got[0])) == sorted(map(str, got[1])) and len(got[0]) == len(groups)
+    kept = {r.text: r for r in got[0]}
+    for members in groups.values():
+        (text,) = {r[1] for r in members} & set(kept)
+        assert kept[text].doc_id == min((r[0] for r in members if r[0] is not None), default=None)
+        assert kept[text].lang == min(r[2] for r in members if r[0] == kept[text].doc_id and r[1] == text)

@@ -380,7 +380,7 @@ def _binary(values) -> pa.Array:
 
 
 def drop_near_duplicates(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, tag: str | None = None) -> DataFrame:
-    """One row of ``docs`` for each group of near duplicates: that of the smallest doc_id.
+    """One row of ``docs`` for each group of near duplicates: that of the smallest doc_id (none last).
 
     Two documents are near duplicates if the sets of their shingles of
     ``words_per_shingle`` words have a Jaccard similarity of ``similarity`` or
@@ -399,17 +399,21 @@ def drop_near_duplicates(docs: DataFrame, words_per_shingle: int = 5, similarity
        they are connected already.
 
     Keys and components of very many classes are dealt into blocks that meet
-    two by two. Texts without words are all copies of each other. Rows with
-    equal doc_ids are one document; null doc_ids are one too. Other columns
-    are kept, whatever their names.
+    two by two. Texts without words are all copies of each other. A document
+    is told by doc_id and text (its 64-bit hash), so texts that share a doc_id
+    or have none are documents of their own, and stay unless they are near
+    duplicates. Of a group's rows that share the smallest doc_id that of the
+    smallest text hash stays, and of rows that repeat it the first by all
+    columns. Other columns are kept, whatever their names.
     """
     spark = docs.sparkSession
     tag = tag or new_tag("simhash")
-    # from here on every list of columns starts with these two, so others can't clash
-    every, docs = docs, docs.select("doc_id", "text")
-    at, ids = 1, 0
+    # from here on every list of columns starts with these, so others can't clash
+    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    every, docs = docs, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash.alias("h"))
+    ids, at, hashes = 0, 1, 2
 
-    names = ["doc_id", "sid", "fp", "part", "counts"]
+    names = ["doc_id", "h", "sid", "fp", "part", "counts"]
 
     def read(batches):
         counts = np.zeros(SKETCH, np.int32)
@@ -420,10 +424,10 @@ def drop_near_duplicates(docs: DataFrame, words_per_shingle: int = 5, similarity
             own = np.array([_set_id(s) for s in found], np.uint64).view(np.int64)
             fps = np.array([fingerprint(t, words_per_shingle) for t in texts(batch.column(at))], np.uint64).view(np.int64)
             n = len(found)
-            yield pa.record_batch([batch.column(ids).cast(pa.int64()), pa.array(own), pa.array(fps), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            yield pa.record_batch([batch.column(ids), batch.column(hashes), pa.array(own), pa.array(fps), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         parts = [k for k in range(SKETCH // SKETCH_ROW) if counts[k * SKETCH_ROW : (k + 1) * SKETCH_ROW].any()]
         m = len(parts)
-        yield pa.record_batch([*[pa.nulls(m, pa.int64())] * 3, pa.array(parts, pa.int32()), _binary(counts[k * SKETCH_ROW : (k + 1) * SKETCH_ROW] for k in parts)], names)
+        yield pa.record_batch([*[pa.nulls(m, pa.int64())] * 4, pa.array(parts, pa.int32()), _binary(counts[k * SKETCH_ROW : (k + 1) * SKETCH_ROW] for k in parts)], names)
         hand_back()
 
     def summed(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -432,18 +436,26 @@ def drop_near_duplicates(docs: DataFrame, words_per_shingle: int = 5, similarity
             total += np.frombuffer(v.as_buffer(), np.int32)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": _binary([np.minimum(total, 2**31 - 1).astype(np.int32)])})
 
-    both = table(docs.mapInArrow(read, "doc_id long, sid long, fp long, part int, counts binary"), tag)
-    own = both.filter("part IS NULL").select("doc_id", "sid", "fp")
+    both = table(docs.mapInArrow(read, "doc_id long, h long, sid long, fp long, part int, counts binary"), tag)
+    own = both.filter("part IS NULL").select("doc_id", "h", "sid", "fp")
+    repeated = not bounded(own.groupBy("doc_id", "h").count().filter("count > 1"), 0)
     counts = np.zeros(SKETCH, np.int32)
     for row in both.filter("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(summed, "part int, counts binary").collect():
         counts[row.part * SKETCH_ROW : (row.part + 1) * SKETCH_ROW] = np.frombuffer(row.counts, np.int32)
     shared = spark.sparkContext.broadcast(counts)
-    classes = table(own.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")), tag)
+    # the first document of a class; without a doc_id it comes last
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
+    classes = table(own.groupBy("sid").agg(least.alias("least"), F.min("fp").alias("fp")), tag)
 
     def of_classes(some: DataFrame) -> DataFrame:
-        """The text and sid of one document of each of ``some`` classes (sid, doc_id), and what else they hold."""
+        """The text and sid of the first document of each of ``some`` classes (sid, least), and what else they hold."""
+        some = some.select(F.col("least.doc_id").alias("id"), F.col("least.h").alias("first"), *(c for c in some.columns if c != "least"))
         some = F.broadcast(some) if bounded(some, MAX_BROADCAST_IDS) else some
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, "doc_id").drop("doc_id")
+        return docs.join(some, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("first"))).drop("doc_id", "h", "id", "first")
+
+    def once(rows: DataFrame) -> DataFrame:
+        """A class of which several rows repeat the first document comes up several times; one is enough."""
+        return rows.dropDuplicates(["sid"]) if repeated else rows
 
     def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [(sid, s) for sid, t in zip(batch.column(1).to_pylist(), texts(batch.column(0))) if _set_id(s := shingle_set(t, words_per_shingle)) == sid % 2**64 and len(s)]
@@ -452,8 +464,7 @@ def drop_near_duplicates(docs: DataFrame, words_per_shingle: int = 5, similarity
         flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
         return pa.record_batch([pa.array([sid for sid, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int32()), _binary(_parities(s) for _, s in rows), pa.ListArray.from_arrays(stops, pa.array(flat))], ["sid", "n", "bits", "keys"])
 
-    named = classes.filter("least IS NOT NULL").select("sid", F.col("least").alias("doc_id"))
-    marked = table(map_batches(of_classes(named), mark, "sid long, n int, bits binary, keys array<long>"), tag)
+    marked = table(once(map_batches(of_classes(classes.select("sid", "least")), mark, "sid long, n int, bits binary, keys array<long>")), tag)
 
     def repeated_keys(rows: pa.Table) -> pa.RecordBatch:
         keys, sids = (rows.column(i).to_numpy() for i in range(2))
@@ -491,19 +502,23 @@ def drop_near_duplicates(docs: DataFrame, words_per_shingle: int = 5, similarity
         return pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     sizes = groups.groupBy("near").agg(F.count("*").alias("size"))
-    members = table(groups.join(sizes, "near").join(named, "sid").select("doc_id", "sid", "near", "size"), tag)
-    members = map_batches(of_classes(members), sets, "sid long, near long, size long, shingles binary")
+    members = table(groups.join(sizes, "near").join(classes, "sid").select("least", "sid", "near", "size"), tag)
+    members = once(map_batches(of_classes(members), sets, "sid long, near long, size long, shingles binary"))
     members = _pieces(members, "near", "size", GROUP_ROWS).select("piece", "sid", "shingles")
     members = members.repartition("piece").sortWithinPartitions("piece")
     linked = members.mapInArrow(lambda batches: _runs(batches, 1_000, verify), "a long, b long")
     tops = connected_components(linked, tag).select(F.col("node").alias("sid"), F.col("root").alias("top"))
-    heads = classes.join(tops, "sid", "left").groupBy(F.coalesce("top", "sid").alias("top")).agg(F.min("least").alias("head")).select("head")
-    dropped = table(own.select(F.col("doc_id").alias("gone")).distinct().join(heads, F.col("gone").eqNullSafe(F.col("head")), "left_anti"), tag)
+    heads = classes.join(tops, "sid", "left").groupBy(F.coalesce("top", "sid").alias("top")).agg(F.min("least").alias("head")).select("head.doc_id", "head.h")
+    first = heads.select(F.col("doc_id").alias("id"), F.col("h").alias("first"))
+    dropped = own.select("doc_id", "h").distinct().join(first, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("first")), "left_anti")
+    id_, hash_ = (free_name(c, every.columns) for c in ("gone", "gone_text"))
+    dropped = table(dropped.select(F.col("doc_id").alias(id_), F.col("h").alias(hash_)), tag)
     gone = F.broadcast(dropped) if bounded(dropped, MAX_BROADCAST_IDS) else dropped
-    name = free_name("gone", every.columns)
-    kept = every.join(gone.withColumnRenamed("gone", name), F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
-    repeated = own.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    kept = every.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (text_hash == F.col(hash_)), "left_anti")
+    if not repeated:
+        return kept
+    row = F.min(F.struct(*(F.col(f"`{c}`") for c in every.columns))).alias("row")
+    return kept.groupBy(F.col("doc_id").alias("id"), text_hash.alias("h")).agg(row).select("row.*")
 
 
 def _fingerprint_candidates(classes: DataFrame, marked: DataFrame, similarity: float, tag: str) -> DataFrame:
