@@ -134,8 +134,8 @@ def cells(sections: DataFrame, strict: bool = True) -> DataFrame:
     return out.withColumns({"ic": F.when(ok, F.col("ic")), "spread": F.when(ok, F.col("spread"))})
 
 
-def endpoint_records(sections: DataFrame) -> DataFrame:
-    """(date, variant, factor, resolution, n): how the outcomes of the symbols that have a factor's signal were resolved.
+def endpoint_codes(sections: DataFrame) -> DataFrame:
+    """``factor_rows`` of the symbols that have a factor's signal, with ``resolution``: how the outcome was resolved.
 
     A missing outcome without a reason counts as its return's first missing
     end: the entry of a lagged return, the exit of another.
@@ -143,8 +143,12 @@ def endpoint_records(sections: DataFrame) -> DataFrame:
     fallback = F.when(F.col("late"), "MISSING_EXACT_LAG_ENTRY").otherwise("MISSING_EXACT_FORWARD_EXIT")
     stated = F.when(F.trim("reason") != "", F.col("reason"))
     code = F.when(F.col("outcome").isNotNull(), "RESOLVED").otherwise(F.coalesce(stated, fallback))
-    rows = factor_rows(sections).filter(F.col("score").isNotNull())
-    return rows.groupBy("date", "variant", "factor", code.alias("resolution")).agg(F.count("*").alias("n"))
+    return factor_rows(sections).filter(F.col("score").isNotNull()).withColumn("resolution", code)
+
+
+def endpoint_records(sections: DataFrame) -> DataFrame:
+    """(date, variant, factor, resolution, n): how many of a factor's signals were resolved how."""
+    return endpoint_codes(sections).groupBy("date", "variant", "factor", "resolution").agg(F.count("*").alias("n"))
 
 
 def publication_exposure(rows: DataFrame) -> DataFrame:
@@ -182,12 +186,12 @@ def timing_decomposition(rows: DataFrame) -> DataFrame:
 
 
 def two_sided_p(t: Column) -> Column:
-    """Probability of a normal value further from 0 than ``t``, by the series of the error function (all of whose terms are positive)."""
+    """Probability of a normal value further from 0 than ``t`` (NULL for NULL), by the series of the error function (all of whose terms are positive)."""
     x = F.least(F.abs(t), F.lit(8.0)) / F.lit(2.0**0.5)
     start = F.struct(x.alias("term"), x.alias("sum"))
     grown = lambda a, n: F.struct((a["term"] * 2 * x * x / (2 * n + 1)).alias("term"), (a["sum"] + a["term"] * 2 * x * x / (2 * n + 1)).alias("sum"))
     series = F.aggregate(F.sequence(F.lit(1), F.lit(160)), start, grown, lambda a: a["sum"])
-    return F.greatest(1 - 2 / F.lit(3.141592653589793**0.5) * F.exp(-x * x) * series, F.lit(0.0))
+    return F.when(t.isNotNull(), F.greatest(1 - 2 / F.lit(3.141592653589793**0.5) * F.exp(-x * x) * series, F.lit(0.0)))
 
 
 def mean_inference(tested: DataFrame) -> DataFrame:
