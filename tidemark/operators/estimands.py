@@ -65,6 +65,8 @@ def contrasts(values: DataFrame, estimands: list[Estimand]) -> DataFrame:
 
     ``values`` has (date, variant, factor, value), a row for each of the first
     three. The table of terms is fixed and small and meets every value once.
+    Values are taken to 12 places, so that the noise of floating sums, whose
+    order varies, isn't taken for a difference.
     """
     spark: SparkSession = values.sparkSession
     terms = [(e.name, v, f, w) for e in estimands for (v, f), w in e.terms.items()]
@@ -72,7 +74,7 @@ def contrasts(values: DataFrame, estimands: list[Estimand]) -> DataFrame:
     met = values.join(F.broadcast(spark.createDataFrame(terms, "estimand string, variant string, factor string, weight double")), ["variant", "factor"])
     months = met.groupBy("estimand", "date").agg(F.sum(F.col("weight") * F.col("value")).alias("value"), F.count("*").alias("rows"), F.count("value").alias("known"))
     months = months.join(F.broadcast(size), "estimand")
-    return months.select("estimand", "date", F.when(F.col("known") == F.col("terms"), F.col("value")).alias("value"), "terms", "rows", "known")
+    return months.select("estimand", "date", F.when(F.col("known") == F.col("terms"), F.round("value", 12)).alias("value"), "terms", "rows", "known")
 
 
 def summaries(months: DataFrame, estimands: list[Estimand], gate: DataFrame, lags: int = 3, claim_months: int = CLAIM_MONTHS) -> DataFrame:

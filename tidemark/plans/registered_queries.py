@@ -64,7 +64,7 @@ _ALL_TIMING = S.TIMING.replace("AND (future_same IS NOT NULL OR date < DATE '199
 _CONTRASTS = _STAGE2 + _ALL_TIMING + f""", listed(estimand, family, terms) AS (VALUES {_LISTED}), w(estimand, variant, factor, weight) AS (VALUES {_TERMS}),
 vals AS (SELECT date, variant, factor, ic AS value FROM cells UNION ALL {_TIMING_VALUES}),
 con AS (
-  SELECT estimand, date, CASE WHEN count(value) = any_value(terms) THEN sum(weight * value) END AS value, count(*) AS r, count(value) AS known, any_value(terms) AS terms
+  SELECT estimand, date, CASE WHEN count(value) = any_value(terms) THEN round(sum(weight * value), 12) END AS value, count(*) AS r, count(value) AS known, any_value(terms) AS terms
   FROM vals JOIN w USING (variant, factor) JOIN listed USING (estimand) GROUP BY 1, 2)"""
 
 

@@ -195,11 +195,11 @@ def timing_decomposition(spark: SparkSession, d: str) -> DataFrame:
 _P = "1 - 2 / sqrt(pi()) * exp(-power(least(abs(t), 8.0) / sqrt(2), 2)) * list_sum([exp(n * ln(2) + (2 * n + 1) * ln(greatest(least(abs(t), 8.0) / sqrt(2), 1e-12)) - lgamma(2 * n + 2) + n * ln(2) + lgamma(n + 1)) for n in range(0, 161)])"
 
 
-@query(IC + NW + ", e AS (SELECT *, least(3, n - 1) AS l FROM s), k AS (SELECT factor, horizon, n, mean, CASE WHEN n >= 3 THEN sqrt(greatest(v / n + CASE WHEN l >= 1 THEN 2 * (1 - 1.0 / (l + 1)) * g1 / n ELSE 0 END + CASE WHEN l >= 2 THEN 2 * (1 - 2.0 / (l + 1)) * g2 / n ELSE 0 END + CASE WHEN l >= 3 THEN 2 * (1 - 3.0 / (l + 1)) * g3 / n ELSE 0 END, 0) / n) END AS se FROM e), z AS (SELECT *, mean / nullif(se, 0) AS t FROM k) SELECT factor, horizon, n, round(mean, 5) AS mean, round(se, 5) AS standard_error, round(t, 4) AS t_stat, round(" + _P + ", 5) AS p_value, round(mean - 1.959963984540054 * se, 5) AS ci_low, round(mean + 1.959963984540054 * se, 5) AS ci_high FROM z")
+@query(IC + NW + ", e AS (SELECT *, least(3, n - 1) AS l FROM s), k AS (SELECT factor, horizon, n, mean, CASE WHEN n >= 3 THEN sqrt(greatest(v / n + CASE WHEN l >= 1 THEN 2 * (1 - 1.0 / (l + 1)) * g1 / n ELSE 0 END + CASE WHEN l >= 2 THEN 2 * (1 - 2.0 / (l + 1)) * g2 / n ELSE 0 END + CASE WHEN l >= 3 THEN 2 * (1 - 3.0 / (l + 1)) * g3 / n ELSE 0 END, 0) / n) END AS se FROM e), z AS (SELECT *, mean / nullif(se, 0) AS t FROM k) SELECT factor, horizon, n, round(mean, 5) AS mean, round(se, 5) AS standard_error, round(t, 4) AS t_stat, " + _unsigned_sql(_P, 5) + " AS p_value, round(mean - 1.959963984540054 * se, 5) AS ci_low, round(mean + 1.959963984540054 * se, 5) AS ci_high FROM z")
 def newey_west_inference(spark: SparkSession, d: str) -> DataFrame:
     """Standard error, p-value and 95 % interval of the mean IC."""
     out = lattice.mean_inference(study.newey_west(_ics(spark, d), ["factor", "horizon"], "ic", "date"))
-    return out.select("factor", "horizon", "n", F.round("mean", 5).alias("mean"), F.round("standard_error", 5).alias("standard_error"), F.round("t_stat", 4).alias("t_stat"), *(F.round(c, 5).alias(c) for c in ("p_value", "ci_low", "ci_high")))
+    return out.select("factor", "horizon", "n", F.round("mean", 5).alias("mean"), F.round("standard_error", 5).alias("standard_error"), F.round("t_stat", 4).alias("t_stat"), *(_unsigned(F.col(c), 5).alias(c) for c in ("p_value", "ci_low", "ci_high")))
 
 
 STATUS = "CASE WHEN periods < 3 THEN 'low_period_count' WHEN mean_ic < -0.02 THEN 'adverse' WHEN abs(mean_ic) < 0.02 THEN 'weak' WHEN t >= 1.5 THEN 'supportive' ELSE 'positive_but_noisy' END"
