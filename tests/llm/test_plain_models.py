@@ -225,3 +225,24 @@ def test_training_rows_of_a_language_with_few_doc_ids(spark):
                 if r.lang == lang:
                     want += np.bincount(language_id.slots(r.text), minlength=language_id.SLOTS)
             assert np.allclose(logs[k], np.log(want / want.sum()))
+
+
+def test_two_hundred_languages(spark):
+    """200 languages and 10,000 pages: the posteriors of a plain version for some pages, and the right language for nearly all."""
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    stock = [["".join(rng.choice(letters, rng.integers(3, 8))) for _ in range(30)] for _ in range(200)]
+    say = lambda k, n: " ".join(rng.choice(stock[k], n))
+    docs = spark.createDataFrame([(5 * k + i, say(k, 60), f"l{k:03d}") for k in range(200) for i in range(5)], "doc_id long, text string, lang string")
+    rows = [(i, f"http://h{i % 997}.s{i % 200}/x", f"<html lang=l{i % 200:03d}><p>{say(i % 200, 12)}</p></html>", f"l{i % 200:03d}") for i in range(10_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, want string").repartition(8)
+    got = language_id.identify(pages.drop("want"), docs).join(pages.select("page_id", "want"), "page_id").collect()
+    assert len(got) == 10_000 and sum(r.lang == r.want for r in got) > 9_900 and all(0 < r.confidence <= 1 for r in got)
+    few = language_id.identify(pages.limit(50), docs, max_languages=7).select("lang").distinct().collect()
+    assert {r.lang for r in few} <= {f"l{k:03d}" for k in range(7)}
+
+
+def test_ties_go_to_the_first_language(spark):
+    docs = spark.createDataFrame([(1, "same words here", "b"), (2, "same words here", "a"), (3, "same words here", "c")], "doc_id long, text string, lang string")
+    pages = spark.createDataFrame([(1, "http://x.y/", "<html>same words</html>"), (2, None, None), (2, None, None)], "page_id long, url string, html string")
+    assert [r.lang for r in language_id.identify(pages, docs).collect()] == ["a", "a", "a"]
