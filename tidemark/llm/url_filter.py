@@ -153,14 +153,16 @@ def filter_urls(pages: DataFrame, rules=RULES, smoothing: float = 1.0, tag: str
     prior = urls.agg(F.count_if(F.col("_verdict") == "allow").alias("a"), F.count_if(F.col("_verdict") == "block").alias("b")).first()
     a, b, v = sums["a"] or 0, sums["b"] or 0, smoothing * max(1, sums["v"])
     weight = F.log((F.col("block") + smoothing) / (b + v)) - F.log((F.col("allow") + smoothing) / (a + v))
-    weights = counts.select("token", F.round(weight * 1e6).cast("long").alias("w"))
-    weights = F.broadcast(weights) if bounded(counts, MAX_BROADCAST) else weights
-    # a row for each host and each path: broadcast while they are few, so that the pages of one host needn't meet in one task
+    # what is broadcast has a digest of fixed size in place of a token, host or path of any length: 48 bytes a row
+    digest = lambda c: F.unhex(F.md5(c))
     small = lambda df: F.broadcast(df) if bounded(df, MAX_BROADCAST) else df
-    host_w = small(table(by_host.join(weights, "token").groupBy("host").agg(F.sum("w").alias("host_w")), tag))
-    path_w = urls.select("path").distinct().select("path", F.explode(pieces).alias("token")).join(weights, "token").groupBy("path").agg(F.sum("w").alias("path_w"))
-    path_w = small(table(path_w, tag))
+    weights = small(table(counts.select(digest("token").alias("key"), F.round(weight * 1e6).cast("long").alias("w")), tag))
+    weighed = lambda rows, name: rows.withColumn("key", digest("token")).join(weights, "key").groupBy(digest(name).alias(f"{name}_key")).agg(F.sum("w").alias(f"{name}_w"))
+    # a row for each host and each path: broadcast while they are few, so that the pages of one host needn't meet in one task;
+    # beyond that a host of very many pages is split by adaptive execution, as it is the left side of a left join
+    host_w = small(table(weighed(by_host, "host"), tag))
+    path_w = small(table(weighed(urls.select("path").distinct().select("path", F.explode(pieces).alias("token")), "path"), tag))
     start = round(1e6 * (math.log((prior["b"] + smoothing)) - math.log(prior["a"] + smoothing))) if prior["a"] + prior["b"] else 0
-    out = urls.join(host_w, "host", "left").join(path_w, "path", "left")
+    out = urls.withColumns({"host_key": digest("host"), "path_key": digest("path")}).join(host_w, "host_key", "left").join(path_w, "path_key", "left")
     score = F.coalesce("host_w", F.lit(0)) + F.coalesce("path_w", F.lit(0)) + start
     return out.select("page_id", "host", "path", "rule", F.coalesce("_verdict", F.when(score > 0, "block").otherwise("allow")).alias("verdict"), (score / 1e6).alias("score"))
