@@ -483,3 +483,23 @@ def test_related_documents_meet_in_a_shard(spark):
     met = np.mean([shard[a] == shard[b] for a, b in best.items()])
     assert len(set(shard.values())) >= 10 and met > 0.3, met
     print("best neighbours in the same shard:", round(float(met), 3), "of", len(best))
+
+
+def test_probes_of_a_text_of_many_rows(spark, monkeypatch):
+    """A text that most rows repeat is dealt to several tasks, and each row still gets its lines dropped."""
+    monkeypatch.setattr(line_dedup, "MOST_COPIES", 7)
+    rows = [(i, "shared line\nown of all\n" if i % 3 else f"shared line\nown {i}", "x") for i in range(120)] + [(None, None, "x"), (None, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, turn string").repartition(9)
+    got, want = (line_dedup.drop_common_lines(docs, min_docs=100, **k) for k in ({"max_broadcast_keys": 0}, {}))
+    order = lambda df: sorted(map(str, df.select("doc_id", "text", "turn", "n_lines", "n_dropped").collect()))
+    assert order(got) == order(want) and got.count() == 122 and got.agg(F.sum("n_dropped")).first()[0] == 120
+
+
+def test_a_score_of_nothing_allows(spark):
+    """Without a training URL the score is 0, which allows; very long labels and paths are judged like others."""
+    rows = [(1, "http://com.example/"), (2, "http://a.com/w"), (3, "http://b.net/es/w"), (4, "http://zzz.org/" + "q" * 300), (5, "://"), (5, "://"), (None, None)]
+    pages = spark.createDataFrame([(i, u, None) for i, u in rows], "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages.filter("page_id IS NULL OR page_id NOT IN (2, 3)")).collect()}
+    assert got[1].score == 0 and {r.verdict for r in got.values()} == {"allow"}
+    both = {r.page_id: r for r in url_filter.filter_urls(pages).collect()}
+    assert both[2].verdict == "allow" and both[3].verdict == "block" and both[4].verdict == ("block" if both[4].score > 0 else "allow")

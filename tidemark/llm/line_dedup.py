@@ -38,6 +38,8 @@ LEVELS = 24
 #: Probes that one copy of a shard answers.
 PROBES = 1 << 20
 MAX_BROADCAST_SHARDS = 200_000
+#: Rows of one text that meet its found lines in one task.
+MOST_COPIES = 4_096
 
 
 def line_keys(text: bytes) -> tuple[list[bytes], list[bytes]]:
@@ -207,26 +209,32 @@ def _drop_by_probes(docs: DataFrame, index: DataFrame, shard_bits: int, tag: str
 
     Only 16-byte hashes are shuffled; a text gets back those found, both halves
     of each. A shard is copied so often that a copy answers about
-    ``most_probes`` probes, so a line that a third of all texts hold is dealt out.
+    ``most_probes`` probes, so a line that a third of all texts hold is dealt
+    out. A text of more than ``MOST_COPIES`` rows meets its answer in several
+    tasks: its rows go there by the partition that they come from.
     """
     at = docs.columns.index("text")
-    key, hits = free_name("text_key", docs.columns), free_name("hits", docs.columns)
+    key, hits, turn = (free_name(c, docs.columns) for c in ("text_key", "hits", "turn"))
+    text_hash = F.xxhash64("text")
+    often = table(docs.groupBy(text_hash.alias("text_hash")).count().filter(F.col("count") > MOST_COPIES).select("text_hash", F.ceil(F.col("count") / F.lit(MOST_COPIES)).cast("int").alias("turns")), tag)
+    often = F.broadcast(often) if bounded(often, MAX_BROADCAST_SHARDS) else often
 
     def probe(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, found = [], []
-        for text in texts(batch.column(0)):
+        ids, hashes, found = [], [], []
+        for text, text_hash in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
             keys = list({k for k in line_keys(text)[1] if k})
             found += keys
             ids += [xxhash.xxh3_128_digest(text)] * len(keys)
+            hashes += [text_hash] * len(keys)
         halves = digests(found)
-        return pa.record_batch([pa.array(ids, pa.binary()), pa.array(halves[:, 0].view(np.int64)), pa.array(halves[:, 1].view(np.int64)), pa.array(_shard_of(halves, shard_bits))], ["text_key", "h", "f", "shard"])
+        return pa.record_batch([pa.array(ids, pa.binary()), pa.array(hashes, pa.int64()), pa.array(halves[:, 0].view(np.int64)), pa.array(halves[:, 1].view(np.int64)), pa.array(_shard_of(halves, shard_bits))], ["text_key", "text_hash", "h", "f", "shard"])
 
     def answer(shards: pa.Table, probes: pa.Table) -> pa.Table:
         if shards.num_rows and probes.num_rows:
             own = pickle.loads(shards.column("arrays")[0].as_py())
             h, f = (probes.column(c).to_numpy().view(np.uint64) for c in ("h", "f"))
             probes = probes.take(pa.array(np.flatnonzero(own.counts_of(h, f))))
-        return (probes if shards.num_rows else probes.slice(0, 0)).select(["text_key", "h", "f"])
+        return (probes if shards.num_rows else probes.slice(0, 0)).select(["text_key", "text_hash", "h", "f"])
 
     def identify(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys = [xxhash.xxh3_128_digest(t) for t in texts(batch.column(at))]
@@ -245,15 +253,20 @@ def _drop_by_probes(docs: DataFrame, index: DataFrame, shard_bits: int, tag: str
         columns[at] = pa.array(kept, pa.string())
         return pa.record_batch([*columns, pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], [*batch.schema.names[:-1], "n_lines", "n_dropped"])
 
-    probes = table(map_batches(docs.select("text"), probe, "text_key binary, h long, f long, shard long").distinct(), tag)
+    probes = table(map_batches(docs.select("text", text_hash.alias("text_hash")), probe, "text_key binary, text_hash long, h long, f long, shard long").distinct(), tag)
     # a row for each shard of the index, that is one for SHARD_KEYS of its keys
     copies = table(probes.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(most_probes)).cast("int").alias("copies")), tag)
     copies = F.broadcast(copies) if bounded(copies, MAX_BROADCAST_SHARDS) else copies
     dealt = probes.join(copies, "shard").withColumn("copy", F.pmod(F.xxhash64("text_key"), F.col("copies")).cast("int")).drop("copies")
     shards = index.join(copies, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "arrays")
-    found = shards.groupBy("shard", "copy").cogroup(dealt.groupBy("shard", "copy")).applyInArrow(answer, "text_key binary, h long, f long")
-    found = found.groupBy(F.col("text_key").alias(key)).agg(F.collect_set(F.struct("h", "f")).alias(hits))
-    marked = map_batches(docs, identify, f"{_ddl(docs)}, `{key}` binary").join(found, key, "left")
+    found = shards.groupBy("shard", "copy").cogroup(dealt.groupBy("shard", "copy")).applyInArrow(answer, "text_key binary, text_hash long, h long, f long")
+    found = found.groupBy("text_hash", F.col("text_key").alias(key)).agg(F.collect_set(F.struct("h", "f")).alias(hits))
+    turns = F.coalesce(F.col("turns"), F.lit(1))
+    found = found.join(often, "text_hash", "left").select(key, hits, F.explode(F.sequence(F.lit(0), turns - 1)).alias(turn))
+    # the input's columns travel as one struct beside the hash, so that none of them can clash
+    told = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), text_hash.alias("text_hash"), F.spark_partition_id().alias("part"))
+    told = told.join(often, "text_hash", "left").select("doc.*", F.pmod("part", turns).cast("int").alias(turn))
+    marked = map_batches(told, identify, f"{_ddl(docs)}, `{turn}` int, `{key}` binary").join(found, [key, turn], "left")
     marked = marked.select(*[F.col(f"`{c}`") for c in docs.columns], hits)
     return map_batches(marked, rewrite, f"{_ddl(docs)}, n_lines long, n_dropped long")
 
