@@ -13,8 +13,3 @@ def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
 def windowed_totals(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Events and their value by tumbling window and type; state is dropped behind the watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")
-
-
-def known_by(facts: DataFrame, available: str, cutoff: str) -> DataFrame:
-    """Facts that were available by the cutoff."""
-    return facts.filter(F.col(available) <= F.to_timestamp(F.lit(cutoff)))
