@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import joins, trust
+from tidemark.operators import coverage, joins, trust
 from tidemark.streaming.as_of import stream_as_of
 
 D = datetime.date
@@ -100,3 +100,18 @@ def test_streamed_as_of_equals_the_batch_join(spark, tmp_path, strict):
     facts = df.filter("id IS NULL").select("symbol", F.col("date").alias("event_date"), "value", F.col("date").alias("fact_ts"))
     want = {r.id: (r.symbol, r.fact_ts, r.value) for r in joins.as_of(df.filter("id IS NOT NULL").select("symbol", "date", "id"), facts, ["value", "fact_ts"], strict=strict).collect()}
     assert got == want and len(want) > 60 and sum(v[2] is not None for v in want.values()) > 40
+
+
+def test_gate_and_score_by_hand(spark):
+    best = {"source": "investoday:x+pit_liquidity_universe+pit_stock_master_filter", "production_ready": True, "aligned_days": 5, "walk_positive": 1.0, "walk_windows": 4.0, "walk_failed": 0.0, "supportive": 2.0, "adverse": 0.0, "bias_status": "ok", "bias_score": 100.0, "bias_failed": 0.0, "max_drawdown": -0.05, "trade_count": 200.0, "verdict": "keep", "annualized": 0.3, "information_ratio": 1.5, "sharpe": 9.0, "best_t": 2.0, "top_weight": 0.1, "data_points": 10.0}
+    cases = {"best": {}, "sample": {"source": "sample"}, "abandoned": {"verdict": "abandon"}, "unknown": {"production_ready": None, "bias_status": None, "annualized": None, "max_drawdown": None}, "walk": {"walk_failed": 2.0}, "no_ir": {"information_ratio": 0.0, "sharpe": 0.75}, "biased": {"bias_failed": 1.0}, "spread": {"top_weight": 0.0}, "adverse": {"adverse": 9.0}}
+    names = ["case", *best]
+    kinds = {str: "string", bool: "boolean", int: "int", float: "double"}
+    df = spark.createDataFrame([(k, *{**best, **v}.values()) for k, v in cases.items()], ", ".join(f"`{n}` {'string' if n == 'case' else kinds[type(best[n])]}" for n in names))
+    got = {r.case: r for r in coverage.research_score(coverage.decision_gate(df)).collect()}
+    assert (got["best"].passed, got["best"].gate, got["best"].score, got["best"].band) == (11, "paper_candidate", 100.0, "strong_watch")
+    assert got["sample"].passed == 8 and got["sample"].score == 80.0 and (got["abandoned"].passed, got["abandoned"].score, got["abandoned"].band) == (10, 45.0, "weak_watch")
+    # a missing figure is 0: no drawdown, no return; a missing answer fails
+    assert got["unknown"].passed == 9 and got["unknown"].points_return == 0 and got["unknown"].points_drawdown == 12 and got["unknown"].annualized is None
+    assert math.isclose(got["walk"].points_walk_forward, 12) and math.isclose(got["no_ir"].points_risk_adjusted, 4) and math.isclose(got["biased"].points_bias, 2)
+    assert math.isclose(got["spread"].points_concentration, 4) and math.isclose(got["adverse"].points_factor_ic, 7) and got["adverse"].aligned_days == 5

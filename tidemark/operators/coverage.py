@@ -7,8 +7,39 @@ from pyspark.sql import functions as F
 
 #: Fixed form of a number: sign, digits with or without a fraction, exponent.
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
-#: What the source of data from an archive holds, against samples.
-REAL_SOURCE = "historical_asset:"
+#: What the source of real data holds, against samples (fixed values: an archive's tables, a vendor's).
+REAL_SOURCES = ("historical_asset:", "investoday:")
+_FROM_REAL = " OR ".join(f"contains(source, '{x}')" for x in REAL_SOURCES)
+#: The gate's checks, as conditions on a run's figures (fixed values; a missing figure counts as 0, an unknown check as failed).
+GATE_RULES = {
+    "real_data": _FROM_REAL,
+    "pit_universe": "contains(source, 'pit_liquidity_universe')",
+    "stock_master": "contains(source, 'pit_stock_master_filter')",
+    "production_data": "production_ready",
+    "benchmark": "aligned_days > 0",
+    "walk_forward": "walk_positive >= 0.75 AND walk_failed = 0",
+    "factor_ic": "supportive >= 1 AND adverse = 0",
+    "bias_diagnostics": "bias_status IN ('ok', 'warn') AND bias_score >= 70 AND bias_failed = 0",
+    "drawdown": "max_drawdown >= -0.25",
+    "trade_sample": "trade_count >= 100",
+    "audit": "verdict IS DISTINCT FROM 'abandon'",
+}
+#: The score's parts: points, and the share of them that a run gets, cut to 0..1 (fixed values).
+SCORE_PARTS = {
+    "return": (12.0, "annualized / 0.30D"),
+    "drawdown": (12.0, "(0.30D + max_drawdown) / 0.25D"),
+    "risk_adjusted": (14.0, "IF(information_ratio <> 0, information_ratio / 1.5D, least(greatest(sharpe / 1.5D, 0D), 1D) * 8 / 14)"),
+    "walk_forward": (15.0, "IF(walk_windows > 0, least(greatest(walk_positive, 0D), 1D) - least(walk_failed, walk_windows) / walk_windows * 6 / 15, 0D)"),
+    "factor_ic": (15.0, "(least(greatest(supportive / 2, 0D), 1D) * 9 + least(greatest(best_t / 2, 0D), 1D) * 4 - least(adverse, 3D) * 2) / 15"),
+    "sample_size": (10.0, "trade_count / 200"),
+    "concentration": (8.0, "IF(top_weight > 0, (0.45D - top_weight) / 0.30D, 0.5D)"),
+    "data_quality": (10.0, "data_points / 10"),
+    "decision_gate": (6.0, "passed / (passed + failed)"),
+    "bias": (6.0, "IF(bias_failed > 0, least(bias_score / 100, 2D / 6), bias_score / 100)"),
+}
+#: Most points of abandoned runs and of those that the gate holds back, and the bands from their least points on.
+CAPS, BANDS = {"abandon": 45.0, "research_only": 80.0, "all": 100.0}, {"strong_watch": 75.0, "watch": 60.0, "weak_watch": 45.0}
+_FIGURES = ("aligned_days", "walk_positive", "walk_windows", "walk_failed", "supportive", "adverse", "bias_score", "bias_failed", "max_drawdown", "trade_count", "annualized", "information_ratio", "sharpe", "best_t", "top_weight", "data_points")
 SYMBOL = r"^[0-9]{6}\.(SH|SZ)$"
 
 
@@ -124,13 +155,9 @@ def set_algebra(a: DataFrame, b: DataFrame, key: str, by: str) -> DataFrame:
     return keys.groupBy(by).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.sum(F.col("a") * F.col("b")).alias("both"), F.count("*").alias("either"), F.sum(F.col("a") * (1 - F.col("b"))).alias("only_a"), F.sum(F.col("b") * (1 - F.col("a"))).alias("only_b"), F.sum(F.abs(F.col("a") - F.col("b"))).alias("one_side"))
 
 
-def _real(source: Column) -> Column:
-    return F.contains(source, F.lit(REAL_SOURCE))
-
-
 def freshness(rows: DataFrame, most_days: int, least_aligned: int) -> DataFrame:
     """``verdict`` of each run's data and whether it may be used, first reason first."""
-    real = _real(F.col("source"))
+    real = F.expr(_FROM_REAL)
     verdict = F.when(F.col("source") == "sample", "sample_only").when(~F.coalesce(real, F.lit(False)), "unknown_source").when(F.col("status").isin("empty", "missing_columns"), "bad_data").when(F.col("age_days").isNull(), "unknown_freshness")
     verdict = verdict.when(F.col("age_days") > most_days, "stale").when(F.col("aligned_days") < least_aligned, "benchmark_missing").otherwise("fresh")
     return rows.withColumn("verdict", verdict).withColumn("ok", F.col("verdict") == "fresh")
@@ -142,39 +169,34 @@ def health(rows: DataFrame) -> DataFrame:
     return rows.withColumn("state", state)
 
 
+def _filled(runs: DataFrame) -> DataFrame:
+    """Missing figures as 0; the columns stay as they are beside them."""
+    figures = F.struct(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in _FIGURES else F.col(c) for c in runs.columns)).alias("f")
+    return runs.select(*(F.col(c).alias(f"_{c}") for c in runs.columns), figures).select(*(f"_{c}" for c in runs.columns), "f.*")
+
+
+def _restored(df: DataFrame, columns: list[str], added: list[str]) -> DataFrame:
+    return df.select(*(F.col(f"_{c}").alias(c) for c in columns), *added)
+
+
 def decision_gate(runs: DataFrame) -> DataFrame:
-    """Eleven checks of each run (unknown counts as failed), how many pass, and whether it is a candidate."""
-    n = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    checks = {
-        "real_data": _real(text("source")), "pit_universe": F.contains(text("source"), F.lit("pit_liquidity_universe")), "stock_master": F.contains(text("source"), F.lit("pit_stock_master_filter")),
-        "production_data": F.coalesce("production_ready", F.lit(False)), "benchmark": n("aligned_days") > 0, "walk_forward": (n("walk_positive") >= 0.75) & (n("walk_failed") == 0), "factor_ic": (n("supportive") >= 1) & (n("adverse") == 0),
-        "bias_diagnostics": text("bias_status").isin("ok", "warn") & (n("bias_score") >= 70) & (n("bias_failed") == 0), "drawdown": n("max_drawdown") >= -0.25, "trade_sample": n("trade_count") >= 100, "audit": text("verdict") != "abandon",
-    }
-    out = runs.withColumns({f"pass_{k}": v for k, v in checks.items()})
-    out = out.withColumn("passed", sum((F.col(f"pass_{k}").cast("int") for k in checks), F.lit(0)))
+    """The checks of ``GATE_RULES`` for each run, how many pass, and whether it is a candidate."""
+    checks = {f"pass_{name}": F.coalesce(F.expr(rule), F.lit(False)) for name, rule in GATE_RULES.items()}
+    out = _restored(_filled(runs).withColumns(checks), runs.columns, list(checks))
+    out = out.withColumn("passed", sum((F.col(c).cast("int") for c in checks), F.lit(0)))
     return out.withColumn("failed", len(checks) - F.col("passed")).withColumn("gate", F.when(F.col("failed") == 0, "paper_candidate").otherwise("research_only"))
 
 
 def research_score(runs: DataFrame) -> DataFrame:
-    """Ten components of each gated run (with ``data_points``, 0 to 10), their capped sum and its band."""
-    n = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    unit = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-    upto = lambda x, most: F.least(F.greatest(x, F.lit(0.0)), F.lit(most))
-    windows = n("walk_windows")
-    parts = {
-        "return": unit(n("annualized") / 0.30) * 12, "drawdown": unit((0.30 + n("max_drawdown")) / 0.25) * 12,
-        "risk_adjusted": F.when(n("information_ratio") != 0, unit(n("information_ratio") / 1.5) * 14).otherwise(unit(n("sharpe") / 1.5) * 8),
-        "walk_forward": F.when(windows > 0, upto(unit(n("walk_positive")) * 15 - F.least(n("walk_failed"), windows) / windows * 6, 15.0)).otherwise(0.0),
-        "factor_ic": upto(unit(n("supportive") / 2) * 9 + unit(n("best_t") / 2) * 4 - F.least(n("adverse"), F.lit(3.0)) * 2, 15.0), "sample_size": unit(n("trade_count") / 200) * 10,
-        "concentration": F.when(n("top_weight") > 0, unit((0.45 - n("top_weight")) / 0.30) * 8).otherwise(4.0), "data_quality": upto(n("data_points"), 10.0), "decision_gate": n("passed") / (n("passed") + n("failed")) * 6,
-        "bias": F.when(n("bias_failed") > 0, F.least(unit(n("bias_score") / 100) * 6, F.lit(2.0))).otherwise(unit(n("bias_score") / 100) * 6),
-    }
-    out = runs.withColumns({f"points_{k}": v for k, v in parts.items()})
-    total = F.least(sum((F.col(f"points_{k}") for k in parts), F.lit(0.0)), F.lit(100.0))
-    total = F.when(F.coalesce("verdict", F.lit("")) == "abandon", F.least(total, F.lit(45.0))).when(F.col("gate") != "paper_candidate", F.least(total, F.lit(80.0))).otherwise(total)
-    out = out.withColumn("score", F.round(total, 2))
-    return out.withColumn("band", F.when(total >= 75, "strong_watch").when(total >= 60, "watch").when(total >= 45, "weak_watch").otherwise("reject"))
+    """The parts of ``SCORE_PARTS`` of each gated run (with ``data_points``, 0 to 10), their capped sum and its band."""
+    parts = {f"points_{name}": F.least(F.greatest(F.expr(share), F.lit(0.0)), F.lit(1.0)) * points for name, (points, share) in SCORE_PARTS.items()}
+    out = _restored(_filled(runs).withColumns(parts), runs.columns, list(parts))
+    cap = F.when(F.coalesce("verdict", F.lit("")) == "abandon", CAPS["abandon"]).when(F.col("gate") != "paper_candidate", CAPS["research_only"]).otherwise(CAPS["all"])
+    out = out.withColumn("_total", F.least(sum((F.col(c) for c in parts), F.lit(0.0)), cap))
+    band = F.lit("reject")
+    for name, least in sorted(BANDS.items(), key=lambda b: b[1]):
+        band = F.when(F.col("_total") >= least, name).otherwise(band)
+    return out.withColumns({"score": F.round("_total", 2), "band": band}).drop("_total")
 
 
 def board(runs: DataFrame, group: str) -> DataFrame:

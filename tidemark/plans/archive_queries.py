@@ -43,9 +43,11 @@ def dividend_asset(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH raw AS (
   SELECT {_CODE} AS symbol, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 AS INTEGER) END AS published,
-    CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_totalprice END AS roe FROM orders WHERE ({_KNOWN_DAY}),
+    CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_totalprice END AS roe FROM orders
+  WHERE ({_KNOWN_DAY}),
 filled AS (SELECT *, coalesce(published, date) AS p FROM raw),
-placed AS (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY p DESC, roe DESC NULLS LAST) AS place FROM filled)
+placed AS (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY p DESC, roe DESC NULLS LAST) AS place
+  FROM filled)
 SELECT date, symbol, p AS published, roe FROM placed WHERE place = 1""")
 def fundamental_asset(spark: SparkSession, d: str) -> DataFrame:
     """Fundamental factors: a missing publication date is the row's date, of a symbol's rows of a date the last published stays."""
@@ -55,7 +57,8 @@ def fundamental_asset(spark: SparkSession, d: str) -> DataFrame:
     return assets.conform(raw, assets.FUNDAMENTAL_FACTORS, END).select("date", "symbol", "published", "roe")
 
 
-@query(f"""WITH raw AS (SELECT {_CODE} AS symbol, CAST(o_orderdate AS DATE) AS date, 'notice ' || (o_orderkey % 4) AS title, CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE ({_KNOWN_DAY} AND o_orderkey % 19 <> 0)
+@query(f"""WITH raw AS (SELECT {_CODE} AS symbol, CAST(o_orderdate AS DATE) AS date, 'notice ' || (o_orderkey % 4) AS title,
+  CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE ({_KNOWN_DAY} AND o_orderkey % 19 <> 0)
 SELECT symbol, date, title, max(id) AS id FROM raw GROUP BY 1, 2, 3""")
 def announcement_asset(spark: SparkSession, d: str) -> DataFrame:
     """Announcements under other column names, blank titles left out; the last id of a repeated title stays."""
@@ -64,9 +67,13 @@ def announcement_asset(spark: SparkSession, d: str) -> DataFrame:
     return assets.conform(raw, assets.ANNOUNCEMENTS, END).select("symbol", "date", "title", "id")
 
 
-@query("""WITH raw AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, 'I' || (l_suppkey % 5) AS code, l_suppkey AS s FROM lineitem),
-kept AS (SELECT DISTINCT CASE WHEN code = 'I3' THEN DATE '2001-10-01' ELSE date END AS date, code, s FROM raw)
-SELECT code AS index_code, count(DISTINCT date) AS snapshots, count(*) AS rows, code IN ('I2', 'I3') AS all_latest, NOT (code IN ('I2', 'I3') AND count(DISTINCT date) <= 1) AS usable_history FROM kept GROUP BY code""")
+@query("""WITH raw AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, 'I' || (l_suppkey % 5) AS code, l_suppkey AS s
+  FROM lineitem),
+kept AS (SELECT DISTINCT CASE WHEN code = 'I3' THEN DATE '2001-10-01' ELSE date END AS date, code, s
+  FROM raw)
+SELECT code AS index_code, count(DISTINCT date) AS snapshots, count(*) AS rows, code IN ('I2', 'I3') AS all_latest,
+  NOT (code IN ('I2', 'I3') AND count(DISTINCT date) <= 1) AS usable_history FROM kept
+  GROUP BY code""")
 def index_snapshot_support(spark: SparkSession, d: str) -> DataFrame:
     """Which indices' constituents have a history: one has a single latest-only snapshot."""
     rows = adapter.read(spark, d, "lineitem")
@@ -77,10 +84,15 @@ def index_snapshot_support(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH raw AS (SELECT {_DAY} AS day, o_orderkey, o_orderdate FROM orders),
-ok AS (SELECT *, CASE WHEN o_orderkey % 97 <> 0 OR o_orderkey % 11 = 0 THEN CAST(o_orderdate AS DATE) END AS date FROM raw)
-SELECT 'dividend_events' AS asset, true AS present, true AS required, count(*) AS n_rows, count(*) FILTER (date IS NOT NULL AND o_orderkey % 13 <> 0) AS usable, min(date) AS first, max(date) AS last, '' AS lacking, 'note' AS unknown FROM ok
-UNION ALL SELECT 'margin_trades', true, false, count(*), 0, NULL, NULL, 'date', 'when' FROM orders
-UNION ALL SELECT unnest(['fundamental_factors', 'daily_fund_flows', 'abnormal_list', 'announcements', 'industry', 'index_constituents']), false, false, NULL, NULL, NULL, NULL, '', ''""")
+ok AS (SELECT *, CASE WHEN o_orderkey % 97 <> 0 OR o_orderkey % 11 = 0 THEN CAST(o_orderdate AS DATE) END AS date
+  FROM raw)
+SELECT 'dividend_events' AS asset, true AS present, true AS required, count(*) AS n_rows, count(*) FILTER (date IS NOT NULL
+  AND o_orderkey % 13 <> 0) AS usable, min(date) AS first, max(date) AS last, '' AS lacking, 'note' AS unknown
+  FROM ok
+UNION ALL SELECT 'margin_trades', true, false, count(*), 0, NULL, NULL, 'date', 'when'
+  FROM orders
+UNION ALL SELECT unnest(['fundamental_factors', 'daily_fund_flows', 'abnormal_list', 'announcements', 'industry',
+  'index_constituents']), false, false, NULL, NULL, NULL, NULL, '', ''""")
 def asset_inventory(spark: SparkSession, d: str) -> DataFrame:
     """What an archive holds: present tables, their rows, dates, lacking and unknown columns."""
     root, orders = scratch.new_path(spark, "archive"), _orders(spark, d)
@@ -133,20 +145,30 @@ RULES = [
 ]
 _KEYS = {"orders": ("o_orderkey",), "lineitem": ("l_orderkey", "l_linenumber"), "customer": ("c_custkey",), "part": ("p_partkey",), "supplier": ("s_suppkey",)}
 _FAULTS = """WITH rich AS (SELECT c_custkey FROM customer WHERE c_acctbal > 0), faults(rule, "table", key) AS (
-  SELECT 'positive_price', 'orders', CAST(o_orderkey AS VARCHAR) FROM orders WHERE NOT coalesce(o_totalprice > 0 AND o_custkey % 41 <> 0, false)
+  SELECT 'positive_price', 'orders', CAST(o_orderkey AS VARCHAR) FROM orders WHERE NOT coalesce(o_totalprice > 0
+  AND o_custkey % 41 <> 0, false)
   UNION ALL SELECT 'known_day', 'orders', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderdate IS NULL
-  UNION ALL SELECT 'shipped_after_start', 'lineitem', l_orderkey || '|' || l_linenumber FROM lineitem WHERE NOT coalesce(l_shipdate >= DATE '1995-02-01', false)
-  UNION ALL SELECT 'discount_range', 'lineitem', l_orderkey || '|' || l_linenumber FROM lineitem WHERE NOT coalesce(l_discount BETWEEN 0 AND 1, false)
-  UNION ALL SELECT 'line_has_order', 'lineitem', CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
-  UNION ALL SELECT 'order_has_rich_customer', 'orders', CAST(o_custkey AS VARCHAR) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM rich)
-  UNION ALL SELECT 'line_has_part', 'lineitem', CAST(l_partkey AS VARCHAR) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)),
+  UNION ALL SELECT 'shipped_after_start', 'lineitem', l_orderkey || '|' || l_linenumber
+  FROM lineitem WHERE NOT coalesce(l_shipdate >= DATE '1995-02-01', false)
+  UNION ALL SELECT 'discount_range', 'lineitem', l_orderkey || '|' || l_linenumber
+  FROM lineitem WHERE NOT coalesce(l_discount BETWEEN 0 AND 1, false)
+  UNION ALL SELECT 'line_has_order', 'lineitem', CAST(l_orderkey AS VARCHAR) FROM lineitem
+  WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
+  UNION ALL SELECT 'order_has_rich_customer', 'orders', CAST(o_custkey AS VARCHAR)
+  FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM rich)
+  UNION ALL SELECT 'line_has_part', 'lineitem', CAST(l_partkey AS VARCHAR) FROM lineitem
+  WHERE l_partkey NOT IN (SELECT p_partkey FROM part)),
 counted AS (SELECT rule, count(*) AS violations, min(key) AS sample FROM faults GROUP BY rule),
 again AS (
-  SELECT 'order_key' AS rule, coalesce(sum(n - 1), 0)::BIGINT AS violations FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderkey HAVING count(*) > 1)
-  UNION ALL SELECT 'customer_day', coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey, o_orderdate HAVING count(*) > 1)
-  UNION ALL SELECT 'enough_suppliers', (count(DISTINCT s_suppkey) < 5)::BIGINT FROM supplier UNION ALL SELECT 'enough_customers', (count(*) < 1e9)::BIGINT FROM customer),
+  SELECT 'order_key' AS rule, coalesce(sum(n - 1), 0)::BIGINT AS violations FROM (SELECT count(*) AS n
+  FROM orders GROUP BY o_orderkey HAVING count(*) > 1)
+  UNION ALL SELECT 'customer_day', coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n
+  FROM orders GROUP BY o_custkey, o_orderdate HAVING count(*) > 1)
+  UNION ALL SELECT 'enough_suppliers', (count(DISTINCT s_suppkey) < 5)::BIGINT FROM supplier
+  UNION ALL SELECT 'enough_customers', (count(*) < 1e9)::BIGINT FROM customer),
 rules(rule, "table") AS (VALUES """ + ", ".join(f"('{r.name}', '{r.table}')" for r in RULES) + """),
-found AS (SELECT r.rule, r."table", coalesce(c.violations, a.violations, 0) AS violations, c.sample FROM rules r LEFT JOIN counted c USING (rule) LEFT JOIN again a USING (rule))"""
+found AS (SELECT r.rule, r."table", coalesce(c.violations, a.violations, 0) AS violations, c.sample
+  FROM rules r LEFT JOIN counted c USING (rule) LEFT JOIN again a USING (rule))"""
 
 
 def _bundle(spark: SparkSession, d: str) -> DataFrame:
@@ -162,8 +184,11 @@ def bundle_violations(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("sample", F.when(F.col("rule").isin("positive_price", "known_day", "shipped_after_start", "discount_range"), F.col("sample")))
 
 
-@query(_FAULTS + """ SELECT count(*) AS rules, count(*) FILTER (violations > 0) AS broken, count(*) FILTER (violations > 0 AND rule IN ('order_key', 'line_has_order')) AS hard_failed,
-  CASE WHEN count(*) FILTER (violations > 0 AND rule IN ('order_key', 'line_has_order')) > 0 THEN 'invalid' WHEN count(*) FILTER (violations > 0) > 0 THEN 'research_only' ELSE 'production_ready' END AS level FROM found""")
+@query(_FAULTS + """ SELECT count(*) AS rules, count(*) FILTER (violations > 0) AS broken, count(*) FILTER (violations > 0 AND rule IN ('order_key',
+  'line_has_order')) AS hard_failed,
+  CASE WHEN count(*) FILTER (violations > 0 AND rule IN ('order_key', 'line_has_order')) > 0 THEN 'invalid' WHEN
+  count(*) FILTER (violations > 0) > 0 THEN 'research_only' ELSE 'production_ready' END AS level
+  FROM found""")
 def bundle_verdict(spark: SparkSession, d: str) -> DataFrame:
     """The bundle's level: invalid if a hard rule is broken, for research only if another is."""
     return profile.verdict(_bundle(spark, d), ["order_key", "line_has_order"])
@@ -172,9 +197,12 @@ def bundle_verdict(spark: SparkSession, d: str) -> DataFrame:
 _RUN_FIELDS = {"total_return": ("double", ("$.results.metrics.total_return", "$.metrics.ret")), "trades": ("bigint", ("$.results.trades", "$.trade_count")), "status": ("string", ("$.status",)), "first_tag": ("string", ("$.tags[0]",))}
 
 
-@query("""WITH last AS (SELECT o_custkey, max(o_orderkey) AS k, count(*) AS versions FROM orders GROUP BY o_custkey)
-SELECT CAST(l.o_custkey AS VARCHAR) AS run_id, versions, k % 29 <> 0 AS readable, CASE WHEN k % 29 <> 0 THEN round(o_totalprice, 2) END AS total_return,
-  CASE WHEN k % 29 <> 0 AND NOT (k % 2 = 0 AND k % 5 = 0) THEN k % 100 END AS trades, CASE WHEN k % 29 <> 0 THEN o_orderstatus END AS status, CASE WHEN k % 29 <> 0 AND k % 2 = 1 THEN o_orderpriority END AS first_tag
+@query("""WITH last AS (SELECT o_custkey, max(o_orderkey) AS k, count(*) AS versions FROM orders
+  GROUP BY o_custkey)
+SELECT CAST(l.o_custkey AS VARCHAR) AS run_id, versions, k % 29 <> 0 AS readable, CASE WHEN k % 29 <> 0 THEN round(o_totalprice,
+  2) END AS total_return,
+  CASE WHEN k % 29 <> 0 AND NOT (k % 2 = 0 AND k % 5 = 0) THEN k % 100 END AS trades, CASE WHEN k % 29 <> 0 THEN o_orderstatus END AS status,
+  CASE WHEN k % 29 <> 0 AND k % 2 = 1 THEN o_orderpriority END AS first_tag
 FROM last l JOIN orders o ON o.o_orderkey = l.k""")
 def run_registry(spark: SparkSession, d: str) -> DataFrame:
     """Runs whose records have two versions, appended to a registry and flattened by one set of rules."""
@@ -194,9 +222,11 @@ def run_registry(spark: SparkSession, d: str) -> DataFrame:
 _SOURCES = "CAST(symbol % 3 AS INTEGER)"
 _PLANTED = "amount * CASE WHEN symbol % 3 = 1 AND date >= DATE '1997-01-01' AND date < DATE '1998-01-01' THEN 100.0 WHEN symbol % 3 = 2 AND date >= DATE '1999-06-01' THEN 1000.0 ELSE 1.0 END"
 _UNITS = ", ".join(f"({u!r}::DOUBLE)" for u in runs.UNITS)
-_UNIT_SQL = PANEL + f""", q AS (SELECT {_SOURCES} AS source, CAST(date_trunc('month', date) AS DATE) AS month, log10({_PLANTED} / (volume * close)) AS x FROM panel),
+_UNIT_SQL = PANEL + f""", q AS (SELECT {_SOURCES} AS source, CAST(date_trunc('month', date) AS DATE) AS month, log10({_PLANTED} / (volume * close)) AS x
+  FROM panel),
 m AS (SELECT source, month, count(x) AS n, median(x) AS l FROM q GROUP BY 1, 2), u(unit) AS (VALUES {_UNITS}),
-units AS (SELECT source, month, any_value(n) AS n, any_value(l) AS l, arg_min(unit, abs(l - log10(unit))) AS unit, min(abs(l - log10(unit))) <= 0.25 AS verified FROM m, u GROUP BY source, month)"""
+units AS (SELECT source, month, any_value(n) AS n, any_value(l) AS l, arg_min(unit, abs(l - log10(unit))) AS unit,
+  min(abs(l - log10(unit))) <= 0.25 AS verified FROM m, u GROUP BY source, month)"""
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:
@@ -213,7 +243,8 @@ def amount_units(spark: SparkSession, d: str) -> DataFrame:
     return _units(spark, d).withColumn("scale", _unsigned(F.log10("scale"), 4))
 
 
-@query(_UNIT_SQL + """, moved AS (SELECT source, lag(month) OVER w AS "from", month AS "to", lag(unit) OVER w AS unit_before, unit AS unit_after FROM units WINDOW w AS (PARTITION BY source ORDER BY month))
+@query(_UNIT_SQL + """, moved AS (SELECT source, lag(month) OVER w AS "from", month AS "to", lag(unit) OVER w AS unit_before, unit AS unit_after
+  FROM units WINDOW w AS (PARTITION BY source ORDER BY month))
 SELECT * FROM moved WHERE unit_before <> unit_after""")
 def amount_unit_breaks(spark: SparkSession, d: str) -> DataFrame:
     """Where a source's unit changes."""

@@ -11,10 +11,15 @@ from tidemark.plans.registry import BARS, EVENTS, MASTER, PANEL, _bars, _even, e
 from tidemark.sources import adapter
 
 #: Raw codes of all forms: plain, short, of a number, with an exchange, with blanks, missing.
-CODES = """WITH c AS (SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 0 THEN '600' WHEN 1 THEN '000' WHEN 2 THEN '900' ELSE '688' END || lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') AS full_code, s_nationkey FROM supplier),
-codes AS (SELECT k, CASE k % 7 WHEN 0 THEN full_code WHEN 1 THEN CAST(CAST(full_code AS BIGINT) AS VARCHAR) || '.0' WHEN 2 THEN ' ' || CAST(k % 1000 AS VARCHAR) || ' ' WHEN 3 THEN full_code || '.sz' WHEN 4 THEN 'nan' WHEN 5 THEN NULL ELSE CAST(CAST(full_code AS BIGINT) AS VARCHAR) || '.SH' END AS code,
- CASE s_nationkey % 5 WHEN 0 THEN 'sse' WHEN 1 THEN 'Shenzhen' WHEN 2 THEN 'BJ' WHEN 3 THEN 'elsewhere' END AS market FROM c),
-t AS (SELECT k, code, market, CASE WHEN upper(trim(coalesce(code, ''))) IN ('NAN', 'NONE', 'NULL') THEN '' ELSE regexp_replace(upper(trim(coalesce(code, ''))), '^(\\d+)\\.0$', '\\1') END AS text FROM codes)"""
+CODES = """WITH c AS (SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 0 THEN '600' WHEN 1 THEN '000' WHEN 2 THEN '900' ELSE '688' END || lpad(CAST(s_suppkey % 1000 AS VARCHAR),
+  3, '0') AS full_code, s_nationkey FROM supplier),
+codes AS (SELECT k, CASE k % 7 WHEN 0 THEN full_code WHEN 1 THEN CAST(CAST(full_code AS BIGINT) AS VARCHAR) || '.0'
+  WHEN 2 THEN ' ' || CAST(k % 1000 AS VARCHAR) || ' ' WHEN 3 THEN full_code || '.sz' WHEN 4 THEN 'nan' WHEN 5 THEN NULL
+  ELSE CAST(CAST(full_code AS BIGINT) AS VARCHAR) || '.SH' END AS code,
+ CASE s_nationkey % 5 WHEN 0 THEN 'sse' WHEN 1 THEN 'Shenzhen' WHEN 2 THEN 'BJ' WHEN 3 THEN 'elsewhere' END AS market
+  FROM c),
+t AS (SELECT k, code, market, CASE WHEN upper(trim(coalesce(code, ''))) IN ('NAN', 'NONE', 'NULL') THEN '' ELSE regexp_replace(upper(trim(coalesce(code,
+  ''))), '^(\\d+)\\.0$', '\\1') END AS text FROM codes)"""
 
 
 def _codes(spark: SparkSession, d: str) -> DataFrame:
@@ -32,7 +37,8 @@ _NORMAL = f"""CASE WHEN text = '' THEN '' WHEN contains(text, '.') THEN ({_PAD(x
 _IN_MARKET = f"""CASE WHEN text = '' THEN '' WHEN upper(trim(market)) IN ('SH', 'SSE', 'XSHG', 'SHANGHAI') THEN ({_PAD(x='text')}) || '.SH' WHEN upper(trim(market)) IN ('SZ', 'SZSE', 'XSHE', 'SHENZHEN') THEN ({_PAD(x='text')}) || '.SZ' WHEN upper(trim(market)) IN ('BJ', 'BSE', 'XBEI', 'BEIJING') THEN ({_PAD(x='text')}) || '.BJ' ELSE {_NORMAL} END"""
 
 
-@query(CODES + f" SELECT k, {_NORMAL} AS symbol, CASE WHEN contains(text, '.') THEN NULL ELSE {_IN_MARKET} END AS in_market, regexp_matches(upper({_NORMAL}), '^(200\\d{{3}}\\.SZ|900\\d{{3}}\\.SH)$') AS b_share FROM t")
+@query(CODES + f""" SELECT k, {_NORMAL} AS symbol, CASE WHEN contains(text, '.') THEN NULL ELSE {_IN_MARKET} END AS in_market, regexp_matches(upper({_NORMAL}),
+  '^(200\\d{{3}}\\.SZ|900\\d{{3}}\\.SH)$') AS b_share FROM t""")
 def symbol_normalisation(spark: SparkSession, d: str) -> DataFrame:
     rows = _codes(spark, d)
     symbol = normalise.normal_symbol(F.col("code"))
@@ -40,8 +46,12 @@ def symbol_normalisation(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("k", symbol.alias("symbol"), market.alias("in_market"), normalise.is_b_share(symbol).alias("b_share"))
 
 
-MASTER_ROWS = MASTER + """, m AS (SELECT CASE symbol % 5 WHEN 0 THEN '600' WHEN 1 THEN '000' WHEN 2 THEN '900' WHEN 3 THEN '200' ELSE '830' END || lpad(CAST(symbol % 1000 AS VARCHAR), 3, '0') || CASE symbol % 5 WHEN 0 THEN '.SH' WHEN 2 THEN '.SH' WHEN 4 THEN '.BJ' ELSE '.SZ' END AS symbol, symbol AS k, CASE WHEN symbol % 29 <> 0 THEN list_date END AS list_date, CASE WHEN symbol % 49 <> 0 THEN CASE WHEN symbol % 63 = 0 THEN list_date - 5 ELSE delist_date END END AS delist_date,
- CASE WHEN symbol % 31 = 0 THEN 'paused' WHEN symbol % 7 = 0 AND symbol % 2 = 0 THEN 'delisted' ELSE 'listed' END AS list_status, CASE WHEN symbol % 11 = 0 THEN 'fund' ELSE ' a ' END AS stock_type FROM master)"""
+MASTER_ROWS = MASTER + """, m AS (SELECT CASE symbol % 5 WHEN 0 THEN '600' WHEN 1 THEN '000' WHEN 2 THEN '900' WHEN 3 THEN '200' ELSE '830' END || lpad(CAST(symbol % 1000 AS VARCHAR),
+  3, '0') || CASE symbol % 5 WHEN 0 THEN '.SH' WHEN 2 THEN '.SH' WHEN 4 THEN '.BJ' ELSE '.SZ' END AS symbol, symbol AS k,
+  CASE WHEN symbol % 29 <> 0 THEN list_date END AS list_date, CASE WHEN symbol % 49 <> 0 THEN CASE WHEN symbol % 63 = 0
+  THEN list_date - 5 ELSE delist_date END END AS delist_date,
+ CASE WHEN symbol % 31 = 0 THEN 'paused' WHEN symbol % 7 = 0 AND symbol % 2 = 0 THEN 'delisted' ELSE 'listed' END AS list_status,
+  CASE WHEN symbol % 11 = 0 THEN 'fund' ELSE ' a ' END AS stock_type FROM master)"""
 
 
 def _master(spark: SparkSession, d: str) -> DataFrame:
@@ -53,43 +63,64 @@ def _master(spark: SparkSession, d: str) -> DataFrame:
     return adapter.stock_master(spark, d).select(F.concat(head, F.lpad((k % 1000).cast("string"), 3, "0"), tail).alias("symbol"), k.alias("k"), F.when(k % 29 != 0, F.col("list_date")).alias("list_date"), gone.alias("delist_date"), status.alias("list_status"), F.when(k % 11 == 0, "fund").otherwise(" a ").alias("stock_type"))
 
 
-@query(MASTER_ROWS + " SELECT DISTINCT symbol FROM m WHERE upper(trim(stock_type)) IN ('A股', 'A', 'ASHARE', 'A-SHARE') AND list_date IS NOT NULL AND NOT regexp_matches(symbol, '^(200\\d{3}\\.SZ|900\\d{3}\\.SH)$') AND (list_status = 'listed' OR (list_status = 'delisted' AND delist_date IS NOT NULL)) AND NOT suffix(symbol, '.BJ') AND list_date <= DATE '2000-01-01' AND (delist_date IS NULL OR delist_date > DATE '1996-01-01')")
+@query(MASTER_ROWS + """ SELECT DISTINCT symbol FROM m WHERE upper(trim(stock_type)) IN ('A股', 'A', 'ASHARE', 'A-SHARE') AND list_date IS NOT NULL
+  AND NOT regexp_matches(symbol, '^(200\\d{3}\\.SZ|900\\d{3}\\.SH)$') AND (list_status = 'listed' OR (list_status = 'delisted'
+  AND delist_date IS NOT NULL)) AND NOT suffix(symbol, '.BJ') AND list_date <= DATE '2000-01-01' AND (delist_date IS NULL
+  OR delist_date > DATE '1996-01-01')""")
 def eligible_symbols(spark: SparkSession, d: str) -> DataFrame:
     return normalise.eligible_symbols(_master(spark, d), "1996-01-01", "2000-01-01")
 
 
-@query(MASTER_ROWS + " SELECT count(*) AS n_rows, count(*) FILTER (list_date IS NULL) AS missing_list_date, count(*) FILTER (list_status = 'delisted' AND delist_date IS NULL) AS delisted_without_date, count(*) FILTER (list_status = 'listed' AND delist_date IS NOT NULL) AS listed_with_delist_date, count(*) FILTER (delist_date < list_date) AS delisted_before_listed, count(*) FILTER (list_status = 'paused') AS unknown_status, count(DISTINCT symbol) FILTER (list_status = 'delisted') AS delisted_symbols, count(DISTINCT symbol) FILTER (list_date <= DATE '2000-06-30' AND (delist_date IS NULL OR delist_date > DATE '2000-06-30')) AS survivors FROM m")
+@query(MASTER_ROWS + """ SELECT count(*) AS n_rows, count(*) FILTER (list_date IS NULL) AS missing_list_date, count(*) FILTER (list_status = 'delisted'
+  AND delist_date IS NULL) AS delisted_without_date, count(*) FILTER (list_status = 'listed' AND delist_date IS NOT NULL) AS listed_with_delist_date,
+  count(*) FILTER (delist_date < list_date) AS delisted_before_listed, count(*) FILTER (list_status = 'paused') AS unknown_status,
+  count(DISTINCT symbol) FILTER (list_status = 'delisted') AS delisted_symbols, count(DISTINCT symbol) FILTER (list_date <= DATE '2000-06-30'
+  AND (delist_date IS NULL OR delist_date > DATE '2000-06-30')) AS survivors FROM m""")
 def master_lifecycle_integrity(spark: SparkSession, d: str) -> DataFrame:
     return coverage.lifecycle_integrity(_master(spark, d), "2000-06-30")
 
 
-@query(MASTER_ROWS + ", raw AS (SELECT CASE k % 13 WHEN 0 THEN ' ' || symbol WHEN 1 THEN '' WHEN 2 THEN 'X' || symbol ELSE symbol END AS symbol FROM m) SELECT count(*) AS n_rows, count(*) FILTER (trim(symbol) = '') AS blank, count(*) FILTER (symbol <> trim(symbol) AND trim(symbol) <> '') AS padded, count(*) FILTER (trim(symbol) <> '' AND NOT regexp_matches(trim(symbol), '^[0-9]{6}\\.(SH|SZ)$')) AS malformed, count(DISTINCT symbol) FILTER (regexp_matches(symbol, '^[0-9]{6}\\.(SH|SZ)$')) AS symbols FROM raw")
+@query(MASTER_ROWS + """, raw AS (SELECT CASE k % 13 WHEN 0 THEN ' ' || symbol WHEN 1 THEN '' WHEN 2 THEN 'X' || symbol ELSE symbol END AS symbol
+  FROM m) SELECT count(*) AS n_rows, count(*) FILTER (trim(symbol) = '') AS blank, count(*) FILTER (symbol <> trim(symbol)
+  AND trim(symbol) <> '') AS padded, count(*) FILTER (trim(symbol) <> '' AND NOT regexp_matches(trim(symbol), '^[0-9]{6}\\.(SH|SZ)$')) AS malformed,
+  count(DISTINCT symbol) FILTER (regexp_matches(symbol, '^[0-9]{6}\\.(SH|SZ)$')) AS symbols
+  FROM raw""")
 def symbol_integrity(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("k") % 13
     raw = _master(spark, d).select(F.when(k == 0, F.concat(F.lit(" "), "symbol")).when(k == 1, "").when(k == 2, F.concat(F.lit("X"), "symbol")).otherwise(F.col("symbol")).alias("symbol"))
     return coverage.symbol_integrity(raw)
 
 
-@query(RAW + f", two AS (SELECT date, symbol, dividend_yield AS share, dividend_yield * 100 AS per_cent FROM f) SELECT date, symbol, {_even('share')} AS share, {_even('per_cent / 100')} AS per_cent FROM two")
+@query(RAW + f""", two AS (SELECT date, symbol, dividend_yield AS share, dividend_yield * 100 AS per_cent
+  FROM f) SELECT date, symbol, {_even('share')} AS share, {_even('per_cent / 100')} AS per_cent
+  FROM two""")
 def yield_unit_inference(spark: SparkSession, d: str) -> DataFrame:
     """A column of shares stays, one of per cents is divided by 100."""
     rows = fields(spark, d).select("date", "symbol", F.col("dividend_yield").alias("share"), (F.col("dividend_yield") * 100).alias("per_cent"))
     return even(normalise.in_unit(normalise.in_unit(rows, "share"), "per_cent"))
 
 
-@query(BARS + ", b AS (SELECT b.*, p.amount FROM bars b JOIN panel p USING (date, symbol)) SELECT date, symbol, NOT coalesce(is_st, false) AND NOT coalesce(is_suspended, false) AND coalesce(amount, 0) >= 20000 AS ic_eligible, coalesce(is_st IS NOT NULL AND limit_up IS NOT NULL AND limit_down IS NOT NULL AND NOT is_st AND NOT is_suspended AND amount >= 20000, false) AS trade_candidate FROM b")
+@query(BARS + """, b AS (SELECT b.*, p.amount FROM bars b JOIN panel p USING (date, symbol)) SELECT date, symbol, NOT coalesce(is_st,
+  false) AND NOT coalesce(is_suspended, false) AND coalesce(amount, 0) >= 20000 AS ic_eligible, coalesce(is_st IS NOT NULL
+  AND limit_up IS NOT NULL AND limit_down IS NOT NULL AND NOT is_st AND NOT is_suspended AND amount >= 20000, false) AS trade_candidate
+  FROM b""")
 def eligibility_masks(spark: SparkSession, d: str) -> DataFrame:
     """Unknown flags pass the diagnostics' mask and fail the portfolio's."""
     rows = _bars(spark, d).join(adapter.daily_panel(spark, d).select("date", "symbol", "amount"), ["date", "symbol"])
     return rows.select("date", "symbol", normalise.ic_eligible(20000).alias("ic_eligible"), normalise.trade_candidate(20000).alias("trade_candidate"))
 
 
-@query(BARS + " SELECT count(*) AS n_rows, count(*) FILTER (is_suspended IS NULL) AS unknown_suspension, count(*) FILTER (NOT coalesce(is_suspended, false) AND (is_st IS NULL OR limit_up IS NULL OR limit_down IS NULL)) AS missing_constraint FROM bars")
+@query(BARS + """ SELECT count(*) AS n_rows, count(*) FILTER (is_suspended IS NULL) AS unknown_suspension, count(*) FILTER (NOT coalesce(is_suspended,
+  false) AND (is_st IS NULL OR limit_up IS NULL OR limit_down IS NULL)) AS missing_constraint
+  FROM bars""")
 def tradable_constraints(spark: SparkSession, d: str) -> DataFrame:
     return normalise.contract_breaches(_bars(spark, d))
 
 
-TEXTS = PANEL + """, raw AS (SELECT date, symbol, CASE n_rows % 9 WHEN 0 THEN '' WHEN 1 THEN 'n/a' WHEN 2 THEN '1e999' WHEN 3 THEN '-' || CAST(n_rows AS VARCHAR) ELSE CAST(n_rows AS VARCHAR) || '.5' END AS close, CASE n_rows % 7 WHEN 0 THEN NULL WHEN 1 THEN '-3' WHEN 2 THEN '12,5' ELSE '+' || CAST(n_rows AS VARCHAR) END AS amount, CASE n_rows % 6 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'false' WHEN 2 THEN '' WHEN 3 THEN 'maybe' WHEN 4 THEN '1' ELSE NULL END AS is_st FROM panel)"""
+TEXTS = PANEL + """, raw AS (SELECT date, symbol, CASE n_rows % 9 WHEN 0 THEN '' WHEN 1 THEN 'n/a' WHEN 2 THEN '1e999' WHEN 3 THEN '-' || CAST(n_rows AS VARCHAR)
+  ELSE CAST(n_rows AS VARCHAR) || '.5' END AS close, CASE n_rows % 7 WHEN 0 THEN NULL WHEN 1 THEN '-3' WHEN 2 THEN '12,5'
+  ELSE '+' || CAST(n_rows AS VARCHAR) END AS amount, CASE n_rows % 6 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'false' WHEN 2
+  THEN '' WHEN 3 THEN 'maybe' WHEN 4 THEN '1' ELSE NULL END AS is_st FROM panel)"""
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -100,48 +131,75 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return adapter.daily_panel(spark, d).select("date", "symbol", "n_rows", close.alias("close"), amount.alias("amount"), flag.alias("is_st"))
 
 
-@query(TEXTS + " SELECT count(*) AS n_rows, count(*) FILTER (close = '') AS close_blank, count(*) FILTER (close = 'n/a') AS close_malformed, count(*) FILTER (close = '1e999') AS close_non_finite, count(*) FILTER (prefix(close, '-')) AS close_out_of_range, count(*) FILTER (amount IS NULL) AS amount_blank, count(*) FILTER (contains(amount, ',')) AS amount_malformed, CAST(0 AS BIGINT) AS amount_non_finite, count(*) FILTER (amount = '-3') AS amount_out_of_range, false AS verified FROM raw")
+@query(TEXTS + """ SELECT count(*) AS n_rows, count(*) FILTER (close = '') AS close_blank, count(*) FILTER (close = 'n/a') AS close_malformed,
+  count(*) FILTER (close = '1e999') AS close_non_finite, count(*) FILTER (prefix(close, '-')) AS close_out_of_range,
+  count(*) FILTER (amount IS NULL) AS amount_blank, count(*) FILTER (contains(amount, ',')) AS amount_malformed,
+  CAST(0 AS BIGINT) AS amount_non_finite, count(*) FILTER (amount = '-3') AS amount_out_of_range, false AS verified
+  FROM raw""")
 def numeric_integrity(spark: SparkSession, d: str) -> DataFrame:
     return coverage.numeric_integrity(_texts(spark, d), ["close"], ["amount"])
 
 
-@query(TEXTS + " SELECT count(*) AS n_rows, count(*) FILTER (coalesce(is_st, '') = '') AS is_st_blank, count(*) FILTER (is_st = 'maybe') AS is_st_unknown, count(*) FILTER (is_st IN ('TRUE', '1')) AS is_st_set FROM raw")
+@query(TEXTS + """ SELECT count(*) AS n_rows, count(*) FILTER (coalesce(is_st, '') = '') AS is_st_blank, count(*) FILTER (is_st = 'maybe') AS is_st_unknown,
+  count(*) FILTER (is_st IN ('TRUE', '1')) AS is_st_set FROM raw""")
 def boolean_integrity(spark: SparkSession, d: str) -> DataFrame:
     return coverage.boolean_integrity(_texts(spark, d), ["is_st"])
 
 
-@query(TEXTS + ", typed AS (SELECT date, symbol, CASE WHEN abs(TRY_CAST(close AS DOUBLE)) < 'inf'::DOUBLE THEN TRY_CAST(close AS DOUBLE) END AS close, date_part('day', date) AS volume FROM raw) SELECT date, symbol, close, volume::DOUBLE AS volume, volume * close AS amount, false AS has_open FROM typed WHERE close IS NOT NULL")
+@query(TEXTS + """, typed AS (SELECT date, symbol, CASE WHEN abs(TRY_CAST(close AS DOUBLE)) < 'inf'::DOUBLE THEN TRY_CAST(close AS DOUBLE) END AS close,
+  date_part('day', date) AS volume FROM raw) SELECT date, symbol, close, volume::DOUBLE AS volume, volume * close AS amount,
+  false AS has_open FROM typed WHERE close IS NOT NULL""")
 def market_column_normalisation(spark: SparkSession, d: str) -> DataFrame:
     """No amount is delivered, so it is volume times close; rows without a close go."""
     raw = _texts(spark, d).select("date", "symbol", "close", F.lit(None).cast("string").alias("open"), F.dayofmonth("date").cast("string").alias("volume"))
     return normalise.market_columns(raw).select("date", "symbol", "close", "volume", "amount", "has_open")
 
 
-ADJUSTED = PANEL + ", a AS (SELECT date, symbol, n_rows, CASE WHEN n_rows % 17 = 0 THEN NULL ELSE close END AS close_raw, 1 + symbol / 100.0::DOUBLE AS adjustment_factor, close * (1 + symbol / 100.0::DOUBLE) * CASE WHEN n_rows % 23 = 0 THEN 1.000001 ELSE 1.0 END AS close, CASE WHEN n_rows % 19 = 0 THEN 'other' ELSE 'forward' END AS method, CASE WHEN n_rows % 13 = 0 THEN NULL ELSE 'CNY' END AS unit FROM panel)"
+ADJUSTED = PANEL + """, a AS (SELECT date, symbol, n_rows, CASE WHEN n_rows % 17 = 0 THEN NULL ELSE close END AS close_raw, 1 + symbol / 100.0::DOUBLE AS adjustment_factor,
+  close * (1 + symbol / 100.0::DOUBLE) * CASE WHEN n_rows % 23 = 0 THEN 1.000001 ELSE 1.0 END AS close, CASE WHEN n_rows % 19 = 0
+  THEN 'other' ELSE 'forward' END AS method, CASE WHEN n_rows % 13 = 0 THEN NULL ELSE 'CNY' END AS unit
+  FROM panel)"""
 
 
-@query(ADJUSTED + " SELECT count(*) AS n_rows, count(*) FILTER (close_raw IS NULL) AS uncheckable, count(*) FILTER (close_raw IS NOT NULL AND n_rows % 23 = 0) AS mismatched, count(*) FILTER (method = 'other') AS other_method, count(*) FILTER (unit IS NULL) AS other_unit FROM a")
+@query(ADJUSTED + """ SELECT count(*) AS n_rows, count(*) FILTER (close_raw IS NULL) AS uncheckable, count(*) FILTER (close_raw IS NOT NULL
+  AND n_rows % 23 = 0) AS mismatched, count(*) FILTER (method = 'other') AS other_method, count(*) FILTER (unit IS NULL) AS other_unit
+  FROM a""")
 def adjustment_integrity(spark: SparkSession, d: str) -> DataFrame:
     n, factor = F.col("n_rows"), 1 + F.col("symbol") / 100.0
     rows = adapter.daily_panel(spark, d).select(F.when(n % 17 != 0, F.col("close")).alias("close_raw"), factor.alias("adjustment_factor"), (F.col("close") * factor * F.when(n % 23 == 0, 1.000001).otherwise(1.0)).alias("close"), F.when(n % 19 == 0, "other").otherwise("forward").alias("method"), F.when(n % 13 != 0, "CNY").alias("unit"))
     return coverage.adjustment_integrity(rows, "forward", "CNY")
 
 
-FACTS = """WITH raw AS (SELECT o_custkey % 100 + 1 AS symbol, CAST(date_trunc('quarter', o_orderdate) AS DATE) - 1 AS period, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 AS INTEGER) - 90 AS published FROM orders)"""
+FACTS = """WITH raw AS (SELECT o_custkey % 100 + 1 AS symbol, CAST(date_trunc('quarter', o_orderdate) AS DATE) - 1 AS period,
+  CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 AS INTEGER) - 90 AS published FROM orders)"""
 
 
-@query(FACTS + " SELECT count(*) AS n_rows, count(*) FILTER (symbol % 10 <> 0) AS comparable, count(*) FILTER (symbol % 10 <> 0 AND published < period) AS published_before_end, median(published - period) FILTER (symbol % 10 <> 0)::DOUBLE AS median_delay FROM raw")
+@query(FACTS + """ SELECT count(*) AS n_rows, count(*) FILTER (symbol % 10 <> 0) AS comparable, count(*) FILTER (symbol % 10 <> 0 AND published < period) AS published_before_end,
+  median(published - period) FILTER (symbol % 10 <> 0)::DOUBLE AS median_delay FROM raw""")
 def publication_order(spark: SparkSession, d: str) -> DataFrame:
     day = F.col("o_orderdate").cast("date")
     rows = adapter.read(spark, d, "orders").select((F.pmod("o_custkey", F.lit(100)) + 1).alias("symbol"), F.date_sub(F.trunc(day, "quarter"), 1).alias("period"), F.date_sub(F.date_add(day, F.pmod("o_orderkey", F.lit(60)).cast("int")), 90).alias("published"))
     return coverage.publication_order(rows.withColumn("published", F.when(F.col("symbol") % 10 != 0, F.col("published"))))
 
 
-COVERED = BARS + ", b AS (SELECT b.date, b.symbol, b.open, b.high, CASE WHEN p.n_rows % 21 = 0 THEN NULL ELSE p.low END AS low, b.close, p.volume, CASE WHEN p.n_rows % 25 = 0 THEN -p.amount ELSE p.amount END AS amount FROM bars b JOIN panel p USING (date, symbol)), twice AS (SELECT * FROM b UNION ALL SELECT * FROM b WHERE symbol % 50 = 3), marked AS (SELECT *, (low IS NULL OR open <= 0 OR high < low OR close > high * 1.000001 OR close < low * 0.999999) AS bad FROM twice)"
-
-
-@query(COVERED + """, per AS (SELECT symbol, count(DISTINCT date) * 1.0::DOUBLE / (SELECT count(DISTINCT date) FROM twice) AS share FROM twice GROUP BY symbol), e AS (SELECT s_suppkey + 5 AS symbol FROM supplier)
-SELECT (SELECT count(*) FROM marked) AS n_rows, (SELECT count(*) FROM per) AS unique_symbols, (SELECT count(*) FROM e) AS expected_symbols, (SELECT count(*) FROM per WHERE symbol IN (SELECT symbol FROM e)) AS covered, (SELECT count(*) FROM e WHERE symbol NOT IN (SELECT symbol FROM per)) AS missing, (SELECT count(*) FROM per WHERE symbol NOT IN (SELECT symbol FROM e)) AS extra, (SELECT count(DISTINCT date) FROM twice) AS trading_dates, """ + f"(SELECT {_even('median(share)')} FROM per) AS median_date_share, (SELECT {_even('min(share)')} FROM per) AS min_date_share, (SELECT count(*) - count(DISTINCT (symbol, date)) FROM twice) AS repeated_keys, (SELECT count(*) FROM marked WHERE bad) AS bad_prices, (SELECT count(*) FROM marked WHERE amount < 0) AS negative_amounts, (SELECT min(date) FROM twice) AS min_date, (SELECT max(date) FROM twice) AS max_date")
+COVERED = BARS + """, b AS (SELECT b.date, b.symbol, b.open, b.high, CASE WHEN p.n_rows % 21 = 0 THEN NULL ELSE p.low END AS low, b.close,
+  p.volume, CASE WHEN p.n_rows % 25 = 0 THEN -p.amount ELSE p.amount END AS amount
+  FROM bars b JOIN panel p USING (date, symbol)), twice AS (SELECT * FROM b UNION ALL SELECT *
+  FROM b WHERE symbol % 50 = 3), marked AS (SELECT *, (low IS NULL OR open <= 0 OR high < low OR close > high * 1.000001
+  OR close < low * 0.999999) AS bad FROM twice)"""
+
+
+@query(COVERED + """, per AS (SELECT symbol, count(DISTINCT date) * 1.0::DOUBLE / (SELECT count(DISTINCT date)
+  FROM twice) AS share FROM twice GROUP BY symbol), e AS (SELECT s_suppkey + 5 AS symbol
+  FROM supplier)
+SELECT (SELECT count(*) FROM marked) AS n_rows, (SELECT count(*) FROM per) AS unique_symbols, (SELECT count(*)
+  FROM e) AS expected_symbols, (SELECT count(*) FROM per WHERE symbol IN (SELECT symbol
+  FROM e)) AS covered, (SELECT count(*) FROM e WHERE symbol NOT IN (SELECT symbol FROM per)) AS missing, (SELECT
+  count(*) FROM per WHERE symbol NOT IN (SELECT symbol FROM e)) AS extra, (SELECT count(DISTINCT date)
+  FROM twice) AS trading_dates, """ + f"""(SELECT {_even('median(share)')} FROM per) AS median_date_share, (SELECT {_even('min(share)')}
+  FROM per) AS min_date_share, (SELECT count(*) - count(DISTINCT (symbol, date)) FROM twice) AS repeated_keys, (SELECT
+  count(*) FROM marked WHERE bad) AS bad_prices, (SELECT count(*) FROM marked WHERE amount < 0) AS negative_amounts,
+  (SELECT min(date) FROM twice) AS min_date, (SELECT max(date) FROM twice) AS max_date""")
 def quote_coverage(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("n_rows")
     more = adapter.daily_panel(spark, d).select("date", "symbol", F.when(n % 21 != 0, F.col("low")).alias("low"), "volume", F.when(n % 25 == 0, -F.col("amount")).otherwise(F.col("amount")).alias("amount"))
@@ -153,17 +211,24 @@ def quote_coverage(spark: SparkSession, d: str) -> DataFrame:
 _FIELDS = ("pe", "pb", "roe", "dividend_yield")
 
 
-@query(RAW + ", n AS (SELECT count(*) AS all_rows, count(DISTINCT symbol) AS s FROM f) " + " UNION ALL ".join(f"SELECT '{c}' AS field, all_rows AS n_rows, count({c}) AS non_null, count(DISTINCT symbol) FILTER ({c} IS NOT NULL) AS symbols, {_even(f'count({c}) * 1.0::DOUBLE / all_rows')} AS coverage, {_even(f'count(DISTINCT symbol) FILTER ({c} IS NOT NULL) * 1.0::DOUBLE / s')} AS symbol_coverage FROM f, n GROUP BY all_rows, s" for c in _FIELDS))
+@query(RAW + ", n AS (SELECT count(*) AS all_rows, count(DISTINCT symbol) AS s FROM f) " + " UNION ALL ".join(f"""SELECT '{c}' AS field, all_rows AS n_rows, count({c}) AS non_null, count(DISTINCT symbol) FILTER ({c} IS NOT NULL) AS symbols,
+  {_even(f'count({c}) * 1.0::DOUBLE / all_rows')} AS coverage, {_even(f'count(DISTINCT symbol) FILTER ({c} IS NOT NULL) * 1.0::DOUBLE / s')} AS symbol_coverage
+  FROM f, n GROUP BY all_rows, s""" for c in _FIELDS))
 def field_coverage(spark: SparkSession, d: str) -> DataFrame:
     return even(coverage.field_coverage(fields(spark, d), list(_FIELDS)))
 
 
-@query(RAW + " SELECT count(*) AS n_rows, count(DISTINCT symbol) AS symbols, count(DISTINCT date) AS dates, min(date) AS first, max(date) AS last, count(*) - count(DISTINCT (symbol, date)) AS repeated_keys, count(main_net_inflow) AS n_main_net_inflow, count(margin_balance) AS n_margin_balance FROM f")
+@query(RAW + """ SELECT count(*) AS n_rows, count(DISTINCT symbol) AS symbols, count(DISTINCT date) AS dates, min(date) AS first,
+  max(date) AS last, count(*) - count(DISTINCT (symbol, date)) AS repeated_keys, count(main_net_inflow) AS n_main_net_inflow,
+  count(margin_balance) AS n_margin_balance FROM f""")
 def asset_metrics(spark: SparkSession, d: str) -> DataFrame:
     return coverage.asset_metrics(fields(spark, d), ["main_net_inflow", "margin_balance"])
 
 
-@query(PANEL + ", cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS session FROM (SELECT DISTINCT date FROM panel)), months AS (SELECT min(date) AS date FROM cal GROUP BY date_trunc('month', date)), c AS (SELECT p.date, p.symbol, cal.session FROM panel p JOIN months USING (date) JOIN cal USING (date)), s AS (SELECT symbol, session FROM panel JOIN cal USING (date)), m AS (SELECT c.date, c.symbol, " + ", ".join(f"max(CASE WHEN s.session = c.session + ({k}) THEN 1 ELSE 0 END) AS k{i}" for i, k in enumerate((0, -12, 4, 5))) + " FROM c JOIN s USING (symbol) GROUP BY 1, 2) SELECT date, count(*) AS candidates, count(*) FILTER (k0 + k1 + k2 + k3 = 4) AS with_all, sum(k0)::BIGINT AS at_0, sum(k1)::BIGINT AS \"at_-12\", sum(k2)::BIGINT AS at_4, sum(k3)::BIGINT AS at_5 FROM m GROUP BY date")
+@query(PANEL + """, cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS session FROM (SELECT DISTINCT date
+  FROM panel)), months AS (SELECT min(date) AS date FROM cal GROUP BY date_trunc('month', date)), c AS (SELECT p.date,
+  p.symbol, cal.session FROM panel p JOIN months USING (date) JOIN cal USING (date)), s AS (SELECT symbol, session
+  FROM panel JOIN cal USING (date)), m AS (SELECT c.date, c.symbol, """ + ", ".join(f"max(CASE WHEN s.session = c.session + ({k}) THEN 1 ELSE 0 END) AS k{i}" for i, k in enumerate((0, -12, 4, 5))) + " FROM c JOIN s USING (symbol) GROUP BY 1, 2) SELECT date, count(*) AS candidates, count(*) FILTER (k0 + k1 + k2 + k3 = 4) AS with_all, sum(k0)::BIGINT AS at_0, sum(k1)::BIGINT AS \"at_-12\", sum(k2)::BIGINT AS at_4, sum(k3)::BIGINT AS at_5 FROM m GROUP BY date")
 def session_offset_coverage(spark: SparkSession, d: str) -> DataFrame:
     """How many of each month's candidates are quoted on the sessions that features and returns need."""
     rows = adapter.daily_panel(spark, d).select("date", "symbol")
@@ -171,14 +236,20 @@ def session_offset_coverage(spark: SparkSession, d: str) -> DataFrame:
     return coverage.offset_presence(rows, rows.join(P.first_sessions(calendar), "date", "left_semi"), joins.sessions(calendar), [0, -12, 4, 5])
 
 
-@query(EVENTS + ", a AS (SELECT DISTINCT date, symbol FROM ev WHERE event_type = 'click'), b AS (SELECT DISTINCT date, symbol FROM ev WHERE event_type = 'purchase'), u AS (SELECT coalesce(a.date, b.date) AS date, (a.symbol IS NOT NULL)::INT AS x, (b.symbol IS NOT NULL)::INT AS y FROM a FULL JOIN b ON a.date = b.date AND a.symbol = b.symbol) SELECT date, sum(x)::BIGINT AS n_a, sum(y)::BIGINT AS n_b, sum(x * y)::BIGINT AS both, count(*) AS either, sum(x * (1 - y))::BIGINT AS only_a, sum(y * (1 - x))::BIGINT AS only_b, sum(abs(x - y))::BIGINT AS one_side FROM u GROUP BY date")
+@query(EVENTS + """, a AS (SELECT DISTINCT date, symbol FROM ev WHERE event_type = 'click'), b AS (SELECT DISTINCT date, symbol
+  FROM ev WHERE event_type = 'purchase'), u AS (SELECT coalesce(a.date, b.date) AS date, (a.symbol IS NOT NULL)::INT AS x,
+  (b.symbol IS NOT NULL)::INT AS y FROM a FULL JOIN b ON a.date = b.date AND a.symbol = b.symbol) SELECT date, sum(x)::BIGINT AS n_a,
+  sum(y)::BIGINT AS n_b, sum(x * y)::BIGINT AS both, count(*) AS either, sum(x * (1 - y))::BIGINT AS only_a, sum(y * (1 - x))::BIGINT AS only_b,
+  sum(abs(x - y))::BIGINT AS one_side FROM u GROUP BY date""")
 def daily_set_algebra(spark: SparkSession, d: str) -> DataFrame:
     """Users who click and users who buy, by day: intersection, union and differences."""
     ev = adapter.user_events(spark, d)
     return coverage.set_algebra(ev.filter("event_type = 'click'"), ev.filter("event_type = 'purchase'"), "symbol", "date")
 
 
-@query(PANEL + ", k AS (SELECT date, symbol FROM panel), r AS (SELECT date, symbol FROM panel WHERE n_rows > 1), j AS (SELECT k.date, k.symbol FROM k JOIN r USING (date, symbol)) SELECT (SELECT count(*) FROM k) AS left_keys, (SELECT count(*) FROM r) AS right_keys, (SELECT count(*) FROM j) AS matched, CAST(0 AS BIGINT) AS left_repeated, CAST(0 AS BIGINT) AS right_repeated")
+@query(PANEL + """, k AS (SELECT date, symbol FROM panel), r AS (SELECT date, symbol FROM panel WHERE n_rows > 1), j AS (SELECT k.date,
+  k.symbol FROM k JOIN r USING (date, symbol)) SELECT (SELECT count(*) FROM k) AS left_keys, (SELECT count(*)
+  FROM r) AS right_keys, (SELECT count(*) FROM j) AS matched, CAST(0 AS BIGINT) AS left_repeated, CAST(0 AS BIGINT) AS right_repeated""")
 def join_match_counts(spark: SparkSession, d: str) -> DataFrame:
     rows = adapter.daily_panel(spark, d)
     return normalise.match_counts(rows, rows.filter("n_rows > 1"), ["date", "symbol"])
@@ -206,7 +277,9 @@ def coalesce_fill_join(spark: SparkSession, d: str) -> DataFrame:
     return normalise.fill_from(rows, F.broadcast(lookup), ["symbol"], ["industry"])
 
 
-@query(PANEL + ", h AS (SELECT date, lag(n) OVER (ORDER BY date) AS listed_before FROM (SELECT date, count(*) AS n FROM panel GROUP BY date)) SELECT p.date, p.symbol, h.listed_before FROM panel p JOIN h USING (date)")
+@query(PANEL + """, h AS (SELECT date, lag(n) OVER (ORDER BY date) AS listed_before FROM (SELECT date, count(*) AS n
+  FROM panel GROUP BY date)) SELECT p.date, p.symbol, h.listed_before FROM panel p
+  JOIN h USING (date)""")
 def date_keyed_map(spark: SparkSession, d: str) -> DataFrame:
     """A market feature of the date before, mapped to every row of a date: one row a date is broadcast."""
     rows = adapter.daily_panel(spark, d).select("date", "symbol")
@@ -214,19 +287,22 @@ def date_keyed_map(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(F.broadcast(market), "date")
 
 
-@query("SELECT o_custkey AS symbol, arg_max(o_orderstatus, struct_pack(a := CAST(o_orderdate AS DATE), b := o_orderkey)) AS status, max(CAST(o_orderdate AS DATE)) AS date FROM orders GROUP BY 1")
+@query("""SELECT o_custkey AS symbol, arg_max(o_orderstatus, struct_pack(a := CAST(o_orderdate AS DATE), b := o_orderkey)) AS status,
+  max(CAST(o_orderdate AS DATE)) AS date FROM orders GROUP BY 1""")
 def latest_per_key(spark: SparkSession, d: str) -> DataFrame:
     rows = adapter.read(spark, d, "orders").select(F.col("o_custkey").alias("symbol"), F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"))
     return normalise.latest_per_key(rows, ["symbol"], [F.col("date"), F.col("k")]).select("symbol", "status", "date")
 
 
-@query("SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS date, l_suppkey AS symbol, bool_or(l_discount >= 0.1) AS is_limit_up, bool_or(l_discount <= 0) AS is_limit_down FROM lineitem GROUP BY 1, 2")
+@query("""SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS date, l_suppkey AS symbol, bool_or(l_discount >= 0.1) AS is_limit_up,
+  bool_or(l_discount <= 0) AS is_limit_down FROM lineitem GROUP BY 1, 2""")
 def limit_flag_marks(spark: SparkSession, d: str) -> DataFrame:
     rows = adapter.read(spark, d, "lineitem").select(adapter.week("l_shipdate").alias("date"), F.col("l_suppkey").alias("symbol"), (F.col("l_discount") >= 0.1).alias("is_limit_up"), (F.col("l_discount") <= 0).alias("is_limit_down"))
     return normalise.limit_flags(rows)
 
 
-@query("SELECT date FROM (SELECT CAST(l_shipdate AS DATE) AS date, bool_or(l_returnflag = 'A') AS a, bool_or(l_linestatus = 'F') AS f FROM lineitem GROUP BY 1) WHERE a AND f")
+@query("""SELECT date FROM (SELECT CAST(l_shipdate AS DATE) AS date, bool_or(l_returnflag = 'A') AS a, bool_or(l_linestatus = 'F') AS f
+  FROM lineitem GROUP BY 1) WHERE a AND f""")
 def open_session_pivot(spark: SparkSession, d: str) -> DataFrame:
     """Days on which both calendars say open."""
     rows = adapter.read(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").alias("date"), "l_returnflag", "l_linestatus")
@@ -234,10 +310,19 @@ def open_session_pivot(spark: SparkSession, d: str) -> DataFrame:
     return normalise.open_sessions(calendar, ["SSE", "SZSE"])
 
 
-RUNS = """WITH runs AS (SELECT c_custkey AS run_id, c_mktsegment AS segment, CASE c_custkey % 5 WHEN 0 THEN 'sample' WHEN 1 THEN 'other' ELSE 'historical_asset:x' || CASE WHEN c_custkey % 3 <> 0 THEN '+pit_liquidity_universe' ELSE '' END || CASE WHEN c_custkey % 4 <> 0 THEN '+pit_stock_master_filter' ELSE '' END END AS source, CASE WHEN c_custkey % 11 = 0 THEN 'empty' ELSE 'ok' END AS status,
- CASE WHEN c_custkey % 13 <> 0 THEN c_custkey % 12 END AS age_days, c_custkey % 90 AS aligned_days, c_custkey % 2 = 0 AS production_ready, (c_custkey % 100) / 100.0::DOUBLE AS walk_positive, (c_custkey % 9) / 1.0::DOUBLE AS walk_windows, (c_custkey % 3) / 1.0::DOUBLE AS walk_failed, (c_custkey % 4) / 1.0::DOUBLE AS supportive, (c_custkey % 2) / 1.0::DOUBLE AS adverse,
- CASE c_custkey % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'warn' ELSE 'bad' END AS bias_status, (c_custkey % 101) / 1.0::DOUBLE AS bias_score, CASE WHEN c_custkey % 6 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS bias_failed, -(c_custkey % 50) / 100.0::DOUBLE AS max_drawdown, (c_custkey % 300) / 1.0::DOUBLE AS trade_count, CASE WHEN c_custkey % 8 = 0 THEN 'abandon' ELSE 'keep' END AS verdict,
- CASE WHEN c_custkey % 17 <> 0 THEN (c_custkey % 60 - 10) / 100.0::DOUBLE END AS annualized, (c_custkey % 5 - 1) / 2.0::DOUBLE AS information_ratio, (c_custkey % 7) / 4.0::DOUBLE AS sharpe, (c_custkey % 21) / 5.0::DOUBLE AS best_t, (c_custkey % 50) / 100.0::DOUBLE AS top_weight, (c_custkey % 11) / 1.0::DOUBLE AS data_points FROM customer)"""
+RUNS = """WITH runs AS (SELECT c_custkey AS run_id, c_mktsegment AS segment, CASE c_custkey % 5 WHEN 0 THEN 'sample' WHEN 1
+  THEN 'other' ELSE 'historical_asset:x' || CASE WHEN c_custkey % 3 <> 0 THEN '+pit_liquidity_universe' ELSE '' END ||
+  CASE WHEN c_custkey % 4 <> 0 THEN '+pit_stock_master_filter' ELSE '' END END AS source, CASE WHEN c_custkey % 11 = 0
+  THEN 'empty' ELSE 'ok' END AS status,
+ CASE WHEN c_custkey % 13 <> 0 THEN c_custkey % 12 END AS age_days, c_custkey % 90 AS aligned_days, c_custkey % 2 = 0 AS production_ready,
+  (c_custkey % 100) / 100.0::DOUBLE AS walk_positive, (c_custkey % 9) / 1.0::DOUBLE AS walk_windows, (c_custkey % 3) / 1.0::DOUBLE AS walk_failed,
+  (c_custkey % 4) / 1.0::DOUBLE AS supportive, (c_custkey % 2) / 1.0::DOUBLE AS adverse,
+ CASE c_custkey % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'warn' ELSE 'bad' END AS bias_status, (c_custkey % 101) / 1.0::DOUBLE AS bias_score,
+  CASE WHEN c_custkey % 6 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS bias_failed, -(c_custkey % 50) / 100.0::DOUBLE AS max_drawdown,
+  (c_custkey % 300) / 1.0::DOUBLE AS trade_count, CASE WHEN c_custkey % 8 = 0 THEN 'abandon' ELSE 'keep' END AS verdict,
+ CASE WHEN c_custkey % 17 <> 0 THEN (c_custkey % 60 - 10) / 100.0::DOUBLE END AS annualized, (c_custkey % 5 - 1) / 2.0::DOUBLE AS information_ratio,
+  (c_custkey % 7) / 4.0::DOUBLE AS sharpe, (c_custkey % 21) / 5.0::DOUBLE AS best_t, (c_custkey % 50) / 100.0::DOUBLE AS top_weight,
+  (c_custkey % 11) / 1.0::DOUBLE AS data_points FROM customer)"""
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
@@ -251,7 +336,10 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
     return adapter.read(spark, d, "customer").select(*(v.alias(n) for n, v in cols.items()))
 
 
-FRESH = RUNS + ", fresh AS (SELECT *, CASE WHEN source = 'sample' THEN 'sample_only' WHEN source = 'other' THEN 'unknown_source' WHEN status = 'empty' THEN 'bad_data' WHEN age_days IS NULL THEN 'unknown_freshness' WHEN age_days > 7 THEN 'stale' WHEN aligned_days < 20 THEN 'benchmark_missing' ELSE 'fresh' END AS fresh_verdict FROM runs)"
+FRESH = RUNS + """, fresh AS (SELECT *, CASE WHEN source = 'sample' THEN 'sample_only' WHEN source = 'other' THEN 'unknown_source'
+  WHEN status = 'empty' THEN 'bad_data' WHEN age_days IS NULL THEN 'unknown_freshness' WHEN age_days > 7 THEN 'stale'
+  WHEN aligned_days < 20 THEN 'benchmark_missing' ELSE 'fresh' END AS fresh_verdict
+  FROM runs)"""
 
 
 @query(FRESH + " SELECT run_id, fresh_verdict AS verdict, fresh_verdict = 'fresh' AS ok FROM fresh")
@@ -259,7 +347,11 @@ def freshness_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return coverage.freshness(_runs(spark, d), 7, 20).select("run_id", "verdict", "ok")
 
 
-@query(FRESH + ", g AS (SELECT segment, arg_max(fresh_verdict, run_id) FILTER (prefix(source, 'historical')) AS verdict, count(*) FILTER (status = 'empty' AND run_id % 2 = 0 AND segment <> 'BUILDING') AS failed_jobs, count(*) FILTER (run_id % 97 = 0 AND segment = 'MACHINERY') AS running_jobs FROM fresh GROUP BY segment) SELECT segment, failed_jobs, running_jobs, CASE WHEN verdict IS NULL THEN 'no_real_data' WHEN failed_jobs > 0 THEN 'job_failures' WHEN verdict = 'stale' THEN 'stale_data' WHEN verdict <> 'fresh' OR running_jobs > 0 THEN 'degraded' ELSE 'ok' END AS state FROM g")
+@query(FRESH + """, g AS (SELECT segment, arg_max(fresh_verdict, run_id) FILTER (prefix(source, 'historical')) AS verdict, count(*) FILTER (status = 'empty'
+  AND run_id % 2 = 0 AND segment <> 'BUILDING') AS failed_jobs, count(*) FILTER (run_id % 97 = 0 AND segment = 'MACHINERY') AS running_jobs
+  FROM fresh GROUP BY segment) SELECT segment, failed_jobs, running_jobs, CASE WHEN verdict IS NULL THEN 'no_real_data'
+  WHEN failed_jobs > 0 THEN 'job_failures' WHEN verdict = 'stale' THEN 'stale_data' WHEN verdict <> 'fresh' OR running_jobs > 0
+  THEN 'degraded' ELSE 'ok' END AS state FROM g""")
 def health_states(spark: SparkSession, d: str) -> DataFrame:
     """The state of each segment's jobs and of its latest real run."""
     rows = coverage.freshness(_runs(spark, d), 7, 20)
@@ -270,7 +362,10 @@ def health_states(spark: SparkSession, d: str) -> DataFrame:
     return coverage.health(per).select("segment", "failed_jobs", "running_jobs", "state")
 
 
-GATE = RUNS + """, gate AS (SELECT *, (prefix(source, 'historical'))::INT + contains(source, 'pit_liquidity_universe')::INT + contains(source, 'pit_stock_master_filter')::INT + production_ready::INT + (aligned_days > 0)::INT + (walk_positive >= 0.75 AND walk_failed = 0)::INT + (supportive >= 1 AND adverse = 0)::INT + (bias_status IN ('ok', 'warn') AND bias_score >= 70 AND bias_failed = 0)::INT + (max_drawdown >= -0.25)::INT + (trade_count >= 100)::INT + (verdict <> 'abandon')::INT AS passed FROM runs)"""
+GATE = RUNS + """, gate AS (SELECT *, (prefix(source, 'historical'))::INT + contains(source, 'pit_liquidity_universe')::INT + contains(source,
+  'pit_stock_master_filter')::INT + production_ready::INT + (aligned_days > 0)::INT + (walk_positive >= 0.75 AND walk_failed = 0)::INT + (supportive >= 1
+  AND adverse = 0)::INT + (bias_status IN ('ok', 'warn') AND bias_score >= 70 AND bias_failed = 0)::INT + (max_drawdown >= -0.25)::INT + (trade_count >= 100)::INT + (verdict <> 'abandon')::INT AS passed
+  FROM runs)"""
 
 
 @query(GATE + " SELECT run_id, passed, 11 - passed AS failed, CASE WHEN passed = 11 THEN 'paper_candidate' ELSE 'research_only' END AS gate FROM gate")
@@ -279,10 +374,18 @@ def decision_gates(spark: SparkSession, d: str) -> DataFrame:
 
 
 _U = "least(greatest({}, 0.0), 1.0)".format
-SCORE = GATE + f""", parts AS (SELECT *, {_U('coalesce(annualized, 0) / 0.30::DOUBLE')} * 12 + {_U('(0.30::DOUBLE + max_drawdown) / 0.25::DOUBLE')} * 12 + CASE WHEN information_ratio <> 0 THEN {_U('information_ratio / 1.5::DOUBLE')} * 14 ELSE {_U('sharpe / 1.5::DOUBLE')} * 8 END
- + CASE WHEN walk_windows > 0 THEN least(greatest({_U('walk_positive')} * 15 - least(walk_failed, walk_windows) / walk_windows * 6, 0), 15) ELSE 0 END + least(greatest({_U('supportive / 2')} * 9 + {_U('best_t / 2')} * 4 - least(adverse, 3) * 2, 0), 15) + {_U('trade_count / 200')} * 10
- + CASE WHEN top_weight > 0 THEN {_U('(0.45::DOUBLE - top_weight) / 0.30::DOUBLE')} * 8 ELSE 4 END + least(greatest(data_points, 0), 10) + passed / 11.0::DOUBLE * 6 + CASE WHEN bias_failed > 0 THEN least({_U('bias_score / 100')} * 6, 2) ELSE {_U('bias_score / 100')} * 6 END AS points FROM gate),
-total AS (SELECT *, CASE WHEN verdict = 'abandon' THEN least(points, 45) WHEN passed < 11 THEN least(points, 80) ELSE least(points, 100) END AS total FROM parts), scored AS (SELECT run_id, segment, floor(total * 100 + 0.5) / 100 AS score, CASE WHEN total >= 75 THEN 'strong_watch' WHEN total >= 60 THEN 'watch' WHEN total >= 45 THEN 'weak_watch' ELSE 'reject' END AS band FROM total)"""
+SCORE = GATE + f""", parts AS (SELECT *, {_U('coalesce(annualized, 0) / 0.30::DOUBLE')} * 12 + {_U('(0.30::DOUBLE + max_drawdown) / 0.25::DOUBLE')} * 12 +
+  CASE WHEN information_ratio <> 0 THEN {_U('information_ratio / 1.5::DOUBLE')} * 14 ELSE {_U('sharpe / 1.5::DOUBLE')} * 8 END
+ + CASE WHEN walk_windows > 0 THEN least(greatest({_U('walk_positive')} * 15 - least(walk_failed, walk_windows) / walk_windows * 6,
+  0), 15) ELSE 0 END + least(greatest({_U('supportive / 2')} * 9 + {_U('best_t / 2')} * 4 - least(adverse, 3) * 2,
+  0), 15) + {_U('trade_count / 200')} * 10
+ + CASE WHEN top_weight > 0 THEN {_U('(0.45::DOUBLE - top_weight) / 0.30::DOUBLE')} * 8 ELSE 4 END + least(greatest(data_points,
+  0), 10) + passed / 11.0::DOUBLE * 6 + CASE WHEN bias_failed > 0 THEN least({_U('bias_score / 100')} * 6, 2) ELSE {_U('bias_score / 100')} * 6 END AS points
+  FROM gate),
+total AS (SELECT *, CASE WHEN verdict = 'abandon' THEN least(points, 45) WHEN passed < 11 THEN least(points, 80)
+  ELSE least(points, 100) END AS total FROM parts), scored AS (SELECT run_id, segment, floor(total * 100 + 0.5) / 100 AS score,
+  CASE WHEN total >= 75 THEN 'strong_watch' WHEN total >= 60 THEN 'watch' WHEN total >= 45 THEN 'weak_watch' ELSE 'reject' END AS band
+  FROM total)"""
 
 
 def _scored_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -305,14 +408,17 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"))
 
 
-@query(PANEL + f" SELECT symbol, date_trunc('year', date)::DATE AS year, {_even('arg_max(close, date) / arg_min(close, date) - 1')} AS yearly_return FROM panel GROUP BY 1, 2")
+@query(PANEL + f""" SELECT symbol, date_trunc('year', date)::DATE AS year, {_even('arg_max(close, date) / arg_min(close, date) - 1')} AS yearly_return
+  FROM panel GROUP BY 1, 2""")
 def yearly_returns(spark: SparkSession, d: str) -> DataFrame:
     """Last over first close of each year."""
     rows = adapter.daily_panel(spark, d).groupBy("symbol", F.trunc("date", "year").alias("year")).agg((F.max_by("close", "date") / F.min_by("close", "date") - 1).alias("yearly_return"))
     return even(rows)
 
 
-@query(PANEL + f", x AS (SELECT *, max(close) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS top FROM panel) SELECT date, symbol, {even_sql(('top',))}, {_even('close / top - 1')} AS drawdown FROM x")
+@query(PANEL + f""", x AS (SELECT *, max(close) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS top
+  FROM panel) SELECT date, symbol, {even_sql(('top',))}, {_even('close / top - 1')} AS drawdown
+  FROM x""")
 def running_drawdown(spark: SparkSession, d: str) -> DataFrame:
     rows = adapter.daily_panel(spark, d).select("date", "symbol", "close")
     top = F.max("close").over(P.series().rowsBetween(P.Window.unboundedPreceding, 0))

@@ -36,7 +36,8 @@ def _field_sql(name: str) -> str:
     return f"CASE WHEN (h * {k}) % 10 <> 3 THEN {x}{' * amount' if name in TRADED else ''} END AS {name}"
 
 
-RAW = PANEL + ", numbered AS (SELECT date, symbol, amount, close, n_rows, CAST((symbol * 37 + n_rows * 101 + (date - DATE '1995-01-01') * 13) % 1000 AS BIGINT) AS h FROM panel), f AS (SELECT date, symbol, amount, close, n_rows, " + ", ".join(map(_field_sql, {**FIELDS, **TRADED})) + " FROM numbered)"
+RAW = PANEL + """, numbered AS (SELECT date, symbol, amount, close, n_rows, CAST((symbol * 37 + n_rows * 101 + (date - DATE '1995-01-01') * 13) % 1000 AS BIGINT) AS h
+  FROM panel), f AS (SELECT date, symbol, amount, close, n_rows, """ + ", ".join(map(_field_sql, {**FIELDS, **TRADED})) + " FROM numbered)"
 
 
 def _clip(x: str, low: float, high: float) -> str:
@@ -70,7 +71,9 @@ def _out(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
 DIVIDEND = ("dividend_yield_capped", "dividend_yield_sane", "dividend_yield_valid_score")
 
 
-@query(RAW + f", x AS (SELECT date, symbol, CASE WHEN dividend_yield BETWEEN 0 AND 0.2 THEN {_clip('dividend_yield', 0.0, 0.12)} END AS dividend_yield_capped, {_band('dividend_yield', 0.0, 0.12)} AS dividend_yield_sane, {_is('dividend_yield BETWEEN 0.005 AND 0.12')} AS dividend_yield_valid_score FROM f) SELECT date, symbol, {even_sql(DIVIDEND)} FROM x")
+@query(RAW + f""", x AS (SELECT date, symbol, CASE WHEN dividend_yield BETWEEN 0 AND 0.2 THEN {_clip('dividend_yield', 0.0, 0.12)} END AS dividend_yield_capped,
+  {_band('dividend_yield', 0.0, 0.12)} AS dividend_yield_sane, {_is('dividend_yield BETWEEN 0.005 AND 0.12')} AS dividend_yield_valid_score
+  FROM f) SELECT date, symbol, {even_sql(DIVIDEND)} FROM x""")
 def dividend_yield_factors(spark: SparkSession, d: str) -> DataFrame:
     return _out(factors.dividend_yields(fields(spark, d)), DIVIDEND)
 
@@ -80,11 +83,15 @@ FLOW = (*FLOW_RATIOS, "main_flow_strength_score", "main_flow_positive_score", "f
 
 
 @query(RAW + ", a AS (SELECT date, symbol, main_net_inflow, " + ", ".join(f"{k}_net_inflow * 10000 / nullif(amount, 0) AS {k}_net_inflow_to_amount" for k in ("main", "large", "xlarge")) + f""" FROM f),
-b AS (SELECT *, CASE WHEN count(main_net_inflow_to_amount) OVER w >= 5 THEN round(avg(main_net_inflow_to_amount) OVER w, 12) END AS raw FROM a WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING)),
-c AS (SELECT *, {_rank_sql('main_net_inflow_to_amount')} AS main_flow_strength_score, {_rank_sql('large_net_inflow_to_amount')} AS ls, {_rank_sql('xlarge_net_inflow_to_amount')} AS xs, {_rank_sql('raw')} AS flow_persistence_20d_score,
+b AS (SELECT *, CASE WHEN count(main_net_inflow_to_amount) OVER w >= 5 THEN round(avg(main_net_inflow_to_amount) OVER w,
+  12) END AS raw FROM a WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING)),
+c AS (SELECT *, {_rank_sql('main_net_inflow_to_amount')} AS main_flow_strength_score, {_rank_sql('large_net_inflow_to_amount')} AS ls,
+  {_rank_sql('xlarge_net_inflow_to_amount')} AS xs, {_rank_sql('raw')} AS flow_persistence_20d_score,
  CASE WHEN main_net_inflow IS NOT NULL THEN {_is('main_net_inflow > 0')} END AS main_flow_positive_score,
- CASE WHEN main_net_inflow_to_amount IS NOT NULL OR xlarge_net_inflow_to_amount IS NOT NULL THEN {_unit('1 - (0.6::DOUBLE * coalesce(-' + _clip('main_net_inflow_to_amount', -0.08, 0.0) + ' / 0.08::DOUBLE, 0) + 0.4::DOUBLE * coalesce(-' + _clip('xlarge_net_inflow_to_amount', -0.05, 0.0) + ' / 0.05::DOUBLE, 0))')} END AS flow_reversal_guard_score FROM b),
-e AS (SELECT *, {_unit(_mean('main_flow_strength_score', 'ls', 'xs', 'flow_persistence_20d_score', 'flow_reversal_guard_score'))} AS capital_flow_quality_score FROM c) SELECT date, symbol, {even_sql(FLOW)} FROM e""")
+ CASE WHEN main_net_inflow_to_amount IS NOT NULL OR xlarge_net_inflow_to_amount IS NOT NULL THEN {_unit('1 - (0.6::DOUBLE * coalesce(-' + _clip('main_net_inflow_to_amount', -0.08, 0.0) + ' / 0.08::DOUBLE, 0) + 0.4::DOUBLE * coalesce(-' + _clip('xlarge_net_inflow_to_amount', -0.05, 0.0) + ' / 0.05::DOUBLE, 0))')} END AS flow_reversal_guard_score
+  FROM b),
+e AS (SELECT *, {_unit(_mean('main_flow_strength_score', 'ls', 'xs', 'flow_persistence_20d_score', 'flow_reversal_guard_score'))} AS capital_flow_quality_score
+  FROM c) SELECT date, symbol, {even_sql(FLOW)} FROM e""")
 def capital_flow_factors(spark: SparkSession, d: str) -> DataFrame:
     return _out(factors.capital_flows(fields(spark, d)), FLOW)
 
@@ -92,9 +99,18 @@ def capital_flow_factors(spark: SparkSession, d: str) -> DataFrame:
 MARGIN = ("margin_net_buy_amount", "margin_buy_to_amount", "margin_repay_to_amount", "margin_net_buy_to_amount", "margin_balance_to_amount", "short_balance_to_amount", "margin_net_buy_strength_score", "margin_deleveraging_guard_score", "margin_balance_crowding_guard_score", "margin_short_pressure_guard_score", "margin_leverage_flow_score", "margin_trade_quality_score")
 
 
-@query(RAW + f""", a AS (SELECT date, symbol, margin_buy - margin_repay AS margin_net_buy_amount, margin_buy / nullif(amount, 0) AS margin_buy_to_amount, margin_repay / nullif(amount, 0) AS margin_repay_to_amount, (margin_buy - margin_repay) / nullif(amount, 0) AS margin_net_buy_to_amount, margin_balance / nullif(amount, 0) AS margin_balance_to_amount, short_balance / nullif(amount, 0) AS short_balance_to_amount FROM f WHERE amount > 0 UNION ALL SELECT date, symbol, NULL, NULL, NULL, NULL, NULL, NULL FROM f WHERE amount <= 0),
-b AS (SELECT *, {_rank_sql('margin_net_buy_to_amount')} AS margin_net_buy_strength_score, CASE WHEN margin_net_buy_to_amount IS NOT NULL THEN {_unit('1 + ' + _clip('margin_net_buy_to_amount', -0.2, 0.0) + ' / 0.2::DOUBLE')} END AS margin_deleveraging_guard_score, 1 - {_rank_sql('margin_balance_to_amount')} AS margin_balance_crowding_guard_score, 1 - {_rank_sql('short_balance_to_amount')} AS margin_short_pressure_guard_score FROM a),
-c AS (SELECT *, {_unit(_mean('margin_net_buy_strength_score', 'margin_deleveraging_guard_score'))} AS margin_leverage_flow_score FROM b), e AS (SELECT *, {_unit(_mean('margin_leverage_flow_score', 'margin_balance_crowding_guard_score', 'margin_short_pressure_guard_score'))} AS margin_trade_quality_score FROM c) SELECT date, symbol, {even_sql(MARGIN)} FROM e""")
+@query(RAW + f""", a AS (SELECT date, symbol, margin_buy - margin_repay AS margin_net_buy_amount, margin_buy / nullif(amount, 0) AS margin_buy_to_amount,
+  margin_repay / nullif(amount, 0) AS margin_repay_to_amount, (margin_buy - margin_repay) / nullif(amount, 0) AS margin_net_buy_to_amount,
+  margin_balance / nullif(amount, 0) AS margin_balance_to_amount, short_balance / nullif(amount, 0) AS short_balance_to_amount
+  FROM f WHERE amount > 0 UNION ALL SELECT date, symbol, NULL, NULL, NULL, NULL, NULL, NULL
+  FROM f WHERE amount <= 0),
+b AS (SELECT *, {_rank_sql('margin_net_buy_to_amount')} AS margin_net_buy_strength_score, CASE WHEN margin_net_buy_to_amount IS NOT NULL
+  THEN {_unit('1 + ' + _clip('margin_net_buy_to_amount', -0.2, 0.0) + ' / 0.2::DOUBLE')} END AS margin_deleveraging_guard_score,
+  1 - {_rank_sql('margin_balance_to_amount')} AS margin_balance_crowding_guard_score, 1 - {_rank_sql('short_balance_to_amount')} AS margin_short_pressure_guard_score
+  FROM a),
+c AS (SELECT *, {_unit(_mean('margin_net_buy_strength_score', 'margin_deleveraging_guard_score'))} AS margin_leverage_flow_score
+  FROM b), e AS (SELECT *, {_unit(_mean('margin_leverage_flow_score', 'margin_balance_crowding_guard_score', 'margin_short_pressure_guard_score'))} AS margin_trade_quality_score
+  FROM c) SELECT date, symbol, {even_sql(MARGIN)} FROM e""")
 def margin_trade_factors(spark: SparkSession, d: str) -> DataFrame:
     return _out(factors.margin_trades(fields(spark, d)), MARGIN)
 
@@ -102,7 +118,9 @@ def margin_trade_factors(spark: SparkSession, d: str) -> DataFrame:
 VALUATION = ("pe_sane", "pe_valid_score", "pb_sane", "pb_valid_score")
 
 
-@query(RAW + f", x AS (SELECT date, symbol, CASE WHEN pe > 0 AND pe < 80 THEN pe END AS pe_sane, {_is('pe > 0 AND pe < 80')} AS pe_valid_score, {_band('pb', 0.1, 20.0)} AS pb_sane, {_is('pb BETWEEN 0.1 AND 20')} AS pb_valid_score FROM f) SELECT date, symbol, {even_sql(VALUATION)} FROM x")
+@query(RAW + f""", x AS (SELECT date, symbol, CASE WHEN pe > 0 AND pe < 80 THEN pe END AS pe_sane, {_is('pe > 0 AND pe < 80')} AS pe_valid_score,
+  {_band('pb', 0.1, 20.0)} AS pb_sane, {_is('pb BETWEEN 0.1 AND 20')} AS pb_valid_score
+  FROM f) SELECT date, symbol, {even_sql(VALUATION)} FROM x""")
 def valuation_factors(spark: SparkSession, d: str) -> DataFrame:
     return _out(factors.valuations(fields(spark, d)), VALUATION)
 
@@ -110,7 +128,10 @@ def valuation_factors(spark: SparkSession, d: str) -> DataFrame:
 ROE = ("roe_sane", "roe_positive_score", "roe_delta", "roe_repair_score")
 
 
-@query(RAW + f", x AS (SELECT date, symbol, roe, CASE WHEN roe BETWEEN -0.5 AND 0.6 THEN {_clip('roe', -0.3, 0.4)} END AS roe_sane FROM f), y AS (SELECT *, roe_sane - lag(roe_sane, 52) OVER (PARTITION BY symbol ORDER BY date) AS roe_delta, {_is('roe > 0')} AS roe_positive_score FROM x), z AS (SELECT *, {_is('roe_sane > 0 AND roe_delta > 0')} AS roe_repair_score FROM y) SELECT date, symbol, {even_sql(ROE)} FROM z")
+@query(RAW + f""", x AS (SELECT date, symbol, roe, CASE WHEN roe BETWEEN -0.5 AND 0.6 THEN {_clip('roe', -0.3, 0.4)} END AS roe_sane
+  FROM f), y AS (SELECT *, roe_sane - lag(roe_sane, 52) OVER (PARTITION BY symbol ORDER BY date) AS roe_delta, {_is('roe > 0')} AS roe_positive_score
+  FROM x), z AS (SELECT *, {_is('roe_sane > 0 AND roe_delta > 0')} AS roe_repair_score
+  FROM y) SELECT date, symbol, {even_sql(ROE)} FROM z""")
 def return_on_equity_factors(spark: SparkSession, d: str) -> DataFrame:
     """A year of weekly sessions back."""
     return _out(factors.returns_on_equity(fields(spark, d), 52), ROE)
@@ -149,7 +170,10 @@ for _name in FAMILIES:
 LIQUIDITY = ("liquidity_mid_score", "liquidity_top_penalty_score", "turnover_sane_score", "turnover_mid_score")
 
 
-@query(RAW + f", a AS (SELECT *, {_rank_sql('amount')} AS ar, {_rank_sql('turnover')} AS tr FROM f), x AS (SELECT date, symbol, {_unit('1 - abs(ar - 0.62::DOUBLE) / 0.62::DOUBLE')} AS liquidity_mid_score, {_unit('1 - ar')} AS liquidity_top_penalty_score, {_is('turnover BETWEEN 0.002 AND 0.08')} AS turnover_sane_score, {_unit('1 - abs(tr - 0.55::DOUBLE) / 0.55::DOUBLE')} AS turnover_mid_score FROM a) SELECT date, symbol, {even_sql(LIQUIDITY)} FROM x")
+@query(RAW + f""", a AS (SELECT *, {_rank_sql('amount')} AS ar, {_rank_sql('turnover')} AS tr FROM f), x AS (SELECT date, symbol,
+  {_unit('1 - abs(ar - 0.62::DOUBLE) / 0.62::DOUBLE')} AS liquidity_mid_score, {_unit('1 - ar')} AS liquidity_top_penalty_score,
+  {_is('turnover BETWEEN 0.002 AND 0.08')} AS turnover_sane_score, {_unit('1 - abs(tr - 0.55::DOUBLE) / 0.55::DOUBLE')} AS turnover_mid_score
+  FROM a) SELECT date, symbol, {even_sql(LIQUIDITY)} FROM x""")
 def liquidity_factors(spark: SparkSession, d: str) -> DataFrame:
     return _out(factors.liquidity_scores(fields(spark, d)), LIQUIDITY)
 
@@ -167,7 +191,9 @@ TREND = ("momentum_fast_positive_score", "momentum_slow_positive_score", "moment
 _LONG = _mean(_affine("momentum_slow", -0.10, 0.30), _affine("momentum_long", -0.15, 0.45), _affine("momentum_year", -0.20, 0.60), "1 + " + _clip("drawdown_year", -0.45, 0.0) + " / 0.45::DOUBLE", _affine("up_share", 0.40, 0.64), _affine("mean_gap", -0.12, 0.18))
 
 
-@query(NAMED_SQL + ", x AS (SELECT date, symbol, " + ", ".join(f"{_is(m + ' > 0')} AS {m}_positive_score" for m in ("momentum_fast", "momentum_slow", "momentum_long", "momentum_year")) + f", {_is('momentum_fast > 0 AND momentum_slow > 0 AND momentum_fast < 0.35 AND drawdown > -0.3')} AS trend_confirmation_score, {_is('momentum_fast BETWEEN -0.08 AND 0.25 AND drawdown > -0.35')} AS anti_chase_score, {_unit(_LONG)} AS long_trend_quality_score FROM f) SELECT date, symbol, {even_sql(TREND)} FROM x")
+@query(NAMED_SQL + ", x AS (SELECT date, symbol, " + ", ".join(f"{_is(m + ' > 0')} AS {m}_positive_score" for m in ("momentum_fast", "momentum_slow", "momentum_long", "momentum_year")) + f""", {_is('momentum_fast > 0 AND momentum_slow > 0 AND momentum_fast < 0.35 AND drawdown > -0.3')} AS trend_confirmation_score,
+  {_is('momentum_fast BETWEEN -0.08 AND 0.25 AND drawdown > -0.35')} AS anti_chase_score, {_unit(_LONG)} AS long_trend_quality_score
+  FROM f) SELECT date, symbol, {even_sql(TREND)} FROM x""")
 def trend_factors(spark: SparkSession, d: str) -> DataFrame:
     return _out(factors.trend_scores(_named(spark, d)), TREND)
 
@@ -178,12 +204,19 @@ _REVERSAL = "1 - (0.45::DOUBLE * coalesce(" + _clip("momentum_fast - 0.25::DOUBL
 _RISK = "1 - (0.35::DOUBLE * coalesce(ar, 0.5::DOUBLE) + 0.35::DOUBLE * coalesce(vr, 0.5::DOUBLE) + 0.15::DOUBLE * (" + _clip("momentum_fast", 0.0, 0.35) + " / 0.35::DOUBLE) + 0.15::DOUBLE * " + _FALLEN + ")"
 
 
-@query(NAMED_SQL + f", a AS (SELECT *, {_rank_sql('amount')} AS ar, {_rank_sql('volatility')} AS vr, {_rank_sql('downside')} AS dr FROM f), b AS (SELECT *, {_unit('1 - dr')} AS downside_volatility_score, {_unit('1 - vr')} AS low_volatility_score, {_unit(_REVERSAL)} AS reversal_risk_guard_score, {_unit(_RISK)} AS liquidity_exposure_guard_score FROM a), c AS (SELECT *, {_unit('0.45::DOUBLE * coalesce(low_volatility_score, 0.5::DOUBLE) + 0.35::DOUBLE * coalesce(liquidity_exposure_guard_score, 0.5::DOUBLE) + 0.2::DOUBLE * ' + _unit('1 - ' + _FALLEN))} AS single_name_risk_guard_score FROM b) SELECT date, symbol, {even_sql(GUARDS)} FROM c")
+@query(NAMED_SQL + f""", a AS (SELECT *, {_rank_sql('amount')} AS ar, {_rank_sql('volatility')} AS vr, {_rank_sql('downside')} AS dr
+  FROM f), b AS (SELECT *, {_unit('1 - dr')} AS downside_volatility_score, {_unit('1 - vr')} AS low_volatility_score,
+  {_unit(_REVERSAL)} AS reversal_risk_guard_score, {_unit(_RISK)} AS liquidity_exposure_guard_score
+  FROM a), c AS (SELECT *, {_unit('0.45::DOUBLE * coalesce(low_volatility_score, 0.5::DOUBLE) + 0.35::DOUBLE * coalesce(liquidity_exposure_guard_score, 0.5::DOUBLE) + 0.2::DOUBLE * ' + _unit('1 - ' + _FALLEN))} AS single_name_risk_guard_score
+  FROM b) SELECT date, symbol, {even_sql(GUARDS)} FROM c""")
 def risk_guard_factors(spark: SparkSession, d: str) -> DataFrame:
     return _out(factors.risk_guards(_named(spark, d)), GUARDS)
 
 
-@query(RAW + f", x AS (SELECT date, symbol, {_mean(_is('pe > 0 AND pe < 80'), _is('pb BETWEEN 0.1 AND 20'), _is('dividend_yield BETWEEN 0.005 AND 0.12'))} AS valuation_sanity_score, {_is('roe > 0')} AS roe_positive_score FROM f), y AS (SELECT *, {_mean('roe_positive_score', 'valuation_sanity_score')} AS alpha_quality_stability_score FROM x) SELECT date, symbol, {even_sql(('valuation_sanity_score', 'alpha_quality_stability_score'))} FROM y")
+@query(RAW + f""", x AS (SELECT date, symbol, {_mean(_is('pe > 0 AND pe < 80'), _is('pb BETWEEN 0.1 AND 20'), _is('dividend_yield BETWEEN 0.005 AND 0.12'))} AS valuation_sanity_score,
+  {_is('roe > 0')} AS roe_positive_score FROM f), y AS (SELECT *, {_mean('roe_positive_score', 'valuation_sanity_score')} AS alpha_quality_stability_score
+  FROM x) SELECT date, symbol, {even_sql(('valuation_sanity_score', 'alpha_quality_stability_score'))}
+  FROM y""")
 def composite_quality_means(spark: SparkSession, d: str) -> DataFrame:
     """Means over those of the named scores that the panel has."""
     rows = factors.returns_on_equity(factors.dividend_yields(factors.valuations(fields(spark, d))))
@@ -192,8 +225,11 @@ def composite_quality_means(spark: SparkSession, d: str) -> DataFrame:
 
 
 EV = PANEL + """, q AS (SELECT date, symbol, close FROM panel), o AS (
-  SELECT o_custkey % 100 + 1 AS symbol, CAST(o_orderdate AS DATE) AS date, o_totalprice AS price, o_orderkey AS k, o_orderpriority AS kind,
-         CASE o_orderkey % 6 WHEN 0 THEN 'Share buyback plan' WHEN 1 THEN 'Cash Dividend notice' WHEN 2 THEN 'Private placement' WHEN 3 THEN 'MERGER talks' WHEN 4 THEN 'Penalty' ELSE 'Annual report' END AS title FROM orders)"""
+  SELECT o_custkey % 100 + 1 AS symbol, CAST(o_orderdate AS DATE) AS date, o_totalprice AS price, o_orderkey AS k,
+  o_orderpriority AS kind,
+         CASE o_orderkey % 6 WHEN 0 THEN 'Share buyback plan' WHEN 1 THEN 'Cash Dividend notice' WHEN 2 THEN 'Private placement'
+  WHEN 3 THEN 'MERGER talks' WHEN 4 THEN 'Penalty' ELSE 'Annual report' END AS title
+  FROM orders)"""
 
 
 def _orders(spark: SparkSession, d: str) -> DataFrame:
@@ -208,15 +244,20 @@ def _quotes(spark: SparkSession, d: str) -> DataFrame:
     return adapter.daily_panel(spark, d).select("date", "symbol", "close")
 
 
-DIVIDENDS = EV + f""", w AS (SELECT q.date, q.symbol, q.close, count(o.k) FILTER (o.date >= q.date - 365) AS dividend_event_count_365d, coalesce(CAST(sum(CAST({_even('o.price / 1e4')} AS DECIMAL(28,6))) FILTER (o.date >= q.date - 365) AS DOUBLE), 0.0) AS dividend_event_cash_365d, max(struct_pack(a := o.date, b := {_even('o.price / 1e4')})) FILTER (o.k IS NOT NULL) AS last FROM q LEFT JOIN o ON o.symbol = q.symbol AND o.date <= q.date GROUP BY 1, 2, 3),
-x AS (SELECT date, symbol, close, dividend_event_count_365d, dividend_event_cash_365d, CAST(date - last.a AS DOUBLE) AS dividend_event_days_since_last, last.b AS dividend_event_last_cash FROM w)"""
+DIVIDENDS = EV + f""", w AS (SELECT q.date, q.symbol, q.close, count(o.k) FILTER (o.date >= q.date - 365) AS dividend_event_count_365d,
+  coalesce(CAST(sum(CAST({_even('o.price / 1e4')} AS DECIMAL(28,6))) FILTER (o.date >= q.date - 365) AS DOUBLE),
+  0.0) AS dividend_event_cash_365d, max(struct_pack(a := o.date, b := {_even('o.price / 1e4')})) FILTER (o.k IS NOT NULL) AS last
+  FROM q LEFT JOIN o ON o.symbol = q.symbol AND o.date <= q.date GROUP BY 1, 2, 3),
+x AS (SELECT date, symbol, close, dividend_event_count_365d, dividend_event_cash_365d, CAST(date - last.a AS DOUBLE) AS dividend_event_days_since_last,
+  last.b AS dividend_event_last_cash FROM w)"""
 
 
 def _dividends(spark: SparkSession, d: str) -> DataFrame:
     return events.dividend_windows(_quotes(spark, d), _orders(spark, d).select("symbol", "date", adapter.micro(F.col("price") / 1e4).alias("cash")))
 
 
-@query(DIVIDENDS + f" SELECT date, symbol, dividend_event_count_365d, {even_sql(('dividend_event_cash_365d', 'dividend_event_last_cash'))}, dividend_event_days_since_last FROM x")
+@query(DIVIDENDS + f""" SELECT date, symbol, dividend_event_count_365d, {even_sql(('dividend_event_cash_365d', 'dividend_event_last_cash'))},
+  dividend_event_days_since_last FROM x""")
 def dividend_event_windows(spark: SparkSession, d: str) -> DataFrame:
     return even(_dividends(spark, d).drop("close"))
 
@@ -225,12 +266,18 @@ EVENT_YIELD = ("dividend_event_yield_365d", "dividend_event_regular_score", "div
 _YIELD = "(coalesce(dividend_event_cash_365d, 0.0) / nullif(close, 0))"
 
 
-@query(DIVIDENDS + f", y AS (SELECT date, symbol, {_band(_YIELD, 0.0, 0.2)} AS dividend_event_yield_365d, {_clip('coalesce(dividend_event_count_365d, 0)::DOUBLE', 0.0, 4.0)} / 4 AS dividend_event_regular_score, coalesce(1 - {_clip('dividend_event_days_since_last', 0.0, 365.0)} / 365, 0) AS dividend_event_recent_score, {_clip(_YIELD, 0.0, 0.08)} / 0.08::DOUBLE AS dividend_event_cash_score FROM x), z AS (SELECT *, {_mean('dividend_event_regular_score', 'dividend_event_recent_score', 'dividend_event_cash_score')} AS dividend_event_quality_score FROM y) SELECT date, symbol, {even_sql(EVENT_YIELD)} FROM z")
+@query(DIVIDENDS + f""", y AS (SELECT date, symbol, {_band(_YIELD, 0.0, 0.2)} AS dividend_event_yield_365d, {_clip('coalesce(dividend_event_count_365d, 0)::DOUBLE', 0.0, 4.0)} / 4 AS dividend_event_regular_score,
+  coalesce(1 - {_clip('dividend_event_days_since_last', 0.0, 365.0)} / 365, 0) AS dividend_event_recent_score, {_clip(_YIELD, 0.0, 0.08)} / 0.08::DOUBLE AS dividend_event_cash_score
+  FROM x), z AS (SELECT *, {_mean('dividend_event_regular_score', 'dividend_event_recent_score', 'dividend_event_cash_score')} AS dividend_event_quality_score
+  FROM y) SELECT date, symbol, {even_sql(EVENT_YIELD)} FROM z""")
 def dividend_event_factors(spark: SparkSession, d: str) -> DataFrame:
     return _out(factors.dividend_event_scores(_dividends(spark, d)), EVENT_YIELD)
 
 
-ABNORMAL = EV + """, x AS (SELECT q.date, q.symbol, count(o.k) FILTER (o.date >= q.date - 90) AS abnormal_count_90d, coalesce(CAST(sum(CAST(o.price AS DECIMAL(28,4))) FILTER (o.date >= q.date - 90) AS DOUBLE), 0.0) AS abnormal_amount_90d, max(abs(o.k % 40 - 20) / 2.0::DOUBLE) FILTER (o.date >= q.date - 90) AS abnormal_max_deviation_90d, CAST(q.date - max(o.date) AS DOUBLE) AS abnormal_days_since_last FROM q LEFT JOIN o ON o.symbol = q.symbol AND o.date < q.date GROUP BY 1, 2)"""
+ABNORMAL = EV + """, x AS (SELECT q.date, q.symbol, count(o.k) FILTER (o.date >= q.date - 90) AS abnormal_count_90d, coalesce(CAST(sum(CAST(o.price AS DECIMAL(28,4))) FILTER (o.date >= q.date - 90) AS DOUBLE),
+  0.0) AS abnormal_amount_90d, max(abs(o.k % 40 - 20) / 2.0::DOUBLE) FILTER (o.date >= q.date - 90) AS abnormal_max_deviation_90d,
+  CAST(q.date - max(o.date) AS DOUBLE) AS abnormal_days_since_last FROM q LEFT JOIN o ON o.symbol = q.symbol AND o.date < q.date
+  GROUP BY 1, 2)"""
 WINDOWS = ("abnormal_count_90d", "abnormal_amount_90d", "abnormal_max_deviation_90d", "abnormal_days_since_last")
 
 
@@ -247,7 +294,11 @@ def abnormal_list_event_windows(spark: SparkSession, d: str) -> DataFrame:
 ABNORMAL_SCORES = ("abnormal_attention_score", "abnormal_amount_score", "abnormal_recency_score", "abnormal_cooldown_score", "abnormal_event_score")
 
 
-@query(ABNORMAL + f", y AS (SELECT *, {_clip('abnormal_count_90d::DOUBLE', 0.0, 3.0)} / 3 AS abnormal_attention_score, {_rank_sql('abnormal_amount_90d')} AS abnormal_amount_score, coalesce(1 - {_clip('abnormal_days_since_last', 0.0, 90.0)} / 90, 0) AS abnormal_recency_score FROM x), z AS (SELECT *, {_unit('1 - (0.55::DOUBLE * abnormal_attention_score * abnormal_recency_score + 0.45::DOUBLE * (' + _clip('abnormal_max_deviation_90d', 0.0, 15.0) + ' / 15) * abnormal_recency_score)')} AS abnormal_cooldown_score, {_unit(_mean('abnormal_attention_score', 'abnormal_amount_score', 'abnormal_recency_score'))} AS abnormal_event_score FROM y) SELECT date, symbol, {even_sql(ABNORMAL_SCORES)} FROM z")
+@query(ABNORMAL + f""", y AS (SELECT *, {_clip('abnormal_count_90d::DOUBLE', 0.0, 3.0)} / 3 AS abnormal_attention_score, {_rank_sql('abnormal_amount_90d')} AS abnormal_amount_score,
+  coalesce(1 - {_clip('abnormal_days_since_last', 0.0, 90.0)} / 90, 0) AS abnormal_recency_score
+  FROM x), z AS (SELECT *, {_unit('1 - (0.55::DOUBLE * abnormal_attention_score * abnormal_recency_score + 0.45::DOUBLE * (' + _clip('abnormal_max_deviation_90d', 0.0, 15.0) + ' / 15) * abnormal_recency_score)')} AS abnormal_cooldown_score,
+  {_unit(_mean('abnormal_attention_score', 'abnormal_amount_score', 'abnormal_recency_score'))} AS abnormal_event_score
+  FROM y) SELECT date, symbol, {even_sql(ABNORMAL_SCORES)} FROM z""")
 def abnormal_list_factors(spark: SparkSession, d: str) -> DataFrame:
     return _out(factors.abnormal_list_scores(_abnormal(spark, d)), ABNORMAL_SCORES)
 
@@ -274,6 +325,9 @@ ANNOUNCED_OUT = tuple(f"announcement_{k}_score" for k in (*ANNOUNCED, "recency",
 _A = "announcement_{}_score".format
 
 
-@query(ANNOUNCEMENTS + f", y AS (SELECT *, {_SCORED}, coalesce(1 - {_clip('announcement_days_since_last', 0.0, 90.0)} / 90, 0) AS announcement_recency_score FROM x), z AS (SELECT *, {_unit(_mean(*map(_A, ('noise_guard', 'risk_alert_guard', 'financing_cooldown', 'reorg_cooldown'))))} AS announcement_stability_guard_score, {_unit(_mean(*map(_A, ('activity', 'recency', 'buyback_activity', 'shareholder_return'))))} AS announcement_event_score FROM y) SELECT date, symbol, {even_sql(ANNOUNCED_OUT)} FROM z")
+@query(ANNOUNCEMENTS + f""", y AS (SELECT *, {_SCORED}, coalesce(1 - {_clip('announcement_days_since_last', 0.0, 90.0)} / 90, 0) AS announcement_recency_score
+  FROM x), z AS (SELECT *, {_unit(_mean(*map(_A, ('noise_guard', 'risk_alert_guard', 'financing_cooldown', 'reorg_cooldown'))))} AS announcement_stability_guard_score,
+  {_unit(_mean(*map(_A, ('activity', 'recency', 'buyback_activity', 'shareholder_return'))))} AS announcement_event_score
+  FROM y) SELECT date, symbol, {even_sql(ANNOUNCED_OUT)} FROM z""")
 def announcement_factors(spark: SparkSession, d: str) -> DataFrame:
     return _out(factors.announcement_scores(_announcements(spark, d)), ANNOUNCED_OUT)
