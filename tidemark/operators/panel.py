@@ -25,8 +25,8 @@ def densify(panel: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
     """Every symbol on every date of the calendar (default: the panel's own) from its first one on.
 
     Gaps carry the last close forward, trade nothing and count as suspended;
-    ``raw`` tells real rows. Where the panel has them, highs, lows and limits
-    of gaps are carried too, a missing open is the close before (the own close
+    ``raw`` tells real rows. Where the panel has them, highs, lows, limits
+    and fundamental ratios of gaps are carried too, a missing open is the close before (the own close
     on the first date), flags of special treatment are carried and limit flags
     are off. The calendar is gathered in one row, a few thousand dates, and
     each symbol explodes its part of it.
@@ -39,7 +39,7 @@ def densify(panel: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
     close = F.last("close", ignorenulls=True).over(held)
     before = F.last("close", ignorenulls=True).over(Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, -1))
     gap, more = F.col("raw").isNull(), {}
-    for c in ("high", "low", "limit_up", "limit_down", "is_st"):
+    for c in ("high", "low", "limit_up", "limit_down", "is_st", "pe", "pb", "roe", "dividend_yield"):
         if c in panel.columns:
             more[c] = F.when(gap, F.last(c, ignorenulls=True).over(held)).otherwise(F.col(c))
     more |= {c: F.when(gap, F.lit(False)).otherwise(F.col(c)) for c in ("is_limit_up", "is_limit_down") if c in panel.columns}

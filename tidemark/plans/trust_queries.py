@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import ratio
-from tidemark.operators import panel as P, portfolio, trust
+from tidemark.operators import panel as P, portfolio, study, trust
+from tidemark.plans import study_queries as S
 from tidemark.plans.registry import INDEX, PANEL, TECH, _even, _rounded, _tech, even, query
 from tidemark.plans.study_queries import _unsigned, _unsigned_sql
 from tidemark.sources import adapter
@@ -192,3 +193,50 @@ SELECT date, CASE WHEN c IS NOT NULL AND mean_24_lag1 IS NOT NULL THEN (c > mean
 def regime_trends(spark: SparkSession, d: str) -> DataFrame:
     """Two trends and three changes of the index, as known a date before."""
     return _rounded(trust.regime_trends(adapter.index_series(adapter.daily_panel(spark, d))))
+
+
+_CARRIED = {"high": "high", "low": "low", "limit_up": "close * 1.25", "limit_down": "close * 0.75", "pe": "CASE WHEN n_rows > 1 THEN close / n_rows END", "is_st": "n_r > 3"}
+_CARRY = ", ".join(f"last_value(p.{c} IGNORE NULLS) OVER held AS v_{c}" for c in _CARRIED)
+
+
+@query(PANEL + f""", q AS (SELECT date, symbol, close, low AS open, {', '.join(f'{x} AS {c}' for c, x in _CARRIED.items() if c not in ('high', 'low'))}, high, low, n_r > 5 AS is_limit_up, amount FROM panel),
+grid AS (SELECT f.symbol, d.date FROM (SELECT symbol, min(date) AS first FROM panel GROUP BY symbol) f JOIN (SELECT DISTINCT date FROM panel) d ON d.date >= f.first),
+full_ AS (
+  SELECT g.date, g.symbol, p.symbol IS NULL AS gap, last_value(p.close IGNORE NULLS) OVER held AS v_close, p.open, p.amount, p.is_limit_up, {_CARRY}, {', '.join(f'p.{c} AS o_{c}' for c in _CARRIED)}
+  FROM grid g LEFT JOIN q p ON p.symbol = g.symbol AND p.date = g.date WINDOW held AS (PARTITION BY g.symbol ORDER BY g.date ROWS UNBOUNDED PRECEDING))
+SELECT date, symbol, gap AS is_suspended, v_close AS close, coalesce(open, lag(v_close) OVER (PARTITION BY symbol ORDER BY date), v_close) AS open, coalesce(amount, 0.0) AS amount,
+  CASE WHEN gap THEN false ELSE is_limit_up END AS is_limit_up, {', '.join(f'CASE WHEN gap THEN v_{c} ELSE o_{c} END AS {c}' for c in _CARRIED)} FROM full_""")
+def calendar_alignment_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Alignment with all fields: highs, lows, limits, ratios and treatment are carried, flags aren't, a missing open is the close before."""
+    rows = adapter.daily_panel(spark, d).select("date", "symbol", "close", F.col("low").alias("open"), "high", "low", "amount", "volume", (F.col("n_r") > 5).alias("is_limit_up"), *(F.expr(x).alias(c) for c, x in _CARRIED.items() if c not in ("high", "low")))
+    return P.densify(rows).select("date", "symbol", "is_suspended", "close", "open", "amount", "is_limit_up", *_CARRIED)
+
+
+@query(INDEX + """, s AS (
+  SELECT date, avg(close / prev - 1) AS strategy FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS prev FROM panel) GROUP BY date HAVING avg(close / prev - 1) IS NOT NULL),
+i AS (SELECT date, close / lag(close) OVER (ORDER BY date) - 1 AS index FROM idx),
+j AS (SELECT date, round(strategy, 9) AS strategy, round(index, 9) AS index FROM s JOIN i USING (date) WHERE index IS NOT NULL),
+g AS (SELECT date, exp(sum(ln(1 + strategy)) OVER w) AS a, exp(sum(ln(1 + index)) OVER w) AS b FROM j WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT a / greatest(max(a) OVER w, 1.0) - 1 AS x, b / greatest(max(b) OVER w, 1.0) - 1 AS y FROM g WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING))
+SELECT count(*) AS n, round(min(x), 6) AS strategy_drawdown, round(min(y), 6) AS index_drawdown FROM f""")
+def benchmark_drawdowns(spark: SparkSession, d: str) -> DataFrame:
+    """Deepest falls of the mean symbol and of the index over their common dates."""
+    rows = adapter.daily_panel(spark, d)
+    own = rows.withColumn("r", ratio(F.col("close"), F.lag("close").over(P.series())) - 1).groupBy("date").agg(F.avg("r").alias("strategy"))
+    index = adapter.index_series(rows).withColumn("index", ratio(F.col("close"), F.lag("close").over(Window.orderBy("date"))) - 1)
+    both = own.join(index.select("date", "index"), "date").select("date", F.round("strategy", 9).alias("strategy"), F.round("index", 9).alias("index")).dropna()
+    return _rounded(study.comparison_metrics(both, 52)).select("n", "strategy_drawdown", "index_drawdown")
+
+
+@query(S.CANDIDATES + """ SELECT CAST(date_trunc('month', date) AS DATE) AS month, count(*) AS candidates, count(roe_report) AS with_report, count(roe_publication) AS with_publication,
+  round(count(roe_publication) / count(*)::DOUBLE, 6) AS share, max(date - period_publication)::INTEGER AS oldest_days, count(*) FILTER (roe_publication IS NOT NULL AND momentum IS NOT NULL AND low_vol IS NOT NULL) AS complete
+  FROM cand WHERE in_pit GROUP BY 1""")
+def fundamental_month_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """How many of each month's listed candidates have fundamentals that were known, and how old the oldest is."""
+    rows = S._candidates(spark, d).filter("in_pit").groupBy(F.trunc("date", "month").alias("month"))
+    known = F.col("roe_publication").isNotNull()
+    out = rows.agg(
+        F.count("*").alias("candidates"), F.count("roe_report").alias("with_report"), F.count("roe_publication").alias("with_publication"), (F.count("roe_publication") / F.count("*")).alias("share"),
+        F.max(F.datediff("date", "period_publication")).alias("oldest_days"), F.count_if(known & F.col("momentum").isNotNull() & F.col("low_vol").isNotNull()).alias("complete"),
+    )
+    return _rounded(out)
