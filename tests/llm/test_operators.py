@@ -463,7 +463,7 @@ def test_bitmaps_rule_out_only_what_cannot_be_similar():
 
 
 def test_related_documents_meet_in_a_shard(spark):
-    """Of many shards: a document's best BM25 neighbour over all documents is far oftener in its own shard than by chance."""
+    """Of many shards: a document's best neighbour over all documents, by its 12 heaviest BM25 terms, is far oftener in its own shard than by chance."""
     docs = read(spark, "documents").filter("length(text) > 200").select("doc_id", "text")
     tokens = packing.tokenize(docs, queries.tokenizer_path()).collect()
     ids = [packing.unpack(r.ids, r.n) for r in tokens]
@@ -471,7 +471,7 @@ def test_related_documents_meet_in_a_shard(spark):
     for own in ids:
         counts[packing.terms_of(own)[0]] += 1
     mean, idf = np.mean([len(x) for x in ids]), np.log1p((len(ids) - counts + 0.5) / (counts + 0.5)).astype(np.float32)
-    index, best = packing.ShardIndex(ids, idf, mean), {}
+    index, best = packing.ShardIndex(ids, idf, mean, query_terms=12), {}
     for i in range(len(ids)):
         near = [j for j in index.neighbours(i) if j != i]
         if near:
@@ -503,3 +503,23 @@ def test_a_score_of_nothing_allows(spark):
     assert got[1].score == 0 and {r.verdict for r in got.values()} == {"allow"}
     both = {r.page_id: r for r in url_filter.filter_urls(pages).collect()}
     assert both[2].verdict == "allow" and both[3].verdict == "block" and both[4].verdict == ("block" if both[4].score > 0 else "allow")
+
+
+@pytest.mark.parametrize("n", [300, 2_000])
+def test_retrieved_neighbours_against_whole_queries(spark, n):
+    """A seed asks with its heaviest terms only: the best neighbour by all of its terms is among the first ten for over nine tenths, at either size."""
+    docs = read(spark, "documents", "/root/testdata/sf0.1").filter("length(text) BETWEEN 200 AND 20000").select("doc_id", "text").orderBy("doc_id").limit(n)
+    ids = [packing.unpack(r.ids, r.n) for r in packing.tokenize(docs, queries.tokenizer_path()).collect()]
+    counts = np.zeros(50_000)
+    for own in ids:
+        counts[packing.terms_of(own)[0]] += 1
+    mean, idf = np.mean([len(x) for x in ids]), np.log1p((len(ids) - counts + 0.5) / (counts + 0.5)).astype(np.float32)
+    index, weights = packing.ShardIndex(ids, idf, mean), np.zeros((len(ids), 50_000), np.float32)
+    for i, own in enumerate(ids):
+        term, tf = packing.terms_of(own)
+        weights[i, term] = packing.bm25(tf, idf[term], len(own), mean)
+    asked = range(0, len(ids), max(1, len(ids) // 200))
+    scores = (weights[list(asked)] > 0).astype(np.float32) @ weights.T
+    scores[np.arange(len(asked)), list(asked)] = -1
+    found = [scores[k].argmax() in [j for j in index.neighbours(i) if j != i][:10] for k, i in enumerate(asked)]
+    assert np.mean(found) > 0.9, np.mean(found)

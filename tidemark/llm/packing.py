@@ -29,7 +29,9 @@ from tidemark.llm.tokens import tokenizer_at
 
 WINDOW, END_ID = 4096, 2
 SHARD_TOKENS = 4_000_000
-QUERY_TERMS, K1, B = 12, 1.2, 0.75
+K1, B = 1.2, 0.75
+#: A seed asks with so many of its heaviest terms: nearly all best neighbours by whole queries come first, at half the work.
+QUERY_TERMS = 128
 #: Neighbours that one request returns; a window that uses them up asks again for the rest.
 NEIGHBOURS = 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -95,12 +97,12 @@ def heaviest_shared(ids: np.ndarray, idf: np.ndarray, shared: np.ndarray, mean_l
 class ShardIndex:
     """Inverted index of BM25 weights over one shard's documents."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float, query_terms: int = QUERY_TERMS):
         terms, owners, weights, self.queries = [], [], [], []
         for i, ids in enumerate(docs):
             term, tf = terms_of(ids)
             weight = bm25(tf, idf[term], len(ids), mean_length)
-            top = term if len(term) <= QUERY_TERMS else term[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]]
+            top = term if len(term) <= query_terms else term[np.argpartition(-weight, query_terms)[:query_terms]]
             self.queries.append(top.astype(np.int64))
             terms.append(term)
             owners.append(np.full(len(term), i, np.int32))
@@ -122,9 +124,9 @@ class ShardIndex:
         return found[np.argsort(-scores[found], kind="stable")]
 
 
-def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int = WINDOW, query_terms: int = QUERY_TERMS) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) that hold every id once."""
-    index, pieces = ShardIndex(docs, idf, mean_length), []
+    index, pieces = ShardIndex(docs, idf, mean_length, query_terms), []
     sequence = at = next_seed = seed = 0
     queue: list[int] = []
     for _ in range(len(docs)):
@@ -166,13 +168,14 @@ def _powers(pieces: list[tuple[int, int, int, int, int]], last: int, rest: int)
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, tag: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, query_terms: int = QUERY_TERMS, tag: str | None = None) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every row of ``docs`` is a document of its own, whatever its doc_id; its ids
     and the end id lie in exactly one piece each. Null and empty texts are the
     end id alone. A document longer than the window spans several sequences.
-    ``window`` is a power of two. Other columns are ignored; an empty table
+    ``window`` is a power of two; a seed's neighbours are asked for by
+    ``query_terms`` of its heaviest terms. Other columns are ignored; an empty table
     gives no pieces. Documents without a term that others share are dealt by row.
     """
     tag = tag or new_tag("packing")
@@ -185,7 +188,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
         names, order = rows.column("doc_id").to_pylist(), range(len(own))
         order = sorted(order, key=lambda i: (names[i] is None, names[i] or 0, n[i], own[i].tobytes() if len(set(names)) < len(names) else b""))
         own, names = [own[i] for i in order], [names[i] for i in order]
-        found = pack_shard(own, shared.value, mean_length, window)
+        found = pack_shard(own, shared.value, mean_length, window, query_terms)
         crc = [zlib.crc32(own[d][a : a + k].astype("<u4").tobytes()) for d, a, k, _, _ in found]
         d, a, k, s, o = (np.array(x, dtype=np.int64) for x in zip(*found))
         size = np.array([len(x) for x in own], dtype=np.int64)[d]
