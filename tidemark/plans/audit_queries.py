@@ -310,62 +310,85 @@ def open_session_pivot(spark: SparkSession, d: str) -> DataFrame:
     return normalise.open_sessions(calendar, ["SSE", "SZSE"])
 
 
-RUNS = """WITH runs AS (SELECT c_custkey AS run_id, c_mktsegment AS segment, CASE c_custkey % 5 WHEN 0 THEN 'sample' WHEN 1
-  THEN 'other' ELSE 'historical_asset:x' || CASE WHEN c_custkey % 3 <> 0 THEN '+pit_liquidity_universe' ELSE '' END ||
-  CASE WHEN c_custkey % 4 <> 0 THEN '+pit_stock_master_filter' ELSE '' END END AS source, CASE WHEN c_custkey % 11 = 0
-  THEN 'empty' ELSE 'ok' END AS status,
- CASE WHEN c_custkey % 13 <> 0 THEN c_custkey % 12 END AS age_days, c_custkey % 90 AS aligned_days, c_custkey % 2 = 0 AS production_ready,
-  (c_custkey % 100) / 100.0::DOUBLE AS walk_positive, (c_custkey % 9) / 1.0::DOUBLE AS walk_windows, (c_custkey % 3) / 1.0::DOUBLE AS walk_failed,
-  (c_custkey % 4) / 1.0::DOUBLE AS supportive, (c_custkey % 2) / 1.0::DOUBLE AS adverse,
- CASE c_custkey % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'warn' ELSE 'bad' END AS bias_status, (c_custkey % 101) / 1.0::DOUBLE AS bias_score,
-  CASE WHEN c_custkey % 6 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS bias_failed, -(c_custkey % 50) / 100.0::DOUBLE AS max_drawdown,
-  (c_custkey % 300) / 1.0::DOUBLE AS trade_count, CASE WHEN c_custkey % 8 = 0 THEN 'abandon' ELSE 'keep' END AS verdict,
- CASE WHEN c_custkey % 17 <> 0 THEN (c_custkey % 60 - 10) / 100.0::DOUBLE END AS annualized, (c_custkey % 5 - 1) / 2.0::DOUBLE AS information_ratio,
-  (c_custkey % 7) / 4.0::DOUBLE AS sharpe, (c_custkey % 21) / 5.0::DOUBLE AS best_t, (c_custkey % 50) / 100.0::DOUBLE AS top_weight,
-  (c_custkey % 11) / 1.0::DOUBLE AS data_points FROM customer)"""
+# a customer's orders stand for a run: their number, spread and dates give its figures
+RUNS = """WITH o AS (
+  SELECT o_custkey, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total, max(CAST(o_totalprice AS DECIMAL(18,2))) AS top, min(CAST(o_totalprice AS DECIMAL(18,2))) AS low,
+    max(CAST(o_orderdate AS DATE)) AS last, count(DISTINCT year(o_orderdate)) AS years, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'P') AS partly,
+    count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderpriority = '5-LOW') AS slow, count(*) FILTER (o_orderpriority = '4-NOT SPECIFIED') AS vague
+  FROM orders GROUP BY o_custkey),
+r AS (SELECT *, CAST(top AS DOUBLE) / CAST(total AS DOUBLE) AS weight, CAST(low AS DOUBLE) / CAST(top AS DOUBLE) AS evenness FROM customer LEFT JOIN o ON o_custkey = c_custkey),
+runs AS (
+  SELECT c_custkey AS run_id, c_mktsegment AS segment,
+    CASE WHEN n IS NULL THEN 'sample' WHEN weight > 0.4 THEN 'other'
+      ELSE 'historical_asset:x' || CASE WHEN n >= 4 THEN '+pit_liquidity_universe' ELSE '' END || CASE WHEN c_acctbal > 500 THEN '+pit_stock_master_filter' ELSE '' END END AS source,
+    CASE WHEN slow >= 6 THEN 'empty' ELSE 'ok' END AS status, DATE '2001-08-05' - last AS age_days, n AS aligned_days, c_acctbal > 0 AS production_ready,
+    0.6::DOUBLE + done / n::DOUBLE AS walk_positive, years / 1.0::DOUBLE AS walk_windows, CASE WHEN partly > 4 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS walk_failed,
+    urgent / 1.0::DOUBLE AS supportive, CASE WHEN slow > 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS adverse,
+    CASE WHEN vague >= 4 THEN 'bad' WHEN vague >= 2 THEN 'warn' ELSE 'ok' END AS bias_status, 100 * (1 - weight) AS bias_score,
+    CASE WHEN vague >= 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS bias_failed, -weight AS max_drawdown, n * 15.0::DOUBLE AS trade_count,
+    CASE WHEN evenness < 0.02 THEN 'abandon' ELSE 'keep' END AS verdict, evenness - 0.05 AS annualized, evenness * 4 - 0.2 AS information_ratio,
+    evenness * 3 AS sharpe, urgent / 2.0::DOUBLE AS best_t, weight AS top_weight, years * 1.5::DOUBLE AS data_points FROM r)"""
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("c_custkey")
-    asset = F.concat(F.lit("historical_asset:x"), F.when(k % 3 != 0, "+pit_liquidity_universe").otherwise(""), F.when(k % 4 != 0, "+pit_stock_master_filter").otherwise(""))
-    cols = {
-        "run_id": k, "segment": F.col("c_mktsegment"), "source": F.when(k % 5 == 0, "sample").when(k % 5 == 1, "other").otherwise(asset), "status": F.when(k % 11 == 0, "empty").otherwise("ok"), "age_days": F.when(k % 13 != 0, k % 12), "aligned_days": k % 90, "production_ready": k % 2 == 0,
-        "walk_positive": (k % 100) / 100.0, "walk_windows": (k % 9) / 1.0, "walk_failed": (k % 3) / 1.0, "supportive": (k % 4) / 1.0, "adverse": (k % 2) / 1.0, "bias_status": F.when(k % 3 == 0, "ok").when(k % 3 == 1, "warn").otherwise("bad"), "bias_score": (k % 101) / 1.0, "bias_failed": F.when(k % 6 == 0, 1.0).otherwise(0.0),
-        "max_drawdown": -(k % 50) / 100.0, "trade_count": (k % 300) / 1.0, "verdict": F.when(k % 8 == 0, "abandon").otherwise("keep"), "annualized": F.when(k % 17 != 0, (k % 60 - 10) / 100.0), "information_ratio": (k % 5 - 1) / 2.0, "sharpe": (k % 7) / 4.0, "best_t": (k % 21) / 5.0, "top_weight": (k % 50) / 100.0, "data_points": (k % 11) / 1.0,
+    """A row for each customer, whose orders stand for a run: (run_id, segment, source and the figures that gates and scores ask for)."""
+    price, one = F.col("o_totalprice").cast("decimal(18,2)"), lambda c, v: F.count_if(F.col(c) == v)
+    own = adapter.read(spark, d, "orders").groupBy("o_custkey").agg(
+        F.count("*").alias("n"), F.sum(price).cast("double").alias("total"), F.max(price).cast("double").alias("top"), F.min(price).cast("double").alias("low"),
+        F.max(F.col("o_orderdate").cast("date")).alias("last"), F.count_distinct(F.year("o_orderdate")).alias("years"),
+        one("o_orderstatus", "F").alias("done"), one("o_orderstatus", "P").alias("partly"), one("o_orderpriority", "1-URGENT").alias("urgent"),
+        one("o_orderpriority", "5-LOW").alias("slow"), one("o_orderpriority", "4-NOT SPECIFIED").alias("vague"),
+    )
+    r = adapter.read(spark, d, "customer").join(own, F.col("o_custkey") == F.col("c_custkey"), "left")
+    r = r.withColumns({"weight": F.col("top") / F.col("total"), "evenness": F.col("low") / F.col("top")})
+    n, weight, evenness, flag = F.col("n"), F.col("weight"), F.col("evenness"), lambda x: F.when(x, 1.0).otherwise(0.0)
+    asset = F.concat(F.lit("historical_asset:x"), F.when(n >= 4, "+pit_liquidity_universe").otherwise(""), F.when(F.col("c_acctbal") > 500, "+pit_stock_master_filter").otherwise(""))
+    figures = {
+        "run_id": F.col("c_custkey"), "segment": F.col("c_mktsegment"), "source": F.when(n.isNull(), "sample").when(weight > 0.4, "other").otherwise(asset),
+        "status": F.when(F.col("slow") >= 6, "empty").otherwise("ok"), "age_days": F.datediff(F.lit("2001-08-05").cast("date"), "last"), "aligned_days": n, "production_ready": F.col("c_acctbal") > 0,
+        "walk_positive": 0.6 + F.col("done") / n, "walk_windows": F.col("years") / 1.0, "walk_failed": flag(F.col("partly") > 4), "supportive": F.col("urgent") / 1.0, "adverse": flag(F.col("slow") > 3),
+        "bias_status": F.when(F.col("vague") >= 4, "bad").when(F.col("vague") >= 2, "warn").otherwise("ok"), "bias_score": 100 * (1 - weight), "bias_failed": flag(F.col("vague") >= 5),
+        "max_drawdown": -weight, "trade_count": n * 15.0, "verdict": F.when(evenness < 0.02, "abandon").otherwise("keep"), "annualized": evenness - 0.05, "information_ratio": evenness * 4 - 0.2,
+        "sharpe": evenness * 3, "best_t": F.col("urgent") / 2.0, "top_weight": weight, "data_points": F.col("years") * 1.5,
     }
-    return adapter.read(spark, d, "customer").select(*(v.alias(n) for n, v in cols.items()))
+    return r.select(*(v.alias(c) for c, v in figures.items()))
 
 
 FRESH = RUNS + """, fresh AS (SELECT *, CASE WHEN source = 'sample' THEN 'sample_only' WHEN source = 'other' THEN 'unknown_source'
-  WHEN status = 'empty' THEN 'bad_data' WHEN age_days IS NULL THEN 'unknown_freshness' WHEN age_days > 7 THEN 'stale'
-  WHEN aligned_days < 20 THEN 'benchmark_missing' ELSE 'fresh' END AS fresh_verdict
+  WHEN status = 'empty' THEN 'bad_data' WHEN age_days IS NULL THEN 'unknown_freshness' WHEN age_days > 365 THEN 'stale'
+  WHEN aligned_days < 3 THEN 'benchmark_missing' ELSE 'fresh' END AS fresh_verdict
   FROM runs)"""
 
 
 @query(FRESH + " SELECT run_id, fresh_verdict AS verdict, fresh_verdict = 'fresh' AS ok FROM fresh")
 def freshness_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    return coverage.freshness(_runs(spark, d), 7, 20).select("run_id", "verdict", "ok")
+    return coverage.freshness(_runs(spark, d), 365, 3).select("run_id", "verdict", "ok")
 
 
-@query(FRESH + """, g AS (SELECT segment, arg_max(fresh_verdict, run_id) FILTER (prefix(source, 'historical')) AS verdict, count(*) FILTER (status = 'empty'
-  AND run_id % 2 = 0 AND segment <> 'BUILDING') AS failed_jobs, count(*) FILTER (run_id % 97 = 0 AND segment = 'MACHINERY') AS running_jobs
+@query(FRESH + """, g AS (SELECT segment, arg_max(fresh_verdict, run_id) FILTER (prefix(source, 'historical')) AS verdict, count(*) FILTER (status = 'empty' AND segment <> 'BUILDING') AS failed_jobs,
+  count(*) FILTER (aligned_days = 3 AND segment = 'MACHINERY') AS running_jobs
   FROM fresh GROUP BY segment) SELECT segment, failed_jobs, running_jobs, CASE WHEN verdict IS NULL THEN 'no_real_data'
   WHEN failed_jobs > 0 THEN 'job_failures' WHEN verdict = 'stale' THEN 'stale_data' WHEN verdict <> 'fresh' OR running_jobs > 0
   THEN 'degraded' ELSE 'ok' END AS state FROM g""")
 def health_states(spark: SparkSession, d: str) -> DataFrame:
     """The state of each segment's jobs and of its latest real run."""
-    rows = coverage.freshness(_runs(spark, d), 7, 20)
+    rows = coverage.freshness(_runs(spark, d), 365, 3)
     real = F.when(F.col("source").startswith("historical"), F.col("run_id"))
-    failed = (F.col("status") == "empty") & (F.col("run_id") % 2 == 0) & (F.col("segment") != "BUILDING")
-    running = (F.col("run_id") % 97 == 0) & (F.col("segment") == "MACHINERY")
+    failed = (F.col("status") == "empty") & (F.col("segment") != "BUILDING")
+    running = (F.col("aligned_days") == 3) & (F.col("segment") == "MACHINERY")
     per = rows.groupBy("segment").agg(F.max_by("verdict", real).alias("verdict"), F.count_if(failed).alias("failed_jobs"), F.count_if(running).alias("running_jobs"))
     return coverage.health(per).select("segment", "failed_jobs", "running_jobs", "state")
 
 
-GATE = RUNS + """, gate AS (SELECT *, (prefix(source, 'historical'))::INT + contains(source, 'pit_liquidity_universe')::INT + contains(source,
-  'pit_stock_master_filter')::INT + production_ready::INT + (aligned_days > 0)::INT + (walk_positive >= 0.75 AND walk_failed = 0)::INT + (supportive >= 1
-  AND adverse = 0)::INT + (bias_status IN ('ok', 'warn') AND bias_score >= 70 AND bias_failed = 0)::INT + (max_drawdown >= -0.25)::INT + (trade_count >= 100)::INT + (verdict <> 'abandon')::INT AS passed
-  FROM runs)"""
+# figures of customers without orders are missing, which counts as 0
+_FILLED = ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("aligned_days", "walk_positive", "walk_windows", "walk_failed", "supportive", "adverse", "bias_score", "bias_failed", "max_drawdown", "trade_count", "annualized", "information_ratio", "sharpe", "best_t", "top_weight", "data_points"))
+GATE = RUNS + f""", filled AS (SELECT * REPLACE ({_FILLED}) FROM runs),
+gate AS (
+  SELECT *, (prefix(source, 'historical'))::INT + contains(source, 'pit_liquidity_universe')::INT + contains(source, 'pit_stock_master_filter')::INT
+    + production_ready::INT + (aligned_days > 0)::INT + (walk_positive >= 0.75 AND walk_failed = 0)::INT + (supportive >= 1 AND adverse = 0)::INT
+    + (bias_status IN ('ok', 'warn') AND bias_score >= 70 AND bias_failed = 0)::INT + (max_drawdown >= -0.25)::INT + (trade_count >= 100)::INT
+    + (verdict <> 'abandon')::INT AS passed
+  FROM filled)"""
 
 
 @query(GATE + " SELECT run_id, passed, 11 - passed AS failed, CASE WHEN passed = 11 THEN 'paper_candidate' ELSE 'research_only' END AS gate FROM gate")
