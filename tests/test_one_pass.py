@@ -1,6 +1,9 @@
 """Steps that must not go through their rows again and again."""
 
 from tidemark.operators import study
+from tidemark.plans import registry
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_adjusted_p_of_a_large_family_takes_one_pass(spark):
@@ -15,3 +18,8 @@ def test_adjusted_p_of_a_large_family_takes_one_pass(spark):
         least = min(least, m / (i + 1) * p[i])
         want[i] = least
     assert abs(got.bh.to_numpy() - want).max() < 1e-12
+
+
+def test_portfolio_is_simulated_once(spark):
+    plan = registry.portfolio_metrics(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan
