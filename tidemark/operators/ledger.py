@@ -14,6 +14,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.dealing import dealt
 from tidemark.functions.numbering import numbered
 from tidemark.sources.scratch import materialize
 
@@ -25,24 +26,25 @@ def records(df: DataFrame) -> DataFrame:
     return df.withColumn("record", F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(df.columns)))))
 
 
-def _level(parts: DataFrame, level: int, block: int) -> DataFrame:
+def _level(parts: DataFrame, level: int, block: int, size: int | None = None) -> DataFrame:
     """(level, block, records, digest) of (number, part, size)."""
-    cut = parts.groupBy(F.floor(F.col("number") / block).cast("long").alias("block"))
+    cut = dealt(parts.withColumn("block", F.floor(F.col("number") / block).cast("long")), size, "block").groupBy("block")
     out = cut.agg(F.sum("size").alias("records"), F.array_sort(F.collect_list(F.struct("number", "part"))).alias("parts"))
     lines = F.array_join(F.transform("parts", lambda p: p["part"]), "\n")
     return out.select(F.lit(level).alias("level"), "block", "records", F.sha2(lines.cast("binary"), 256).alias("digest"))
 
 
-def blocks(df: DataFrame, keys: list[str], block: int = BLOCK, levels: int | None = None) -> DataFrame:
+def blocks(df: DataFrame, keys: list[str], block: int = BLOCK, levels: int | None = None, size: int | None = None) -> DataFrame:
     """(level, block, records, digest): the digests of all levels, or of the first ``levels``; none for an empty table.
 
     Rows that agree in all keys are ordered by their records, so that repeated
-    rows have one order too.
+    rows have one order too. ``size``, about so many rows, bounds those of a task.
     """
-    rows = numbered(records(df).select(*keys, "record"), [*keys, "record"])
+    rows = numbered(records(df).select(*keys, "record"), [*keys, "record"], size=size)
     parts, out, level = rows.select("number", F.col("record").alias("part"), F.lit(1).cast("long").alias("size")), None, 1
     while True:
-        now = materialize(_level(parts, level, block), "ledger")
+        now = materialize(_level(parts, level, block, size), "ledger")
+        size = None if size is None else -(-size // block)
         out = now if out is None else out.unionByName(now)
         if level == levels or now.limit(2).count() < 2:
             return out

@@ -35,9 +35,10 @@ judged AS (
   FROM overall, gaps)"""
 
 
-def _stage2_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of the 18 variants, written once: contrasts, evidence and timing read them several times."""
-    return scratch.materialize(lattice.cells(lattice.stage2_cross_sections(S._candidates(spark, d), S.MINIMUM)), "cells")
+def _stage2_cells(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Cells of the 18 variants, written once: contrasts, evidence and timing read them several times; and their candidates."""
+    sections, size, rows = S._stage2(spark, d)
+    return scratch.materialize(lattice.cells(sections, size=size), "cells"), rows
 
 
 def _status(cells: DataFrame) -> DataFrame:
@@ -51,12 +52,12 @@ def _status(cells: DataFrame) -> DataFrame:
   reasons, reasons = '' AS passed, complete_dates, smallest_section FROM judged""")
 def evidence_status(spark: SparkSession, d: str) -> DataFrame:
     """Whether the registered months are whole enough for any claim, and what they lack."""
-    return _status(lattice.cells(lattice.stage2_cross_sections(S._candidates(spark, d), S.MINIMUM)))
+    return _status(_stage2_cells(spark, d)[0])
 
 
-def _values(spark: SparkSession, d: str, cells: DataFrame) -> DataFrame:
-    rows = S._candidates(spark, d).filter("in_pit").withColumnRenamed("future_same", "outcome")
-    steps = estimands.timing_values(lattice.timing_decomposition(rows))
+def _values(cells: DataFrame, candidates: DataFrame) -> DataFrame:
+    rows = candidates.filter("in_pit").withColumnRenamed("future_same", "outcome")
+    steps = estimands.timing_values(lattice.timing_decomposition(rows, candidates.count()))
     return cells.select("date", "variant", "factor", F.col("ic").alias("value")).unionByName(steps)
 
 
@@ -76,7 +77,7 @@ con AS (
 @query(_CONTRASTS + f" SELECT estimand, date, known, {S._unsigned_sql('value', 6)} AS value FROM con")
 def estimand_months(spark: SparkSession, d: str) -> DataFrame:
     """The monthly values of all 31 registered estimands."""
-    months = estimands.contrasts(_values(spark, d, _stage2_cells(spark, d)), _REGISTERED)
+    months = estimands.contrasts(_values(*_stage2_cells(spark, d)), _REGISTERED)
     return months.select("estimand", "date", "known", S._unsigned(F.col("value"), 6).alias("value"))
 
 
@@ -125,8 +126,8 @@ _DIGITS = {"mean": 6, "standard_error": 5, "t_stat": 3, "p_value": 5, "ci_low":
 @query(_BUNDLE.format(claims=_CLAIM_MONTHS, gate="true"))
 def registered_estimands(spark: SparkSession, d: str) -> DataFrame:
     """All estimands with inference and multiplicity, as they would be claimed if the data were evidence."""
-    cells = _stage2_cells(spark, d)
-    months = scratch.materialize(estimands.contrasts(_values(spark, d, cells), _REGISTERED), "contrasts")
+    cells, candidates = _stage2_cells(spark, d)
+    months = scratch.materialize(estimands.contrasts(_values(cells, candidates), _REGISTERED), "contrasts")
     gate = spark.createDataFrame([(True,)], "passed boolean")
     out = estimands.summaries(months, _REGISTERED, gate, claim_months=_CLAIM_MONTHS)
     return out.withColumns({c: S._unsigned(F.col(c), k) for c, k in _DIGITS.items()})
@@ -135,8 +136,8 @@ def registered_estimands(spark: SparkSession, d: str) -> DataFrame:
 @query(_BUNDLE.format(claims=_CLAIM_MONTHS, gate="false").replace("\nSELECT estimand,", f"{_EVIDENCE}\nSELECT reasons, estimand,").replace("FROM adjusted\"", "FROM adjusted").rstrip() + ", judged")
 def gated_estimands(spark: SparkSession, d: str) -> DataFrame:
     """The same behind the evidence gate: synthetic tables allow no claim."""
-    cells = _stage2_cells(spark, d)
-    months = scratch.materialize(estimands.contrasts(_values(spark, d, cells), _REGISTERED), "contrasts")
+    cells, candidates = _stage2_cells(spark, d)
+    months = scratch.materialize(estimands.contrasts(_values(cells, candidates), _REGISTERED), "contrasts")
     status = scratch.materialize(_status(cells), "status")
     out = estimands.summaries(months, _REGISTERED, status, claim_months=_CLAIM_MONTHS).crossJoin(F.broadcast(status.select("reasons")))
     return out.withColumns({c: S._unsigned(F.col(c), k) for c, k in _DIGITS.items()})
@@ -156,14 +157,13 @@ UNION ALL SELECT 2, block // {ledger.BLOCK}, sum(records)::BIGINT, sha256(string
   FROM one GROUP BY 2"""
 
 
-def _endpoint_ledger(spark: SparkSession, d: str) -> DataFrame:
-    return lattice.endpoint_codes(lattice.stage2_cross_sections(S._candidates(spark, d), S.MINIMUM)).select(*_LEDGER_KEYS, "resolution")
-
-
 @query(_BLOCKS)
 def endpoint_ledger_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Digests of the ledger of all endpoint records, two levels."""
-    return ledger.blocks(_endpoint_ledger(spark, d), _LEDGER_KEYS, levels=2)
+    sections, size, _ = S._stage2(spark, d)
+    # sampled for its ranges and then dealt out: written once, as is its number of rows
+    rows = scratch.materialize(lattice.endpoint_codes(sections).select(*_LEDGER_KEYS, "resolution"), "endpoints")
+    return ledger.blocks(rows, _LEDGER_KEYS, levels=2, size=rows.count())
 
 
 @query(_RECORDS + """, kept AS (SELECT * FROM led WHERE symbol % 10 <> 7 OR resolution <> 'RESOLVED'),
@@ -178,9 +178,9 @@ j AS (SELECT date, variant, factor, list_filter([CASE WHEN eligible > candidates
 SELECT date, variant, factor, array_to_string(reasons, ',') AS reasons FROM j WHERE len(reasons) > 0""")
 def ledger_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Cells that a ledger which lost some resolved records no longer covers."""
-    sections = scratch.materialize(lattice.stage2_cross_sections(S._candidates(spark, d), S.MINIMUM), "sections")
+    sections, size, _ = S._stage2(spark, d)
     kept = lattice.endpoint_codes(sections).filter("symbol % 10 <> 7 OR resolution <> 'RESOLVED'")
-    found = ledger.coverage_faults(kept, lattice.cells(sections), ["date", "variant", "factor"], "resolution", "RESOLVED")
+    found = ledger.coverage_faults(kept, lattice.cells(sections, size=size), ["date", "variant", "factor"], "resolution", "RESOLVED")
     return found.withColumn("reasons", F.array_join("reasons", ","))
 
 
