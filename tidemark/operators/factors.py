@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import band, clip, clip01, indicator, pct_rank, ratio, rolling, row_mean, series
+from tidemark.functions.dealing import dealt
 
 
 def _c(name: str) -> Column:
@@ -45,12 +46,17 @@ def dividend_event_scores(panel: DataFrame) -> DataFrame:
     return out.withColumn("dividend_event_quality_score", row_mean(_c("dividend_event_regular_score"), _c("dividend_event_recent_score"), _c("dividend_event_cash_score")))
 
 
-def capital_flows(panel: DataFrame) -> DataFrame:
-    """Net inflows, in units of 10,000, against the amount traded: strength, persistence and a guard against outflows."""
+def capital_flows(panel: DataFrame, size: int | None = None) -> DataFrame:
+    """Net inflows, in units of 10,000, against the amount traded: strength, persistence and a guard against outflows.
+
+    ``size``, about so many rows, bounds the rows of a task in windows by symbol and in ranks by date.
+    """
+    panel = dealt(panel, size, "symbol")
     traded = F.when(_c("amount") > 0, _c("amount"))
     out = panel.withColumns({f"{k}_net_inflow_to_amount": ratio(_c(f"{k}_net_inflow") * 10000, traded) for k in ("main", "large", "xlarge")})
     # rounded, so that ties in its rank don't depend on the order of a sum
     out = out.withColumn("flow_persistence_20d_raw", F.round(rolling(F.avg, _c("main_net_inflow_to_amount"), 20, 5), 12))
+    out = dealt(out, size, "date")
     main, xlarge = _c("main_net_inflow_to_amount"), _c("xlarge_net_inflow_to_amount")
     risk = 0.60 * _or(-clip(main, -0.08, 0.0) / 0.08) + 0.40 * _or(-clip(xlarge, -0.05, 0.0) / 0.05)
     out = out.withColumns({

@@ -93,7 +93,7 @@ c AS (SELECT *, {_rank_sql('main_net_inflow_to_amount')} AS main_flow_strength_s
 e AS (SELECT *, {_unit(_mean('main_flow_strength_score', 'ls', 'xs', 'flow_persistence_20d_score', 'flow_reversal_guard_score'))} AS capital_flow_quality_score
   FROM c) SELECT date, symbol, {even_sql(FLOW)} FROM e""")
 def capital_flow_factors(spark: SparkSession, d: str) -> DataFrame:
-    return _out(factors.capital_flows(fields(spark, d)), FLOW)
+    return _out(factors.capital_flows(fields(spark, d), adapter.lines(spark, d)), FLOW)
 
 
 MARGIN = ("margin_net_buy_amount", "margin_buy_to_amount", "margin_repay_to_amount", "margin_net_buy_to_amount", "margin_balance_to_amount", "short_balance_to_amount", "margin_net_buy_strength_score", "margin_deleveraging_guard_score", "margin_balance_crowding_guard_score", "margin_short_pressure_guard_score", "margin_leverage_flow_score", "margin_trade_quality_score")
