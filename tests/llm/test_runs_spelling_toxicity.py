@@ -243,3 +243,18 @@ def test_runs_of_odd_rows(spark):
     assert periodic_runs.find_runs(docs.limit(0)).count() == 0
     kept = {(r.doc_id, r.text) for r in queries.repeating(docs).collect()}
     assert (None, loop) in kept and (1, None) in kept and (2, "") in kept
+
+
+def test_rare_toxic_tokens_rank_texts_without_passages(spark):
+    """A token of two toxic texts is too rare for a passage, but held-out texts with it rank over plain ones."""
+    words = [f"w{i}" for i in range(40)]
+    kept = lambda i: zlib.crc32(str(i).encode()) % 5 != 0
+    learnt, fresh = [i for i in range(400) if kept(i)], [i for i in range(400) if not kept(i)]
+    common = lambda i: " ".join(words[(i * 7 + k * k) % 40] for k in range(30))
+    toxic = set(learnt[:40]) | set(fresh[:30])
+    rare = {i: f" rare{at // 2}" for at, i in enumerate(sorted(set(learnt[:40])))} | {i: f" rare{at % 20}" for at, i in enumerate(fresh[:30])}
+    docs = spark.createDataFrame([(i, common(i) + rare.get(i, ""), "en", "s", 0) for i in range(400)], DOCS)
+    labels = spark.createDataFrame([(i, 0, int(i in toxic)) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
+    assert not any(got[i].passages for i in fresh)
+    assert min(got[i].score for i in fresh[:30]) > max(got[i].score for i in fresh[30:])
