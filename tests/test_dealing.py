@@ -57,3 +57,13 @@ def test_ledger_is_the_same_at_any_size(spark):
     rows = spark.range(1000).selectExpr("id", "id % 7 AS x")
     whole = _rows(ledger.blocks(rows, ["id"], block=16))
     assert whole == _rows(ledger.blocks(rows, ["id"], block=16, size=900_000))
+
+
+def test_panel_is_dealt_by_its_lines(spark, monkeypatch):
+    from tidemark.sources import adapter
+
+    at = "/root/testdata/sf0.001"
+    usual = _rows(adapter.daily_panel(spark, at).selectExpr("date", "symbol", "amount", "n_rows"))
+    monkeypatch.setattr(adapter, "lines", lambda spark, d: 600_000)
+    many = adapter.daily_panel(spark, at).selectExpr("date", "symbol", "amount", "n_rows")
+    assert _tasks(many) == 6 and _rows(many) == usual
