@@ -34,6 +34,8 @@ K1, B = 1.2, 0.75
 QUERY_TERMS = 128
 #: Neighbours that one request returns; a window that uses them up asks again for the rest.
 NEIGHBOURS = 256
+#: Texts are tokenized so many at once (or one): the more there are, the oftener a word is found again.
+BATCH_BYTES, BATCH_ROWS = 16 << 20, 4000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -42,7 +44,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
     def run(batches):
         tokenizer = tokenizer_at(path)
-        for batch in (piece for x in batches for piece in slices(x)):
+        for batch in (piece for x in batches for piece in slices(x, BATCH_BYTES, BATCH_ROWS)):
             found, sizes = [], []
             for own in tokenizer.encode_batch(batch.column(1)):
                 ids = np.append(own, np.uint32(end_id)).astype("<u2" if tokenizer.narrow else "<u4")
@@ -59,12 +61,11 @@ def document_frequencies(tokens: DataFrame) -> DataFrame:
 
     def run(batches):
         seen = np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            for data, n in zip(batch.column(0), batch.column(1).to_pylist()):
-                own, _ = terms_of(unpack(data.as_buffer(), n))
-                if own[-1] >= len(seen):
-                    seen = np.concatenate([seen, np.zeros(int(own[-1]) + 1024, np.int64)])
-                seen[own] += 1
+        for batch in (piece for x in batches for piece in slices(x)):
+            _, term, _ = terms_of_all([unpack(data.as_buffer(), n) for data, n in zip(batch.column(0), batch.column(1).to_pylist())])
+            own = np.bincount(term, minlength=len(seen))
+            own[: len(seen)] += seen
+            seen = own
         ids = np.flatnonzero(seen)
         yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(seen[ids], pa.int64())], ["id", "df"])
 
@@ -76,46 +77,71 @@ def unpack(data, n: int) -> np.ndarray:
 
 
 def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids of a document in order, and how often each occurs. A stable sort of 16-bit integers is by radix."""
-    ordered = np.sort(ids, kind="stable")
-    edge = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ids)]])
-    return ordered[edge[:-1]], np.diff(edge)
+    """The distinct ids of a document in order, and how often each occurs."""
+    return terms_of_all([ids])[1:]
+
+
+def terms_of_all(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids of documents by document, in order: place of the document, id, how often it occurs. One sort for all documents."""
+    kind = np.result_type(*docs)
+    bits = 8 * kind.itemsize
+    wide = np.uint32 if bits == 16 and len(docs) <= 1 << 16 else np.uint64
+    both = np.repeat(np.arange(len(docs), dtype=wide) << wide(bits), np.fromiter(map(len, docs), np.int64, len(docs)))
+    both |= np.concatenate(docs).astype(wide)
+    both.sort()
+    edge = np.concatenate([[0], np.flatnonzero(both[1:] != both[:-1]) + 1])
+    tf, both = np.diff(edge, append=len(both)), both[edge]
+    return (both >> wide(bits)).astype(np.int32), both.astype(kind), tf
 
 
-def bm25(tf: np.ndarray, idf: np.ndarray, n: int, mean_length: float) -> np.ndarray:
-    """Weights of a document's terms of frequencies ``tf``; ``n`` is its length."""
+def bm25(tf: np.ndarray, idf: np.ndarray, n: int | np.ndarray, mean_length: float) -> np.ndarray:
+    """Weights of documents' terms of frequencies ``tf``; ``n`` is the length of a term's document."""
     return (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean_length))).astype(np.float32)
 
 
-def heaviest_shared(ids: np.ndarray, idf: np.ndarray, shared: np.ndarray, mean_length: float) -> int:
-    """The heaviest term of a document that others have too, ties to the smaller id; -1 if there is none."""
-    term, tf = terms_of(ids)
-    weight = np.where(shared[term], bm25(tf, idf[term], len(ids), mean_length), -1.0)
-    return int(term[weight.argmax()]) if weight.max() > 0 else -1
+def heaviest_shared(docs: list[np.ndarray], idf: np.ndarray, shared: np.ndarray, mean_length: float) -> np.ndarray:
+    """The heaviest term of each document that others have too, ties to the smaller id; -1 if there is none."""
+    owner, term, tf = terms_of_all(docs)
+    sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+    weight = np.where(shared[term], bm25(tf, idf[term], sizes[owner], mean_length), -1.0)
+    best = np.maximum.reduceat(weight, np.searchsorted(owner, np.arange(len(docs))))
+    at = np.flatnonzero(weight == best[owner])
+    first = at[np.searchsorted(owner[at], np.arange(len(docs)))]
+    return np.where(best > 0, term[first].astype(np.int64), -1)
 
 
 class ShardIndex:
-    """Inverted index of BM25 weights over one shard's documents."""
+    """Inverted index of BM25 weights over one shard's documents.
+
+    Documents whose ``unused`` is set to false are no neighbours any more; their
+    entries are dropped whenever a quarter of the documents listed is used.
+    """
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float, query_terms: int = QUERY_TERMS):
-        terms, owners, weights, self.queries = [], [], [], []
-        for i, ids in enumerate(docs):
-            term, tf = terms_of(ids)
-            weight = bm25(tf, idf[term], len(ids), mean_length)
-            top = term if len(term) <= query_terms else term[np.argpartition(-weight, query_terms)[:query_terms]]
+        owner, term, tf = terms_of_all(docs)
+        weight = bm25(tf, idf[term], np.fromiter(map(len, docs), np.int64, len(docs))[owner], mean_length)
+        edges = np.searchsorted(owner, np.arange(len(docs) + 1)).tolist()
+        self.queries = []
+        for a, b in zip(edges[:-1], edges[1:]):
+            top = term[a:b] if b - a <= query_terms else term[a:b][np.argpartition(-weight[a:b], query_terms)[:query_terms]]
             self.queries.append(top.astype(np.int64))
-            terms.append(term)
-            owners.append(np.full(len(term), i, np.int32))
-            weights.append(weight)
-        term = np.concatenate(terms)
         order = np.argsort(term, kind="stable")
-        self.owners, self.weights = np.concatenate(owners)[order], np.concatenate(weights)[order]
+        self.owners, self.weights = owner[order], weight[order]
         self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        self.unused, self.scores = np.ones(len(docs), dtype=bool), np.zeros(len(docs), np.float32)
+        self.unused, self.listed = np.ones(len(docs), dtype=bool), len(docs)
+
+    def _drop_used(self, left: int) -> None:
+        keep = self.unused[self.owners]
+        self.first = np.concatenate([[0], np.cumsum(keep)])[self.first]
+        self.owners, self.weights, self.listed = self.owners[keep], self.weights[keep], left
 
     def neighbours(self, seed: int) -> np.ndarray:
         """The ``NEIGHBOURS`` best unused documents that share a heavy term with the seed, best first; ties by position."""
-        hit = [slice(self.first[t], self.first[t + 1]) for t in self.queries[seed]]
+        left = np.count_nonzero(self.unused)
+        if left < 0.75 * self.listed:
+            self._drop_used(left)
+        asked = self.queries[seed]
+        hit = list(map(slice, self.first[asked].tolist(), self.first[asked + 1].tolist()))
         owners, weights = np.concatenate([self.owners[x] for x in hit]), np.concatenate([self.weights[x] for x in hit])
         scores = np.bincount(owners, weights, len(self.unused))
         found = np.flatnonzero((scores > 0) & self.unused)
@@ -216,8 +242,8 @@ def deal(tokens: DataFrame, shard_tokens: int, tag: str):
     common = tokens.sparkSession.sparkContext.broadcast(counts >= 2)
 
     def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = zip(batch.column(1), batch.column(2).to_pylist())
-        key = [heaviest_shared(unpack(data.as_buffer(), n), idf.value, common.value, mean_length) for data, n in rows]
+        docs = [unpack(data.as_buffer(), n) for data, n in zip(batch.column(1), batch.column(2).to_pylist())]
+        key = heaviest_shared(docs, idf.value, common.value, mean_length)
         return pa.record_batch([*batch.columns, pa.array(key, pa.int64())], ["doc_id", "ids", "n", "key"])
 
     keyed = table(map_batches(tokens, mark, "doc_id long, ids binary, n long, key long"), tag)

@@ -4,10 +4,11 @@ The tokenizer lower-cases a text, drops white space and cuts the rest into
 pieces (letters, single digits, other signs, English contractions) before it
 looks for pairs to merge, and the last id of a piece is one with the mark of a
 word's end. So a text's ids are those of its pieces one after the other, and
-pieces repeat; so do words, which are cut into pieces once. Texts with
-characters outside of the plain Latin range, where cutting is left to the
-tokenizer itself, are encoded whole; so are all texts where the file describes
-another way of normalising or cutting than the one above.
+pieces repeat; so do words, which are cut into pieces once a batch. New pieces
+go to the tokenizer's model many at a time. Texts with characters outside of
+the plain Latin range, where cutting is left to the tokenizer itself, are
+encoded whole; so are all texts where the file describes another way of
+normalising or cutting than the one above.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ import json
 import os
 import re
 import unicodedata
-from array import array
 from itertools import repeat
 
 import numpy as np
@@ -29,18 +29,34 @@ _LETTERS = "a-zA-Z" + "".join(c for c in _LATIN if unicodedata.category(c)[0] ==
 _NUMBERS = "0-9" + "".join(c for c in _LATIN if unicodedata.category(c)[0] == "N")
 #: Fixed pattern of the tokenizer, with its letters and numbers spelled out for the plain range.
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^ \\t-\\r{_LETTERS}{_NUMBERS}]+")
+#: Stands between words, which hold no white space.
+_BREAK = "\n"
+_PIECES_AND_BREAKS = re.compile(f"{_PIECES.pattern}|{_BREAK}")
+#: Characters of pieces that are encoded in one call, or a single longer piece.
+MERGED_CHARS = 200_000
 
 
-def _byte_signs() -> dict[int, str]:
-    """The usual signs of byte-level vocabularies: printable bytes stand for themselves, others follow from 256 on."""
+def _byte_signs() -> np.ndarray:
+    """The usual signs of byte-level vocabularies: printable bytes stand for themselves, others follow from 256 on. The space stays one, between pieces."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in printable]
-    return {b: chr(256 + n) for n, b in enumerate(others)}
+    signs = np.arange(256, dtype="<u2")
+    others = np.setdiff1d(signs, printable)
+    signs[others] = 256 + np.arange(len(others))
+    signs[0x20] = 0x20
+    return signs
 
 
 _SIGNS = _byte_signs()
 
 
+def _gather(ids: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of numbered runs one after the other, and where each run's begin (and the last one's end)."""
+    first = starts[at]
+    sizes = starts[at + 1] - first
+    stops = np.concatenate([[0], np.cumsum(sizes)])
+    return ids[np.arange(stops[-1]) + np.repeat(first - stops[:-1], sizes)], stops
+
+
 _LOADED: dict[str, PieceTokenizer] = {}
 
 
@@ -71,71 +87,81 @@ def cuts_as_here(path: str) -> bool:
 class PieceTokenizer:
     """``encode_batch`` gives the ids of texts as the tokenizer file at ``path`` does, without special tokens.
 
-    Beyond ``max_pieces`` pieces or ``max_words`` words, or ``max_chars``
-    characters of either, a cache starts anew, which bounds memory.
+    Beyond ``max_pieces`` pieces or ``max_chars`` characters of them the cache
+    starts anew, which bounds memory.
     """
 
-    def __init__(self, path: str, max_pieces: int = 500_000, max_words: int = 700_000, max_chars: int = 16_000_000):
+    def __init__(self, path: str, max_pieces: int = 1_200_000, max_chars: int = 32_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.max_pieces, self.max_words, self.max_chars = Tokenizer.from_file(path), max_pieces, max_words, max_chars
+        self.tokenizer, self.max_pieces, self.max_chars = Tokenizer.from_file(path), max_pieces, max_chars
         self.plain = _PLAIN if cuts_as_here(path) else re.compile("")
         self.model = self.tokenizer.model
-        self.narrow = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16
+        self.merger = Tokenizer(self.model)  # takes pieces that are normalised and cut, many at a time with spaces between them
+        self.merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary, mark = self.tokenizer.get_vocab(with_added_tokens=True), getattr(self.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[n for token, n in vocabulary.items() if mark and token.endswith(mark)]] = True
+        self.narrow = len(self.ends) <= 1 << 16
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces: dict[str, bytes] = {}
-        self.piece_chars = 0
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.word_chars = 0
+        self.known, self.chars = {_BREAK: 0}, 0  # the break is piece 0, which has no ids
         self.ids, self.starts, self.n_ids = np.zeros(1 << 18, np.uint32), np.zeros(1 << 17, np.int64), 0
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            plain = piece.isascii() and piece.isprintable()
-            signs = piece if plain else piece.encode().decode("latin-1").translate(_SIGNS)
-            ids = array("I", [x.id for x in self.model.tokenize(signs)]).tobytes()
-            self.piece_chars += len(piece)
-            if len(self.pieces) >= self.max_pieces or self.piece_chars > self.max_chars:
-                self.pieces.clear()
-                self.piece_chars = len(piece)
-            self.pieces[piece] = ids
-        return ids
-
-    def _learn(self, words: list[str]) -> None:
-        piece = self._piece
-        found = [b"".join(map(piece, _PIECES.findall(word))) for word in words]
-        flat, n = np.frombuffer(b"".join(found), np.uint32), len(self.known)
-        while self.n_ids + len(flat) > len(self.ids):
+    def _merge(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of new pieces one after the other, and where each piece's end."""
+        part = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1) // MERGED_CHARS
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(pieces)]
+        found, sizes = [], []
+        for a, b in zip(edges[:-1], edges[1:]):
+            signs = _SIGNS[np.frombuffer(" ".join(pieces[a:b]).encode(), np.uint8)].tobytes().decode("utf-16-le")
+            ids = np.array(self.merger.encode_batch_fast([signs], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == b - a:
+                found.append(ids)
+                sizes.append(np.diff(stops, prepend=0))
+            else:  # a vocabulary without some of the signs drops them, maybe a piece's last one
+                each = [[x.id for x in self.model.tokenize(x)] for x in signs.split(" ")]
+                found.append(np.array([n for x in each for n in x], np.uint32))
+                sizes.append(np.array([len(x) for x in each], np.int64))
+        return np.concatenate(found), np.cumsum(np.concatenate(sizes))
+
+    def _learn(self, pieces: list[str]) -> None:
+        ids, stops = self._merge(pieces)
+        n = len(self.known)
+        while self.n_ids + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + len(words) + 1 > len(self.starts):
+        while n + len(pieces) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-        self.starts[n + 1 : n + len(words) + 1] = self.n_ids + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)
-        self.known.update(zip(words, range(n, n + len(words))))
-        self.n_ids += len(flat)
-
-    def _known(self, words: list[str]) -> np.ndarray:
-        """The numbers of distinct words; new ones are learned."""
-        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.starts[n + 1 : n + len(pieces) + 1] = self.n_ids + stops
+        self.known.update(zip(pieces, range(n, n + len(pieces))))
+        self.n_ids += len(ids)
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """The numbers of pieces; new ones are learned."""
+        at = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            new = [words[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(pieces[i] for i in missing.tolist()))
             chars = sum(map(len, new))
-            if self.known and (len(self.known) + len(new) > self.max_words or self.word_chars + chars > self.max_chars):
+            if len(self.known) > 1 and (len(self.known) + len(new) > self.max_pieces or self.chars + chars > self.max_chars):
                 self._clear()
-                new, missing = words, np.arange(len(words))
-                chars = sum(map(len, new))
-            n = len(self.known)
-            self.word_chars += chars
+                return self._numbers(pieces)
+            self.chars += chars
             self._learn(new)
-            at[missing] = np.arange(n, n + len(new))
+            at[missing] = np.fromiter(map(self.known.get, (pieces[i] for i in missing.tolist())), np.int64, len(missing))
         return at
 
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and where each word's begin (and the last one's end)."""
+        at = self._numbers(_PIECES_AND_BREAKS.findall(_BREAK.join([*words, ""])))
+        ids, stops = _gather(self.ids, self.starts, at)
+        return ids, np.concatenate([[0], stops[1:][at == 0]])
+
     def encode_batch(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; null is as empty. Words are told apart for the whole batch at once."""
         values = texts.to_numpy(zero_copy_only=False).tolist()
@@ -144,10 +170,7 @@ class PieceTokenizer:
             texts = pa.array([None if i in odd else x for i, x in enumerate(values)], pa.string())
         split = pc.ascii_split_whitespace(pc.utf8_lower(texts.fill_null("")))
         coded = split.values.dictionary_encode()
-        at = self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-        sizes = self.starts[at + 1] - self.starts[at]
-        stops = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self.ids[np.arange(stops[-1]) + np.repeat(self.starts[at] - stops[:-1], sizes)]
+        flat, stops = _gather(*self._encode_words(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy())
         edges = stops[split.offsets.to_numpy()]
         out = [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
         for i in odd:
