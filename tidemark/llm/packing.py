@@ -35,7 +35,7 @@ QUERY_TERMS = 128
 #: Neighbours that one request returns; a window that uses them up asks again for the rest.
 NEIGHBOURS = 256
 #: Texts are tokenized so many at once (or one): the more there are, the oftener a word is found again.
-BATCH_BYTES, BATCH_ROWS = 16 << 20, 4000
+BATCH_BYTES, BATCH_ROWS = 6 << 20, 2000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 

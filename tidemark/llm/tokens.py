@@ -54,7 +54,9 @@ def _gather(ids: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.nda
     first = starts[at]
     sizes = starts[at + 1] - first
     stops = np.concatenate([[0], np.cumsum(sizes)])
-    return ids[np.arange(stops[-1]) + np.repeat(first - stops[:-1], sizes)], stops
+    place = np.repeat(first - stops[:-1], sizes)
+    place += np.arange(stops[-1])
+    return ids[place], stops
 
 
 _LOADED: dict[str, PieceTokenizer] = {}
